@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, media, mixing
 
 QUERIES = {
+    "op3_mix_sources": mixing.op3_mix_sources,
+    "op6_media_columns": media.op6_media_columns,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
 ORACLE_SQL = {
+    "op3_mix_sources": mixing.OP3_SQL,
     "op10_decontaminate": decontam.OP10_SQL,
 }
