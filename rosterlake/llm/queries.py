@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontam, media, mixing
+from . import decontam, media, mixing, secrets
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_media_columns": media.op6_media_columns,
+    "op8_secret_scan": secrets.op8_secret_scan,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
+    "op8_secret_scan": secrets.OP8_SQL,
     "op10_decontaminate": decontam.OP10_SQL,
 }
