@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, media, mixing, secrets
+from . import decontam, media, mixing, secrets, urlfilter
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_media_columns": media.op6_media_columns,
+    "op7_url_filter": urlfilter.op7_url_filter,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
