@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, media, mixing, secrets, urlfilter
+from . import decontam, html_content, media, mixing, secrets, urlfilter
 
 QUERIES = {
+    "op2_main_text": html_content.op2_main_text,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_media_columns": media.op6_media_columns,
     "op7_url_filter": urlfilter.op7_url_filter,
