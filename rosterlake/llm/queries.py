@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_content, media, mixing, secrets, urlfilter
+from . import decontam, html_content, media, mixing, quality, secrets, urlfilter
 
 QUERIES = {
     "op2_main_text": html_content.op2_main_text,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_media_columns": media.op6_media_columns,
     "op7_url_filter": urlfilter.op7_url_filter,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
