@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, html_content, media, mixing, neardup, quality, secrets, urlfilter
+from . import decontam, html_content, langid, media, mixing, neardup, quality, secrets, urlfilter
 
 QUERIES = {
     "op2_main_text": html_content.op2_main_text,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_language_id": langid.op4_language_id,
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_media_columns": media.op6_media_columns,
     "op7_url_filter": urlfilter.op7_url_filter,
