@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, html_content, langid, media, mixing, neardup, quality, secrets, urlfilter
+from . import decontam, html_content, langid, lm, media, mixing, neardup, quality, secrets, urlfilter
 
 QUERIES = {
+    "op1_lm_score": lm.op1_lm_score,
     "op2_main_text": html_content.op2_main_text,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_language_id": langid.op4_language_id,
