@@ -194,11 +194,12 @@ def _either(a: Column, b: Column) -> Column:
     return F.unhex(F.array_join(F.transform(at, lambda i: F.lpad(F.hex(word(x, i).bitwiseOR(word(y, i))), width(i), F.lit("0"))), ""))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents, with their columns, in which no window of an item occurs."""
-    cols = docs.columns
-    flagged = annotate(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.col(options.pop("text", "text")).alias("t")), benchmark, text="t", keep=[F.col(f"c{i}") for i in range(len(cols))], **options)
-    return flagged.filter("found.n_hit = 0").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    got = annotate(plain, benchmark, text=f"c{names.index(text)}", **options)
+    return got.filter("found.n_hit = 0").drop("found").toDF(*names)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

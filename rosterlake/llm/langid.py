@@ -256,6 +256,14 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep=
     return map_texts(docs, text, make, "lang_pred string, lang_score double", keep=keep, limit=12 << 20)
 
 
+def retain(docs: DataFrame, model: LanguageModel, *, min_score: float, text: str = "text") -> DataFrame:
+    """The rows, with their columns, that have a language with a score of min_score or more."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    got = identify(plain, model, text=f"c{names.index(text)}")
+    return got.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score)).drop("lang_pred", "lang_score").toDF(*names)
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(F.col("doc_id"), 4) == 2

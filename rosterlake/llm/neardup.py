@@ -209,6 +209,37 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return found.filter("key IS NOT NULL").select("doc_id", "n_shingles", "key").join(by_key, "key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
+def flagged(column, ids: DataFrame, bits: int = 1 << 23):
+    """A Column: may the value be among the one column of ids? One bit map of fixed size, no join. Never wrong for a no."""
+    at = F.pmod(F.xxhash64(ids.columns[0]), F.lit(bits))
+    words = ids.select((at / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    dense = ids.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left").select(F.struct("w", F.coalesce("m", F.lit(0).cast("long")).alias("m")).alias("s"))
+    flags = stored(dense.agg(F.sort_array(F.collect_list("s")).alias("s")).select(F.col("s.m").alias("flags")), "flags").scalar()
+    here = F.pmod(F.xxhash64(column), F.lit(bits))
+    return F.call_function("shiftrightunsigned", F.get(flags, (here / 64).cast("int")), (here % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with their columns, one for each group of near copies: the row with the group's least id.
+
+    Only rows that may have to go are joined, so the texts of all others are not shuffled. A row without an id cannot
+    be told from others and stays.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, body = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    found = stored(near_duplicates(plain, doc_id=key, text=body, n=n, percent=percent).filter("doc_id IS NOT NULL"), "groups")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    doubtful = stored(gone.unionByName(repeated).distinct(), "doubtful")
+    may = F.col(key).isNotNull() & flagged(F.col(key), doubtful)
+    marked = plain.withColumn("may", may)
+    sure = marked.filter("NOT may").drop("may")
+    rest = marked.filter("may").drop("may").join(gone.withColumnRenamed("doc_id", key), key, "left_anti")
+    unique = rest.withColumn("digest", F.sha2(F.coalesce(body, F.lit("")), 256)).dropDuplicates([key, "digest"]).drop("digest")
+    return sure.unionByName(unique).toDF(*names)
+
+
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"), n=4)
     return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -100,13 +100,14 @@ def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", mark:
     """The documents with base and owned spans replaced by `mark`; overlapping spans are one. Columns stay as given."""
     spots = scan(docs, text=text, owner=owner, keep=[F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("digest")], max_owners=max_owners)
     marked = spots.filter((F.size("base") > 0) | (F.size("added") > 0)).select(F.col("repo"), F.array_sort(F.concat("base", "added")).alias("spans")).dropDuplicates(["repo"])
-    cols = docs.columns
-    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = f"c{names.index(text)}"
+    named = plain.withColumn("body", F.coalesce(F.col(own).cast("string"), F.lit("")))
     suspect = F.lit(False)
     for _, _, _, hint in KINDS.values():
         suspect = suspect | F.col("body").rlike(hint)
     suspect = suspect | F.col("body").rlike(CANDIDATE)
-    k = cols.index(text)
     clean = named.filter(~suspect)
     got = named.filter(suspect).withColumn("repo", F.sha2("body", 256)).join(marked, "repo", "left")
     parts = F.aggregate(
@@ -117,9 +118,8 @@ def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", mark:
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.col("body").substr(acc["at"] + 1, F.length("body"))),
     )
-    got = got.withColumn(f"c{k}", F.when(F.col("spans").isNull(), F.col(f"c{k}")).otherwise(parts))
-    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(cols)]
-    return got.select(*back).unionByName(clean.select(*back)) if len(set(cols)) == len(cols) else got.select(*back).union(clean.select(*back))
+    got = got.withColumn(own, F.when(F.col("spans").isNull(), F.col(own)).otherwise(parts)).select(*plain.columns)
+    return got.unionByName(clean.select(*plain.columns)).toDF(*names)
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
@@ -131,8 +131,6 @@ def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
-pat AS (SELECT * FROM (VALUES (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 6),
-  (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]+', 0, 24), (3, 'owned', '[A-Za-z0-9_-]+', 0, 16)) AS v(kind, name, p, g, least_)),
 a AS (SELECT r, 0 AS kind, 6 AS least_, string_split_regex(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gap, regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) AS m, regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS v FROM d
   UNION ALL SELECT r, 1, 20, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
   UNION ALL SELECT r, 2, 24, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') FROM d
