@@ -62,7 +62,7 @@ def country_of_code(code: Column) -> Column:
 
 def country_of_address(segments: Column) -> Column:
     """From the segments after the name: the code slot before the last, a bare ZIP, else the last known code."""
-    segs = F.transform(segments, F.trim)
+    segs = F.transform(segments, lambda x: F.trim(x))
     full = _not_empty(segs)
     slot = F.when(F.size(segs) >= 2, F.get(segs, F.size(segs) - 2))
     last = F.when(F.size(full) > 0, F.get(full, F.size(full) - 1))
