@@ -7,7 +7,7 @@ the difference of the two log-likelihoods divided by the length; the threshold i
 URLs with the least mean error of the two classes.
 
 Size: counts are exact, by 64-bit hashes of the character tuples, in a distributed aggregation with map-side combining
-(equal URLs are counted first, so a hot URL is one row). Only the model is broadcast: at most `cells` rows of five
+(so a hot URL is a few rows). Only the model is broadcast: at most `cells` rows of five
 numbers, whatever the corpus holds; what falls into one cell is added up. Scoring makes a row for each character,
 looks its cells up in that one broadcast table and sums by row before anything is shuffled.
 
@@ -45,18 +45,22 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def grams(text: Column) -> Column:
-    """For each character and the end: gram[k] and context[k], the hashes of k characters with and without the last."""
-    chars = F.concat(F.array(*[F.lit(PAD)] * ORDER), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit(END)))
-    at = F.sequence(F.lit(ORDER), F.size(chars) - 1)
+def positions(rows: DataFrame, text: str, piece: int = 512) -> DataFrame:
+    """The rows' columns, a row for each character of `text` and its end: gram0.., context0.. and whether it is the end.
 
-    def one(i: Column) -> Column:
-        c = [F.get(chars, i - j) for j in range(ORDER, -1, -1)]
-        gram = [F.xxhash64(F.lit(k), *c[ORDER - k :]) for k in range(ORDER + 1)]
-        context = [F.xxhash64(F.lit(-k), *c[ORDER - k : ORDER]) if k else F.xxhash64(F.lit("")) for k in range(ORDER + 1)]
-        return F.struct(F.array(*gram).alias("gram"), F.array(*context).alias("context"))
-
-    return F.transform(at, one)
+    gram k is the hash of the last k + 1 characters, context k that of the k before the last. Long texts are cut into
+    pieces that overlap by ORDER characters first, so that the work stays linear.
+    """
+    keys = rows.columns
+    padded = F.concat(F.lit(PAD * ORDER), F.col(text), F.lit(END))
+    wide = rows.select(*keys, padded.alias("padded"), F.length(text).alias("len"))
+    cut = wide.select(*keys, "padded", "len", F.explode(F.sequence(F.lit(0), F.col("len"), F.lit(piece))).alias("off"))
+    cut = cut.select(*keys, F.substring("padded", F.col("off") + 1, F.lit(piece + ORDER)).alias("part"), (F.col("len") - F.col("off")).alias("left"))
+    each = cut.select(*keys, "part", "left", F.explode(F.sequence(F.lit(0), F.least(F.col("left"), F.lit(piece - 1)))).alias("i"))
+    at = F.col("i") + ORDER + 1
+    gram = [F.xxhash64(F.substring("part", at - k, F.lit(k + 1))).alias(f"gram{k}") for k in range(ORDER + 1)]
+    context = [F.xxhash64(F.substring("part", at - k, F.lit(k))).alias(f"context{k}") for k in range(ORDER + 1)]
+    return each.select(*keys, (F.col("i") == F.col("left")).alias("end"), *gram, *context)
 
 
 def train(urls: DataFrame, cells: int) -> DataFrame:
@@ -64,9 +68,9 @@ def train(urls: DataFrame, cells: int) -> DataFrame:
 
     urls: (text, verdict). gain is c / (n + t) of a gram, keep is t / (n + t) of a context.
     """
-    whole = urls.groupBy("text", "verdict").agg(F.count(F.lit(1)).alias("w"))
-    each = whole.select("verdict", "w", F.explode(grams(F.col("text"))).alias("g")).select("verdict", "w", F.explode(F.arrays_zip("g.gram", "g.context")).alias("z"))
-    counts = each.groupBy("verdict", F.col("z.gram").alias("gram"), F.col("z.context").alias("context")).agg(F.sum("w").alias("c"))
+    both = [F.struct(F.col(f"gram{k}").alias("gram"), F.col(f"context{k}").alias("context")) for k in range(ORDER + 1)]
+    each = positions(urls.select("verdict", "text"), "text").select("verdict", F.explode(F.array(*both)).alias("z"))
+    counts = stored(each.groupBy("verdict", F.col("z.gram").alias("gram"), F.col("z.context").alias("context")).agg(F.count(F.lit(1)).alias("c")), "url-grams")
     contexts = counts.groupBy("verdict", "context").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("t"))
     gains = counts.join(contexts, ["verdict", "context"]).select("verdict", F.pmod("gram", F.lit(cells)).alias("cell"), (F.col("c") / (F.col("n") + F.col("t"))).alias("gain"))
     keeps = contexts.select("verdict", F.pmod("context", F.lit(cells)).alias("cell"), F.log(F.col("t") / (F.col("n") + F.col("t"))).alias("keep"))
@@ -84,12 +88,11 @@ def scores(rows: DataFrame, text: str, model: DataFrame, cells: int) -> DataFram
     Equal rows meet in one group, whose end marks tell how many they were.
     """
     keys = rows.columns
-    listed = rows.select(*keys, grams(F.col(text)).alias("g")).select(*keys, "g", (F.size("g") - 1).alias("n"))
-    each = listed.select(*keys, "n", F.posexplode("g").alias("at", "x")).select(*keys, (F.col("at") == F.col("n")).alias("end"), "x")
+    each = positions(rows, text)
     for kind in ("gram", "context"):
         for k in range(ORDER + 1):
             part = F.broadcast(model.select(F.col("cell").alias(f"{kind}{k}"), *[F.col(f"{n}_{v}").alias(f"{n}_{v}{k}") for n in [{"gram": "gain", "context": "keep"}[kind]] for v in ("allow", "block")]))
-            each = each.withColumn(f"{kind}{k}", F.pmod(F.col(f"x.{kind}")[k], F.lit(cells))).join(part, f"{kind}{k}", "left")
+            each = each.withColumn(f"{kind}{k}", F.pmod(f"{kind}{k}", F.lit(cells))).join(part, f"{kind}{k}", "left")
 
     def log_p(v: str) -> Column:
         p = F.lit(UNIFORM)
