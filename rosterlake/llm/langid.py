@@ -109,6 +109,8 @@ class LanguageModel:
         segments: list[tuple[int, list[bytes]]] = []
         rng = np.random.default_rng(seed)
         for lang, words in texts:
+            if not words:
+                continue
             counts[index[lang]].update(words)
             at = 0
             while at < len(words):

@@ -46,7 +46,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
 def training_time(share: Column, slope: Column) -> Column:
     """t with t + a t (1 - t) = share, in the form that is steady for slopes near 0."""
     b = 1 + slope
-    return F.least(F.lit(1.0), 2 * share / (b + F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * slope * share))))
+    t = F.try_divide(2 * share, b + F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * slope * share)))
+    return F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0)))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, slopes: tuple[float, ...] = (0.5, -0.5, 0.0), digits: int = 3) -> DataFrame:

@@ -84,7 +84,7 @@ def fast_sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
 
 def band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
     """For each sketch a 64-bit key for each band of `rows` coordinates; keys of different bands differ."""
-    table = sketches.reshape(len(sketches), -1, rows)
+    table = sketches.reshape(len(sketches), sketches.shape[1] // rows, rows)
     key = np.broadcast_to(mixed(np.arange(1, table.shape[1] + 1, dtype=np.uint64) * _C), table.shape[:2])
     for j in range(rows):
         key = mixed(key * _A + table[:, :, j])
