@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,17 +58,18 @@ def native_words(text: Column) -> Column:
     return F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def slices(texts: list[bytes | None], limit: int) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts with about `limit` bytes each; a longer text is a run of its own."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        n = len(x or b"")
-        if size and size + n > limit:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes | None]]]:
+    """Runs of texts with about `limit` bytes each, with their start; a longer text is a run of its own.
+
+    Only one run at a time is turned into Python objects.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, texts.slice(start, end - start).to_pylist()
+        start = end
 
 
 def map_texts(df: DataFrame, text: str, make: Callable, fields: str, *, keep: list[Column] | None = None, limit: int = 8 << 20) -> DataFrame:
@@ -85,9 +88,8 @@ def map_texts(df: DataFrame, text: str, make: Callable, fields: str, *, keep: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, limit):
-                out = [pa.array(x, type=t) for x, t in zip(f(texts[a:b]), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *out], names=names)
+            for at, texts in slices(batch.column(1), limit):
+                out = [pa.array(x, type=t) for x, t in zip(f(texts), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *out], names=names)
 
     return given.mapInArrow(run, schema).select("row.*", *added.names)

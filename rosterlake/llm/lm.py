@@ -54,9 +54,10 @@ def count_tokens(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.binary()), pa.array(list(counts.values()), type=pa.int64())], names=["token", "c"])
 
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                counts.update(words(x))
-                counts[END] += 1
+            for _, texts in slices(batch.column(0), 1 << 20):
+                for x in texts:
+                    counts.update(words(x))
+                counts[END] += len(texts)
                 if len(counts) > most:
                     yield out()
                     counts.clear()
@@ -200,9 +201,8 @@ def train_round(docs: DataFrame, text: str, v: Vocabulary, p: Parameters, seed:
         _, classes = v.lookup()
         trainer, seen = Trainer(own, shares, seed), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 4 << 20):
-                rows = [words(x) for x in texts[a:b]]
+            for _, texts in slices(batch.column(0), 4 << 20):
+                rows = [words(x) for x in texts]
                 sizes = np.array([len(r) + 1 for r in rows])
                 starts = np.cumsum(sizes) - sizes
                 ids = np.zeros(int(sizes.sum()), dtype=np.int64)
@@ -280,13 +280,12 @@ def score_texts(docs: DataFrame, counts: DataFrame, scorer: Scorer, *, keep, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = (TaskContext.get().partitionId() << 36) - 1
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 4 << 20):
-                n, known, base, score, tails = scorer(texts[a:b])
-                ids = np.arange(rid + 1, rid + 1 + b - a)
-                rid += b - a
-                doc = pa.StructArray.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(x) for x in (n, known, base, score)]], names=["row", "n", "known", "base", "score"])
-                yield pa.RecordBatch.from_arrays([pa.array([b" %d" % i for i in ids], type=pa.binary()), pa.array(ids), pa.array(np.zeros(b - a, dtype=np.int64)), doc], names=["token", "rid", "k", "doc"])
+            for at, texts in slices(batch.column(1), 4 << 20):
+                n, known, base, score, tails = scorer(texts)
+                ids = np.arange(rid + 1, rid + 1 + len(texts))
+                rid += len(texts)
+                doc = pa.StructArray.from_arrays([batch.column(0).slice(at, len(texts)), *[pa.array(x) for x in (n, known, base, score)]], names=["row", "n", "known", "base", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([b" %d" % i for i in ids], type=pa.binary()), pa.array(ids), pa.array(np.zeros(len(texts), dtype=np.int64)), doc], names=["token", "rid", "k", "doc"])
                 tokens = [w for t in tails for w in t]
                 if tokens:
                     owner = np.repeat(ids, [len(t) for t in tails])

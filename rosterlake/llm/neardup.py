@@ -177,9 +177,9 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, hashes, sent = np.unpackbits(packed).astype(bool), WordHashes(), set()
         for batch in batches:
-            texts = batch.column(1).filter(pa.array(flags[batch.column(0).to_numpy()])).to_pylist()
-            for a, b in slices(texts, 4 << 20):
-                sets = {k: s for s in shingle_sets(texts[a:b], n, hashes) if len(s) and (k := _digest(s)) not in sent}
+            wanted_texts = batch.column(1).filter(pa.array(flags[batch.column(0).to_numpy()]))
+            for _, texts in slices(wanted_texts, 4 << 20):
+                sets = {k: s for s in shingle_sets(texts, n, hashes) if len(s) and (k := _digest(s)) not in sent}
                 sent = (sent if len(sent) < 500_000 else set()) | set(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), type=pa.binary()), pa.array([s.tobytes() for s in sets.values()], type=pa.binary())], names=["key", "elements"])
 
