@@ -79,7 +79,7 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, *, c
 class QualityModel:
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, *, cost: float = 4.0, rounds: int = 12):
         self.flat = float(labels.mean()) if len(labels) else 0.5
-        self.trained = 0 < self.flat < 1
+        self.trained = len(labels) > 0 and 0 < self.flat < 1
         if not self.trained:
             return
         kept_out = np.arange(len(rows)) % 5 == 4
