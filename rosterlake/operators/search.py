@@ -60,6 +60,8 @@ def ranked(groups: DataFrame, *, page: int = 40, pages: int = 1) -> DataFrame:
 def search(idx: DataFrame, query: str, *, lists: DataFrame | None = None, list_id: str | None = None, agency: str = "all") -> DataFrame | None:
     """Groups that match; None if the normalized query is shorter than 2 and no list is chosen, whose rows are browsed then."""
     plain = idx.sparkSession.range(1).select(norm(F.lit(query))).first()[0]
+    if list_id is not None and lists is not None and lists.filter(F.col("id") == list_id).isEmpty():
+        list_id = None  # a list nobody knows is no filter
     rows = idx
     if list_id is not None:
         rows = rows.filter(F.col("l") == list_id)
@@ -85,6 +87,24 @@ def screen(idx: DataFrame, queries: DataFrame, *, block: int = 200) -> DataFrame
     return out
 
 
+def summary(groups: DataFrame | None, shown: int = 40) -> str:
+    """What a page says above its results."""
+    if groups is None:
+        return "Type at least 2 characters."
+    n = groups.count()
+    if not n:
+        return "No matches."
+    return f"{n:,} {'match' if n == 1 else 'matches'}" + (f", {n - shown:,} more" if n > shown else "")
+
+
+#: Badge of each agency. Fixed values.
+BADGES = {"DoW": "dow", "Commerce/BIS": "bis", "Treasury/OFAC": "ofac", "State/DDTC": "state", "State/ISN": "state", "FCC": "fcc", "DHS": "dhs", "CBP": "cbp"}
+
+
+def badge(agency_short: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BADGES.items() for x in kv]), agency_short), F.lit(""))
+
+
 def counts_by_list(idx: DataFrame) -> DataFrame:
     return idx.groupBy("l").agg(F.count(F.lit(1)).alias("n_records"))
 

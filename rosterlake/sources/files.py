@@ -67,6 +67,11 @@ def read_lines(spark: SparkSession, path: str, *, until: str | None = None) -> D
     return whole.select("path", F.posexplode(F.split("value", "\n", -1)).alias("ord", "line")).withColumn("line", F.regexp_replace("line", "\r$", ""))
 
 
+def pages_between(lines: DataFrame, start: int, end: int) -> DataFrame:
+    """The lines or fragments of pages start to end, in order, to be looked at."""
+    return lines.filter(F.col("page").between(start, end)).orderBy("path", "page", *[c for c in ("ord",) if c in lines.columns])
+
+
 def read_documents(spark: SparkSession, *paths: str) -> tuple[DataFrame, list[str]]:
     """Entity rows of list documents, with list_id and ord (file order, then place), and the paths that are missing."""
     there, missing = [], []

@@ -32,3 +32,14 @@ def document_text(entities: DataFrame, list_id: str, source_file: str, extracted
     rows = [{f: r[f] for f in FIELDS} for r in entities.filter(F.col("list_id") == list_id).orderBy("ord").select(*FIELDS).toLocalIterator()]
     doc = {"list_id": list_id, "source_file": source_file, "extracted": extracted, "count": len(rows), "entities": rows}
     return json.dumps(doc, ensure_ascii=False, indent=1) + "\n" * newline
+
+
+def bundle_text(idx: DataFrame, meta: DataFrame, variable: str = "window.DATA") -> str:
+    """The whole (small) index as one minified assignment, empty fields left out, records in list and file order."""
+    head = meta.select(F.to_json(F.struct("generated", "dcl_url", F.map_from_entries(F.transform("lists", lambda x: F.struct(x["id"].alias("k"), x.alias("v")))).alias("lists")))).first()[0]
+    counts: dict[str, int] = {}
+    records = []
+    for r in idx.orderBy("ord").select("l", F.to_json(F.struct("n", "l", "a", "c", "ad", "s", "d", "fr", "no", "k")).alias("j")).toLocalIterator():
+        counts[r["l"]] = counts.get(r["l"], 0) + 1
+        records.append(r["j"])
+    return f"{variable}={head[:-1]},\"counts\":{json.dumps(counts, separators=(',', ':'))},\"entities\":[{','.join(records)}]}};"

@@ -1,5 +1,6 @@
 """Cleaning, dates, names, search and ordered operators: examples, properties and plain-Python twins."""
 
+import json
 import re
 import unicodedata
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import company, dates, names, parens, text
 from rosterlake.operators import checks, merge, ordered, search
+from rosterlake.sources import sinks
 
 
 def one(spark, column):
@@ -115,6 +117,12 @@ def test_groups_browse_and_short_queries(spark, idx):
     assert [(r["name"], r["n_recs"], r["countries"]) for r in top] == [("Álamo Co", 2, ["China", "Iran"]), ("Beta Alamo Group", 1, [])]
     lists = spark.createDataFrame([("a", "State/DDTC"), ("b", "FCC")], "id string, agency_short string")
     assert search.search(idx, "alamo", lists=lists, agency="State").count() == 1
+    assert search.search(idx, "é", list_id="zz", lists=lists) is None
+    assert search.summary(None).startswith("Type") and search.summary(search.search(idx, "zzz")) == "No matches." and search.summary(search.search(idx, "alamo"), shown=1) == "2 matches, 1 more"
+    assert {r[0] for r in lists.select(search.badge(F.col("agency_short"))).collect()} == {"state", "fcc"}
+    meta = spark.createDataFrame([("2026", "u", [("a", "A"), ("b", "B")])], "generated string, dcl_url string, lists array<struct<id:string,short_name:string>>")
+    bundle = json.loads(sinks.bundle_text(idx, meta).removeprefix("window.DATA=").rstrip(";"))
+    assert bundle["counts"] == {"a": 2, "b": 2} and bundle["lists"]["b"]["short_name"] == "B" and bundle["entities"][3] == {"n": "中国", "l": "b", "k": ""}
     asked = spark.createDataFrame([(1, "alamo co"), (2, "x"), (3, "beta")], "qid long, q string")
     assert {(r["qid"], r["ord"], r["score"]) for r in search.screen(idx, asked, block=1).collect()} == {(1, 1, 100), (1, 2, 100), (3, 3, 85)}
 
@@ -146,8 +154,6 @@ def test_checks(spark, idx):
 
 
 def test_stream_replaces_lists(spark, tmp_path):
-    import json
-
     from rosterlake.streaming.refresh import refresh
 
     src, store, ck = (str(tmp_path / x) for x in ("in", "store", "ck"))
