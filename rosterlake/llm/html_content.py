@@ -259,3 +259,11 @@ def op2_main_text(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     got = extract(pages, fit(pages), keep=[F.col("page_id"), F.col("url")])
     return got.select("page_id", "url", F.col("main_text").alias("text"), "n_chars")
+
+
+#: What the model must find on pages that name their article and hold nothing else in it.
+OP2_SQL = r"""
+WITH b AS (SELECT page_id, url, string_split_regex(coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), ''), '</?(?:p|h1)>') AS parts FROM pages),
+c AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM b)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10)), '') AS text, CAST(length(coalesce(array_to_string(blocks, chr(10)), '')) AS BIGINT) AS n_chars FROM c
+"""

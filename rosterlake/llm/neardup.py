@@ -243,3 +243,16 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"), n=4)
     return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+#: All pairs by their common shingles, then the transitive closure of links.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+x AS (SELECT a.r AS p, b.r AS q, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT p, q FROM x JOIN n na ON na.r = p JOIN n nb ON nb.r = q WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+reach AS (SELECT r AS p, r AS q FROM d UNION SELECT reach.p, e.q FROM reach JOIN e ON reach.q = e.p),
+c AS (SELECT p, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.q GROUP BY p)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN c ON c.p = d.r LEFT JOIN n ON n.r = d.r
+"""

@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_main_text": html_content.OP2_SQL,
     "op3_mix_sources": mixing.OP3_SQL,
+    "op5_near_duplicates": neardup.OP5_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
     "op10_decontaminate": decontam.OP10_SQL,
 }

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -452,3 +453,14 @@ def test_decontamination_of_odd_rows(spark, odd, none):
 
 def test_null_ids_have_a_remainder(spark):
     assert spark.range(1).select(remainder(F.lit(None), 7).alias("x")).first()["x"] == 0
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    wanted = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SF).select(*wanted.columns)
+    near = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+    assert near(got.collect()) == near(wanted.fetchall())
