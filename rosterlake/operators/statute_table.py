@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions.text import collapse_ws
 from rosterlake.operators import ordered
+from rosterlake.session import ship
 
 FIELDS = ["statute", "entity", "location", "date", "status", "fr"]
 #: Header words in column order; the first column's place is the line's own. Fixed values.
@@ -69,6 +70,7 @@ def _cells(chars: Column, cols: Column) -> Column:
 
 def table_rows(lines: DataFrame) -> DataFrame:
     """(path, ord, page, statute, entity, location, date, status, fr): one row for each row of the table."""
+    ship(lines.sparkSession)
     order = ["page", F.desc("y0"), "x0"]
     marked = lines.groupBy("path", "page").applyInPandas(_mark_headers, _LINES)
     df = marked.join(lines.select("path", "page", "y0", "x0", "text", "chars"), ["path", "page", "y0", "x0", "text"])

@@ -14,10 +14,12 @@ from rosterlake.functions.company import parse_entry, smart_title
 from rosterlake.functions.parens import heading_parts, live_name
 from rosterlake.operators import merge, ordered
 from rosterlake.schema import entity
+from rosterlake.session import ship
 from rosterlake.sources.files import column
 
 
 def _listed(df: DataFrame, list_id: str, **given: Column) -> DataFrame:
+    ship(df.sparkSession)
     return df.select(F.lit(list_id).alias("list_id"), "ord", *entity(**given))
 
 

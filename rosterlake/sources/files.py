@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions.text import LINE_ENDS, strip_tags
 from rosterlake.operators.checks import SourceError, require_tables
 from rosterlake.schema import DOCUMENT, META
+from rosterlake.session import ship
 
 #: Bytes 0x80 to 0x9f in windows-1252; those it leaves out have no entry. Fixed values.
 _C1 = {
@@ -100,6 +101,7 @@ def lists_of(meta: DataFrame) -> DataFrame:
 
 
 def _pages(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
