@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from rosterlake.session import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: White space that parts words: blank and the control characters tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
+_local_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,19 +31,30 @@ def remainder(doc_id: Column, mod: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh local one only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a fresh local one, for a session in one process only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = given.get() if given.isDefined() else tempfile.mkdtemp(prefix="spark-shared-")
-        if not given.isDefined():
-            spark.sparkContext.setCheckpointDir(where)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        where = _local_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-shared-")
+        _local_dirs[spark.sparkContext.applicationId] = where
     return where.rstrip("/")
 
 
+def prepare(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Sends the package to the executors, and bounds this session's Arrow batches, so that a task's memory follows neither
+    rows nor the length of texts; a smaller setting stays."""
+    ship(spark)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it again: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
+    prepare(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -72,12 +85,13 @@ def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, list[bytes | None
         start = end
 
 
-def map_texts(df: DataFrame, text: str, make: Callable, fields: str, *, keep: list[Column] | None = None, limit: int = 8 << 20) -> DataFrame:
+def map_texts(df: DataFrame, text: str, make: Callable, fields: str, *, keep: list[Column] | None = None, limit: int = 4 << 20) -> DataFrame:
     """`keep` (default: every column of df) plus the columns `fields` that `make()(texts)` gives.
 
     make is called once in each task and returns f: list of UTF-8 texts (bytes or None) -> one list or array for
     each field. f gets about `limit` bytes at a time, so memory does not follow the partition's size. No shuffle.
     """
+    prepare(df.sparkSession)
     keep = [df[c] for c in df.columns] if keep is None else keep
     given = df.select(F.struct(*keep).alias("row"), F.col(text).cast("binary").alias("text"))
     added = T.StructType.fromDDL(fields)

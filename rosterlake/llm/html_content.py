@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, prepare, table
 
 CELLS = 4096
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
@@ -220,6 +220,7 @@ class TreeModel:
 
 def fit(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", sample: int = 3000) -> TreeModel:
     """Potentials from about `sample` labelled pages, drawn by the hash of page_id and html."""
+    prepare(pages.sparkSession)
     named = pages.filter(F.col(html).rlike("(?i)<(?:article|main)[ >]"))
     total = named.count()
     drawn = named if total <= sample else named.filter(F.pmod(F.xxhash64(page_id, html), F.lit(1 << 30)) < int((1 << 30) * sample / total))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, remainder, table
+from .common import map_texts, prepare, remainder, table
 
 CELLS = 1 << 17
 WIDTH = 26  # bytes of a word with its two boundary marks; longer words keep both ends
@@ -64,10 +64,11 @@ class Features:
         self.valid = np.concatenate(valid, axis=1)
 
 
-def chain_marginals(emissions: np.ndarray, starts: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chain_marginals(emissions: np.ndarray, starts: np.ndarray, sizes: np.ndarray, transition: np.ndarray, *, want_behind: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Forward-backward over packed sequences: rows starts[i] .. starts[i] + sizes[i] of emissions are sequence i.
 
-    Returns the marginals, and what comes to each word from behind (its backward message times its own evidence). All sequences advance together, those that have ended drop out; every message is scaled to sum 1.
+    Returns the marginals and, if wanted, what comes to each word from behind (its backward message times its own
+    evidence). All sequences advance together, those that have ended drop out; every message is scaled to sum 1.
     """
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
@@ -84,7 +85,7 @@ def chain_marginals(emissions: np.ndarray, starts: np.ndarray, sizes: np.ndarray
         state /= state.sum(1, keepdims=True)
         forward[at] = state
     back = np.ones((0, p.shape[1]), dtype=np.float32)
-    out, behind = forward, np.empty_like(p)
+    out, behind = forward, np.empty_like(p) if want_behind else None
     for i in range(longest - 1, -1, -1):
         k = int(active[i])
         at = starts[:k] + i
@@ -92,7 +93,9 @@ def chain_marginals(emissions: np.ndarray, starts: np.ndarray, sizes: np.ndarray
             back = np.concatenate([back, np.ones((k - len(back), p.shape[1]), dtype=np.float32)])
         both = out[at] * back
         out[at] = both / both.sum(1, keepdims=True)
-        behind[at] = back = back * p[at]
+        back = back * p[at]
+        if behind is not None:
+            behind[at] = back
         back = back @ t.T
         back /= back.sum(1, keepdims=True)
     return out, behind
@@ -152,7 +155,7 @@ class LanguageModel:
                 e = self.emissions(unique, f)[back]
                 starts = np.arange(0, len(part), length)
                 sizes = np.minimum(length, len(part) - starts)
-                m, behind = chain_marginals(e, starts, sizes, self.transition)
+                m, behind = chain_marginals(e, starts, sizes, self.transition, want_behind=True)
                 gradient = -m
                 gradient[np.arange(len(part)), y] += 1
                 by_word = np.stack([np.bincount(back, weights=gradient[:, k], minlength=len(unique)) for k in range(n)], 1)
@@ -190,12 +193,12 @@ class LanguageModel:
         if not self.langs:
             return out
         split = [letter_words(x) for x in texts]
-        if len(memory) > 400_000:
+        if len(memory) > 250_000:
             memory.clear()
             rows[0] = rows[0][:0]
         fresh = list({w for ws in split for w in ws}.difference(memory))
-        for a in range(0, len(fresh), 16_384):
-            part = fresh[a : a + 16_384]
+        for a in range(0, len(fresh), 8_192):
+            part = fresh[a : a + 8_192]
             base = len(memory)
             memory.update(zip(part, range(base, base + len(part)), strict=True))
             rows[0] = np.concatenate([rows[0], self.emissions(part)])
@@ -224,6 +227,7 @@ def spread(words: list[bytes], pieces: int = 40, size: int = 16) -> list[bytes]:
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = 400) -> LanguageModel:
     """Fits on rows (text, lang), about `sample` of each language."""
+    prepare(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     totals = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
     draw = F.lit(False)
@@ -255,7 +259,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep=
 
         return f
 
-    return map_texts(docs, text, make, "lang_pred string, lang_score double", keep=keep, limit=12 << 20)
+    return map_texts(docs, text, make, "lang_pred string, lang_score double", keep=keep, limit=3 << 20)
 
 
 def retain(docs: DataFrame, model: LanguageModel, *, min_score: float, text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir, table
+from .common import prepare, shared_dir, table
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -97,6 +97,7 @@ def _key(doc_id) -> int:
 
 def write_archives(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", archive_bytes: int = 256 << 20) -> str:
     """Stores every text as a PNG member; returns the path of the committed manifest (archive, bytes, members)."""
+    prepare(docs.sparkSession)
     root = f"{folder}/media-{uuid.uuid4().hex}"
     given = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
 

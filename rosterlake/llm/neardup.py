@@ -62,7 +62,7 @@ def sketched(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
 
         return f
 
-    return map_texts(docs, text, make, "n_shingles long, key binary, bands binary", keep=[F.col(doc_id).alias("doc_id")], limit=4 << 20)
+    return map_texts(docs, text, make, "n_shingles long, key binary, bands binary", keep=[F.col(doc_id).alias("doc_id")], limit=2 << 20)
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: np.ndarra
         flags, hashes, sent = np.unpackbits(packed).astype(bool), WordHashes(), set()
         for batch in batches:
             wanted_texts = batch.column(1).filter(pa.array(flags[batch.column(0).to_numpy()]))
-            for _, texts in slices(wanted_texts, 4 << 20):
+            for _, texts in slices(wanted_texts, 2 << 20):
                 sets = {k: s for s in shingle_sets(texts, n, hashes) if len(s) and (k := _digest(s)) not in sent}
                 sent = (sent if len(sent) < 500_000 else set()) | set(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), type=pa.binary()), pa.array([s.tobytes() for s in sets.values()], type=pa.binary())], names=["key", "elements"])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, remainder, table
+from .common import map_texts, prepare, remainder, table
 
 CELLS = 1 << 16
 
@@ -116,6 +116,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, flo
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 6000) -> QualityModel:
     """Fits on about `sample` of the labelled rows (doc_id, label) at most."""
+    prepare(docs.sparkSession)
     good = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     total = good.count()
     drawn = good if total <= sample else good.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
