@@ -5,8 +5,7 @@ own, all others fall into `buckets` classes by a hash of their ending, the end o
 p(class | two classes before); a word of a bucket gets (c + 1) / (sum of c + 1 in the bucket, + 1) of it, where c is its
 count, so the log-probabilities are normalised over an open vocabulary.
 
-Model: score(w | u, v) = (r_u * c1 + r_v * c2) . q_w + b_w. It is trained in numpy, by shared noise samples for each
-minibatch, so all gradients are matrix products. Every task trains on all its texts and sends its parameters as rows;
+Model: score(w | u, v) = (r_u * c1 + r_v * c2) . q_w + b_w. It is trained in numpy, by noise samples that a few tokens share, so all gradients are matrix products. Every task trains on all its texts and sends its parameters as rows;
 Spark averages them by tokens. `rounds` passes see a share of the training texts each, all together see every text once;
 each starts from the average of the one before. What is gathered grows with the corpus, what reaches the driver
 does not: the parameters, and at most `head` commonest tokens (chosen by a threshold from a binned histogram).
@@ -33,10 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices, stored, table, words
+from .common import prepare, remainder, slices, stored, table, words
 
 END = b"\n"  # no word holds white space
-DIM, BATCH, NOISE = 16, 4096, 32
+DIM, BATCH, GROUP, NOISE = 16, 4096, 64, 32
 _built: dict[str, tuple] = {}  # what a Python worker keeps from task to task, for one model
 
 
@@ -63,6 +62,7 @@ def count_tokens(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
                     counts.clear()
         yield out()
 
+    prepare(docs.sparkSession)
     return docs.select(F.col(text).cast("binary")).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
@@ -166,25 +166,33 @@ class Trainer:
         self.squares = {k: np.full(getattr(p, k).shape, 1e-3, dtype=np.float32) for k in p.NAMES}
 
     def step(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> None:
+        """One step over a minibatch; every GROUP tokens share NOISE samples, so each group is two small matrix products."""
         p, n = self.p, len(self.log_noise)
-        noise = np.minimum(np.searchsorted(self.edges, self.rng.random(NOISE) * self.edges[-1]), n - 1)
+        real = len(w)
+        pad = -real % GROUP
+        one, two, w = (np.concatenate([x, np.zeros(pad, dtype=x.dtype)]) for x in (one, two, w))
+        groups = len(w) // GROUP
+        noise = np.minimum(np.searchsorted(self.edges, self.rng.random((groups, NOISE)) * self.edges[-1]), n - 1)
         r1, r2, qw, qn = p.r[one], p.r[two], p.q[w], p.q[noise]
         h = r1 * p.c1 + r2 * p.c2
         data = np.einsum("bd,bd->b", h, qw) + p.b[w] - self.log_noise[w]
-        away = h @ qn.T + (p.b[noise] - self.log_noise[noise])
+        away = h.reshape(groups, GROUP, DIM) @ qn.transpose(0, 2, 1) + (p.b[noise] - self.log_noise[noise])[:, None, :]
         g0 = 1 / (1 + np.exp(np.clip(data, -30, 30)))  # 1 - sigmoid
         gk = -1 / (1 + np.exp(np.clip(-away, -30, 30)))
-        dh = g0[:, None] * qw + gk @ qn
+        if pad:
+            g0[real:] = 0
+            gk.reshape(-1, NOISE)[real:] = 0
+        dh = g0[:, None] * qw + (gk @ qn).reshape(-1, DIM)
         d1, d2 = dh * p.c1, dh * p.c2
+        dn = gk.transpose(0, 2, 1) @ h.reshape(groups, GROUP, DIM)
         at = np.arange(DIM)
         rows = lambda i: (i[:, None] * DIM + at).ravel()
-        dq = np.bincount(rows(w), weights=(g0[:, None] * h).ravel(), minlength=n * DIM).reshape(n, DIM)
-        np.add.at(dq, noise, gk.T @ h)
-        dr = np.bincount(rows(np.concatenate([one, two])), weights=np.concatenate([d1, d2]).ravel(), minlength=n * DIM).reshape(n, DIM)
-        db = np.bincount(w, weights=g0, minlength=n)
-        np.add.at(db, noise, gk.sum(0))
+        added = lambda i, x: np.bincount(rows(i), weights=x.ravel(), minlength=n * DIM).reshape(n, DIM)
+        dq = added(np.concatenate([w, noise.ravel()]), np.concatenate([g0[:, None] * h, dn.reshape(-1, DIM)]))
+        dr = added(np.concatenate([one, two]), np.concatenate([d1, d2]))
+        db = np.bincount(w, weights=g0, minlength=n) + np.bincount(noise.ravel(), weights=gk.sum(1).ravel(), minlength=n)
         for k, g in (("r", dr), ("q", dq), ("b", db), ("c1", (dh * r1).sum(0)), ("c2", (dh * r2).sum(0))):
-            g = (g / math.sqrt(len(w))).astype(np.float32)
+            g = (g / math.sqrt(real)).astype(np.float32)
             s = self.squares[k]
             s += g * g
             getattr(p, k)[...] += self.rate * g / np.sqrt(s)
@@ -201,7 +209,7 @@ def train_round(docs: DataFrame, text: str, v: Vocabulary, p: Parameters, seed:
         _, classes = v.lookup()
         trainer, seen = Trainer(own, shares, seed), 0
         for batch in batches:
-            for _, texts in slices(batch.column(0), 4 << 20):
+            for _, texts in slices(batch.column(0), 2 << 20):
                 rows = [words(x) for x in texts]
                 sizes = np.array([len(r) + 1 for r in rows])
                 starts = np.cumsum(sizes) - sizes
@@ -280,7 +288,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, scorer: Scorer, *, keep, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = (TaskContext.get().partitionId() << 36) - 1
         for batch in batches:
-            for at, texts in slices(batch.column(1), 4 << 20):
+            for at, texts in slices(batch.column(1), 2 << 20):
                 n, known, base, score, tails = scorer(texts)
                 ids = np.arange(rid + 1, rid + 1 + len(texts))
                 rid += len(texts)
