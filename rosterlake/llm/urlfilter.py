@@ -6,10 +6,11 @@ character after contexts of length 0 to ORDER is interpolated with the share of
 the difference of the two log-likelihoods divided by the length; the threshold is the one that splits the training
 URLs with the least mean error of the two classes.
 
-Size: counts are exact, by 64-bit hashes of the character tuples, in a distributed aggregation with map-side combining
-(so a hot URL is a few rows). Only the model is broadcast: at most `cells` rows of five
-numbers, whatever the corpus holds; what falls into one cell is added up. Scoring makes a row for each character,
-looks its cells up in that one broadcast table and sums by row before anything is shuffled.
+Size: nothing is folded, cut or hashed. The last ORDER + 1 characters up to a character (its window) fix all its grams and
+contexts, so windows are counted exactly, in a distributed aggregation with map-side combining (a hot URL is a few
+rows), and the counts of all orders and the log ratio of each window follow from that one table. Rows then look their
+windows up by equi-join. Only windows that hold at least 1 / `cells` of all characters are broadcast, so at most `cells`
+of them, and what is left for the shuffle has no hot key; results are the same for any `cells`.
 
 Defined cases: a null url or one without :// has empty host, path and text, score 0; a class without URLs has a flat
 model; without a threshold (no URL that a rule fits) it is 0; longest rule wins; repeated rows are judged each.
@@ -46,62 +47,60 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def positions(rows: DataFrame, text: str, piece: int = 512) -> DataFrame:
-    """The rows' columns, a row for each character of `text` and its end: gram0.., context0.. and whether it is the end.
+    """The other columns of `rows`, a row for each character of `text` and its end, with the window that ends there.
 
-    gram k is the hash of the last k + 1 characters, context k that of the k before the last. Long texts are cut into
-    pieces that overlap by ORDER characters first, so that the work stays linear.
+    Long texts are cut into pieces that overlap by ORDER characters first, so that the work stays linear.
     """
-    keys = rows.columns
+    keys = [c for c in rows.columns if c != text]
     padded = F.concat(F.lit(PAD * ORDER), F.col(text), F.lit(END))
     wide = rows.select(*keys, padded.alias("padded"), F.length(text).alias("len"))
     cut = wide.select(*keys, "padded", "len", F.explode(F.sequence(F.lit(0), F.col("len"), F.lit(piece))).alias("off"))
     cut = cut.select(*keys, F.substring("padded", F.col("off") + 1, F.lit(piece + ORDER)).alias("part"), (F.col("len") - F.col("off")).alias("left"))
-    each = cut.select(*keys, "part", "left", F.explode(F.sequence(F.lit(0), F.least(F.col("left"), F.lit(piece - 1)))).alias("i"))
-    at = F.col("i") + ORDER + 1
-    gram = [F.xxhash64(F.substring("part", at - k, F.lit(k + 1))).alias(f"gram{k}") for k in range(ORDER + 1)]
-    context = [F.xxhash64(F.substring("part", at - k, F.lit(k))).alias(f"context{k}") for k in range(ORDER + 1)]
-    return each.select(*keys, (F.col("i") == F.col("left")).alias("end"), *gram, *context)
+    each = cut.select(*keys, "part", F.explode(F.sequence(F.lit(0), F.least(F.col("left"), F.lit(piece - 1)))).alias("i"))
+    return each.select(*keys, F.substring("part", F.col("i") + 1, F.lit(ORDER + 1)).alias("gram"))
 
 
-def train(urls: DataFrame, cells: int) -> DataFrame:
-    """(cell, gain_allow, gain_block, keep_allow, keep_block): at most `cells` rows.
+def ratios(windows: DataFrame) -> DataFrame:
+    """(gram, ratio): log p(block model) - log p(allow model) of each window's last character, from its counts allow, block.
 
-    urls: (text, verdict). gain is c / (n + t) of a gram, keep is t / (n + t) of a context.
+    From the shortest grams up: gain is c / (n + t) of a gram, keep is t / (n + t) of its context. A context has no more
+    rows than there are characters, and so has the end of a gram that the next shorter one is joined by.
     """
-    both = [F.struct(F.col(f"gram{k}").alias("gram"), F.col(f"context{k}").alias("context")) for k in range(ORDER + 1)]
-    each = positions(urls.select("verdict", "text"), "text").select("verdict", F.explode(F.array(*both)).alias("z"))
-    counts = stored(each.groupBy("verdict", F.col("z.gram").alias("gram"), F.col("z.context").alias("context")).agg(F.count(F.lit(1)).alias("c")), "url-grams")
-    contexts = counts.groupBy("verdict", "context").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("t"))
-    gains = counts.join(contexts, ["verdict", "context"]).select("verdict", F.pmod("gram", F.lit(cells)).alias("cell"), (F.col("c") / (F.col("n") + F.col("t"))).alias("gain"))
-    keeps = contexts.select("verdict", F.pmod("context", F.lit(cells)).alias("cell"), F.log(F.col("t") / (F.col("n") + F.col("t"))).alias("keep"))
-    parts = gains.select("cell", "verdict", "gain", F.lit(None).cast("double").alias("keep")).unionByName(keeps.select("cell", "verdict", F.lit(None).cast("double").alias("gain"), "keep"))
-    by = lambda v, c: F.when(F.col("verdict") == v, F.col(c))
-    # a cell's sum is rounded, so that its last digits do not hang on the order of the rows
-    total = lambda v, c: F.round(F.coalesce(F.sum(by(v, c)), F.lit(0.0)), 12)
-    gain = [F.least(F.lit(1.0), total(v, "gain")).alias(f"gain_{v}") for v in ("allow", "block")]
-    return parts.groupBy("cell").agg(*gain, *[F.exp(total(v, "keep")).alias(f"keep_{v}") for v in ("allow", "block")])
-
-
-def scores(rows: DataFrame, text: str, model: DataFrame, cells: int) -> DataFrame:
-    """Every row of `rows` with its score: the mean over the characters of log p(block model) - log p(allow model).
-
-    Equal rows meet in one group, whose end marks tell how many they were.
+    by_order = [windows.select("gram", "allow", "block")]
+    for _ in range(ORDER):
+        by_order.insert(0, by_order[0].groupBy(F.substring("gram", 2, ORDER).alias("gram")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
+    lower = None
+    for k, grams in enumerate(by_order):
+        same = Window.partitionBy(F.substring("gram", 1, k))
+        parts = []
+        for v in ("allow", "block"):
+            n, t = F.sum(v).over(same), F.count_if(F.col(v) > 0).over(same)
+            parts += [F.coalesce(F.try_divide(F.col(v), n + t), F.lit(0.0)).alias(f"gain_{v}"), F.coalesce(F.try_divide(t, n + t), F.lit(1.0)).alias(f"keep_{v}")]
+        each = grams.select("gram", *parts)
+        if lower is None:
+            each = each.withColumns({f"p_{v}": F.lit(UNIFORM) for v in ("allow", "block")})
+        else:
+            each = each.withColumn("end", F.substring("gram", 2, k)).join(lower.withColumnRenamed("gram", "end"), "end")
+        lower = each.select("gram", *[(F.col(f"gain_{v}") + F.col(f"keep_{v}") * F.col(f"p_{v}")).alias(f"p_{v}") for v in ("allow", "block")])
+    return lower.select("gram", (F.log("p_block") - F.log("p_allow")).alias("ratio"))
+
+
+def scores(rows: DataFrame, cells: int) -> DataFrame:
+    """(id, score) of every row (id, text, verdict), ids being unique; rows with a verdict are the training set.
+
+    The score is the mean over the characters of log p(block model) - log p(allow model). Ratios are summed as decimals,
+    so that no digit hangs on the order of the rows or on what is broadcast.
     """
-    keys = rows.columns
-    each = positions(rows, text)
-    for kind in ("gram", "context"):
-        for k in range(ORDER + 1):
-            part = F.broadcast(model.select(F.col("cell").alias(f"{kind}{k}"), *[F.col(f"{n}_{v}").alias(f"{n}_{v}{k}") for n in [{"gram": "gain", "context": "keep"}[kind]] for v in ("allow", "block")]))
-            each = each.withColumn(f"{kind}{k}", F.pmod(f"{kind}{k}", F.lit(cells))).join(part, f"{kind}{k}", "left")
-
-    def log_p(v: str) -> Column:
-        p = F.lit(UNIFORM)
-        for k in range(ORDER + 1):
-            p = F.coalesce(f"gain_{v}{k}", F.lit(0.0)) + F.coalesce(f"keep_{v}{k}", F.lit(1.0)) * p
-        return F.log(p)
-
-    summed = each.groupBy(*keys).agg(F.round(F.sum(log_p("block") - log_p("allow")) / F.count(F.lit(1)), 9).alias("score"), F.count_if("end").alias("copies"))
-    return summed.select(*keys, F.when(F.length(text) > 0, F.col("score")).otherwise(F.lit(0.0)).alias("score"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    of = lambda v: F.count_if(F.col("verdict") == v).alias(v)
+    windows = stored(positions(rows.select("verdict", "text"), "text").groupBy("gram").agg(of("allow"), of("block"), F.count(F.lit(1)).alias("n")), "url-grams")
+    values = windows.select("gram", "n").join(ratios(windows), "gram").select("gram", "n", F.col("ratio").cast("decimal(18,12)").alias("ratio"))
+    values = stored(values, "url-ratios")
+    often = F.col("n") >= windows.agg((F.sum("n") / cells).alias("least")).scalar()
+    near = positions(rows.select("id", "text"), "text").join(F.broadcast(values.filter(often).select("gram", "ratio")), "gram", "left")
+    near = stored(near.groupBy("id", F.when(F.col("ratio").isNull(), F.col("gram")).alias("gram")).agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n")), "url-parts")
+    far = near.filter("gram IS NOT NULL").select("id", "gram", "n").join(values.filter(~often).select("gram", "ratio"), "gram")
+    parts = near.filter("gram IS NULL").select("id", "total", "n").unionByName(far.select("id", (F.col("ratio") * F.col("n")).cast("decimal(28,12)").alias("total"), "n"))
+    return parts.groupBy("id").agg(F.round(F.sum("total").cast("double") / F.sum("n"), 9).alias("score"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -119,11 +118,11 @@ def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules
     """page_id, host, path, rule, verdict and score of every row; the rules' own URLs are the training set."""
     u = F.col(url).cast("string")
     plain = pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"))
-    plain = plain.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).withColumn("text", F.concat("host", "path"))
-    known = plain.filter("fit IS NOT NULL").select("text", F.col("fit.verdict").alias("verdict"))
-    model = stored(train(known, cells), "url-model")
-    cut = stored(threshold(scores(known, "text", model, cells)), "url-threshold")
-    got = scores(plain, "text", model, cells)
+    plain = stored(plain.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).withColumn("id", F.monotonically_increasing_id()), "urls")
+    found = stored(scores(plain.select("id", F.concat("host", "path").alias("text"), F.col("fit.verdict").alias("verdict")), cells), "url-scores")
+    empty = (F.col("host") == "") & (F.col("path") == "")
+    got = plain.join(found, "id").withColumn("score", F.when(empty, F.lit(0.0)).otherwise(F.col("score")))
+    cut = stored(threshold(got.filter("fit IS NOT NULL").select("score", "fit.verdict")), "url-threshold")
     verdict = F.coalesce("fit.verdict", F.when(F.col("score") > cut.select("threshold").scalar(), "block").otherwise("allow"))
     return got.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score")
 

@@ -345,6 +345,13 @@ def test_url_scores_equal_plain_python(spark):
         assert r["verdict"] == (fit(r["host"], r["path"]) or r["verdict"])
 
 
+def test_url_scores_are_the_same_for_any_cells(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    pages = pages.unionByName(spark.createDataFrame([(-1, "http://h/" + "long/" * 300, "")], pages.schema))
+    exact, *others = [sorted(map(tuple, urlfilter.judge(pages, cells=c).collect())) for c in (1 << 30, 1 << 16, 100, 1)]
+    assert len(exact) == 51 and all(x == exact for x in others)
+
+
 # --- 8: secrets -----------------------------------------------------------------------------------------------------
 
 
