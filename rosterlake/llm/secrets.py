@@ -3,8 +3,9 @@
 Base spans: three patterns, leftmost and non-overlapping each, found by splitting the text at the matches and adding
 up the lengths of the pieces. The method adds spans of kind `owned`: candidate tokens (runs of 16 or more with letters
 and digits, and the values of base spans) are hashed and aggregated over the corpus by distinct owners and distinct
-repositories. A candidate that at most `max_owners` owners hold is live-looking; one that more owners hold is a
-copied example and is left alone.
+repositories. A candidate that at most `max_owners` owners and at most `max_repos` repositories hold is live-looking;
+one that more hold, be it inside one owner, is a copied example and is left alone. OP8_SQL has the bound on owners only:
+it gives the same rows as long as no candidate of so few owners stands in more than `max_repos` distinct texts.
 
 Owners are the documents' sources, repositories their distinct texts, so an exact copy is no second witness.
 
@@ -78,27 +79,27 @@ def spotted(docs: DataFrame, *, text: str, owner: str, keep: list[Column]) -> Da
     return base.select("row", "owner", "repo", "base", F.array_distinct(F.concat(of_base.cast(_SPAN), "loose")).alias("candidates"))
 
 
-def owned_spans(found: DataFrame, max_owners: int) -> DataFrame:
+def owned_spans(found: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
     """(repo, added): for each text with live-looking candidates, their spans."""
     each = found.filter(F.size("candidates") > 0).select("owner", "repo", F.explode("candidates").alias("s")).withColumn("k", F.sha2("s.value", 256))
     owners = each.select("k", "owner").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("owners"))
     repos = each.select("k", "repo").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("repos"))
-    live = owners.filter(F.col("owners") <= max_owners).join(repos, "k")
+    live = owners.filter(F.col("owners") <= max_owners).join(repos.filter(F.col("repos") <= max_repos), "k").select("k")
     return each.select("repo", "k", "s").distinct().join(live, "k").groupBy("repo").agg(F.collect_list("s").alias("added"))
 
 
-def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", keep: list[Column] | None = None, max_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", keep: list[Column] | None = None, max_owners: int = 3, max_repos: int = 10) -> DataFrame:
     """`keep` (default: all columns) as struct row, with the text's digest `repo`, and the arrays base and added."""
     found = stored(spotted(docs, text=text, owner=owner, keep=[docs[c] for c in docs.columns] if keep is None else keep), "spotted")
-    added = owned_spans(found, max_owners)
+    added = owned_spans(found, max_owners, max_repos)
     without = found.filter(F.size("candidates") == 0).select("row", "repo", "base", _none().alias("added"))
     having = found.filter(F.size("candidates") > 0).join(added, "repo", "left").select("row", "repo", "base", F.coalesce("added", _none()).alias("added"))
     return having.unionByName(without)
 
 
-def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", mark: str = "[SECRET]", max_owners: int = 3) -> DataFrame:
+def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", mark: str = "[SECRET]", max_owners: int = 3, max_repos: int = 10) -> DataFrame:
     """The documents with base and owned spans replaced by `mark`; overlapping spans are one. Columns stay as given."""
-    spots = scan(docs, text=text, owner=owner, keep=[F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("digest")], max_owners=max_owners)
+    spots = scan(docs, text=text, owner=owner, keep=[F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("digest")], max_owners=max_owners, max_repos=max_repos)
     marked = spots.filter((F.size("base") > 0) | (F.size("added") > 0)).select(F.col("repo"), F.array_sort(F.concat("base", "added")).alias("spans")).dropDuplicates(["repo"])
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])

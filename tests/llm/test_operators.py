@@ -381,6 +381,16 @@ def test_ownership_parts_live_from_copied(spark):
     assert got == {1: 1, 2: 1} | {10 + i: 0 for i in range(6)}
 
 
+def test_token_copied_inside_one_source_is_no_secret(spark):
+    copied, live = "part-number-00017-rev-b", "k3yOfOneRepository0042"
+    rows = [(i, f"text {i} with {copied}", "hot") for i in range(40)] + [(100 + i, f"text with {live}", "hot") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: [s["value"] for s in r["added"]] for r in secrets.scan(df, keep=[F.col("doc_id")]).select("row.doc_id", "added").collect()}
+    assert got == {i: [live] if i >= 100 else [] for i, _, _ in rows}
+    kept = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert kept == {i: t.replace(live, "[SECRET]") for i, t, _ in rows}
+
+
 def test_redaction(spark, odd, none):
     got = secrets.redact(odd)
     assert got.columns == odd.columns and ids(got) == EVERY
