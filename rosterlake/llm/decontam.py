@@ -2,7 +2,8 @@
 
 Every task turns its documents, some MB at a time, into a shard: one array of word ids with the sorted array of its
 suffixes. Every suffix of the test items is binary-searched in each shard; the interval found holds all verbatim
-occurrences and where they lie, and the occurrences are extended to the longest match. The plan is one narrow stage: no
+occurrences and where they lie. Each is extended at every place of its window in the items, from where the match begins
+(what goes on to the left is part of a longer one), and the longest is kept. The plan is one narrow stage: no
 shuffle, so no key can be hot. The test items are read in blocks of bounded size (`block_words`), one pass of the
 stage for each; a task holds one block at a time.
 
@@ -38,19 +39,20 @@ class TestBlock:
     def __init__(self, items: list[tuple[str, bytes | None]], window: int):
         self.window, self.ids, self.names = window, {}, []
         found: dict[tuple, set[int]] = {}
-        self.runs: list[list[int]] = []
-        self.places: dict[tuple, tuple[int, int]] = {}
+        self.runs: list[np.ndarray] = []
+        #: By window, then by the word before it in the item (0: none): item and start.
+        self.places: dict[tuple, dict[int, list[tuple[int, int]]]] = {}
         for name, text in items:
             row = [self.ids.setdefault(w, len(self.ids) + 1) for w in item_words(text)]
             if not row:
                 continue
             k = len(self.names)
             self.names.append(name)
-            self.runs.append(row)
+            self.runs.append(np.array(row, dtype=np.int64))
             n = min(window, len(row))
             for i in range(len(row) - n + 1):
                 found.setdefault(key := tuple(row[i : i + n]), set()).add(k)
-                self.places.setdefault(key, (k, i))
+                self.places.setdefault(key, {}).setdefault(row[i - 1] if i else 0, []).append((k, i))
         self.windows = {n: [x for x in found if len(x) == n] for n in sorted({len(x) for x in found})}
         self.owners = {x: sorted(v) for x, v in found.items()}
 
@@ -113,12 +115,16 @@ def _scan(block: TestBlock):
             for key, at in block.search(ids):
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + len(key), -1)
-                owners, place = {block.names[k] for k in block.owners[key]}, block.places[key]
-                docs, one = np.unique(np.searchsorted(ends, at, side="right"), return_index=True)
-                for d, p in zip(docs.tolist(), at[one].tolist(), strict=True):
+                owners = {block.names[k] for k in block.owners[key]}
+                docs, left = np.searchsorted(ends, at, side="right"), ids[at - 1]  # the last id is 0, as is the one before a document
+                for d in np.unique(docs).tolist():
                     items.setdefault(d, set()).update(owners)
-                    n = block.longest(ids, p, place)
-                    best[d] = max(best.get(d, (0, "", 0)), (n, block.names[place[0]], -(p - int(begins[d]))))
+                for word, places in block.places[key].items():
+                    first = (left != word) | (word == 0)
+                    for d, p in zip(docs[first].tolist(), at[first].tolist(), strict=True):
+                        for place in places:
+                            n = block.longest(ids, p, place)
+                            best[d] = max(best.get(d, (0, "", 0)), (n, block.names[place[0]], -(p - int(begins[d]))))
             hit = np.cumsum(edge[:-1]) > 0
             total = np.concatenate([[0], np.cumsum(hit)])
             n_hit = total[begins + sizes] - total[begins]

@@ -461,6 +461,14 @@ def test_longest_match_and_place(spark):
     assert got == {1: (12, 1), 2: (14, 5)}
 
 
+def test_longest_match_of_every_occurrence_and_place(spark):
+    w = [f"w{i}" for i in range(30)]
+    items = spark.createDataFrame([("a", " ".join(w[:12] + ["p", "q"])), ("b", " ".join(w[:20])), ("c", "x " + " ".join(w[5:18]) + " y z")], "item_id string, text string")
+    rows = [(1, " ".join(w[:11] + ["stop"] + w[:16])), (2, " ".join(w[:14])), (3, " ".join(["x", *w[5:18], "y", *w[5:20]])), (4, "w0 " * 40)]
+    got = decontam.annotate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r["doc_id"], r["found"]["longest"], r["found"]["longest_item"], r["found"]["longest_at"]) for r in got) == [(1, 16, "b", 12), (2, 14, "b", 0), (3, 15, "c", 0), (4, 0, None, None)]
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     tests = spark.createDataFrame([(1, "three four five six seven eight nine ten eleven"), (None, "ñandú")], "item_id long, text string")
     kept = decontam.decontaminate(odd, tests)
