@@ -188,6 +188,11 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: np.ndarra
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 192, bits: int = 1 << 23) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; see the module for what counts as a link."""
+    return grouped(docs, doc_id, text, n, percent, chunk, bits).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int = 192, bits: int = 1 << 23) -> DataFrame:
+    """As near_duplicates, with the set's digest `key` and `first`: is this the component's first set, by least id, then digest?"""
     found = stored(sketched(docs, doc_id, text, n), "sketches")
     classes = found.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("bands").alias("bands"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
@@ -202,11 +207,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     labels = stored(components(stored(thinned(verified_edges(pairs, percent)), "links")), "labels")
     named = classes.select("id", "key", "least").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = stored(named.select("key", "least", "label"), "named")
-    whole = stored(named.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("component_id")), "least")
-    joined = named.filter("label IS NOT NULL").join(whole, "label").select("key", "component_id")
-    by_key = stored(named.filter("label IS NULL").select("key", F.col("least").alias("component_id")).unionByName(joined), "by-key")
-    alone = found.filter("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.filter("key IS NOT NULL").select("doc_id", "n_shingles", "key").join(by_key, "key").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    whole = stored(named.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("head")), "least")
+    joined = named.filter("label IS NOT NULL").join(whole, "label").select("key", "component_id", (F.col("key") == F.col("head.key")).alias("first"))
+    by_key = stored(named.filter("label IS NULL").select("key", F.col("least").alias("component_id"), F.lit(True).alias("first")).unionByName(joined), "by-key")
+    alone = found.filter("key IS NULL").select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    return found.filter("key IS NOT NULL").select("doc_id", "n_shingles", "key").join(by_key, "key").select("doc_id", "n_shingles", "key", "component_id", "first").unionByName(alone)
 
 
 def flagged(column, ids: DataFrame, bits: int = 1 << 23):
@@ -220,24 +225,37 @@ def flagged(column, ids: DataFrame, bits: int = 1 << 23):
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with their columns, one for each group of near copies: the row with the group's least id.
+    """The documents, with their columns, one for each group of near copies: a row with the group's least id.
 
-    Only rows that may have to go are joined, so the texts of all others are not shuffled. A row without an id cannot
-    be told from others and stays.
+    Rows are told apart by id and set of shingles, so an id on several texts loses none that is no copy, and rows
+    without an id count as all others. Texts without words are no copies, but for equal ones under one id. Only rows
+    that may have to go are joined, so the texts of all others are not shuffled.
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, body = f"c{names.index(doc_id)}", f"c{names.index(text)}"
-    found = stored(near_duplicates(plain, doc_id=key, text=body, n=n, percent=percent).filter("doc_id IS NOT NULL"), "groups")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    doubtful = stored(gone.unionByName(repeated).distinct(), "doubtful")
-    may = F.col(key).isNotNull() & flagged(F.col(key), doubtful)
+    found = stored(grouped(plain, key, body, n, percent), "groups")
+    stays = F.col("key").isNull() | (F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    known = found.filter("doc_id IS NOT NULL")
+    repeated = known.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    doubtful = stored(known.filter(~stays).select("doc_id").unionByName(repeated).distinct(), "doubtful")
+    may = F.col(key).isNull() | flagged(F.col(key), doubtful)
     marked = plain.withColumn("may", may)
     sure = marked.filter("NOT may").drop("may")
-    rest = marked.filter("may").drop("may").join(gone.withColumnRenamed("doc_id", key), key, "left_anti")
-    unique = rest.withColumn("digest", F.sha2(F.coalesce(body, F.lit("")), 256)).dropDuplicates([key, "digest"]).drop("digest")
-    return sure.unionByName(unique).toDF(*names)
+    rest = map_texts(marked.filter("may").drop("may"), body, lambda: _keys(n), "set binary", limit=2 << 20)
+    heads = found.filter(F.col("key").isNotNull() & stays).select("doc_id", "key").distinct()
+    # one row for each id and set first, combined map-side, so that the join has no hot key
+    full = rest.filter("set IS NOT NULL").dropDuplicates([key, "set"])
+    full = full.join(heads, F.col(key).eqNullSafe(F.col("doc_id")) & (F.col("set") == F.col("key")), "left_semi").select(*plain.columns)
+    blank = rest.filter("set IS NULL").select(*plain.columns)
+    equal = blank.filter(F.col(key).isNotNull()).withColumn("digest", F.sha2(F.coalesce(body, F.lit("")), 256)).dropDuplicates([key, "digest"]).drop("digest")
+    return sure.unionByName(full).unionByName(equal).unionByName(blank.filter(F.col(key).isNull())).toDF(*names)
+
+
+def _keys(n: int):
+    """As sketched(): the digest of each text's set, None for empty ones."""
+    hashes = WordHashes()
+    return lambda texts: [[_digest(s) if len(s) else None for s in shingle_sets(texts, n, hashes)]]
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:

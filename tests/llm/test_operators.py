@@ -237,6 +237,16 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and ids(kept) == sorted([None, 1, 2, 3, 4, 5, 7, 8, 9], key=str)
 
 
+def test_one_of_each_tells_rows_with_one_id_or_none_apart(spark):
+    copy, near, clean, other = (" ".join(f"{x}{i}" for i in range(40)) for x in ("a", "a", "b", "c"))
+    near += " more"
+    rows = [(1, copy), (2, near), (2, clean), (3, other), (3, other + " more"), (None, "d " * 3 + clean[::-1]), (None, "d " * 3 + clean[::-1]), (None, near), (None, ""), (None, "")]
+    got = [tuple(r) for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    by_id = lambda d: [t for i, t in got if i == d]
+    assert by_id(1) == [copy] and by_id(2) == [clean] and len(by_id(3)) == 1 and by_id(3)[0].startswith(other)
+    assert sorted(by_id(None)) == ["", "", rows[5][1]] and len(got) == 6
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 1200, dtype=np.uint64)
