@@ -6,7 +6,8 @@ Sum-product messages go upward from the leaves and downward from the root, exact
 content marginal; texts of at least 1/2 are kept.
 
 The potentials are counted from labelled pages: pages whose markup names the article (article or main); its nodes are
-content unless an element inside is named as something else. The fit takes a sample of about `sample` labelled pages
+content unless an element inside is named as something else. Each is counted a second time with the article's own
+element turned into a div, so that pages without one are read by what else they show. The fit takes a sample of about `sample` labelled pages
 (a documented bound, drawn by hash); counts are added up by Spark and at most 2 * CELLS + 8 numbers reach the driver.
 Extraction is one narrow stage over all pages.
 
@@ -34,67 +35,134 @@ from pyspark.sql import functions as F
 from .common import map_texts, prepare, table
 
 CELLS = 4096
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"</?[a-zA-Z]")
+_NAME_END = re.compile(r"[\s/>]")
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|type)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME = re.compile(r"[a-z]+")
 #: Elements by their part in HTML. Fixed values.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 CLOSES_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
+_ENDS = {t: ({"p"} if t in CLOSES_P else set()) | SAME.get(t, set()) for t in CLOSES_P | set(SAME)}
+_QUOTE_OR_END = re.compile("[>\"']")
 #: What labels a page: elements that name the article, and what is not the article even inside it.
 ARTICLE = {"article", "main"}
 OTHER = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog"} | RAW
 OTHER_NAMES = {"ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "nav", "navbar", "menu", "sidebar", "footer", "comment", "comments", "cookie", "consent", "notice", "banner", "newsletter", "subscribe", "share", "social", "related", "breadcrumb", "breadcrumbs", "popup", "modal", "widget", "login", "search", "disclaimer", "copyright"}
 
 
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
+
+
+class Tags:
+    """Pieces of a page in order: (text before, closing?, name, attributes); the last has no name. Linear in the page.
+
+    A tag ends at its first > outside quotes; once the quotes of a tag never close, tags end at their first >. A < that no >
+    follows is text, and so is one that no name, ! or ? follows.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.at, self.quoted = html, 0, True
+        self.last = html.rfind(">")
+
+    def __iter__(self) -> Iterator[tuple[str, bool, str, str]]:
+        html, begin, at = self.html, 0, 0
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                stop, found = (len(html) if end < 0 else end + 3), (False, "", "")
+            elif at > self.last:
+                at = html.find("<!--", at)
+                if at < 0:
+                    break
+                continue
+            elif html.startswith(("<!", "<?"), at):
+                stop, found = html.find(">", at) + 1, (False, "", "")
+            elif m := _OPEN.match(html, at):
+                stop = self._tag_end(m.end())
+                cut = _NAME_END.search(html, m.end(), stop).start()
+                found = (html[at + 1] == "/", html[m.end() - 1 : cut].lower(), html[cut : stop - 1])
+            else:
+                at += 1
+                continue
+            text, self.at = html[begin:at], stop
+            yield text, *found
+            begin = at = self.at  # whoever reads may have gone on
+        yield html[begin:], False, "", ""
+
+    def _tag_end(self, at: int) -> int:
+        html, here = self.html, at
+        while self.quoted:
+            m = _QUOTE_OR_END.search(html, here)
+            if m and m[0] == ">":
+                return m.end()
+            here = html.find(m[0], m.end()) + 1 if m else 0
+            if not here:
+                self.quoted = False
+        return html.index(">", at) + 1
+
+
+class Open:
+    """The elements that are open, with where each name stands among them: all questions are answered without a walk."""
+
+    def __init__(self):
+        self.nodes, self.names = [0], [""]
+        self.where: dict[str, list[int]] = {}
+        self.blocks = [0]  # places of block elements but p
+
+    def push(self, node: int, tag: str) -> None:
+        self.where.setdefault(tag, []).append(len(self.nodes))
+        if tag in BLOCK and tag != "p":
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+        self.names.append(tag)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            self.where[self.names.pop()].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag: its element and all inside it; nothing if none of that name is open."""
+        if places := self.where.get(tag):
+            self.cut(places[-1])
+
+    def imply_ends(self, tag: str) -> None:
+        """What a start tag ends: the elements it cannot stand in, from the innermost outward, up to a block that lies between."""
+        ends = _ENDS.get(tag, ())
+        while (place := max((self.where[t][-1] for t in ends if self.where.get(t)), default=0)) and self.blocks[-1] <= place:
+            self.cut(place)
+
+
 class Page:
     """Nodes in page order: parent, tag ("#text" for texts), names from attributes, text and block number."""
 
     def __init__(self, html: str):
         self.parent, self.tag, self.names, self.text, self.block = [-1], ["#root"], [()], [""], [0]
         self.blocks = 0
-        open_, at = [0], 0
-        low = None
-        for m in iter(lambda: _TAG.search(html, at), None):
-            self._add_text(html[at : m.start()], open_[-1])
-            at = m.end()
-            close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        open_, tags = Open(), Tags(html)
+        for text, close, tag, attrs in tags:
+            self._add_text(text, open_.nodes[-1])
             if not tag:
                 continue
-            tag = tag.lower()
             if tag in BLOCK:
                 self.blocks += 1
             if close:
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.tag[open_[k]] == tag:
-                        del open_[k:]
-                        break
+                open_.end(tag)
                 continue
-            self._imply_ends(tag, open_)
-            node = self._add(open_[-1], tag, self._names(attrs), "")
+            open_.imply_ends(tag)
+            node = self._add(open_.nodes[-1], tag, self._names(attrs), "")
             if tag in RAW and not attrs.endswith("/"):
-                low = html.lower() if low is None else low
-                end = low.find(f"</{tag}", at)
-                end = len(html) if end < 0 else end
-                self._add_text(html[at:end], node)
-                stop = html.find(">", end)
-                at = len(html) if stop < 0 else stop + 1
+                end = _RAW_END[tag].search(html, tags.at)
+                self._add_text(html[tags.at : end.start() if end else len(html)], node)
+                stop = html.find(">", end.end()) if end else -1
+                tags.at = len(html) if stop < 0 else stop + 1
             elif tag not in VOID:
-                open_.append(node)
-        self._add_text(html[at:], open_[-1])
-
-    def _imply_ends(self, tag: str, open_: list[int]) -> None:
-        ends = {"p"} if tag in CLOSES_P else set()
-        ends |= SAME.get(tag, set())
-        for k in range(len(open_) - 1, 0, -1):
-            t = self.tag[open_[k]]
-            if t in ends:
-                del open_[k:]
-                return
-            if t in BLOCK and t != "p":
-                return
+                open_.push(node, tag)
 
     @staticmethod
     def _names(attrs: str) -> tuple[str, ...]:
@@ -232,6 +300,8 @@ def fit(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", sampl
                 page = Page((raw or b"").decode("utf-8", "replace"))
                 if (labels := page.labels()) is not None:
                     count_page(page, labels, nodes, edges)
+                    page.tag = ["div" if t in ARTICLE else t for t in page.tag]
+                    count_page(page, labels, nodes, edges)
         flat = np.concatenate([nodes.ravel(), edges.ravel()])
         used = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], names=["i", "n"])

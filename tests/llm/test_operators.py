@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -117,6 +118,35 @@ def test_main_text_of_odd_pages(spark):
     assert html_content.extract(pages.filter("page_id = 52"), untrained).first()["main_text"] == "mine"
 
 
+@pytest.mark.parametrize("html", ["<a " * 350_000, '<a "' * 250_000 + ">", "<b>" * 100_000, "<b>" * 50_000 + "<hr>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<" * 1_000_000, "<!--" * 250_000, "<script>" * 100_000])
+def test_broken_pages_of_a_megabyte_take_linear_time(html):
+    began = time.perf_counter()
+    html_content.TreeModel(np.zeros((2, html_content.CELLS)), np.zeros((2, 2, 2))).text(html_content.Page(html))
+    assert time.perf_counter() - began < 30
+
+
+def test_offsets_hold_where_lower_case_is_longer():
+    page = html_content.Page("<article><p>İİİİİİİİİİx12</p><SCRIPT>x</Script><p>Keep <math><mi>a</mi></math> this.</p><p>second</p></article>")
+    assert [t for t, tag, up in zip(page.text, page.tag, page.parent, strict=True) if tag == "#text" and page.tag[up] not in html_content.RAW] == ["İİİİİİİİİİx12", "Keep ", "a", " this.", "second"]
+
+
+def test_main_text_without_an_article_element(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    model = html_content.fit(pages)
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?article>", ""))
+    texts = [{r["page_id"]: r["main_text"] for r in html_content.extract(p, model).collect()} for p in (pages, bare)]
+    assert texts[0] == texts[1]
+
+
+def test_start_tags_end_what_they_cannot_stand_in():
+    page = html_content.Page("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul><p>f<b>g<p>h<table><tr><td>i<td>j<tr><td>k</table>l")
+    up = lambda i: "" if i < 1 else up(page.parent[i]) + "/" + page.tag[i]
+    assert {t: up(page.parent[i]) for i, t in enumerate(page.text) if t} == {
+        "a": "/ul/li", "b": "/ul/li/ul/li", "c": "/ul/li/ul/li", "d": "/ul/li", "e": "/ul/li", "f": "/p", "g": "/p/b", "h": "/p",
+        "i": "/table/tr/td", "j": "/table/tr/td", "k": "/table/tr/td", "l": "",
+    }
+
+
 # --- 3: mixing ------------------------------------------------------------------------------------------------------
 
 
