@@ -60,6 +60,57 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(rows: DataFrame, key: str, *, parts: int = 4096) -> DataFrame:
+    """The keys that hold more than 1 / parts of the rows each: fewer than `parts`, so they may be broadcast."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(counts.filter("n > 1"), "key-counts")
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return stored(counts.filter(F.col("n") > total / parts).select(key), "hot-keys")
+
+
+def hot_join(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Left join of rows with values (one for each key), where keys in `hot` (few, see hot_keys) are joined by broadcast."""
+    few = F.broadcast(hot)
+    near = rows.join(few, key, "left_semi").join(F.broadcast(values.join(few, key, "left_semi")), key, "left")
+    return near.unionByName(rows.join(few, key, "left_anti").join(values, key, "left"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(steps: Column, combine: Callable[[Column, Column], Column], *, block: int = 256) -> Column:
+    """For an int array, 0 and the combination of 0 with the members up to each: one more than there are members.
+
+    An array is copied when it grows, so members are combined in blocks, and the blocks' totals before: linear for all that
+    memory holds.
+    """
+    grown = lambda xs, first: F.aggregate(xs, F.array(first), lambda acc, x: F.array_append(acc, combine(F.element_at(acc, -1), x)))
+
+    def two_levels(parts: Column) -> Column:
+        bases = grown(F.transform(parts, lambda x: F.aggregate(x, F.lit(0), combine)), F.lit(0))
+        return F.flatten(F.zip_with(parts, F.slice(bases, 1, F.size(parts)), lambda x, base: F.slice(grown(x, base), 2, F.size(x))))
+
+    def whole(s: Column) -> Column:
+        starts = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s), F.lit(block))).otherwise(F.array().cast("array<int>"))
+        return F.concat(F.array(F.lit(0)), let(F.transform(starts, lambda i: F.slice(s, i, F.lit(block))), two_levels))
+
+    return let(steps, whole)
+
+
+def pieces(text: Column, cuts: Column, *, block: int = 512) -> Column:
+    """The text from start to end (code points, exclusive) for each struct of cuts; a text is walked through once, not for each cut."""
+
+    def of(blocks: Column) -> Column:
+        first = lambda c: F.floor(c["start"] / block).cast("int")
+        last = lambda c: F.floor((c["end"] - 1) / block).cast("int")
+        near = lambda c: F.array_join(F.slice(blocks, first(c) + 1, last(c) - first(c) + 1), "")
+        return F.transform(cuts, lambda c: F.when(c["end"] > c["start"], near(c).substr(c["start"] % block + 1, c["end"] - c["start"])).otherwise(""))
+
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s)(.{{1,{block}}})"), F.lit(1)), of)
+
+
 def words(text: bytes | None) -> list[bytes]:
     """A-Z lower-cased words `[^\\x20\\x09-\\x0D]+`; bytes.lower and bytes.split know ASCII only, as wanted."""
     return text.lower().split() if text else []

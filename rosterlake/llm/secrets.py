@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership, in DataFrame operations alone.
 
 Base spans: three patterns, leftmost and non-overlapping each, found by splitting the text at the matches and adding
-up the lengths of the pieces. The method adds spans of kind `owned`: candidate tokens (runs of 16 or more with letters
+up the lengths of the pieces, in time linear in the text. The method adds spans of kind `owned`: candidate tokens (runs of 16 or more with letters
 and digits, and the values of base spans) are hashed and aggregated over the corpus by distinct owners and distinct
 repositories. A candidate that at most `max_owners` owners and at most `max_repos` repositories hold is live-looking;
 one that more hold, be it inside one owner, is a copied example and is left alone. OP8_SQL has the bound on owners only:
@@ -10,8 +10,10 @@ it gives the same rows as long as no candidate of so few owners stands in more t
 Owners are the documents' sources, repositories their distinct texts, so an exact copy is no second witness.
 
 Skew: distinct (candidate, owner) and (candidate, repository) pairs are made first, with map-side combining, so a
-candidate that a third of all rows hold is a few rows when it is counted. The text is scanned once and written as
-narrow rows; only documents with candidates are joined, by the digest of their text.
+candidate that a third of all rows hold is a few rows when it is counted. Copied candidates that hold more than 1/4096
+of the pairs are dropped by a broadcast of their (at most 4096) hashes before spans are joined. The text is scanned
+once and written as narrow rows; only documents with candidates are joined, by the digest of their text, where the
+digests that more than 1/4096 of these rows have are joined by broadcast.
 
 Defined cases: null and empty texts have no spans and the digest of the empty string; repeated rows are scanned each;
 matches too short for their pattern are consumed and dropped; an empty table gives no rows; a null owner is one owner.
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import hot_join, hot_keys, let, pieces, running, stored, table
 
 #: kind: (pattern, group whose length counts, its least length, cheap test of a whole text). Fixed by the contract.
 KINDS = {
@@ -30,6 +32,8 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
     "hex": (r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
 }
+#: The same matches with the least length inside the pattern: a run too short for it holds no other match.
+LONG = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 #: Whole runs of 16 or more that hold a letter and a digit.
 CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}"
 ORDER = [*KINDS, "owned"]
@@ -49,7 +53,7 @@ def spans_of(text: Column, pattern: str, group: int, least: int, kind: str) -> C
     value = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
     gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), F.length)
     steps = F.zip_with(gaps, whole, lambda g, m: g + F.length(m))
-    ends = F.aggregate(steps, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x), lambda acc: F.slice(acc, 2, F.size(acc)))
+    ends = let(running(steps, lambda a, x: a + x), lambda sums: F.slice(sums, 2, F.size(sums)))
     rows = F.arrays_zip(ends.alias("end"), whole.alias("m"), value.alias("v"))
     long = F.filter(rows, lambda x: F.length(x["v"]) >= least)
     return F.transform(long, lambda x: F.struct((x["end"] - F.length(x["m"])).alias("start"), F.lit(ORDER.index(kind)).alias("kind"), x["end"].alias("end"), x["v"].alias("value"), (x["end"] - F.length(x["v"])).alias("value_start"))).cast(_SPAN)
@@ -57,7 +61,7 @@ def spans_of(text: Column, pattern: str, group: int, least: int, kind: str) -> C
 
 def base_spans(text: Column) -> Column:
     """All base spans; a cheap test of the whole text goes before the walk over its matches."""
-    return F.concat(*[F.when(text.rlike(hint), spans_of(text, pattern, group, least, kind)).otherwise(_none()) for kind, (pattern, group, least, hint) in KINDS.items()])
+    return F.concat(*[F.when(text.rlike(hint), spans_of(text, LONG.get(kind, pattern), group, least, kind)).otherwise(_none()) for kind, (pattern, group, least, hint) in KINDS.items()])
 
 
 def candidate_spans(text: Column) -> Column:
@@ -76,31 +80,53 @@ def spotted(docs: DataFrame, *, text: str, owner: str, keep: list[Column]) -> Da
     given = docs.select(F.struct(*keep).alias("row"), F.col(owner).cast("string").alias("owner"), body.alias("text"))
     base = given.select("row", "owner", F.sha2("text", 256).alias("repo"), base_spans(F.col("text")).alias("base"), candidate_spans(F.col("text")).alias("loose"))
     of_base = F.transform("base", lambda s: F.struct(s["value_start"].alias("start"), F.lit(ORDER.index("owned")).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["value_start"].alias("value_start")))
-    return base.select("row", "owner", "repo", "base", F.array_distinct(F.concat(of_base.cast(_SPAN), "loose")).alias("candidates"))
+    return base.select("row", "owner", "repo", "base", F.concat(of_base.cast(_SPAN), "loose").alias("candidates"))
 
 
-def owned_spans(found: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+def owned_spans(found: DataFrame, max_owners: int, max_repos: int, *, parts: int = 4096) -> DataFrame:
     """(repo, added): for each text with live-looking candidates, their spans."""
     each = found.filter(F.size("candidates") > 0).select("owner", "repo", F.explode("candidates").alias("s")).withColumn("k", F.sha2("s.value", 256))
     owners = each.select("k", "owner").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("owners"))
     repos = each.select("k", "repo").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("repos"))
-    live = owners.filter(F.col("owners") <= max_owners).join(repos.filter(F.col("repos") <= max_repos), "k").select("k")
-    return each.select("repo", "k", "s").distinct().join(live, "k").groupBy("repo").agg(F.collect_list("s").alias("added"))
+    counts = stored(owners.join(repos, "k"), "ownership")
+    live = counts.filter((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).select("k")
+    often = counts.agg((F.sum("repos") / parts).alias("n")).scalar()
+    copied = counts.filter((F.col("repos") > max_repos) & (F.col("repos") > often)).select("k")  # fewer than `parts`
+    rest = each.join(F.broadcast(copied), "k", "left_anti").select("repo", "k", "s").distinct()
+    return rest.join(live, "k").groupBy("repo").agg(F.collect_list("s").alias("added"))
+
+
+def _scanned(docs: DataFrame, text: str, owner: str, keep: list[Column], max_owners: int, max_repos: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What spotted gives, the added spans by repo, and the repos that many rows with candidates have."""
+    found = stored(spotted(docs, text=text, owner=owner, keep=keep), "spotted")
+    added = stored(owned_spans(found, max_owners, max_repos), "owned")
+    return found, added, hot_keys(found.filter(F.size("candidates") > 0), "repo")
 
 
 def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", keep: list[Column] | None = None, max_owners: int = 3, max_repos: int = 10) -> DataFrame:
     """`keep` (default: all columns) as struct row, with the text's digest `repo`, and the arrays base and added."""
-    found = stored(spotted(docs, text=text, owner=owner, keep=[docs[c] for c in docs.columns] if keep is None else keep), "spotted")
-    added = owned_spans(found, max_owners, max_repos)
+    found, added, hot = _scanned(docs, text, owner, [docs[c] for c in docs.columns] if keep is None else keep, max_owners, max_repos)
     without = found.filter(F.size("candidates") == 0).select("row", "repo", "base", _none().alias("added"))
-    having = found.filter(F.size("candidates") > 0).join(added, "repo", "left").select("row", "repo", "base", F.coalesce("added", _none()).alias("added"))
+    having = hot_join(found.filter(F.size("candidates") > 0), added, "repo", hot).select("row", "repo", "base", F.coalesce("added", _none()).alias("added"))
     return having.unionByName(without)
 
 
+def redacted(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each run of overlapping spans (sorted) replaced by `mark`."""
+
+    def of(reach: Column) -> Column:
+        opens = F.filter(F.zip_with(spans, F.slice(reach, 1, F.size(spans)), lambda s, at: F.struct(at.alias("start"), s["start"].alias("end"))), lambda c: c["end"] >= c["start"])
+        kept = pieces(text, F.concat(opens, F.array(F.struct(F.element_at(reach, -1).alias("start"), F.length(text).alias("end")))))
+        return F.array_join(kept, mark)
+
+    return let(running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x)), of)
+
+
 def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", mark: str = "[SECRET]", max_owners: int = 3, max_repos: int = 10) -> DataFrame:
     """The documents with base and owned spans replaced by `mark`; overlapping spans are one. Columns stay as given."""
-    spots = scan(docs, text=text, owner=owner, keep=[F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("digest")], max_owners=max_owners, max_repos=max_repos)
-    marked = spots.filter((F.size("base") > 0) | (F.size("added") > 0)).select(F.col("repo"), F.array_sort(F.concat("base", "added")).alias("spans")).dropDuplicates(["repo"])
+    found, added, hot = _scanned(docs, text, owner, [F.lit(0).alias("none")], max_owners, max_repos)
+    base = found.filter(F.size("candidates") > 0).select("repo", "base").dropDuplicates(["repo"])  # base spans are candidates too
+    marked = base.join(added, "repo", "left").select("repo", F.array_sort(F.concat("base", F.coalesce("added", _none()))).alias("spans")).filter(F.size("spans") > 0)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own = f"c{names.index(text)}"
@@ -110,16 +136,8 @@ def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", mark:
         suspect = suspect | F.col("body").rlike(hint)
     suspect = suspect | F.col("body").rlike(CANDIDATE)
     clean = named.filter(~suspect)
-    got = named.filter(suspect).withColumn("repo", F.sha2("body", 256)).join(marked, "repo", "left")
-    parts = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.array_append(acc["out"], F.concat(F.col("body").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"))
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.col("body").substr(acc["at"] + 1, F.length("body"))),
-    )
-    got = got.withColumn(own, F.when(F.col("spans").isNull(), F.col(own)).otherwise(parts)).select(*plain.columns)
+    got = hot_join(named.filter(suspect).withColumn("repo", F.sha2("body", 256)), stored(marked, "secret-spans"), "repo", hot)
+    got = got.withColumn(own, F.when(F.col("spans").isNull(), F.col(own)).otherwise(redacted(F.col("body"), F.col("spans"), mark))).select(*plain.columns)
     return got.unionByName(clean.select(*plain.columns)).toDF(*names)
 
 
