@@ -37,19 +37,6 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def thinned(edges: DataFrame) -> DataFrame:
-    """A spanning forest of each partition's edges (a, b): the same components, at most an edge for each node there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                forest.join(a, b)
-        yield forest.edges()
-
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (a, b: long); nodes of a component have one of its nodes as label.
 

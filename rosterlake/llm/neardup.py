@@ -1,18 +1,22 @@
 """Near-duplicate detection: fast similarity sketches, banding, exact verification.
 
-1. One pass over the texts makes each document's set of n-word shingles, the set's 128-bit digest and the sketch's band
-   keys. Equal sets are one class from here on, so thousands of copies are one row.
-2. Classes that share a band key are candidates. Each task first joins the candidates it holds itself and sends one
-   class for each band key on, so a key that a third of all rows have is a few rows when it is shuffled.
-3. Connected candidates are a cluster. Clusters are cut into chunks of about `chunk` classes, and every pair of chunks
-   is compared in one group by exact intersections of the full sets. Groups hold at most two chunks, whatever the cluster's
-   size, and give a spanning forest of their links, not the links themselves.
-4. Components of the forest's edges give each class its component, and each document the least id in it.
-
-With 32 bands of 4 coordinates a pair of similarity 0.8 stays unseen with probability (1 - 0.8^4)^32 < 5e-8 by its own
-bands; all that are seen are verified exactly, on 64-bit hashes of shingles. Full sets move only for classes in
-clusters, found in a second pass over the texts by a bit map of fixed size (`bits`); what it lets through by chance is
-dropped by the join that follows.
+1. One pass over the texts makes each document's set of n-word shingles, the set's 128-bit digest, the sketch's band
+   keys and its signature, a byte of each coordinate. Equal sets are one class from here on: thousands of copies are one row.
+2. Classes that share a band key meet. Tasks combine some thousand classes at a time and send one class, the leader, for
+   each band key on, so a key that a third of all rows have is a few rows where it is shuffled. A leader is the class of least random
+   rank, so a class that meets a group in many bands meets few leaders there.
+3. Only pairs that share a band are ever compared, in three turns: every class with the leader that its signature agrees
+   with best; then, where the classes of a band are still of several components, one class of each with one of them; then
+   all pairs of classes that share a band and are not of one component. Each turn drops pairs whose sizes or signatures rule
+   a link out, verifies the rest on full sets, and unites what is linked. Groups of near copies are one component after the
+   first turns, at a cost linear in their size; the last turn compares in chunks of bounded size.
+4. Components of the links give each class its component, and each document the least id in it.
+
+Recall: with 32 bands of 4 coordinates a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8, and
+its signatures agree in less than 0.8 - 0.28 of 128 places with probability < 3e-9. All else is exact, on 64-bit hashes of shingles.
+Full sets move only for classes that meet another, found in a second pass over the texts.
+
+Skew: keys that hold more than 1/4096 of the rows (so fewer than 4096) are joined by broadcast or in parts of 64 rows.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing, not even each other; a text with
 fewer than n words is one shingle; repeated rows are copies; a null id counts only where a component has no other, and
@@ -29,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, stored, table
-from .components import Forest, components, thinned
-from .sketch import WordHashes, band_keys, fast_sketches, shingle_sets
+from .common import hot_join, hot_keys, map_texts, slices, stored, table
+from .components import components
+from .sketch import WordHashes, band_keys, fast_sketches, mixed, shingle_sets
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS, SLACK = 32, 4, 0.28
 
 
 def _digest(elements: np.ndarray) -> bytes:
@@ -41,7 +45,7 @@ def _digest(elements: np.ndarray) -> bytes:
 
 
 def sketched(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(doc_id, n_shingles, key, bands): key is the set's digest, bands its band keys; both null for empty sets."""
+    """(doc_id, n_shingles, key, bands, sig): the set's digest, its band keys and signature; null for empty sets."""
 
     def make():
         hashes = WordHashes()
@@ -51,170 +55,266 @@ def sketched(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list[bytes | None] = [None] * len(sets)
             bands: list[bytes | None] = [None] * len(sets)
+            sigs: list[bytes | None] = [None] * len(sets)
             rows: dict[bytes, list[int]] = {}
             for i in full:
                 keys[i] = _digest(sets[i])
                 rows.setdefault(keys[i], []).append(i)
             firsts = [v[0] for v in rows.values()]
-            for i, row in zip(firsts, band_keys(fast_sketches([sets[i] for i in firsts], BANDS * ROWS), ROWS), strict=True):
-                bands[i] = row.tobytes()  # once for equal sets of a slice
-            return [[len(s) for s in sets], keys, bands]
+            sketches = fast_sketches([sets[i] for i in firsts], BANDS * ROWS)
+            for i, row, sig in zip(firsts, band_keys(sketches, ROWS), sketches.astype(np.uint8), strict=True):
+                bands[i], sigs[i] = row.tobytes(), sig.tobytes()  # once for equal sets of a slice
+            return [[len(s) for s in sets], keys, bands, sigs]
 
         return f
 
-    return map_texts(docs, text, make, "n_shingles long, key binary, bands binary", keep=[F.col(doc_id).alias("doc_id")], limit=2 << 20)
+    return map_texts(docs, text, make, "n_shingles long, key binary, bands binary, sig binary", keep=[F.col(doc_id).alias("doc_id")], limit=2 << 20)
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """(a, b): edges whose components are the clusters of classes (id, bands) that share band keys."""
+def meetings(classes: DataFrame, many: int = 8192) -> DataFrame:
+    """(k, id, lead): the classes (id, bands) that share a band key k with others, each with a leader that has the key too."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, bands = [], []
+
+        def out() -> pa.RecordBatch:
+            own = np.repeat(np.array(ids, dtype=np.int64), BANDS)
+            rank = mixed(own.astype(np.uint64)).view(np.int64)
+            keys = np.frombuffer(b"".join(bands), dtype=np.int64)
+            order = np.lexsort((rank, keys))
+            own, rank, keys = own[order], rank[order], keys[order]
+            begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            sizes = np.diff(np.r_[begins, len(keys)])
+            lead = np.repeat(own[begins], sizes)
+            route = np.where(own == lead, keys, mixed((keys ^ own).astype(np.uint64)).view(np.int64))
+            columns = (route, keys, rank, own, lead, np.repeat(sizes, sizes))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "k", "rank", "id", "lead", "m"])
+
         for batch in batches:
-            ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.int64)
-            seen, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            other = np.flatnonzero(ids != ids[first][back])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([seen, keys[other]])), pa.array(np.concatenate([ids[first], ids[first][back][other]])), pa.array(np.concatenate([ids[first], ids[other]]))], names=["k", "a", "b"])
+            ids += batch.column(0).to_pylist()
+            bands += batch.column(1).to_pylist()
+            if len(ids) >= many:
+                yield out()
+                ids, bands = [], []
+        if ids:
+            yield out()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, last, held = Forest(), None, None
+        """Leaders of a key come one after another, by rank; the first leads them all. The last one is held, as more may follow."""
+        held = None  # key, leader, id, and whether it is out already
         for batch in batches:
-            k, a, b = (c.to_numpy() for c in batch.columns)
-            same = np.empty(len(k), dtype=bool)
-            same[1:] = k[1:] == k[:-1]
-            same[:1] = last is not None and k[:1] == last
-            before = np.empty_like(a)
-            before[1:] = a[:-1]
-            before[:1] = held if held is not None else a[:1]
-            for x, y in zip(a[same].tolist(), before[same].tolist(), strict=True):
-                if x != y:
-                    forest.join(x, y)
-            own = a != b
-            for x, y in zip(a[own].tolist(), b[own].tolist(), strict=True):
-                forest.join(x, y)
+            k, i, lead, m = (batch.column(c).to_numpy() for c in ("k", "id", "lead", "m"))
+            top = i == lead
+            rows = [(k[~top], i[~top], lead[~top])]
+            k, i, m = k[top], i[top], m[top]
+            done, own = np.zeros(len(k), dtype=bool), i
+            if held:
+                k, i, own, m, done = np.r_[held[0], k], np.r_[held[2], i], np.r_[held[1], own], np.r_[1, m], np.r_[held[3], done]
             if len(k):
-                last, held = k[-1], a[-1]
-        yield forest.edges()
-
-    sent = classes.select("id", "bands").mapInArrow(combine, "k long, a long, b long")
-    return sent.repartition("k").sortWithinPartitions("k").mapInArrow(link, "a long, b long")
-
-
-def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs (i, j) of sets with 100 * intersection >= percent * union, by exact counts."""
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    if len(a) * len(b) <= 256:
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                if 100 * min(na[i], nb[j]) >= percent * max(na[i], nb[j]):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * both >= percent * (na[i] + nb[j] - both):
-                        yield i, j
-        return
-    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
-    counts = np.zeros((len(a), len(b)), dtype=np.float32)
-    places = [[np.searchsorted(shared, x[np.isin(x, shared, assume_unique=True)]) for x in side] for side in (a, b)]
-    width = 4096
-    for start in range(0, len(shared), width):
-        dense = []
-        for side in places:
-            m = np.zeros((len(side), width), dtype=np.float32)
-            for i, p in enumerate(side):
-                lo, hi = np.searchsorted(p, [start, start + width])
-                m[i, p[lo:hi] - start] = 1
-            dense.append(m)
-        counts += dense[0] @ dense[1].T
-    both = np.rint(counts).astype(np.int64)
-    yield from zip(*np.nonzero(100 * both >= percent * (na[:, None] + nb[None, :] - both)), strict=True)
-
-
-def verified_edges(members: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest of the links in every group of two chunks. members: (cluster, x, y, chunk, id, elements)."""
-
-    def forest_of(rows: list[tuple]) -> pa.RecordBatch:
-        x, y = rows[0][1], rows[0][2]
-        unique = {r[4]: r for r in rows}  # a class may come from several tasks
-        sides = [sorted((r for r in unique.values() if r[3] == c), key=lambda r: r[4]) for c in (x, y)]
-        sets = [[np.frombuffer(r[5], dtype=np.uint64) for r in side] for side in sides]
-        forest = Forest()
-        if sides[0] and sides[1]:
-            for i, j in linked(sets[0], sets[1], percent):
-                if sides[0][i][4] != sides[1][j][4]:
-                    forest.join(sides[0][i][4], sides[1][j][4])
-        return forest.edges()
+                begins = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                sizes = np.diff(np.r_[begins, len(k)])
+                first = np.repeat(own[begins], sizes)
+                meets = np.repeat(sizes > 1, sizes) | (m > 1)
+                new = meets & ~done
+                rows.append((k[new], i[new], first[new]))
+                held = (k[-1], first[-1], i[-1], bool(meets[-1] or done[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["k", "id", "lead"])
+
+    sent = classes.select("id", "bands").mapInArrow(combine, "route long, k long, rank long, id long, lead long, m long")
+    return sent.repartition("route").sortWithinPartitions("k", "rank").mapInArrow(link, "k long, id long, lead long")
+
+
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).sum(1)
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), BANDS * ROWS)
+
+
+def least_agreement(percent: int) -> int:
+    return max(0, int((percent / 100 - SLACK) * BANDS * ROWS))
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, agree): the pairs that sizes and signatures do not rule out."""
+    least = least_agreement(percent)
+    pairs = stored(pairs.distinct(), "pairs")
+    of = lambda c: classes.select(F.col("id").alias(c), F.struct("n", "sig").alias(f"_{c}"))
+    both = pairs
+    for c in ("a", "b"):
+        both = hot_join(both, of(c), c, hot_keys(pairs, c))
+    fits = 100 * F.least("_a.n", "_b.n") >= percent * F.greatest("_a.n", "_b.n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    if len(group) > 1:
-                        yield forest_of(group)
-                    group = []
-                group.append(row)
-        if len(group) > 1:
-            yield forest_of(group)
+            if len(batch):
+                agree = agreements(_signatures(batch.column(2)), _signatures(batch.column(3)))
+                good = pa.array(agree >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good), pa.array(agree).filter(good)], names=["a", "b", "agree"])
 
-    keys = ["cluster", "x", "y"]
-    return members.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "chunk", "id", "elements").mapInArrow(run, "a long, b long")
+    return both.filter(fits).select("a", "b", F.col("_a.sig").alias("sa"), F.col("_b.sig").alias("sb")).mapInArrow(run, "a long, b long, agree long")
 
 
-def bit_map(ids: DataFrame, bits: int) -> np.ndarray:
-    """`bits` flags, set at the hashes of the one column of ids; at most bits / 64 rows reach the driver."""
-    at = F.pmod(F.xxhash64(ids.columns[0]), F.lit(bits))
-    rows = ids.select((at / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).collect()
-    flags = np.zeros(bits // 64, dtype=np.int64)
-    for w, m in rows:
-        flags[w] = m
-    return np.unpackbits(flags.view(np.uint8), bitorder="little").astype(bool)
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, *, rows: int = 64, parts: int = 4096) -> DataFrame:
+    """(a, b): the pairs that are links, by exact intersections of their full sets (id, elements).
+
+    A class of many pairs is sent once for each `rows` of them, so that no task gets all.
+    """
+    pairs = pairs.select("a", "b")
+    full = pairs
+    for c, other in (("b", "a"), ("a", "b")):
+        counts = pairs.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        hot = counts.filter((F.col("n") > rows) & (F.col("n") > pairs.agg(F.count(F.lit(1)) / parts).scalar()))
+        hot = stored(hot.select("id", F.ceil(F.col("n") / rows).cast("int").alias("wide")), "wide")  # fewer than `parts`
+        wide = F.coalesce("wide", F.lit(1))
+        full = full.join(F.broadcast(hot.withColumnRenamed("id", c)), c, "left").withColumn("part", F.pmod(F.xxhash64(other), wide.cast("long")).cast("int")).drop("wide")
+        spread = sets.join(F.broadcast(hot), "id", "left").select(F.col("id").alias(c), F.col("elements").alias(f"elements_{c}"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("part"))
+        full = full.join(spread, [c, "part"]).drop("part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(len(batch), dtype=bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in (0, 1)], names=["a", "b"])
+
+    return full.select("a", "b", "elements_a", "elements_b").mapInArrow(run, "a long, b long")
+
+
+def still_open(met: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
+    """(k, id, comp, m): the classes of band keys whose classes are of several components, and how many there are."""
+    state = met.select("k", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("k", "id", F.coalesce("label", "id").alias("comp"))
+    state = stored(state, "met-components")
+    several = state.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("k", "m")
+    return stored(hot_join(state, stored(several, "open-keys"), "k", hot).filter("m IS NOT NULL"), "open")
+
+
+def one_for_each(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(a, b): in each band key, a class of every component with the class of one of them."""
+    heads = stored(rows.groupBy("k", "comp").agg(F.min_by("id", F.xxhash64("id", "k")).alias("b")), "heads")
+    tops = stored(heads.groupBy("k").agg(F.min_by("b", F.xxhash64("comp", "k")).alias("a")), "tops")
+    return hot_join(heads, tops, "k", hot).filter("a <> b").select("a", "b")
 
 
-def full_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: np.ndarray) -> DataFrame:
-    """(key, elements) of the documents whose id may be wanted; each set once for a task's slice."""
-    given = docs.select(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(len(wanted))).alias("at"), F.col(text).cast("binary").alias("text"))
-    packed = np.packbits(wanted)
+def all_others(rows: DataFrame, classes: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """(a, b): all pairs of classes that share a band key and are of different components, but those that are ruled out.
+
+    A key's classes are cut into chunks of about `chunk`, and every two chunks are a group: none grows with the data.
+    """
+    least = least_agreement(percent)
+
+    def pairs_of(g: np.ndarray, side: np.ndarray, one: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        a, b = [], []
+        for d in range(1, len(g)):
+            i = np.flatnonzero(g[d:] == g[:-d])
+            if not len(i):
+                break
+            j = i + d
+            ok = (comp[i] != comp[j]) & (one[i] | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            good = agreements(sig[i], sig[j]) >= least
+            a.append(ids[i[good]])
+            b.append(ids[j[good]])
+        a, b = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, hashes, sent = np.unpackbits(packed).astype(bool), WordHashes(), set()
+        rest: pa.Table | None = None
         for batch in batches:
-            wanted_texts = batch.column(1).filter(pa.array(flags[batch.column(0).to_numpy()]))
-            for _, texts in slices(wanted_texts, 2 << 20):
+            if not len(batch):
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            key = np.stack([t[c].to_numpy() for c in ("k", "x", "y")])
+            new = np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]
+            last = int(np.flatnonzero(new)[-1])
+            rest = t.slice(last)
+            if last:
+                yield of(t.slice(0, last), np.cumsum(new)[:last])
+        if rest is not None:
+            yield of(rest, np.zeros(len(rest), dtype=np.int64))
+
+    def of(t: pa.Table, g: np.ndarray) -> pa.RecordBatch:
+        column = lambda c: t[c].to_numpy()
+        return pairs_of(g, column("chunk"), column("x") == column("y"), column("id"), column("comp"), column("n"), _signatures(t["sig"].combine_chunks()))
+
+    cut = rows.withColumn("chunks", F.ceil(F.col("m") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    full = cut.join(classes.select("id", "n", "sig"), "id")
+    each = full.select("k", "id", "comp", "n", "sig", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("o"))
+    keys = ["k", "x", "y"]
+    each = each.select("k", F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y"), "chunk", "id", "comp", "n", "sig")
+    return each.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def full_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame, bits: int) -> DataFrame:
+    """(key, elements) of documents whose id is, or may be, in the one column of `wanted`; each key once."""
+    given = among(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")), "doc_id", wanted, bits).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sent = WordHashes(), set()
+        for batch in batches:
+            for _, texts in slices(batch.column(0), 2 << 20):
                 sets = {k: s for s in shingle_sets(texts, n, hashes) if len(s) and (k := _digest(s)) not in sent}
                 sent = (sent if len(sent) < 500_000 else set()) | set(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), type=pa.binary()), pa.array([s.tobytes() for s in sets.values()], type=pa.binary())], names=["key", "elements"])
 
-    return given.mapInArrow(run, "key binary, elements binary")
+    return given.mapInArrow(run, "key binary, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
+
+
+def among(rows: DataFrame, column: str, ids: DataFrame, bits: int) -> DataFrame:
+    """The rows whose value is in the one column of ids (null values stay if ids has null), with some more by chance: ids that fill at
+    most an eighth of `bits` flags are sent as a bit map; more are joined, which shuffles the rows."""
+    size = 1 << max(16, (16 * ids.count()).bit_length())
+    if size > bits:
+        return rows.join(ids.select(F.col(ids.columns[0]).alias("_id")).distinct(), F.col(column).eqNullSafe(F.col("_id")), "left_semi")
+    return rows.filter(flagged(F.col(column), ids, size))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 192, bits: int = 1 << 23) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 256, bits: int = 1 << 26) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; see the module for what counts as a link."""
     return grouped(docs, doc_id, text, n, percent, chunk, bits).select("doc_id", "n_shingles", "component_id")
 
 
-def grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int = 192, bits: int = 1 << 23) -> DataFrame:
+def linked_classes(classes: DataFrame, sets: DataFrame, met: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """(node, label): the components of the links between the classes that meet."""
+    first = likely(met.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), classes, percent)
+    first = stored(first.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")), "stars")
+    labels = stored(components(verified(first, sets, percent)), "labels")
+    hot = hot_keys(met, "k")
+    for turn in ("heads", "others"):
+        rows = still_open(met, labels, hot)
+        if rows.isEmpty():
+            break
+        pairs = one_for_each(rows, hot) if turn == "heads" else all_others(rows, classes, percent, chunk)
+        more = stored(verified(stored(likely(pairs, classes, percent), "likely"), sets, percent), "links")
+        if not more.isEmpty():
+            labels = stored(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
+    return labels
+
+
+def grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int = 256, bits: int = 1 << 26) -> DataFrame:
     """As near_duplicates, with the set's digest `key` and `first`: is this the component's first set, by least id, then digest?"""
     found = stored(sketched(docs, doc_id, text, n), "sketches")
-    classes = found.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("bands").alias("bands"))
+    classes = found.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("bands").alias("bands"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n"))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    clusters = stored(components(stored(candidate_edges(classes), "candidates")), "clusters")
-    sizes = clusters.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    clustered = clusters.join(stored(sizes, "sizes"), "label").select(F.col("node").alias("id"), F.col("label").alias("cluster"), "chunks")
-    clustered = stored(clustered.join(classes.select("id", "key", "least"), "id"), "clustered")
-    sets = full_sets(docs, doc_id, text, n, bit_map(clustered.select("least"), bits))
-    rows = sets.join(clustered.select("key", "id", "cluster", "chunks"), "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
-    pairs = rows.select("cluster", "id", "chunk", "elements", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
-    pairs = pairs.select("cluster", F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y"), "chunk", "id", "elements")
-    labels = stored(components(stored(thinned(verified_edges(pairs, percent)), "links")), "labels")
+    met = stored(meetings(classes), "meetings")
+    wanted = stored(classes.select("id", "key", "least").join(met.select("id").distinct(), "id", "left_semi"), "wanted")
+    sets = stored(full_sets(docs, doc_id, text, n, wanted.select("least"), bits).join(wanted.select("id", "key"), "key").select("id", "elements"), "sets")
+    labels = linked_classes(classes.select("id", "n", "sig"), sets, met, percent, chunk)
     named = classes.select("id", "key", "least").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = stored(named.select("key", "least", "label"), "named")
     whole = stored(named.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("head")), "least")
-    joined = named.filter("label IS NOT NULL").join(whole, "label").select("key", "component_id", (F.col("key") == F.col("head.key")).alias("first"))
+    joined = hot_join(named.filter("label IS NOT NULL"), whole, "label", hot_keys(named.filter("label IS NOT NULL"), "label")).select("key", "component_id", (F.col("key") == F.col("head.key")).alias("first"))
     by_key = stored(named.filter("label IS NULL").select("key", F.col("least").alias("component_id"), F.lit(True).alias("first")).unionByName(joined), "by-key")
     alone = found.filter("key IS NULL").select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
-    return found.filter("key IS NOT NULL").select("doc_id", "n_shingles", "key").join(by_key, "key").select("doc_id", "n_shingles", "key", "component_id", "first").unionByName(alone)
+    full = found.filter("key IS NOT NULL").select("doc_id", "n_shingles", "key")
+    return hot_join(full, by_key, "key", hot_keys(full, "key")).select("doc_id", "n_shingles", "key", "component_id", "first").unionByName(alone)
 
 
-def flagged(column, ids: DataFrame, bits: int = 1 << 23):
+def flagged(column, ids: DataFrame, bits: int):
     """A Column: may the value be among the one column of ids? One bit map of fixed size, no join. Never wrong for a no."""
     at = F.pmod(F.xxhash64(ids.columns[0]), F.lit(bits))
     words = ids.select((at / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
@@ -239,7 +339,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     known = found.filter("doc_id IS NOT NULL")
     repeated = known.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     doubtful = stored(known.filter(~stays).select("doc_id").unionByName(repeated).distinct(), "doubtful")
-    may = F.col(key).isNull() | flagged(F.col(key), doubtful)
+    may = F.col(key).isNull() | flagged(F.col(key), doubtful, 1 << min(26, max(16, (16 * doubtful.count()).bit_length())))
     marked = plain.withColumn("may", may)
     sure = marked.filter("NOT may").drop("may")
     rest = map_texts(marked.filter("may").drop("may"), body, lambda: _keys(n), "set binary", limit=2 << 20)

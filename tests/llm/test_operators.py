@@ -259,6 +259,45 @@ def test_near_duplicates_in_one_large_group(spark):
     assert got == brute(rows, 4)
 
 
+def test_pairs_left_by_the_first_turns_are_found(spark):
+    """Families whose members link only in part: pairs in bands that no leader settles; leaders of single chunks and many tasks."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for f in range(4):
+        base = [f"f{f}w{k}" for k in range(100)]
+        for i in range(60):
+            words = list(base)
+            for at in rng.choice(100, int(rng.integers(0, 5)), replace=False):
+                words[at] = f"f{f}i{i}a{at}"
+            rows.append((1000 * f + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, n=3, chunk=16).collect()), key=str)
+    assert got == brute(rows, 3)
+
+
+def test_every_turn_finds_what_the_one_before_leaves(spark):
+    """The last turn alone gives all pairs that share a band, are not ruled out and not united yet."""
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) > 0.05], rng.integers(0, 2**63, 12, dtype=np.uint64)])) for _ in range(90)]
+    sketches = sketch.fast_sketches(sets, neardup.BANDS * neardup.ROWS)
+    bands = sketch.band_keys(sketches, neardup.ROWS)
+    classes = spark.createDataFrame([(i, len(s), bytearray(b.tobytes()), bytearray(k.astype(np.uint8).tobytes())) for i, (s, b, k) in enumerate(zip(sets, bands, sketches, strict=True))], "id long, n int, bands binary, sig binary")
+    met = neardup.meetings(classes.repartition(3), many=20).cache()
+    owners = defaultdict(set)
+    for i, row in enumerate(bands):
+        for k in row.astype(np.int64).tolist():
+            owners[k].add(i)
+    wanted = {(k, i) for k, v in owners.items() if len(v) > 1 for i in v}
+    assert {(r["k"], r["id"]) for r in met.collect()} == wanted and all((r["k"], r["lead"]) in wanted for r in met.collect())
+    labels = spark.createDataFrame([(i, 0) for i in range(0, 90, 3)] + [(i, 1) for i in range(1, 90, 3)], "node long, label long")
+    comp = lambda i: i % 3 if i % 3 < 2 else i
+    rows = neardup.still_open(met, labels, neardup.hot_keys(met, "k"))
+    got = {(r["a"], r["b"]) for r in neardup.all_others(rows, classes, 80, 8).collect()}
+    fits = lambda i, j: 100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j])) and (sketches[i].astype(np.uint8) == sketches[j].astype(np.uint8)).sum() >= neardup.least_agreement(80)
+    assert got == {(i, j) for v in owners.values() for i in v for j in v if i < j and comp(i) != comp(j) and fits(i, j)}
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(odd).collect()), key=str)
     assert got == brute([(r[0], r[1]) for r in ODD], 5)
