@@ -5,12 +5,14 @@ goes to the others by weight until none is above. In closed form, sources by the
 up to the first that the common level does not fill.
 
 Curriculum: source i has the weight schedule w_i(t) = 1 + a_i (1 - 2t) over the training time t in 0..1, with a_i in
-[-1, 1]; its integral t + a_i t (1 - t) is the share of the target met by time t. A document is taken where its words
-lie in the source's cumulative demand; inverting the integral there gives its training position, and documents are
-range-sorted by position.
+[-1, 1]. Its integral t + a_i t (1 - t), times the target, is the source's cumulative demand. A source's documents lie
+in the order of their hashes, one pass after another; inverting the demand where a pass of a document begins and ends
+gives the times at which its words are asked for, and what is asked for between them is what the mix takes: all of
+its words, some where training ends inside it, none behind that. Documents are range-sorted by position.
 
-Skew: words are cumulated in two levels, inside hashed buckets of a source and over the bucket sums, so no source's
-rows meet in one task. Texts are reduced to counts before anything is shuffled.
+Skew: texts are reduced to counts, and rows equal in source, id and size to one with their number, before anything is
+shuffled. Words are cumulated in two levels, inside hashed buckets of a source and over the bucket sums, so no source's
+rows meet in one task.
 
 Defined cases: null and blank texts have size 0 and are never taken; null sources come last and count as a source;
 sources without words have target 0; repeated rows are rows of their own; ties are broken by hash, id and size, and
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import native_words, table
+from .common import native_words, stored, table
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -44,33 +46,44 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
 
 
 def training_time(share: Column, slope: Column) -> Column:
-    """t with t + a t (1 - t) = share, in the form that is steady for slopes near 0."""
+    """t in 0..1 with t + a t (1 - t) = share, in the form that is steady for slopes near 0; 1 for shares above 1."""
     b = 1 + slope
-    t = F.try_divide(2 * share, b + F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * slope * share)))
+    g = F.least(F.lit(1.0), share)
+    t = F.try_divide(2 * g, b + F.sqrt(F.greatest(F.lit(0.0), b * b - 4 * slope * g)))
     return F.least(F.lit(1.0), F.coalesce(t, F.lit(0.0)))
 
 
+def words_by(t: Column, target: Column, slope: Column) -> Column:
+    """Whole words that a source is asked for by time t."""
+    return F.least(F.round(target * (t + slope * t * (1 - t))), F.floor(target)).cast("long")
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, slopes: tuple[float, ...] = (0.5, -0.5, 0.0), digits: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and the positions of the document's first and last taken pass."""
+    """doc_id, source, size, source_size, target, taken, and the passes over the document in which words are taken:
+    places (position and words of each), and the first and last position."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(native_words(F.col(text))).cast("long").alias("size"))
     plain = plain.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("b", F.substring("h", 1, digits))
-    targets = source_targets(plain.select("source", "size"), weights, share, cap)
-    sums = plain.groupBy("source", "b").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s"), F.col("b").alias("sb"), F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("start"))
-    starts = starts.join(targets.withColumnRenamed("source", "ts"), F.col("s").eqNullSafe(F.col("ts"))).drop("ts")
-    within = Window.partitionBy("source", "b").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = plain.withColumn("into", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    laid = laid.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("sb")), "left")
-    at = F.col("start") + F.col("into")
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.floor(F.col("target")) - passes * F.col("source_size")
-    part = F.least(F.col("size"), F.greatest(F.lit(0), rest - at))
-    taken = (passes * F.col("size") + part).cast("long")
-    slope = F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), (F.col("source_no") % len(slopes) + 1).cast("int"))
-    last = F.when(part > 0, passes).otherwise(passes - 1)
-    when = lambda k: F.when(taken > 0, training_time((k * F.col("source_size") + at) / F.col("target"), slope))
-    return laid.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), when(F.lit(0)).alias("position"), when(last).alias("last_position"))
+    named = plain.withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # never null
+    cells = stored(named.groupBy("s", "source", "b", "h", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
+    words = F.col("size") * F.col("n")
+    targets = stored(source_targets(cells.select("source", words.alias("size")), weights, share, cap).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source", "weight"), "mix-targets")
+    upto = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.groupBy("s", "b").agg(F.sum(words).alias("words")).select("s", "b", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("start"))
+    within = Window.partitionBy("s", "b").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    laid = cells.withColumn("into", F.coalesce(F.sum(words).over(within), F.lit(0))).join(starts.join(targets, "s"), ["s", "b"])
+    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("at", F.col("start") + F.col("into") + F.col("copy") * F.col("size"))
+    laid = laid.withColumn("slope", F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), (F.col("source_no") % len(slopes) + 1).cast("int")))
+    time = lambda words: training_time(F.try_divide(words, F.col("target")), F.col("slope"))
+    asked = lambda words: words_by(time(words), F.col("target"), F.col("slope"))
+
+    def one(k: Column) -> Column:
+        begins = k * F.col("source_size") + F.col("at")
+        return F.struct(time(begins).alias("position"), (asked(begins + F.col("size")) - asked(begins)).alias("words"))
+
+    passes = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int") - 1))
+    laid = laid.withColumn("places", F.filter(F.transform(passes, one), lambda p: p["words"] > 0))
+    taken = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p["words"])
+    return laid.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "places", F.get("places", F.lit(0))["position"].alias("position"), F.try_element_at("places", F.lit(-1))["position"].alias("last_position"))
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
@@ -79,10 +92,19 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
     return mix(docs, **options).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+def passes_in_order(docs: DataFrame, **options) -> DataFrame:
+    """A row for each pass over a document in which words are taken, at its own place in training: position and words."""
+    order = [F.col("position"), F.col("doc_id").asc_nulls_last(), F.col("size")]
+    rows = mix(docs, **options).select("doc_id", "source", "size", F.inline("places"))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    places = [F.round(c, 9).alias(c) for c in ("position", "last_position")]
+    return curriculum(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", *places)
 
 
+#: Takes whole passes and a part of one, and inverts the integral for the first and the last of them.
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
@@ -90,10 +112,15 @@ w AS (SELECT source, n, 2.0::DOUBLE * n AS full_, [3.0::DOUBLE, 1, 2][(row_numbe
   row_number() OVER (ORDER BY encode(source) NULLS LAST) AS no, 1.5::DOUBLE * sum(n) OVER () AS budget FROM s),
 l AS (SELECT *, (budget - coalesce(sum(full_) OVER (ORDER BY full_ / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY full_ / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
-c AS (SELECT source, n, full_, weight, first_value(CASE WHEN level * weight < full_ THEN level END IGNORE NULLS) OVER (ORDER BY full_ / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS common FROM l),
-t AS (SELECT source, n, CASE WHEN n = 0 THEN 0 ELSE coalesce(common * weight, full_) END AS target FROM c),
-p AS (SELECT d.doc_id, d.size, t.n AS source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id NULLS FIRST, d.size
+c AS (SELECT source, n, full_, weight, no, first_value(CASE WHEN level * weight < full_ THEN level END IGNORE NULLS) OVER (ORDER BY full_ / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS common FROM l),
+t AS (SELECT source, n, CASE WHEN n = 0 THEN 0 ELSE coalesce(common * weight, full_) END AS target, [0.5::DOUBLE, -0.5, 0.0][(no - 1) % 3 + 1] AS a FROM c),
+p AS (SELECT d.doc_id, d.size, t.n AS source_size, t.target, t.a, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id NULLS FIRST, d.size
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_, CASE WHEN t.n > 0 THEN floor(t.target / t.n) ELSE 0 END AS passes
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(passes * size + least(size, greatest(0, floor(target) - passes * source_size - at_)) AS BIGINT) AS taken FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, least(size, greatest(0, floor(target) - passes * source_size - at_)) AS part FROM p),
+r AS (SELECT *, CAST(passes * size + part AS BIGINT) AS taken, CASE WHEN part > 0 THEN passes ELSE passes - 1 END AS last_ FROM q)
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN round(2 * (at_ / target) / (1 + a + sqrt(greatest(0, (1 + a) * (1 + a) - 4 * a * (at_ / target)))), 9) END AS position,
+  CASE WHEN taken > 0 THEN round(2 * ((last_ * source_size + at_) / target) / (1 + a + sqrt(greatest(0, (1 + a) * (1 + a) - 4 * a * ((last_ * source_size + at_) / target)))), 9) END AS last_position
+FROM r
 """
