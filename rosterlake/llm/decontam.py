@@ -1,27 +1,35 @@
 """Benchmark decontamination by suffix arrays.
 
-Every task turns its documents, some MB at a time, into a shard: one array of word ids with the sorted array of its
-suffixes. Every suffix of the test items is binary-searched in each shard; the interval found holds all verbatim
-occurrences and where they lie. Each is extended at every place of its window in the items, from where the match begins
-(what goes on to the left is part of a longer one), and the longest is kept. The plan is one narrow stage: no
-shuffle, so no key can be hot. The test items are read in blocks of bounded size (`block_words`), one pass of the
-stage for each; a task holds one block at a time.
+Every task turns its documents, some MB at a time, into a shard: one array of word ids with the array of its suffixes,
+sorted by as many words as a window has. Every suffix of the test items is binary-searched in each shard; the interval
+found holds all verbatim occurrences and where they lie. Each is extended at every place of its window in the items, from
+where the match begins (what goes on to the left is part of a longer one), and the longest is kept with its place.
+
+The plan is one narrow stage over the documents: no shuffle of texts, so no key can be hot. The test items are written to
+the shared folder by Spark in blocks of about `block_words` words; a task searches a shard for one block after another and
+holds one block at a time, and the driver none.
 
 Only suffixes that can match stand in a shard's array: those where as many known words follow as the shortest
 window has. Leaving out the rest loses nothing.
 
 Defined cases: null and empty texts have no words and are never hit; items without words have no windows; a null
-item_id is listed as "null"; repeated items or documents count each on their own rows, items once by id; an empty
+item_id is listed as "null"; repeated items or documents count each on their own rows, items once by id; of longest
+matches of one length the one of the item last by name counts, and there the first place; an empty
 benchmark leaves every document clean; other columns pass through unread.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import as_uri, map_texts, prepare, shared_dir, table
 
 #: A-Z become a-z; what is neither a digit, a letter nor beyond ASCII becomes a blank.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -96,108 +104,99 @@ class TestBlock:
         return int(differ[0]) if len(differ) else len(part)
 
 
-def _scan(block: TestBlock):
-    def make():
+class Shard:
+    """Word ids of some documents for one block, each followed by 0, and what the block's windows hit in them."""
+
+    def __init__(self, block: TestBlock, rows: list[list[bytes]], sizes: np.ndarray, begins: np.ndarray):
         get = block.ids.get
+        ends = begins + sizes + 1
+        ids = np.zeros(int(ends[-1]), dtype=np.int64)
+        for r, a in zip(rows, begins.tolist(), strict=True):
+            if r:
+                ids[a : a + len(r)] = np.fromiter((get(w, 0) for w in r), dtype=np.int64, count=len(r))
+        self.edge = np.zeros(len(ids) + 1, dtype=np.int64)
+        self.items: dict[int, set[str]] = {}
+        self.best: dict[int, tuple[int, str, int]] = {}
+        for key, at in block.search(ids):
+            np.add.at(self.edge, at, 1)
+            np.add.at(self.edge, at + len(key), -1)
+            owners = {block.names[k] for k in block.owners[key]}
+            docs, left = np.searchsorted(ends, at, side="right"), ids[at - 1]  # the last id is 0, as is the one before a document
+            for d in np.unique(docs).tolist():
+                self.items.setdefault(d, set()).update(owners)
+            for word, places in block.places[key].items():
+                first = (left != word) | (word == 0)
+                for d, p in zip(docs[first].tolist(), at[first].tolist(), strict=True):
+                    for place in places:
+                        found = (block.longest(ids, p, place), block.names[place[0]], int(begins[d]) - p)
+                        self.best[d] = max(self.best.get(d, found), found)
+
+
+_held: dict[str, TestBlock] = {}  # the block that a Python worker searches for, from slice to slice and task to task
+
+
+def _block(path: str, window: int) -> TestBlock:
+    if path not in _held:
+        _held.clear()
+        store, base = fs.FileSystem.from_uri(path)
+        files = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")]
+        items = pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read() for f in files])
+        _held[path] = TestBlock(list(zip(items["name"].to_pylist(), items["text"].to_pylist(), strict=True)), window)
+    return _held[path]
+
+
+def _scan(paths: list[str], window: int):
+    def make():
+        turn = 0
 
         def f(texts: list[bytes | None]) -> list:
+            nonlocal turn
             rows = [item_words(x) for x in texts]
             sizes = np.array([len(r) for r in rows], dtype=np.int64)
-            ends = np.cumsum(sizes + 1)
-            begins = ends - sizes - 1
-            ids = np.zeros(int(ends[-1]), dtype=np.int64)
-            for r, a in zip(rows, begins, strict=True):
-                if r:
-                    ids[a : a + len(r)] = np.fromiter((get(w, 0) for w in r), dtype=np.int64, count=len(r))
-            edge = np.zeros(len(ids) + 1, dtype=np.int64)
-            items: dict[int, set[str]] = {}
-            best: dict[int, tuple] = {}
-            for key, at in block.search(ids):
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + len(key), -1)
-                owners = {block.names[k] for k in block.owners[key]}
-                docs, left = np.searchsorted(ends, at, side="right"), ids[at - 1]  # the last id is 0, as is the one before a document
-                for d in np.unique(docs).tolist():
-                    items.setdefault(d, set()).update(owners)
-                for word, places in block.places[key].items():
-                    first = (left != word) | (word == 0)
-                    for d, p in zip(docs[first].tolist(), at[first].tolist(), strict=True):
-                        for place in places:
-                            n = block.longest(ids, p, place)
-                            best[d] = max(best.get(d, (0, "", 0)), (n, block.names[place[0]], -(p - int(begins[d]))))
-            hit = np.cumsum(edge[:-1]) > 0
+            begins = np.cumsum(sizes + 1) - sizes - 1
+            hit = np.zeros(int(sizes.sum()) + len(sizes), dtype=bool)
+            items: list[set[str]] = [set() for _ in texts]
+            best: list[tuple[int, str | None, int]] = [(0, None, 0)] * len(texts)
+            for path in reversed(paths) if turn % 2 else paths:  # the last block of a slice is the first of the next
+                shard = Shard(_block(path, window), rows, sizes, begins)
+                hit |= np.cumsum(shard.edge[:-1]) > 0
+                for d, found in shard.items.items():
+                    items[d] |= found
+                for d, found in shard.best.items():
+                    best[d] = found if best[d][1] is None else max(best[d], found)
+            turn += 1
             total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[begins + sizes] - total[begins]
-            masks = [np.packbits(hit[a : a + n]).tobytes() if n_hit[i] else b"" for i, (a, n) in enumerate(zip(begins, sizes, strict=True))]
-            tops = [best.get(d, (0, None, 0)) for d in range(len(texts))]
-            return [sizes, masks, [sorted(items.get(d, ())) for d in range(len(texts))], [t[0] for t in tops], [t[1] for t in tops], [-t[2] if t[0] else None for t in tops]]
+            return [sizes, total[begins + sizes] - total[begins], [sorted(x) for x in items], [b[0] for b in best], [b[1] for b in best], [-b[2] if b[0] else None for b in best]]
 
         return f
 
     return make
 
 
-_FIELDS = "_n long, _mask binary, _items array<string>, _longest long, _longest_item string, _longest_at long"
+_FIELDS = "n_words long, n_hit long, items array<string>, longest long, longest_item string, longest_at long"
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, block_words: int):
-    """The test items in blocks of about block_words words; one block is in memory at a time."""
-    part, size = [], 0
-    for r in benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), F.col(text).cast("binary")).toLocalIterator():
-        n = len(item_words(r[1]))
-        if part and size + n > block_words:
-            yield part
-            part, size = [], 0
-        part.append((r[0], bytes(r[1]) if r[1] is not None else None))
-        size += n
-    if part:
-        yield part
+def write_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> list[str]:
+    """Writes the test items (name, text) to the shared folder, dealt by hash to blocks of about block_words words."""
+    spark = benchmark.sparkSession
+    prepare(spark)
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("name"), F.col(text).cast("string").alias("text"))
+    words = items.agg(F.coalesce(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
+    blocks = max(1, -(-words // block_words))
+    root = f"{as_uri(shared_dir(spark))}/test-items-{uuid.uuid4().hex}"
+    dealt = items.select("name", F.col("text").cast("binary"), F.pmod(F.xxhash64("name", "text"), F.lit(blocks)).alias("block"))
+    dealt.repartition("block").write.partitionBy("block").parquet(root)
+    return [f"{root}/block={r[0]}" for r in dealt.select("block").distinct().orderBy("block").collect()]
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 1 << 19, keep: list[Column] | None = None) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 1 << 17, keep: list[Column] | None = None) -> DataFrame:
     """`keep` (default: all columns of docs) with one struct column `found`: n_words, n_hit, items (sorted ids) and the
     longest verbatim match that begins with a window: its words, item and position in the document."""
     cols = [docs[c] for c in docs.columns] if keep is None else keep
-    state = docs.select(F.struct(*cols).alias("row"), F.col(text).cast("binary").alias("text"))
-    parts = blocks_of(benchmark, item_id, item_text, block_words)
-    part, turn = next(parts, []), 0
-    while part is not None:
-        after = next(parts, None)
-        state = _fold(state, TestBlock(part, window), turn, last=after is None)
-        part, turn = after, turn + 1
-    n_hit = F.col("s._hit")
-    found = F.struct(F.col("s._n").alias("n_words"), n_hit.alias("n_hit"), F.col("s._items").alias("items"), F.col("s._longest").alias("longest"), F.col("s._longest_item").alias("longest_item"), F.col("s._longest_at").alias("longest_at"))
-    return state.select("row.*", found.alias("found"))
-
-
-def _ones(mask: Column) -> Column:
-    """Set bits of a binary: its hex digits, each replaced by as many characters as it has bits set."""
-    digits = F.hex(mask)
-    by_bits = {1: "1248", 2: "3569AC", 3: "7BDE", 4: "F"}
-    return sum((F.length(digits) - F.length(F.translate(digits, d, ""))) * k for k, d in by_bits.items()).cast("long")
-
-
-def _fold(state: DataFrame, block: TestBlock, turn: int, *, last: bool) -> DataFrame:
-    """One pass over the stage: the hits of this block joined to those of the blocks before."""
-    before = [F.col("row")] + [F.col("text")] * (not last) + [F.col("s")] * (turn > 0)
-    got = map_texts(state, "text", _scan(block), _FIELDS, keep=before)
-    if not turn:
-        s = F.struct("_n", "_mask", "_items", "_longest", "_longest_item", "_longest_at", _ones(F.col("_mask")).alias("_hit"))
-    else:
-        mask = F.when(F.length("s._mask") == 0, F.col("_mask")).when(F.length("_mask") == 0, F.col("s._mask")).otherwise(_either(F.col("s._mask"), F.col("_mask")))
-        better = F.col("_longest") > F.col("s._longest")
-        pick = lambda c: F.when(better, F.col(c)).otherwise(F.col(f"s.{c}")).alias(c)
-        s = F.struct("_n", mask.alias("_mask"), F.array_sort(F.array_union("s._items", "_items")).alias("_items"), pick("_longest"), pick("_longest_item"), pick("_longest_at"), _ones(mask).alias("_hit"))
-    return got.select("row", *["text"] * (not last), s.alias("s"))
-
-
-def _either(a: Column, b: Column) -> Column:
-    """Bitwise or of two binaries of equal length, eight hex digits at a time."""
-    x, y = F.hex(a), F.hex(b)
-    at = F.sequence(F.lit(1), F.length(x), F.lit(8))
-    word = lambda h, i: F.conv(F.substring(h, i, F.lit(8)), 16, 10).cast("long")
-    width = lambda i: F.least(F.lit(8), F.length(x) - i + 1)
-    return F.unhex(F.array_join(F.transform(at, lambda i: F.lpad(F.hex(word(x, i).bitwiseOR(word(y, i))), width(i), F.lit("0"))), ""))
+    paths = write_blocks(benchmark, item_id, item_text, block_words)
+    whole = docs.select(F.struct(*cols).alias("row"), F.col(text).alias("text"))
+    got = map_texts(whole, "text", _scan(paths, window), _FIELDS, keep=[F.col("row")], limit=4 << 20 if len(paths) < 2 else 32 << 20)
+    return got.select("row.*", F.struct(*[c.split()[0] for c in _FIELDS.split(", ")]).alias("found"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
@@ -211,22 +210,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, tests = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     got = annotate(docs, tests, keep=[F.col("doc_id")])
-    return got.select("doc_id", F.col("found.n_words").alias("n_words"), F.col("found.n_hit").alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
+    return got.select("doc_id", F.col("found.n_words").alias("n_words"), F.col("found.n_hit").alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"), *[F.col(f"found.{c}").alias(c) for c in ("longest", "longest_item", "longest_at")])
 
 
-#: Windows as joined words; a document word is hit if any of the windows that hold it occurs in an item.
+#: Windows as joined words; a document word is hit if any of the windows that hold it occurs in an item. Windows that follow one
+#: another in a document and in an item are one match.
 OP10_SQL = r"""
 WITH low AS (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
 item AS (SELECT item_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
-size AS (SELECT item_id, w, least(10, len(w)) AS n FROM item WHERE len(w) > 0),
-win AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM size)),
+size AS (SELECT row_number() OVER () AS q, item_id, w, least(10, len(w)) AS n FROM item WHERE len(w) > 0),
+place AS (SELECT q, coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, n, j, array_to_string(w[j : j + n - 1], ' ') AS k FROM (SELECT q, item_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM size)),
+win AS (SELECT DISTINCT item_id, n, k FROM place),
 doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 lens AS (SELECT DISTINCT n FROM win),
 pos AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lens)),
 occ AS (SELECT r, i, p.n, item_id FROM pos p JOIN win USING (n, k)),
 hit AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM (SELECT DISTINCT r, i, n FROM occ)) GROUP BY r),
+runs AS (SELECT r, q, item_id, p.n, i, i - j AS diagonal, i - row_number() OVER (PARTITION BY r, q, i - j ORDER BY i) AS run FROM pos p JOIN place USING (n, k)),
+matches AS (SELECT r, item_id, min(i) - 1 AS at_, count(*) + n - 1 AS len FROM runs GROUP BY r, q, item_id, n, diagonal, run),
+top AS (SELECT r, max(len) AS longest, arg_max(item_id, (len, item_id, -at_)) AS longest_item, arg_max(at_, (len, item_id, -at_)) AS longest_at FROM matches GROUP BY r),
 its AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM occ) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest, longest_item, CAST(longest_at AS BIGINT) AS longest_at
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN its USING (r) LEFT JOIN top USING (r)
 """
