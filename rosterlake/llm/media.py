@@ -6,12 +6,15 @@ directory of the members' offsets and a footer that tells where it starts. A tas
 stands in the committed manifest, so what lost or repeated attempts leave behind is never read.
 
 Reading: the data source plans byte ranges over the archives from their sizes alone, never from a list of members, so
-planning does not grow with the rows. A task reads the archive's directory, takes the members that begin inside its
-range, decodes them and streams Arrow batches of bounded size. Each member is retried on its own, by its offset,
-with the file opened anew; one that stays unreadable fails the task rather than vanish.
+planning does not grow with the rows, and beyond `max_ranges` ranges grow instead of their number. A task reads the
+archive's directory, takes the members that begin inside its range, reads them in one pass over one open file, decodes
+them and streams their payloads as Arrow batches of bounded size; features are columns over the payload column. Each
+member is retried on its own, by its offset, with the file opened anew; one that stays unreadable fails the task rather
+than vanish.
 
 Defined cases: null and empty texts are 64 zero bytes with n_bytes 0; the payload is padded with 1 to 64 zero bytes;
-equal texts give equal values; repeated rows give a row each; an empty table gives no archive and no rows.
+equal texts give equal values; a null id has a flag of its own, so any number may be an id; repeated rows give a row
+each; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -27,19 +30,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import prepare, shared_dir, table
+from .common import as_uri, map_texts, prepare, shared_dir, table
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-_HEAD = ">4sqqqI"  # magic, row key, bytes unpadded, bytes of the member, their checksum
+_HEAD = ">4s?qqqI"  # magic, has the row a key, the key, bytes unpadded, bytes of the member, their checksum
 _FOOT = ">qqI4s"  # start of the directory, its members, its checksum, magic
 _MAGIC, _END = b"MEDI", b"MEND"
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_COLUMNS = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload binary"
 
 
 def padded(data: bytes) -> bytes:
@@ -86,15 +89,6 @@ def feature(payload: bytes) -> str:
     return f"h={len(x) // WIDTH};mean={x.mean():.4f};std={x.std():.4f};bins=" + ",".join(f"{b / len(x):.4f}" for b in bins)
 
 
-def as_uri(folder: str) -> str:
-    """With its scheme and, for local files, the two slashes that Arrow's file systems want."""
-    return "file://" + folder.removeprefix("file:").removeprefix("//") if folder.startswith(("/", "file:")) else folder
-
-
-def _key(doc_id) -> int:
-    return -(1 << 63) if doc_id is None else doc_id
-
-
 def write_archives(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", archive_bytes: int = 256 << 20) -> str:
     """Stores every text as a PNG member; returns the path of the committed manifest (archive, bytes, members)."""
     prepare(docs.sparkSession)
@@ -120,7 +114,7 @@ def write_archives(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text
                 raw = data.as_py() or b""
                 member = to_png(padded(raw))
                 index.append(at)
-                out.write(struct.pack(_HEAD, _MAGIC, _key(key.as_py()), len(raw), len(member), zlib.crc32(member)) + member)
+                out.write(struct.pack(_HEAD, _MAGIC, key.is_valid, key.as_py() or 0, len(raw), len(member), zlib.crc32(member)) + member)
                 at += struct.calcsize(_HEAD) + len(member)
                 if at >= archive_bytes:
                     close()
@@ -141,94 +135,123 @@ class ByteRange(InputPartition):
         self.archive, self.start, self.end = archive, start, end
 
 
-class MediaReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.manifest = options["manifest"]
-        self.range_bytes, self.tries = int(options.get("range_bytes", 16 << 20)), int(options.get("tries", 4))
-        self.batch_rows = int(options.get("batch_rows", 512))
+class Archive:
+    """One archive, read forward through one open file and a buffer; what fails is read anew from its offset."""
 
-    def partitions(self) -> list[ByteRange]:
-        """Ranges of about range_bytes over every committed archive; the list grows with the bytes, not the rows."""
-        store, base = fs.FileSystem.from_uri(self.manifest)
-        parts = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")]
-        out = []
-        for p in parts:
-            got = pq.read_table(store.open_input_file(p), columns=["archive", "bytes"])
-            for name, size in zip(got["archive"].to_pylist(), got["bytes"].to_pylist(), strict=True):
-                out += [ByteRange(name, a, min(size, a + self.range_bytes)) for a in range(0, size, self.range_bytes)]
-        return out or [ByteRange("", 0, 0)]
+    def __init__(self, store: fs.FileSystem, path: str, tries: int, buffer: int = 1 << 20):
+        self.store, self.path, self.tries, self.buffer = store, path, tries, buffer
+        self.file, self.begin, self.data = None, 0, b""
 
-    def member(self, store: fs.FileSystem, archive: str, at: int) -> tuple[int, int, bytes, bytes]:
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.file, self.data = None, b""
+
+    def bytes_at(self, at: int, size: int) -> bytes:
+        if not (self.begin <= at and at + size <= self.begin + len(self.data)):
+            if self.file is None:
+                self.file = self.store.open_input_file(self.path)
+            self.file.seek(at)
+            self.begin, self.data = at, self.file.read(max(size, self.buffer))
+        return self.data[at - self.begin : at - self.begin + size]
+
+    def member(self, at: int) -> tuple[int | None, int, bytes, bytes]:
         """Key, unpadded size, stored bytes and payload of the member at this offset; tried anew by itself."""
         for left in range(self.tries - 1, -1, -1):
             try:
-                with store.open_input_file(archive) as f:
-                    f.seek(at)
-                    magic, key, n, size, crc = struct.unpack(_HEAD, f.read(struct.calcsize(_HEAD)))
-                    data = f.read(size)
+                magic, known, key, n, size, crc = struct.unpack(_HEAD, self.bytes_at(at, struct.calcsize(_HEAD)))
+                data = self.bytes_at(at + struct.calcsize(_HEAD), size) if magic == _MAGIC else b""
                 if magic != _MAGIC or len(data) != size or zlib.crc32(data) != crc:
-                    raise OSError(f"the member at {at} of {archive} is damaged")
-                return key, n, data, from_png(data)
+                    raise OSError(f"the member at {at} of {self.path} is damaged")
+                return key if known else None, n, data, from_png(data)
             except (OSError, ValueError, struct.error, zlib.error):
+                self.close()
                 if not left:
                     raise
                 time.sleep(0.05 * (self.tries - left))
         raise AssertionError
 
-    def offsets(self, store: fs.FileSystem, part: ByteRange) -> list[int]:
-        size = store.get_file_info(part.archive).size
-        with store.open_input_file(part.archive) as f:
-            f.seek(size - struct.calcsize(_FOOT))
-            start, n, crc, magic = struct.unpack(_FOOT, f.read(struct.calcsize(_FOOT)))
-            f.seek(start)
-            directory = f.read(8 * n)
+    def offsets(self, start: int, end: int) -> list[int]:
+        """Offsets of the members that begin from start to end, from the directory behind the members."""
+        size, foot = self.store.get_file_info(self.path).size, struct.calcsize(_FOOT)
+        where, n, crc, magic = struct.unpack(_FOOT, self.bytes_at(size - foot, foot))
+        directory = self.bytes_at(where, 8 * n)
         if magic != _END or zlib.crc32(directory) != crc:
-            raise OSError(f"the directory of {part.archive} is damaged")
+            raise OSError(f"the directory of {self.path} is damaged")
         all_of = np.frombuffer(directory, dtype=">i8")
-        return all_of[(all_of >= part.start) & (all_of < part.end)].tolist()
+        return all_of[(all_of >= start) & (all_of < end)].tolist()
+
+
+class MediaReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.manifest = options["manifest"]
+        self.range_bytes, self.tries = int(options.get("range_bytes", 16 << 20)), int(options.get("tries", 4))
+        self.max_ranges, self.batch_bytes, self.batch_rows = int(options.get("max_ranges", 20_000)), int(options.get("batch_bytes", 4 << 20)), int(options.get("batch_rows", 512))
+
+    def partitions(self) -> list[ByteRange]:
+        """Ranges over every committed archive, of range_bytes or so much more that there are about max_ranges."""
+        store, base = fs.FileSystem.from_uri(self.manifest)
+        parts = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".parquet")]
+        sizes: list[tuple[str, int]] = []
+        for p in parts:
+            got = pq.read_table(store.open_input_file(p), columns=["archive", "bytes"])
+            sizes += zip(got["archive"].to_pylist(), got["bytes"].to_pylist(), strict=True)
+        step = max(self.range_bytes, -(-sum(s for _, s in sizes) // self.max_ranges))
+        return [ByteRange(name, a, min(size, a + step)) for name, size in sizes for a in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         if not part.archive:
             return
-        store, _ = fs.FileSystem.from_uri(self.manifest)
-        rows: list[tuple] = []
-        for at in self.offsets(store, part):
-            key, n, data, payload = self.member(store, part.archive, at)
-            rows.append((None if key == _key(None) else key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)))
-            if len(rows) == self.batch_rows:
+        archive = Archive(fs.FileSystem.from_uri(self.manifest)[0], part.archive, self.tries)
+        rows, held = [], 0
+        for at in archive.offsets(part.start, part.end):
+            key, n, data, payload = archive.member(at)
+            rows.append((key, n, len(data), hashlib.sha256(data).hexdigest(), payload))
+            held += len(payload)
+            if held >= self.batch_bytes or len(rows) == self.batch_rows:
                 yield self.batch(rows)
-                rows = []
+                rows, held = [], 0
         if rows:
             yield self.batch(rows)
+        archive.close()
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = [x.split()[0] for x in _FEATURES.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = [x.split()[0] for x in _COLUMNS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 class MediaSource(DataSource):
-    """spark.read.format("media_archive").option("manifest", ...).load(root): a row of features for each member."""
+    """spark.read.format("media_archive").option("manifest", ...).load(): a row for each member, with its payload."""
 
     @classmethod
     def name(cls) -> str:
         return "media_archive"
 
     def schema(self) -> str:
-        return _FEATURES
+        return _COLUMNS
 
     def reader(self, schema: T.StructType) -> MediaReader:
         return MediaReader(dict(self.options))
 
 
-def media_features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Stores the texts as images, then the rows that the data source reads back from the archives."""
-    spark = docs.sparkSession
-    manifest = write_archives(docs, as_uri(shared_dir(spark)), doc_id=doc_id, text=text)
+def read_archives(spark: SparkSession, manifest: str, **options) -> DataFrame:
+    """doc_id, n_bytes, media_bytes, media_sha256 and payload (binary) of every member."""
+    prepare(spark)
     spark.dataSource.register(MediaSource)
     return spark.read.format("media_archive").option("manifest", manifest).options(**options).load()
 
 
+def media_features(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Stores the texts as images, reads their payloads back from the archives and computes features over them."""
+    spark = docs.sparkSession
+    members = read_archives(spark, write_archives(docs, as_uri(shared_dir(spark)), doc_id=doc_id, text=text), **options)
+    payload = F.col("payload")
+    of_payload = [F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), F.crc32(F.substring(payload, -WIDTH, WIDTH)).alias("tail_crc32")]
+    keep = [F.col("doc_id"), F.col("n_bytes"), *of_payload, F.col("media_bytes"), F.col("media_sha256")]
+    return map_texts(members, "payload", lambda: lambda payloads: [[feature(p) for p in payloads]], "feature string", keep=keep)
+
+
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
