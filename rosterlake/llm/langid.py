@@ -5,9 +5,10 @@ the whole word, and of its presence in each language's lexicon; transitions betw
 sequences splice segments of documents of several languages, so the chain meets switches. Forward-backward gives
 every word its marginals; a text's language is the one with the largest mean marginal, its score that mean.
 
-The fit takes at most about `sample` documents of each language, drawn by hash, up to 640 words of each in segments
-spread evenly over the whole text (documented bounds); nothing else reaches the driver but the count of each language.
-Prediction is one narrow stage over whole texts.
+The fit takes at most about `sample` documents of each language, drawn by the hash of their text, copies once, and up to
+`pieces` x `words` words of each in segments spread evenly over the whole text (documented bounds); nothing else reaches
+the driver but the count of each language. Prediction is one narrow stage over whole texts: all words and all of
+their n-grams count. Long texts are walked in pieces of PIECE words at once, joined by exact messages at their ends.
 
 Defined cases: null texts and texts without a letter are `und` with score 0, as is everything when no labelled text was
 given; ties go to the first language by name; repeated rows are labelled each; empty tables give no rows; language,
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, prepare, remainder, table
 
 CELLS = 1 << 17
-WIDTH = 26  # bytes of a word with its two boundary marks; longer words keep both ends
+PIECE = 1024  # words of a long text that are walked one after another; its pieces are walked side by side
 _LETTERS = bytes(c if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -46,51 +47,61 @@ def has_letter(text: bytes | None) -> bool:
 
 
 class Features:
-    """Cells and lexicon rows of a list of words."""
-
-    def __init__(self, words: list[bytes]):
-        short = [b"^" + (w if len(w) <= WIDTH - 2 else w[: WIDTH // 2 - 1] + w[-(WIDTH // 2 - 1) :]) + b"$" for w in words]
-        m = np.array(short, dtype=f"S{WIDTH}").view(np.uint8).reshape(len(words), WIDTH).astype(np.uint32)
-        cells, valid = [], []
-        h = m
-        for n in range(2, 5):
-            h = h[:, :-1] * np.uint32(0x01000193) + m[:, n - 1 :] + np.uint32(n)
-            cells.append((h * np.uint32(0x9E3779B1)) >> np.uint32(15))
-            valid.append(m[:, n - 1 :] > 0)
-        whole = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), dtype=np.uint32, count=len(words))
-        cells.append((whole >> np.uint32(15))[:, None])
-        valid.append(np.ones((len(words), 1), dtype=bool))
-        self.cells = np.concatenate(cells, axis=1).astype(np.int32)
-        self.valid = np.concatenate(valid, axis=1)
+    """Cells of a list of words, with the word that each belongs to: all n-grams of a word in its boundary marks, and the word."""
+
+    def __init__(self, words: list[bytes], shortest: int = 2, longest: int = 4):
+        marked = b"".join(b"^" + w + b"$" for w in words)
+        b = np.frombuffer(marked, dtype=np.uint8).astype(np.uint32)
+        sizes = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
+        word = np.repeat(np.arange(len(words)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(b))  # bytes of the word from here on
+        cells, owner, h = [], [], b
+        for n in range(2, longest + 1):
+            h = h[: len(b) - n + 1] * np.uint32(0x01000193) + b[n - 1 :] + np.uint32(n)
+            if n >= shortest:
+                inside = left[: len(h)] >= n
+                cells.append((h[inside] * np.uint32(0x9E3779B1)) >> np.uint32(15))
+                owner.append(word[: len(h)][inside])
+        cells.append(np.fromiter((xxhash.xxh32_intdigest(w) for w in words), dtype=np.uint32, count=len(words)) >> np.uint32(15))
+        owner.append(np.arange(len(words)))
+        self.cells, self.owner = np.concatenate(cells).astype(np.int64), np.concatenate(owner)
 
 
 def chain_marginals(emissions: np.ndarray, starts: np.ndarray, sizes: np.ndarray, transition: np.ndarray, *, want_behind: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
     """Forward-backward over packed sequences: rows starts[i] .. starts[i] + sizes[i] of emissions are sequence i.
 
     Returns the marginals and, if wanted, what comes to each word from behind (its backward message times its own
-    evidence). All sequences advance together, those that have ended drop out; every message is scaled to sum 1.
+    evidence). A sequence of more than two PIECEs is cut into such, whose messages at the ends come from the products of
+    their words' matrices; then all sequences advance together, those that have ended drop out. Messages are scaled to sum 1.
     """
-    order = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[order], sizes[order]
     p = np.exp(emissions - emissions.max(1, keepdims=True)).astype(np.float32)
     t = np.exp(transition - transition.max()).astype(np.float32)
-    forward = np.empty_like(p)
+    n = len(t)
+    before = np.full((len(sizes), n), np.nan, dtype=np.float32)  # message into a first word; NaN: it has none before it
+    after = np.ones((len(sizes), n), dtype=np.float32)  # message into a last word from behind
+    long = sizes > 2 * PIECE
+    if long.any():
+        rest = ~long
+        parts = ((starts[rest], sizes[rest], before[rest], after[rest]), _pieces(p, t, starts[long], sizes[long]))
+        starts, sizes, before, after = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes, before, after = starts[order], sizes[order], before[order], after[order]
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # sequences longer than each step
-    state = None
+    forward, state = np.empty_like(p), None
     for i in range(longest):
         k = int(active[i])
         at = starts[:k] + i
-        state = p[at] if state is None else (state[:k] @ t) * p[at]
+        state = np.where(np.isnan(before), 1, before)[:k] * p[at] if state is None else (state[:k] @ t) * p[at]
         state /= state.sum(1, keepdims=True)
         forward[at] = state
-    back = np.ones((0, p.shape[1]), dtype=np.float32)
+    back = after[:0]
     out, behind = forward, np.empty_like(p) if want_behind else None
     for i in range(longest - 1, -1, -1):
         k = int(active[i])
         at = starts[:k] + i
         if k > len(back):
-            back = np.concatenate([back, np.ones((k - len(back), p.shape[1]), dtype=np.float32)])
+            back = np.concatenate([back, after[len(back) : k]])
         both = out[at] * back
         out[at] = both / both.sum(1, keepdims=True)
         back = back * p[at]
@@ -101,6 +112,34 @@ def chain_marginals(emissions: np.ndarray, starts: np.ndarray, sizes: np.ndarray
     return out, behind
 
 
+def _pieces(p: np.ndarray, t: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts and sizes of the PIECEs of sequences, the messages into their first words, and into their last from behind."""
+    n, counts = len(t), -(-sizes // PIECE)
+    first = np.cumsum(counts) - counts
+    within = np.arange(counts.sum()) - np.repeat(first, counts)
+    at, length = np.repeat(starts, counts) + PIECE * within, np.minimum(PIECE, np.repeat(sizes, counts) - PIECE * within)
+    product = np.broadcast_to(np.eye(n), (len(at), n, n)).copy()
+    for i in range(PIECE):  # of every word's matrix: the transition into it (none into a sequence's first), then its evidence
+        k = np.flatnonzero(length > i)
+        x = product[k] @ t
+        if not i:
+            x[first] = product[first]
+        x *= p[at[k] + i][:, None, :]
+        product[k] = x / x.max((1, 2), keepdims=True)
+    before, after = np.full((len(at), n), np.nan), np.ones((len(at), n))
+    for a, count in zip(first.tolist(), counts.tolist(), strict=True):
+        state, behind = np.ones(n), np.ones(n)
+        for j in range(a + 1, a + count):
+            state = state @ product[j - 1]
+            state /= state.sum()
+            before[j] = state @ t
+        for j in range(a + count - 1, a, -1):
+            behind = product[j] @ behind
+            behind /= behind.sum()
+            after[j - 1] = behind
+    return at, length, before.astype(np.float32), after.astype(np.float32)
+
+
 class LanguageModel:
     def __init__(self, texts: list[tuple[str, list[bytes]]], *, rounds: int = 2, seed: int = 5, length: int = 64, batch: int = 256, lexicon: int = 1000):
         self.langs = sorted({lang for lang, w in texts if w})
@@ -131,7 +170,7 @@ class LanguageModel:
 
     def emissions(self, words: list[bytes], features: Features | None = None) -> np.ndarray:
         f = features or Features(words)
-        got = np.where(f.valid[:, :, None], self.weights[f.cells], 0).sum(1)
+        got = np.stack([np.bincount(f.owner, weights=self.weights[f.cells, k], minlength=len(words)) for k in range(len(self.langs))], 1).astype(np.float32)
         for i, w in enumerate(words):
             for lang in self.lexicon.get(w, ()):
                 got[i] += self.lexical[lang]
@@ -159,9 +198,7 @@ class LanguageModel:
                 gradient = -m
                 gradient[np.arange(len(part)), y] += 1
                 by_word = np.stack([np.bincount(back, weights=gradient[:, k], minlength=len(unique)) for k in range(n)], 1)
-                rows, cols = np.nonzero(f.valid)
-                cells = f.cells[rows, cols]
-                by_cell = np.stack([np.bincount(cells, weights=by_word[rows, k], minlength=CELLS) for k in range(n)], 1)
+                by_cell = np.stack([np.bincount(f.cells, weights=by_word[f.owner, k], minlength=CELLS) for k in range(n)], 1)
                 lexical = np.zeros_like(self.lexical)
                 for i, w in enumerate(unique):
                     for lang in self.lexicon.get(w, ()):
@@ -197,8 +234,7 @@ class LanguageModel:
             memory.clear()
             rows[0] = rows[0][:0]
         fresh = list({w for ws in split for w in ws}.difference(memory))
-        for a in range(0, len(fresh), 8_192):
-            part = fresh[a : a + 8_192]
+        for part in batches_of(fresh):
             base = len(memory)
             memory.update(zip(part, range(base, base + len(part)), strict=True))
             rows[0] = np.concatenate([rows[0], self.emissions(part)])
@@ -217,6 +253,19 @@ class LanguageModel:
         return out
 
 
+def batches_of(words: list[bytes], most: int = 8_192, size: int = 1 << 17) -> Iterator[list[bytes]]:
+    """Words in lists of at most `most` words and about `size` bytes."""
+    part, held = [], 0
+    for w in words:
+        part.append(w)
+        held += len(w)
+        if len(part) == most or held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def spread(words: list[bytes], pieces: int = 40, size: int = 16) -> list[bytes]:
     """All words, or `pieces` runs of `size` words at even distances over the text."""
     if len(words) <= pieces * size:
@@ -225,8 +274,8 @@ def spread(words: list[bytes], pieces: int = 40, size: int = 16) -> list[bytes]:
     return [w for at in places for w in words[at : at + size]]
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = 400) -> LanguageModel:
-    """Fits on rows (text, lang), about `sample` of each language."""
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = 400, pieces: int = 40, words: int = 16) -> LanguageModel:
+    """Fits on rows (text, lang), about `sample` of each language, with up to `pieces` runs of `words` words of each text."""
     prepare(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     totals = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
@@ -236,14 +285,14 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: int
         draw = draw | ((F.col(lang) == name) & share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[str, bytes]] = set()  # copies count once, or a text that many rows hold would be all there is
+        sent: set[tuple[str, bytes]] = set()  # copies count once, here and over all tasks
         for batch in batches:
-            got = {(a, b" ".join(spread(letter_words(x)))) for a, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)} - sent
+            got = {(a, b" ".join(spread(letter_words(x), pieces, words))) for a, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)} - sent
             sent |= got
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], type=t) for i, t in ((0, pa.string()), (1, pa.binary()))], names=["lang", "words"])
 
-    rows = known.filter(draw).select(F.col(lang).alias("lang"), F.col(text).cast("binary")).mapInArrow(run, "lang string, words binary").collect()
-    return LanguageModel([(a, w.split()) for a, w in sorted({(r[0], bytes(r[1])) for r in rows})])
+    rows = known.filter(draw).select(F.col(lang).alias("lang"), F.col(text).cast("binary")).mapInArrow(run, "lang string, words binary").distinct().collect()
+    return LanguageModel([(a, w.split()) for a, w in sorted((r[0], bytes(r[1])) for r in rows)])
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep=None) -> DataFrame:
