@@ -6,8 +6,9 @@ brought to unit length, and a linear hinge-loss model is fitted by dual coordina
 the margins of rows kept out of the descent turns margins into scores.
 
 The fit takes at most about `sample` labelled rows, drawn by the hash of their id (a documented bound): their ids are
-broadcast, so texts are not shuffled to find them, and their indicators (8 KB each at most) are gathered. Scoring is
-one narrow stage over all texts.
+broadcast, so texts are not shuffled to find them, and their indicators (128 KB each at most) are gathered, one row for each
+id: of several texts under one id the one of least indicators counts. The descent runs until no step would move a margin by
+`tolerance`. Scoring is one narrow stage over all texts.
 
 Defined cases: null and empty texts have no indicators and get the score of the bias; labels that are null or neither
 0 nor 1 do not count; an id labelled twice counts with the mean, ties as 1; repeated documents are scored each; with
@@ -53,8 +54,11 @@ def log_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0)
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def descend(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, *, cost: float, rounds: int, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss; weights already hold the ratios. The bias is one more feature."""
+def descend(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, *, cost: float, rounds: int, tolerance: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the hinge loss; weights already hold the ratios. The bias is one more feature.
+
+    Minimises |w|^2 / 2 + bias^2 / 2 + sum of c_i * max(0, 1 - y_i * (w . x_i + bias)), where the classes weigh alike in c.
+    """
     w, bias = np.zeros(CELLS), 0.0
     signs = np.where(labels > 0, 1.0, -1.0)
     values = [ratios[c] for c in rows]
@@ -64,15 +68,20 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, *, c
     share = signs.mean() / 2 + 0.5
     most = np.where(signs > 0, cost * min(4.0, 0.5 / share), cost * min(4.0, 0.5 / (1 - share)))
     for _ in range(rounds):
+        most_off = 0.0
         for i in rng.permutation(len(rows)):
             c, v, y = rows[i], values[i], signs[i]
             gradient = y * (w[c] @ v + bias) - 1
+            off = min(gradient, 0.0) if alpha[i] == 0 else max(gradient, 0.0) if alpha[i] == most[i] else gradient
+            most_off = max(most_off, abs(off))
             new = min(max(alpha[i] - gradient / 2.0, 0.0), most[i])  # |x|^2 is 1, and 1 for the bias
             if new != alpha[i]:
                 step = (new - alpha[i]) * y
                 w[c] += step * v
                 bias += step
                 alpha[i] = new
+        if most_off < tolerance:
+            break
     return w, bias
 
 
@@ -127,8 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             cells = [indicators(x, seen).astype(np.uint16).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, type=pa.binary())], names=["id", "y", "cells"])
 
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(drawn), "id").select("id", "y", "text")
-    got = sorted((r["id"], r["y"], bytes(r["cells"])) for r in rows.mapInArrow(run, "id long, y int, cells binary").collect())
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(drawn), "id").select("id", "y", "text")
+    each = rows.mapInArrow(run, "id long, y int, cells binary").groupBy("id", "y").agg(F.min("cells").alias("cells"))
+    got = sorted((r["id"], r["y"], bytes(r["cells"])) for r in each.collect())
     return QualityModel([np.frombuffer(c, dtype=np.uint16).astype(np.int64) for _, _, c in got], np.array([y for _, y, _ in got], dtype=float))
 
 
