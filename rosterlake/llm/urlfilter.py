@@ -3,8 +3,9 @@
 Two variable-order Markov models are counted from the URLs that the rules accept and reject. The probability of a
 character after contexts of length 0 to ORDER is interpolated with the share of new characters after each context
 (Witten-Bell): p_k = c / (n + t) + t / (n + t) * p_(k-1), where an unseen context leaves p_(k-1) as it is. The score is
-the difference of the two log-likelihoods divided by the length; the threshold is the one that splits the training
-URLs with the least mean error of the two classes.
+the difference of the two log-likelihoods divided by the length. A fifth of the rules' URLs, by the hash of host and path (so
+copies stay together), is kept out of the counts; the threshold is the one that splits these with the least mean error of
+the two classes. Where they lack a class, all of the rules' URLs calibrate.
 
 Size: nothing is folded, cut or hashed. The last ORDER + 1 characters up to a character (its window) fix all its grams and
 contexts, so windows are counted exactly, in a distributed aggregation with map-side combining (a hot URL is a few
@@ -13,7 +14,7 @@ windows up by equi-join. Only windows that hold at least 1 / `cells` of all char
 of them, and what is left for the shuffle has no hot key; results are the same for any `cells`.
 
 Defined cases: a null url or one without :// has empty host, path and text, score 0; a class without URLs has a flat
-model; without a threshold (no URL that a rule fits) it is 0; longest rule wins; repeated rows are judged each.
+model; without URLs that a rule fits the threshold is 0; longest rule wins; repeated rows are judged each.
 """
 
 from __future__ import annotations
@@ -114,15 +115,25 @@ def threshold(scored: DataFrame) -> DataFrame:
     return errors.agg(F.coalesce(F.min_by("mid", F.struct("error", "x")), F.lit(0.0)).alias("threshold"))
 
 
+def kept_apart(text: Column) -> Column:
+    """Is the URL one of the fifth that calibrates?"""
+    return F.pmod(F.xxhash64(text), F.lit(5)) == 0
+
+
 def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules=RULES, cells: int = 1 << 16) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of every row; the rules' own URLs are the training set."""
+    """page_id, host, path, rule, verdict and score of every row; the rules' own URLs train and calibrate."""
     u = F.col(url).cast("string")
     plain = pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"))
-    plain = stored(plain.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).withColumn("id", F.monotonically_increasing_id()), "urls")
-    found = stored(scores(plain.select("id", F.concat("host", "path").alias("text"), F.col("fit.verdict").alias("verdict")), cells), "url-scores")
+    plain = plain.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).withColumn("text", F.concat("host", "path"))
+    plain = plain.withColumn("apart", kept_apart(F.col("text"))).withColumn("id", F.monotonically_increasing_id())
+    plain = stored(plain, "urls")
+    learned = F.when(~F.col("apart"), F.col("fit.verdict"))
+    found = stored(scores(plain.select("id", "text", learned.alias("verdict")), cells), "url-scores")
     empty = (F.col("host") == "") & (F.col("path") == "")
     got = plain.join(found, "id").withColumn("score", F.when(empty, F.lit(0.0)).otherwise(F.col("score")))
-    cut = stored(threshold(got.filter("fit IS NOT NULL").select("score", "fit.verdict")), "url-threshold")
+    known = got.filter("fit IS NOT NULL").select("score", "fit.verdict", "apart")
+    both = known.filter("apart").agg((F.count_distinct("verdict") == 2).alias("x")).scalar()
+    cut = stored(threshold(known.filter(F.col("apart") | ~both).select("score", "verdict")), "url-threshold")
     verdict = F.coalesce("fit.verdict", F.when(F.col("score") > cut.select("threshold").scalar(), "block").otherwise("allow"))
     return got.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score")
 
