@@ -243,7 +243,12 @@ class Scorer:
             place, classes = self.v.lookup()
             first = (self.p.r * self.p.c1) @ self.p.q.T
             second = (self.p.r * self.p.c2) @ self.p.q.T + self.p.b
-            norm = np.log(np.exp(first) @ np.exp(second).T)
+            a, b = first.max(1, keepdims=True), second.max(1, keepdims=True)  # so that no exponent overflows
+            product = np.exp(first - a) @ np.exp(second - b).T
+            lost = product < 1e-30  # pairs whose sum has no large term: added up one by one
+            norm = np.log(np.where(lost, 1, product)) + a + b.T
+            for i in np.flatnonzero(lost.any(1)):
+                norm[i, lost[i]] = np.logaddexp.reduce(first[i] + second[lost[i]], axis=1)
             _built[self.v.key] = got = (place, classes, (first, second, norm))
         return got
 
