@@ -32,22 +32,35 @@ class Forest:
         if a != b:
             self.parent[max(a, b)] = min(a, b)
 
-    def edges(self) -> pa.RecordBatch:
-        pairs = [(x, self.root(x)) for x in self.parent]
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+def finished(edges: DataFrame) -> DataFrame:
+    """(u, p): each node of a few edges (a, b) with its component's least node; one task."""
 
-def components(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, nodes = Forest(), set()
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                forest.join(a, b)
+                nodes.update((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (list(nodes), [forest.root(x) for x in nodes])], names=["u", "p"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "u long, p long")
+
+
+def components(edges: DataFrame, *, few: int = 1 << 17) -> DataFrame:
     """(node, label) for every node of the edges (a, b: long); nodes of a component have one of its nodes as label.
 
     Each round gives every node the neighbour of least random rank below its own as parent, follows parents once more
     and contracts the edges to the parents; ranks are drawn anew each round, so edges vanish geometrically whatever the
-    graph's shape. Labels follow the maps of all rounds. All steps are aggregations with map-side combining and
-    equi-joins of written tables, which the adaptive planner splits where one node is hot.
+    graph's shape. When at most `few` are left, one task unites them. Labels follow the maps of all rounds. All steps are
+    aggregations with map-side combining and equi-joins of written tables, which the adaptive planner splits where one node is hot.
     """
     left = stored(_tidy(edges), "edges")
     maps: list[DataFrame] = []
-    while not left.isEmpty():
+    while size := left.count():
+        if size <= few:
+            maps.append(stored(finished(left), "parents"))
+            break
         rank = lambda c, k=len(maps): F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("n"))
         both = left.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(left.select(F.col("b").alias("u"), F.col("a").alias("v")))
         up = both.groupBy("u").agg(F.min(rank("v")).alias("r")).select("u", F.least("r", rank("u"))["n"].alias("p"))
