@@ -12,10 +12,14 @@ def test_stages_are_the_dealt_ones():
 
 
 def test_stages_keep_columns_and_take_odd_rows(spark, odd):
-    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    """Odd rows come with nulls, ties, repeated rows, a long text, and extra columns of names that the stages use."""
     for name, stage in pipeline.STAGES[:-1]:
-        assert stage(spark, plain, SF).columns == plain.columns, name
-        assert stage(spark, plain.filter("false"), SF).count() == 0, name
+        got = stage(spark, odd, SF)
+        assert got.columns == odd.columns and got.filter("may <> 'mine' OR row <> 'mine'").count() == 0, name
+        assert stage(spark, odd.filter("false"), SF).count() == 0, name
+    mixed = pipeline.mix_sources(spark, odd, SF)
+    assert mixed.count() == odd.count() and mixed.filter("size = 0 AND taken > 0").count() == 0
+    assert pipeline.mix_sources(spark, odd.filter("false"), SF).count() == 0
 
 
 def test_run_equals_its_stages_in_plain_python(spark, docs):
