@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean, clean_name, collapse_ws, rstrip_chars, strip_chars
+from .text import clean, clean_name, collapse_ws, let, rstrip_chars, strip_chars
 
 #: Patterns and word lists that results must follow. Fixed values.
 INLINE_AKA = r"(?i)\s*(?:,\s*)?\b(?:a/k/a|a\.\s?k\.\s?a\.?|aka)\b[.:]?\s*"
@@ -26,10 +26,10 @@ MILITARY_UNITS = r"^(Institute|Institution|Ministry|Academy|Bureau|Corporation|R
 MILITARY_ADDRESS = r"^(No\.|P\.?O\.?\s?Box|Room|Rm\b|Building|Bldg|Floor|Flat|Unit\b|Suite|\d)"
 GLUED_ADDRESS = r"^(.*\b(?:Ltd|Limited|Inc|Corp|Co)\.?,?)\s+((?:No\.\s?\S+|Floor\s+\S+|Room\s+\S+|\d+\S*).*)$"
 #: Two-letter codes in address slots. Fixed values (ISO 3166 names as the lists print them).
-COUNTRY_CODES = dict(
-    AE="United Arab Emirates", AF="Afghanistan", AL="Albania", AR="Argentina", AT="Austria", AU="Australia", BE="Belgium", BG="Bulgaria", BR="Brazil", BY="Belarus", CA="Canada", CH="Switzerland", CL="Chile", CN="China", CO="Colombia", CU="Cuba", CY="Cyprus", CZ="Czechia", DE="Germany", DK="Denmark", DZ="Algeria", EG="Egypt", ES="Spain", FI="Finland", FR="France", GB="United Kingdom", GR="Greece", HK="Hong Kong", HU="Hungary", ID="Indonesia", IE="Ireland", IL="Israel", IN="India", IQ="Iraq", IR="Iran", IT="Italy", JO="Jordan", JP="Japan", KP="North Korea", KR="South Korea", KW="Kuwait", KZ="Kazakhstan", LB="Lebanon", LI="Liechtenstein", LK="Sri Lanka", LT="Lithuania", LU="Luxembourg", LV="Latvia", LY="Libya", MO="Macau", MT="Malta", MX="Mexico", MY="Malaysia", NG="Nigeria", NL="Netherlands", NO="Norway", NZ="New Zealand", OM="Oman", PA="Panama", PE="Peru", PH="Philippines", PK="Pakistan", PL="Poland", PT="Portugal", QA="Qatar", RO="Romania", RS="Serbia", RU="Russia", SA="Saudi Arabia", SE="Sweden", SG="Singapore", SK="Slovakia", SY="Syria", TH="Thailand", TR="Turkey", TW="Taiwan", UA="Ukraine", US="United States", UZ="Uzbekistan", VE="Venezuela", VN="Vietnam", YE="Yemen", ZA="South Africa",
-)
-STATE_CODES = "AK AZ AR CT DC FL HI IA KS KY MA MI MN MS NC ND NE NH NJ NM NV NY OH OK OR RI TN TX UT VA VT WA WI WV WY".split()
+COUNTRY_CODES = {
+    "AE": "United Arab Emirates", "AF": "Afghanistan", "AL": "Albania", "AR": "Argentina", "AT": "Austria", "AU": "Australia", "BE": "Belgium", "BG": "Bulgaria", "BR": "Brazil", "BY": "Belarus", "CA": "Canada", "CH": "Switzerland", "CL": "Chile", "CN": "China", "CO": "Colombia", "CU": "Cuba", "CY": "Cyprus", "CZ": "Czechia", "DE": "Germany", "DK": "Denmark", "DZ": "Algeria", "EG": "Egypt", "ES": "Spain", "FI": "Finland", "FR": "France", "GB": "United Kingdom", "GR": "Greece", "HK": "Hong Kong", "HU": "Hungary", "ID": "Indonesia", "IE": "Ireland", "IL": "Israel", "IN": "India", "IQ": "Iraq", "IR": "Iran", "IT": "Italy", "JO": "Jordan", "JP": "Japan", "KP": "North Korea", "KR": "South Korea", "KW": "Kuwait", "KZ": "Kazakhstan", "LB": "Lebanon", "LI": "Liechtenstein", "LK": "Sri Lanka", "LT": "Lithuania", "LU": "Luxembourg", "LV": "Latvia", "LY": "Libya", "MO": "Macau", "MT": "Malta", "MX": "Mexico", "MY": "Malaysia", "NG": "Nigeria", "NL": "Netherlands", "NO": "Norway", "NZ": "New Zealand", "OM": "Oman", "PA": "Panama", "PE": "Peru", "PH": "Philippines", "PK": "Pakistan", "PL": "Poland", "PT": "Portugal", "QA": "Qatar", "RO": "Romania", "RS": "Serbia", "RU": "Russia", "SA": "Saudi Arabia", "SE": "Sweden", "SG": "Singapore", "SK": "Slovakia", "SY": "Syria", "TH": "Thailand", "TR": "Turkey", "TW": "Taiwan", "UA": "Ukraine", "US": "United States", "UZ": "Uzbekistan", "VE": "Venezuela", "VN": "Vietnam", "YE": "Yemen", "ZA": "South Africa",
+}
+STATE_CODES = ["AK", "AZ", "AR", "CT", "DC", "FL", "HI", "IA", "KS", "KY", "MA", "MI", "MN", "MS", "NC", "ND", "NE", "NH", "NJ", "NM", "NV", "NY", "OH", "OK", "OR", "RI", "TN", "TX", "UT", "VA", "VT", "WA", "WI", "WV", "WY"]
 #: Locations of sanctioned parties by their country. Fixed values.
 LOCATIONS = {
     "people's republic of china": "China", "china": "China", "russia": "Russia", "russian federation": "Russia", "north korea": "North Korea", "dprk": "North Korea", "south korea": "South Korea", "iran": "Iran", "syria": "Syria", "burma": "Burma", "myanmar": "Burma", "united arab emirates": "United Arab Emirates", "uae": "United Arab Emirates", "czech republic": "Czech Republic",
@@ -101,25 +101,36 @@ def suffix_split(s: Column, suffixes: list[str]) -> Column:
 
 def absorb_units(nr: Column, units: str, addresses: str, times: int = 2, when: Column | None = None) -> Column:
     """Takes up to `times` comma segments that name a sub-unit, not an address, from rest into name."""
-    for _ in range(times):
+
+    def once(nr: Column) -> Column:
         seg = F.trim(F.substring_index(nr["rest"], ",", 1))
         tail = F.trim(F.regexp_replace(nr["rest"], r"(?s)^[^,]*,?", ""))
         take = (seg != "") & ~seg.rlike(addresses) & seg.rlike(units)
         take = take if when is None else take & when
-        nr = F.when(take, F.struct(F.concat(nr["name"], F.lit(", "), seg).alias("name"), tail.alias("rest"))).otherwise(nr)
-        # a segment that is not taken ends it: from then on the same segment fails again
+        return F.when(take, F.struct(F.concat(nr["name"], F.lit(", "), seg).alias("name"), tail.alias("rest"))).otherwise(nr)
+
+    for _ in range(times):  # a segment that is not taken ends it: from then on the same segment fails again
+        nr = let(nr, once)
     return nr
 
 
 def military_split(s: Column) -> Column:
     """struct(name, rest) by the military end-user list's rules: sub-units in, glued addresses out."""
-    nr = absorb_units(suffix_split(s, MILITARY_SUFFIXES), MILITARY_UNITS, MILITARY_ADDRESS)
-    plain = s.rlike(AKA_CUT)
-    behind = lambda x, rest: F.trim(F.concat(x, F.when(rest != "", F.concat(F.lit(", "), rest)).otherwise(F.lit(""))))
-    glued = F.when(nr["name"].rlike(GLUED_ADDRESS), F.struct(F.trim(rstrip_chars(F.regexp_extract(nr["name"], GLUED_ADDRESS, 1), ",")).alias("name"), behind(F.trim(F.regexp_extract(nr["name"], GLUED_ADDRESS, 2)), nr["rest"]).alias("rest"))).otherwise(nr)
     number = r"^(.*\S)\s+(No\.\s?[A-Z]?\d+)$"
-    moved = F.when(glued["name"].rlike(number) & (glued["rest"] != ""), F.struct(rstrip_chars(F.regexp_extract(glued["name"], number, 1), ",").alias("name"), F.concat(F.regexp_extract(glued["name"], number, 2), F.lit(", "), glued["rest"]).alias("rest"))).otherwise(glued)
-    return F.when(plain, suffix_split(s, MILITARY_SUFFIXES)).otherwise(moved)
+    behind = lambda x, rest: F.trim(F.concat(x, F.when(rest != "", F.concat(F.lit(", "), rest)).otherwise(F.lit(""))))
+
+    def unglued(nr: Column) -> Column:
+        name, address = (F.trim(rstrip_chars(F.regexp_extract(nr["name"], GLUED_ADDRESS, 1), ",")), F.trim(F.regexp_extract(nr["name"], GLUED_ADDRESS, 2)))
+        return F.when(nr["name"].rlike(GLUED_ADDRESS), F.struct(name.alias("name"), behind(address, nr["rest"]).alias("rest"))).otherwise(nr)
+
+    def numbered(nr: Column) -> Column:
+        moved = F.struct(rstrip_chars(F.regexp_extract(nr["name"], number, 1), ",").alias("name"), F.concat(F.regexp_extract(nr["name"], number, 2), F.lit(", "), nr["rest"]).alias("rest"))
+        return F.when(nr["name"].rlike(number) & (nr["rest"] != ""), moved).otherwise(nr)
+
+    def whole(nr: Column) -> Column:
+        return F.when(s.rlike(AKA_CUT), nr).otherwise(let(let(absorb_units(nr, MILITARY_UNITS, MILITARY_ADDRESS), unglued), numbered))
+
+    return let(suffix_split(s, MILITARY_SUFFIXES), whole)
 
 
 def list_alias(s: Column, *, military: bool = False) -> Column:

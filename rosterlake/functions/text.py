@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from pyspark.sql import types as T
 LINE_ENDS = r"[\r\n\x0b\x0c\x1c-\x1e\u0085  ]+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once and written once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm(s: Column) -> Column:
     """Search key: no diacritics, lower case, other than a-z 0-9 blank; "" for null. Stays in the JVM."""
     wide = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(s, F.lit("")), F.lit(True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,22 @@ def repeated(entities: DataFrame, *keys: str) -> DataFrame:
     return entities.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def document_frequency(docs: DataFrame, id: str, words: Column) -> DataFrame:
+    """(w, df): in how many ids each word stands. Ids of one row are counted map-side; only what stands under repeated ids is made distinct first."""
+    each = docs.select(F.col(id).alias("id"), F.array_distinct(words).alias("ws"))
+    again = each.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
+    single = each.join(again, "id", "left_anti").select(F.explode("ws").alias("w"))
+    many = each.join(again, "id", "left_semi").select("id", F.explode("ws").alias("w")).distinct().select("w")
+    return single.unionByName(many).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+
+
+def with_repeated(rows: DataFrame, name: str, key: Column, *within: Column, match: Column | None = None) -> DataFrame:
+    """Adds whether `match` (default: the key) is a key that occurs more than once together with equal values of `within` anywhere."""
+    keyed = rows.withColumn("_key", key).withColumn("_match", key if match is None else match).withColumns({f"_w{i}": w for i, w in enumerate(within)})
+    again = keyed.groupBy("_key", *[f"_w{i}" for i in range(len(within))]).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_key").alias("_match")).distinct().withColumn(name, F.lit(True))
+    return keyed.join(again, "_match", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_key", "_match", *[f"_w{i}" for i in range(len(within))])
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise SourceError(f"nothing was extracted from {what}")

@@ -1,6 +1,6 @@
 """Order-dependent operators: carry-forward, blocks, clusters and segments, as windows within a file, page or block.
 
-Every window is partitioned; none moves a whole table to one task.
+Every window is partitioned by what the caller names (a file, page or block), so a task holds one of these.
 """
 
 from __future__ import annotations
@@ -37,17 +37,18 @@ def gap_clusters(df: DataFrame, position: str, gap: float, *, by: list[str], nam
 
 
 def anchor_clusters(df: DataFrame, position: str, tolerance: float, *, by: list[str], name: str = "cluster") -> DataFrame:
-    """Adds a number for rows within `tolerance` of their cluster's first row: sequential, so a fold over each page's positions."""
-    places = df.groupBy(*by).agg(F.sort_array(F.collect_set(position), asc=False).alias("_all"))
-    empty = F.array().cast("array<struct<p:double,n:int,anchor:double>>")
-
-    def add(acc: Column, p: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        near = (F.size(acc) > 0) & (last["anchor"] - p < tolerance)
-        return F.array_append(acc, F.when(near, F.struct(p.alias("p"), last["n"].alias("n"), last["anchor"].alias("anchor"))).otherwise(F.struct(p.alias("p"), (F.coalesce(last["n"], F.lit(0)) + 1).alias("n"), p.alias("anchor"))))
+    """Adds a number for rows within `tolerance` of their cluster's first row, its anchor.
 
-    folded = places.select(*by, F.inline(F.aggregate(F.transform("_all", lambda x: x.cast("double")), empty, add)))
-    return df.join(folded.select(*by, F.col("p").alias(position), F.col("n").alias(name)), [*by, position])
+    Which rows are anchors is sequential, so a fold over each page's distinct positions keeps the anchors, and nothing else; a running
+    count of them is the number.
+    """
+    places = df.groupBy(*by).agg(F.sort_array(F.collect_set(position), asc=False).alias("_all"))
+    far = lambda acc, p: (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) - p >= tolerance)
+    anchors = F.aggregate(F.transform("_all", lambda x: x.cast("double")), F.array().cast("array<double>"), lambda acc, p: F.when(far(acc, p), F.array_append(acc, p)).otherwise(acc))
+    marked = df.join(places.select(*by, F.explode(anchors).alias(position)).withColumn("_anchor", F.lit(1)), [*by, position], "left")
+    order = Window.partitionBy(*by).orderBy(F.col(position).desc())
+    first = F.when(F.col("_anchor").isNotNull() & (F.row_number().over(Window.partitionBy(*by, position).orderBy("_anchor")) == 1), 1).otherwise(0)
+    return marked.withColumn("_first", first).withColumn(name, F.sum("_first").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("_anchor", "_first")
 
 
 def largest_gap(df: DataFrame, position: str, anchor: Column, *, by: list[str]) -> DataFrame:

@@ -6,11 +6,15 @@ so that no query pays for them, nn (normalized name) and x (normalized country,
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions.text import norm
 
+_PLAIN = set(string.ascii_lowercase + string.digits)
 EXACT, PREFIX, IN_NAME, IN_ALIASES, IN_DETAILS, BROWSE = 100, 85, 70, 55, 25, 50
 
 
@@ -57,34 +61,81 @@ def ranked(groups: DataFrame, *, page: int = 40, pages: int = 1) -> DataFrame:
     return groups.orderBy(F.desc("score"), F.desc("n_recs"), F.collate("name", "UNICODE"), "nn").limit(page * pages)
 
 
+def normalized(query: str) -> str:
+    """norm of one query, where no table is at hand."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", query) if unicodedata.category(c) != "Mn").lower()
+    return " ".join("".join(c if c in _PLAIN else " " for c in plain).split())
+
+
 def search(idx: DataFrame, query: str, *, lists: DataFrame | None = None, list_id: str | None = None, agency: str = "all") -> DataFrame | None:
     """Groups that match; None if the normalized query is shorter than 2 and no list is chosen, whose rows are browsed then."""
-    plain = idx.sparkSession.range(1).select(norm(F.lit(query))).first()[0]
-    if list_id is not None and lists is not None and lists.filter(F.col("id") == list_id).isEmpty():
-        list_id = None  # a list nobody knows is no filter
-    rows = idx
-    if list_id is not None:
+    plain, rows = normalized(query), idx
+    if list_id is not None and lists is None:
         rows = rows.filter(F.col("l") == list_id)
-    elif agency != "all":
-        rows = rows.join(lists.filter(family(F.col("agency_short")) == agency).select(F.col("id").alias("l")), "l", "left_semi")
+    elif list_id is not None and len(plain) < 2 and lists.filter(F.col("id") == list_id).isEmpty():
+        return None  # nothing to browse
+    elif list_id is not None or agency != "all":
+        # a list nobody knows is no filter
+        known = lists.agg((F.count_if(F.col("id") == list_id) > 0).alias("known")).scalar() if list_id is not None else F.lit(False)
+        if agency == "all":
+            rows = rows.filter((F.col("l") == list_id) | ~known)
+        else:
+            rows = rows.join(lists.filter(F.when(known, F.col("id") == list_id).otherwise(family(F.col("agency_short")) == agency)).select(F.col("id").alias("l")), "l", "left_semi")
     if len(plain) < 2:
         return grouped(rows.withColumn("score", F.lit(BROWSE))) if list_id is not None else None
     return grouped(rows.withColumn("score", score(F.lit(plain), F.col("nn"), F.col("k"), F.col("x"))).filter("score > 0"))
 
 
-def screen(idx: DataFrame, queries: DataFrame, *, block: int = 200) -> DataFrame:
-    """(qid, n, l, score) of many queries at once: stated queries in blocks, each a pass of literals over the index; no join.
+def grams(tokens: Column, *sizes: int) -> Column:
+    """Distinct substrings of these sizes of each token."""
+
+    def of(n: int) -> Column:
+        places = lambda t: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1))
+        long = F.filter(tokens, lambda t: F.length(t) >= n)
+        return F.flatten(F.transform(long, lambda t: F.transform(places(t), lambda i: F.substr(t, i, F.lit(n)))))
+
+    return F.array_distinct(F.concat(*map(of, sizes)))
+
+
+def rarest(asked: DataFrame, frequency: DataFrame, *keep: str) -> DataFrame:
+    """(keep, g) for each row of asked (keep, gs array): the least frequent of its pieces; rows with one that occurs nowhere go."""
+    each = asked.select(*keep, F.size("gs").alias("_n"), F.explode("gs").alias("g")).join(frequency, "g")
+    best = each.groupBy(*keep, "_n").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count(F.lit(1)).alias("_found"))
+    return best.filter("_found = _n").select(*keep, "g")
+
 
-    queries: (qid, q). A block of queries is an array literal, so the plan is one narrow stage however large the index.
+def screen(idx: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, n, l, ord, score) of many queries (qid, q) at once.
+
+    A query matches only rows that hold all pieces of up to three characters of its words. So each query is joined by
+    the rarest of these, and what meets is scored; nothing passes through the driver, and no query meets rows that lack its piece.
     """
-    given = [(r["qid"], r["q"]) for r in queries.select("qid", norm(F.col("q")).alias("q")).filter("length(q) >= 2").toLocalIterator()]
-    out = None
-    for at in range(0, len(given), block):
-        asked = F.array(*[F.struct(F.lit(a).alias("qid"), F.lit(q).alias("q")) for a, q in given[at : at + block]])
-        tiers = F.filter(F.transform(asked, lambda x: F.struct(x["qid"].alias("qid"), score(x["q"], F.col("nn"), F.col("k"), F.col("x")).alias("score"))), lambda x: x["score"] > 0)
-        part = idx.select(F.explode(tiers).alias("m"), "n", "l", "ord").select("m.qid", "n", "l", "ord", "m.score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked = queries.select("qid", norm(F.col("q")).alias("q")).filter("length(q) >= 2")
+    words = F.split("q", " ")
+    short = F.filter(words, lambda t: F.length(t) < 3)
+    asked = asked.select("qid", "q", F.array_distinct(F.concat(short, grams(words, 3))).alias("gs"))
+    held = idx.select("n", "l", "ord", "nn", "k", "x", F.explode(grams(F.array_distinct(F.split(F.concat_ws(" ", "k", "x"), " ")), 1, 2, 3)).alias("g"))
+    keys = rarest(asked, held.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "qid", "q")
+    tiers = held.join(keys, "g").withColumn("score", score(F.col("q"), F.col("nn"), F.col("k"), F.col("x")))
+    return tiers.filter("score > 0").select("qid", "n", "l", "ord", "score")
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id): which of the normalized texts docs (doc_id, t) contain which of items (item_id, q), anywhere.
+
+    The words of an item but its first and last are whole words of a text that contains it, so an item is joined by the rarest
+    of them; items without such words are joined by pieces of three characters of their words, or by these.
+    """
+    words = F.split("q", " ")
+    inner = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    asked = items.filter("q <> ''").select("item_id", "q", inner.alias("gs"))
+    some = docs.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("g"))
+    by_word = rarest(asked.filter(F.size("gs") > 0), some.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "item_id", "q")
+    few = asked.filter(F.size("gs") == 0).select("item_id", "q", F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) < 3), grams(words, 3))).alias("gs"))
+    pieces = docs.select("doc_id", "t", F.explode(grams(F.array_distinct(F.split("t", " ")), 1, 2, 3)).alias("g")).join(few.select(F.explode("gs").alias("g")).distinct(), "g", "left_semi")
+    by_piece = rarest(few, pieces.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "item_id", "q")
+    met = some.join(by_word, "g").unionByName(pieces.join(by_piece, "g"))
+    return met.filter(F.contains("t", F.col("q"))).select("item_id", "doc_id")
 
 
 def summary(groups: DataFrame | None, shown: int = 40) -> str:
@@ -115,13 +166,6 @@ def list_cards(order: DataFrame, lists: DataFrame, counts: DataFrame) -> DataFra
     return got.select("pos", "id", "short_name", "agency_short", F.when(F.coalesce("n_records", F.lit(0)) > 0, F.format_number("n_records", 0)).otherwise("—").alias("shown")).orderBy("pos")
 
 
-def bundle(idx: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row: generated, dcl_url, lists by id and counts by list. Records stay a table of their own."""
-    lists = meta.select("generated", "dcl_url", F.map_from_entries(F.transform("lists", lambda x: F.struct(x["id"].alias("k"), x.alias("v")))).alias("lists"))
-    counts = counts_by_list(idx).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("l", "n_records")))).alias("counts"))
-    return lists.join(counts, F.lit(True))
-
-
 def progress(boxes: DataFrame) -> DataFrame:
     """Checked of all boxes for each group: (group, box_id, checked)."""
     return boxes.groupBy("group").agg(F.count_if("checked").alias("done"), F.count(F.lit(1)).alias("total"))

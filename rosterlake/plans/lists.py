@@ -5,29 +5,26 @@ All take and give DataFrames; none collects. Order-dependent steps work within a
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions import dates, names, text
-from rosterlake.functions.company import parse_entry, smart_title
+from rosterlake.functions.company import smart_title, with_entry
 from rosterlake.functions.parens import heading_parts, live_name
-from rosterlake.operators import merge, ordered
+from rosterlake.operators import checks, merge, ordered
 from rosterlake.schema import entity
-from rosterlake.session import ship
 from rosterlake.sources.files import column
 
 
 def _listed(df: DataFrame, list_id: str, **given: Column) -> DataFrame:
-    ship(df.sparkSession)
     return df.select(F.lit(list_id).alias("list_id"), "ord", *entity(**given))
 
 
-def _labelled(label: str, c: Column) -> Column:
+def labelled(label: str, c: Column) -> Column:
     return F.when(c.isNotNull(), F.concat(F.lit(label), c))
 
 
-def _notes(*parts: Column, sep: str = "; ") -> Column:
+def notes_of(*parts: Column, sep: str = "; ") -> Column:
     return F.nullif(F.concat_ws(sep, *parts), F.lit(""))
 
 
@@ -43,7 +40,7 @@ def release_orders(rows: DataFrame) -> DataFrame:
     df = _with(rows, "Entity", "WRO/Finding", "Industry", "Merchandise", "Remarks", "Country", "Status", "Effective Date")
     raw = text.clean(F.col("Entity"))
     df = df.filter(raw.isNotNull()).withColumn("s", names.split_akas(raw))
-    notes = _notes(text.clean(F.col("WRO/Finding")), *[_labelled(f"{c}: ", text.clean(F.col(c))) for c in ("Industry", "Merchandise", "Remarks")])
+    notes = notes_of(text.clean(F.col("WRO/Finding")), *[labelled(f"{c}: ", text.clean(F.col(c))) for c in ("Industry", "Merchandise", "Remarks")])
     return _listed(df, "cbp-wro", name=F.col("s.name"), aliases=F.col("s.aliases"), country=text.clean(F.col("Country")), status=text.clean(F.col("Status")), effective_date=dates.slash_date(F.col("Effective Date")), notes=notes)
 
 
@@ -51,7 +48,7 @@ def denied_persons(rows: DataFrame) -> DataFrame:
     df = _with(rows, "Name_and_Address", "Type of Denial", "Expiration_Date", "Effective_Date", "Appropriate Federal Register Citations")
     df = df.withColumn("s", names.name_and_address(F.col("Name_and_Address"))).filter("s.name <> ''")
     df = df.withColumn("p", names.paren_akas(F.col("s.name"))).withColumn("q", names.split_akas(F.col("p.name")))
-    notes = _notes(_labelled("Type of denial: ", text.clean(F.col("Type of Denial"))), _labelled("Expires: ", dates.slash_date(F.col("Expiration_Date"))))
+    notes = notes_of(labelled("Type of denial: ", text.clean(F.col("Type of Denial"))), labelled("Expires: ", dates.slash_date(F.col("Expiration_Date"))))
     return _listed(df, "bis-dpl", name=F.col("q.name"), aliases=F.concat("p.aliases", "q.aliases"), country=names.country_of_address(F.col("s.rest")), address=names.address_of(F.col("s.rest")), effective_date=dates.slash_date(F.col("Effective_Date")), federal_register=text.clean(F.col("Appropriate Federal Register Citations")), notes=notes)
 
 
@@ -61,7 +58,7 @@ def statutory_debarments(rows: DataFrame) -> DataFrame:
     df = df.filter(raw.isNotNull()).withColumn("p", names.paren_akas(raw))
     notice, fixed = text.clean(F.col("Federal Register Notice")), text.clean(F.col("Corrected Notice"))
     by = F.concat(F.coalesce(notice, F.lit("")), F.lit(" (corrected by "), F.concat_ws(", ", fixed, dates.slash_date(F.col("Corrected Notice Date"))), F.lit(")"))
-    return _listed(df, "state-debarred-statutory", name=F.col("p.name"), aliases=F.col("p.aliases"), effective_date=dates.slash_date(F.col("Notice Date")), federal_register=F.when(fixed.isNotNull(), F.trim(by)).otherwise(notice), notes=_labelled("Date of birth: ", text.clean(F.col("Date Of Birth"))))
+    return _listed(df, "state-debarred-statutory", name=F.col("p.name"), aliases=F.col("p.aliases"), effective_date=dates.slash_date(F.col("Notice Date")), federal_register=F.when(fixed.isNotNull(), F.trim(by)).otherwise(notice), notes=labelled("Date of birth: ", text.clean(F.col("Date Of Birth"))))
 
 
 def administrative_debarments(rows: DataFrame) -> DataFrame:
@@ -70,25 +67,44 @@ def administrative_debarments(rows: DataFrame) -> DataFrame:
     df = _with(rows, "Name", "Charging Letter", "Debarment Order", "Date", "Federal Register Notice")
     raw = text.clean(F.col("Name"))
     df = df.filter(raw.isNotNull()).withColumn("p", names.paren_akas(raw))
-    notes = _notes(F.when(text.clean(F.col("Charging Letter")).isNotNull(), "Charging letter on file"), F.when(text.clean(F.col("Debarment Order")).isNotNull(), "Debarment order on file"))
+    notes = notes_of(F.when(text.clean(F.col("Charging Letter")).isNotNull(), "Charging letter on file"), F.when(text.clean(F.col("Debarment Order")).isNotNull(), "Debarment order on file"))
     status = text.clean(F.col(f"`{found[-1]}`")) if found else F.lit(None)
     return _listed(df, "state-debarred-admin", name=F.col("p.name"), aliases=F.col("p.aliases"), status=status, effective_date=dates.slash_date(F.col("Date")), federal_register=text.clean(F.col("Federal Register Notice")), notes=notes)
 
 
 # --- tabbed text: the entity list ---------------------------------------------------------------------------------
 
-_ENTITY_ROW = "path string, blk long, row_no int, country string, lines array<string>, license string, fr string"
+#: What a cell does, given the state it is met in.
+_NOTHING, _OPENS, _ADDS, _LICENSE, _CITATION = range(5)
+
+
+def _acts(kinds: Column) -> Column:
+    """One act for each cell of a block, by three states: no row is open (or the one before is whole: -1), it waits for its license, its citation."""
+    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<int>").alias("acts"))
+
+    def step(acc: Column, k: Column) -> Column:
+        state = acc["state"]
+        opens = (state == 0) | ((state == -1) & (k["kind"] != "more"))
+        act = (
+            F.when(k["kind"] == "stop", _NOTHING).when(opens, _OPENS).when(state == -1, _ADDS).when(state == 1, F.when(k["licensed"], _LICENSE).otherwise(_ADDS))
+            .when(k["kind"] == "fr", _CITATION).otherwise(_NOTHING)
+        )
+        after = F.when(k["kind"] == "stop", 0).when(act == _OPENS, 1).when(act == _LICENSE, 2).when(act == _CITATION, -1).otherwise(state)
+        return F.struct(after.alias("state"), F.array_append(acc["acts"], act).alias("acts"))
+
+    return F.aggregate(kinds, start, step, lambda acc: acc["acts"])
 
 
 def entity_list_rows(cells: DataFrame) -> DataFrame:
     """Rows of the table from cells (path, cell, lines, text): in a country's block, cells go name, license, policy, citation.
 
-    The walk through a block is sequential; blocks are independent and each is one group.
+    What a cell does depends on the cells before it in its block, so one fold over each block's kinds of cells (not
+    their texts) says so; the rest is windows and aggregations.
     """
     full = cells.filter("text <> ''")
     blocks = ordered.block_number(full, names.is_country_header(F.col("text")), by=["path"], ord=["cell"])
     headers = blocks.filter(names.is_country_header(F.col("text"))).select("path", "blk", text.title_country(F.col("text"), ("of", "and", "the", "for", "de", "la")).alias("country"))
-    body = blocks.filter(~names.is_country_header(F.col("text")) & (F.col("blk") > 0)).join(headers, ["path", "blk"])
+    body = blocks.filter(~names.is_country_header(F.col("text")) & (F.col("blk") > 0))
     first = F.substring_index("text", "\n", 1)
     kind = (
         F.when(F.col("text").rlike(r"^\d{1,2} (For this entity|Cybersecurity)") | F.col("text").startswith("["), "stop")
@@ -97,27 +113,12 @@ def entity_list_rows(cells: DataFrame) -> DataFrame:
         .otherwise("")
     )
     licensed = F.lower("text").contains("subject to the ear") | F.lower("text").rlike("^(for |all items|see §)")
-
-    def walk(block: pd.DataFrame) -> pd.DataFrame:
-        rows, row = [], None
-        for c in block.sort_values("cell").itertuples():
-            if c.kind == "stop":
-                row = None
-            elif row is None or (row["fr"] and c.kind != "more"):
-                row = {"path": c.path, "blk": c.blk, "row_no": len(rows), "country": c.country, "lines": list(c.lines), "license": None, "fr": None}
-                rows.append(row)
-            elif row["fr"]:
-                row["lines"] += list(c.lines)
-            elif row["license"] is None:
-                if c.licensed:
-                    row["license"] = c.text
-                else:
-                    row["lines"] += list(c.lines)
-            elif c.kind == "fr":
-                row["fr"] = c.text
-        return pd.DataFrame(rows, columns=["path", "blk", "row_no", "country", "lines", "license", "fr"])
-
-    return body.select("path", "blk", "cell", "country", "lines", "text", kind.alias("kind"), licensed.alias("licensed")).groupBy("path", "blk").applyInPandas(walk, _ENTITY_ROW)
+    block = body.groupBy("path", "blk").agg(F.sort_array(F.collect_list(F.struct("cell", kind.alias("kind"), licensed.alias("licensed")))).alias("kinds"))
+    acts = block.select("path", "blk", F.inline(F.arrays_zip(F.transform("kinds", lambda k: k["cell"]).alias("cell"), _acts(F.col("kinds")).alias("act")))).filter(F.col("act") != _NOTHING)
+    rows = ordered.block_number(body.join(acts, ["path", "blk", "cell"]), F.col("act") == _OPENS, by=["path", "blk"], ord=["cell"], name="row_no")
+    lines = F.flatten(merge.in_order(F.when(F.col("act").isin(_OPENS, _ADDS), F.col("lines")).otherwise(F.array().cast("array<string>")), "cell"))
+    of = lambda act: F.max(F.when(F.col("act") == act, F.col("text")))
+    return rows.groupBy("path", "blk", "row_no").agg(lines.alias("lines"), of(_LICENSE).alias("license"), of(_CITATION).alias("fr")).join(headers, ["path", "blk"])
 
 
 def entity_list(cells: DataFrame) -> DataFrame:
@@ -136,9 +137,8 @@ def entity_list(cells: DataFrame) -> DataFrame:
 
     plain = names.suffix_split(first, names.SUFFIXES)
     prelim = rows.withColumn("prelim", named(plain)).withColumn("raw", plain)
-    again = prelim.groupBy("prelim.name", "country").count().filter("count > 1").select("name").distinct()
-    joined = prelim.join(again.select(F.col("name").alias("again")), prelim["raw.name"] == F.col("again"), "left")
-    final = joined.withColumn("s", named(names.absorb_units(F.col("raw"), names.UNIT_WORDS, names.ADDRESS_START, when=F.col("again").isNotNull() & ~first.rlike(names.AKA_CUT))))
+    joined = checks.with_repeated(prelim, "again", F.col("prelim.name"), F.col("country"), match=F.col("raw.name"))
+    final = joined.withColumn("s", named(names.absorb_units(F.col("raw"), names.UNIT_WORDS, names.ADDRESS_START, when=F.col("again") & ~first.rlike(names.AKA_CUT))))
     tail = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
     dashed = lambda x: x.rlike("^[—–]")
     aliases = F.filter(F.transform(F.filter(tail, dashed), lambda x: names.list_alias(x)), lambda a: (a != "") & ~F.lower(a).isin("and", "the following"))
@@ -154,8 +154,8 @@ _NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nin
 
 
 def military_end_users(table: DataFrame) -> DataFrame:
-    """From (row_ord, c0 country, c1 entity, c2 citation); country and citation are carried forward within the table."""
-    df = table.filter("row_ord > 0").withColumn("doc", F.lit(0))
+    """From (path, row_ord, c0 country, c1 entity, c2 citation); country and citation are carried forward within a document."""
+    df = table.filter("row_ord > 0").withColumnRenamed("path", "doc")
     df = ordered.block_number(df, F.col("c0") != "", by=["doc"], ord=["row_ord"])
     df = ordered.carry_forward(df, F.when(F.col("c0") != "", text.title_country(F.col("c0"), ("of", "and", "the", "for"))), by=["doc"], ord=["row_ord"], name="country")
     filled = (F.col("c1") != "") & (F.col("c1") != "[Reserved]")
@@ -205,7 +205,9 @@ def notice_text(lines: DataFrame) -> DataFrame:
 
 
 def military_companies(notice: DataFrame) -> DataFrame:
-    """Additions of a notice: headings and bulleted findings between the two markers."""
+    """Additions of a notice: headings and bulleted findings between the two markers; a notice without them in order is an error."""
+    marked = F.col("text").rlike(f"(?s){_loose(_START)}.*?{_loose(_REMOVED)}")
+    notice = notice.withColumn("text", F.when(marked, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("the markers are missing or out of order in "), "path"))))
     body = notice.select("path", text.clean_text(F.regexp_extract("text", f"(?s){_loose(_START)}(.*?){_loose(_REMOVED)}", 1)).alias("body"))
     parts = ordered.bullets(body, "body")
     parts = ordered.block_number(parts.withColumn("starts", F.col("heading") != ""), F.col("starts"), by=["path"], ord=["pos"], name="blk")
@@ -215,7 +217,7 @@ def military_companies(notice: DataFrame) -> DataFrame:
     notes = found.groupBy("path", "blk").agg(text.truncate_note(F.array_join(merge.in_order("bullet", "pos"), " ")).alias("why"))
     df = heads.join(notes, ["path", "blk"], "left").withColumn("h", heading_parts(F.col("heading"))).withColumn("ord", F.col("blk"))
     subs = F.when(F.col("h.subsidiaries").isNotNull(), F.concat(F.lit("Listed together with subsidiaries: "), text.rstrip_chars(F.col("h.subsidiaries"), "."), F.lit(".")))
-    return _listed(df, "dow-1260h", name=F.col("h.name"), aliases=F.col("h.aliases"), country=F.lit("China"), effective_date=F.lit("2026-06-10"), federal_register=F.lit("91 FR 35189 (June 10, 2026)"), notes=_notes(subs, F.col("why"), sep=" | "))
+    return _listed(df, "dow-1260h", name=F.col("h.name"), aliases=F.col("h.aliases"), country=F.lit("China"), effective_date=F.lit("2026-06-10"), federal_register=F.lit("91 FR 35189 (June 10, 2026)"), notes=notes_of(subs, F.col("why"), sep=" | "))
 
 
 def removals(notice: DataFrame) -> DataFrame:
@@ -285,7 +287,7 @@ def investment_list(texts: DataFrame) -> DataFrame:
     """From (path, text): entries end in a program tag; entries with the same set of names are one company."""
     body = F.regexp_replace("text", r"(?s)^.*?country in which the equity ticker is\s*registered\.", "")
     entries = ordered.segments(texts.select("path", body.alias("body")), "body", _ENTRY_END)
-    e = entries.select("path", F.col("pos").alias("ord"), parse_entry(F.col("segment")).alias("e")).select("path", "ord", "e.*")
+    e = with_entry(entries.select("path", F.col("pos").alias("ord"), "segment"), "segment").drop("segment")
     e = e.withColumn("variants", F.concat(F.array("name"), "aliases")).withColumn("key", F.array_join(merge.set_key(F.transform("variants", text.variant_key)), "\x1f"))
     groups = e.groupBy("key").agg(
         F.min("ord").alias("ord"), merge.distinct_ignoring_case(F.flatten(merge.in_order("variants"))).alias("variants"), F.array_distinct(F.flatten(merge.in_order("former"))).alias("former"),
@@ -305,7 +307,7 @@ def investment_list(texts: DataFrame) -> DataFrame:
     fits = (F.length("issuer") >= 0.8 * F.length("longest")) & F.exists("current", lambda v: squeezed(v) == squeezed(F.col("issuer")))
     g = g.withColumn("canon", F.when(fits, F.col("issuer")).otherwise(F.col("longest")))
     g = g.withColumn("canon", F.when((F.col("canon") == F.upper("canon")) & F.col("canon").rlike("[A-Z]") | ~F.coalesce(fits, F.lit(False)), smart_title(F.col("canon"))).otherwise(F.col("canon")))
-    notes = _notes(_labelled("Target Type: ", F.col("target")), _labelled("Listing Date (CMIC): ", F.col("listing")), _labelled("USCC: ", F.col("uscc")), _labelled("Program: ", text.strip_chars(F.col("tag"), "[]")), _labelled("Linked To: ", F.col("linked")))
+    notes = notes_of(labelled("Target Type: ", F.col("target")), labelled("Listing Date (CMIC): ", F.col("listing")), labelled("USCC: ", F.col("uscc")), labelled("Program: ", text.strip_chars(F.col("tag"), "[]")), labelled("Linked To: ", F.col("linked")))
     return _listed(g, "ofac-nscmic", name=F.col("canon"), aliases=F.filter("variants", lambda v: F.upper(v) != F.upper("canon")), country=names.country_of_tail(F.col("address")), address=F.col("address"), effective_date=dates.day_month_date(F.col("effective")), notes=notes)
 
 
@@ -326,11 +328,11 @@ def sanctions(rows: DataFrame) -> DataFrame:
     df = df.withColumn("extra", F.when(F.col("name").rlike(names.SUCCESSORS), "Designation includes any successor, sub-unit, or subsidiary thereof"))
     df = df.withColumn("name", text.rstrip_chars(F.regexp_replace("name", names.SUCCESSORS, ""), " ;,."))
     df = df.withColumn("name", text.collapse_ws(F.regexp_replace("name", names.NATIONALITY, "")))
-    bits = _notes(F.coalesce(F.nullif("statute", F.lit("")), F.lit("unknown authority")), _labelled("imposed ", F.col("date")), _labelled("status: ", F.nullif("status", F.lit(""))), F.nullif("fr", F.lit("")))
+    bits = notes_of(F.coalesce(F.nullif("statute", F.lit("")), F.lit("unknown authority")), labelled("imposed ", F.col("date")), labelled("status: ", F.nullif("status", F.lit(""))), F.nullif("fr", F.lit("")))
     acts = df.select("name", "aliases", "location", "date", F.nullif("fr", F.lit("")).alias("fr"), F.concat(F.lit("Authority: "), bits).alias("note"), "extra", F.struct("ord", "pos").alias("ord"))
     merged = merge.merge_actions(acts, text.alnum_key(F.col("name")))
     country = names.country_of_location(F.col("location"))
-    notes = F.concat_ws(" | ", F.col("notes"), F.col("extra"), F.when(country.isNull(), _labelled("Location: ", F.col("location"))))
+    notes = F.concat_ws(" | ", F.col("notes"), F.col("extra"), F.when(country.isNull(), labelled("Location: ", F.col("location"))))
     return _listed(merged.withColumn("ord", F.col("ord.ord") * 1024 + F.col("ord.pos")), "state-nonproliferation", name=F.col("name"), aliases=F.col("aliases"), country=country, effective_date=dates.checked_date(F.col("date")), federal_register=F.col("federal_register"), notes=notes)
 
 

@@ -181,7 +181,12 @@ class _Sections(HTMLParser):
 
 
 def read_html_table(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row_ord, cells array<struct<text, strongs>>) of each page's first table."""
+    return html_table(_pages(spark, path))
+
+
+def html_table(pages: DataFrame) -> DataFrame:
+    """(path, row_ord, cells array<struct<text, strongs>>) of each page's first table, from (path, content)."""
+    ship(pages.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -191,11 +196,16 @@ def read_html_table(spark: SparkSession, path: str) -> DataFrame:
                 rows = [r for r in parser.rows if r]
                 yield pd.DataFrame({"path": [p] * len(rows), "row_ord": range(len(rows)), "cells": [[{"text": t, "strongs": s} for t, s in r] for r in rows]})
 
-    return _pages(spark, path).mapInPandas(run, "path string, row_ord int, cells array<struct<text:string,strongs:array<string>>>")
+    return pages.mapInPandas(run, "path string, row_ord int, cells array<struct<text:string,strongs:array<string>>>")
 
 
 def read_html_sections(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ord, section_ord, heading, item)."""
+    return html_sections(_pages(spark, path))
+
+
+def html_sections(pages: DataFrame) -> DataFrame:
+    """(path, ord, section_ord, heading, item) from (path, content)."""
+    ship(pages.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -204,12 +214,15 @@ def read_html_sections(spark: SparkSession, path: str) -> DataFrame:
                 parser.feed(raw.decode("utf-8", "replace"))
                 yield pd.DataFrame([(p, i, *x) for i, x in enumerate(parser.items)], columns=["path", "ord", "section_ord", "heading", "item"])
 
-    return _pages(spark, path).mapInPandas(run, "path string, ord int, section_ord int, heading string, item string")
+    return pages.mapInPandas(run, "path string, ord int, section_ord int, heading string, item string")
 
 
 def read_html_tables(spark: SparkSession, path: str, *, expected: int | None = None) -> DataFrame:
-    """(table_no, row_no, cells array<string>) of all tables, by patterns alone; the tables' number is checked if given."""
-    pages = spark.read.text(path, wholetext=True)
+    return html_tables(spark.read.text(path, wholetext=True), expected=expected)
+
+
+def html_tables(pages: DataFrame, *, expected: int | None = None) -> DataFrame:
+    """(table_no, row_no, cells array<string>) of all tables of a page (value), by patterns alone; the tables' number is checked if given."""
     tables = pages.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)(<table.*?</table>)"), F.lit(1))).alias("table_no", "t"))
     if expected is not None:
         require_tables(tables.count(), expected)
@@ -219,18 +232,18 @@ def read_html_tables(spark: SparkSession, path: str, *, expected: int | None = N
 
 
 def read_docx_table(spark: SparkSession, path: str, *, columns: int = 3) -> DataFrame:
-    """(row_ord, c0, c1, ...) of the first table of a document; short rows are padded; paragraphs of a cell are lines."""
+    """(path, row_ord, c0, c1, ...) of the first table of a document; short rows are padded; paragraphs of a cell are lines."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for raw in frame["content"]:
+            for path, raw in zip(frame["path"], frame["content"], strict=True):
                 body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
                 out = []
                 first = body.find(f".//{w}tbl")
                 for i, tr in enumerate([] if first is None else first.findall(f"{w}tr")):
                     cells = ["\n".join("".join(t.text or "" if t.tag == f"{w}t" else "\n" if t.tag == f"{w}br" else "\t" for t in p.iter() if t.tag in (f"{w}t", f"{w}br", f"{w}tab")) for p in tc.findall(f"{w}p")).strip() for tc in tr.findall(f"{w}tc")]
-                    out.append((i, *(cells + [""] * columns)[:columns]))
-                yield pd.DataFrame(out, columns=["row_ord", *[f"c{k}" for k in range(columns)]])
+                    out.append((path, i, *(cells + [""] * columns)[:columns]))
+                yield pd.DataFrame(out, columns=["path", "row_ord", *[f"c{k}" for k in range(columns)]])
 
-    return _pages(spark, path).mapInPandas(run, "row_ord int, " + ", ".join(f"c{k} string" for k in range(columns)))
+    return _pages(spark, path).mapInPandas(run, "path string, row_ord int, " + ", ".join(f"c{k} string" for k in range(columns)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.schema import FIELDS
@@ -34,12 +34,22 @@ def document_text(entities: DataFrame, list_id: str, source_file: str, extracted
     return json.dumps(doc, ensure_ascii=False, indent=1) + "\n" * newline
 
 
-def bundle_text(idx: DataFrame, meta: DataFrame, variable: str = "window.DATA") -> str:
-    """The whole (small) index as one minified assignment, empty fields left out, records in list and file order."""
-    head = meta.select(F.to_json(F.struct("generated", "dcl_url", F.map_from_entries(F.transform("lists", lambda x: F.struct(x["id"].alias("k"), x.alias("v")))).alias("lists")))).first()[0]
-    counts: dict[str, int] = {}
-    records = []
-    for r in idx.orderBy("ord").select("l", F.to_json(F.struct("n", "l", "a", "c", "ad", "s", "d", "fr", "no", "k")).alias("j")).toLocalIterator():
-        counts[r["l"]] = counts.get(r["l"], 0) + 1
-        records.append(r["j"])
-    return f"{variable}={head[:-1]},\"counts\":{json.dumps(counts, separators=(',', ':'))},\"entities\":[{','.join(records)}]}};"
+def write_bundle(idx: DataFrame, meta: DataFrame, path: str, variable: str = "window.DATA") -> None:
+    """The whole index as one minified assignment, empty fields left out, records in list and file order.
+
+    Records are text rows, range-sorted by ord; part files in the order of their names are the bundle. Only the head, a row
+    for each list, is gathered.
+    """
+    counts = idx.groupBy("l").agg(F.count(F.lit(1)).alias("n")).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("l", "n"))))).alias("c")).scalar()
+    lists = F.map_from_entries(F.transform("lists", lambda x: F.struct(x["id"].alias("k"), x.alias("v"))))
+    head = F.concat(F.lit(f"{variable}="), F.regexp_replace(F.to_json(F.struct("generated", "dcl_url", lists.alias("lists"))), r"\}$", ""), F.lit(',"counts":'), counts, F.lit(',"entities":['))
+    first = idx.agg(F.min("ord").alias("ord")).scalar()
+    record = F.concat(F.when(F.col("ord") == first, "").otherwise(","), F.to_json(F.struct("n", "l", "a", "c", "ad", "s", "d", "fr", "no", "k")))
+    rows = meta.select(F.lit(0).alias("part"), F.lit(None).cast("long").alias("ord"), head.alias("value"))
+    rows = rows.unionByName(idx.select(F.lit(1).alias("part"), F.col("ord").cast("long"), record.alias("value"))).unionByName(meta.select(F.lit(2).alias("part"), F.lit(None).cast("long").alias("ord"), F.lit("]};").alias("value")))
+    rows.repartitionByRange("part", "ord").sortWithinPartitions("part", "ord").select("value").write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index that write_index wrote; a filter on l reads its list's folder only."""
+    return spark.read.parquet(path).withColumn("l", F.col("l").cast("string"))

@@ -67,9 +67,28 @@ def test_truncations(spark):
     assert one(spark, text.license_note(F.lit("y" * 201))) == "y" * 197 + "..."
 
 
-def test_balanced_names():
-    assert parens.trailing_groups("SDIC (Xiamen) Co., Ltd. (Limited) (formerly A (B)) (C)") == ("SDIC (Xiamen) Co., Ltd. (Limited)", ["formerly A (B)", "C"])
-    assert company.entry("X CO LTD, PO Box 1; Target Type Entity [CMIC-EO13959].")[:4] == ("X CO LTD", [], [], "PO Box 1")
+def test_balanced_names(spark):
+    got = one(spark, parens.trailing_groups(F.lit("SDIC (Xiamen) Co., Ltd. (Limited) (formerly A (B)) (C)")))
+    assert (got["name"], got["groups"]) == ("SDIC (Xiamen) Co., Ltd. (Limited)", ["formerly A (B)", "C"])
+    got = one(spark, parens.heading_parts(F.lit("X (Group) (also known as Y (Z (W))) (and X subsidiaries: A; B)")))
+    assert tuple(got) == ("X (Group)", ["Y (Z (W))"], "A; B")
+    assert [tuple(one(spark, parens.heading_parts(F.lit(x)))) for x in ("Plain", "A (b) c", "(Old)", "A (and its subsidiaries)")] == [("Plain", [], None), ("A (b) c", [], None), ("", ["Old"], None), ("A", [], "and its subsidiaries")]
+    got = one(spark, parens.live_name(F.lit("Alpha (also known as A (Old); and B) Co. (a/k/a C, and D) and its 2 affiliates.")))
+    assert tuple(got) == ("Alpha Co", ["A (Old)", "B", "C", "D"], "and its 2 affiliates")
+    assert tuple(one(spark, parens.live_name(F.lit("Beta (Tianjin) Ltd.")))) == ("Beta (Tianjin) Ltd", [], "")
+
+
+def test_entries(spark):
+    rows = [
+        "X CO LTD, PO Box 1; Target Type Entity [CMIC-EO13959].",
+        'ACME (Chinese Simplified: 顶) CO (a.k.a. "A; f.k.a. "OLD (Chinese Traditional: 老) CO"; a.k.a. B (C; D)), No. 1, Road; Beijing; Issuer Name Acme  Co; Listing Date (CMIC) 03 Jun 2021; Website x.y [CMIC-EO13959] (Linked To: BIG (B LTD).',
+        "",
+    ]
+    got = company.with_entry(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s string"), "s").orderBy("i").collect()
+    assert [got[0][c] for c in ("name", "aliases", "former", "address", "tag", "linked", "target", "issuer")] == ["X CO LTD", [], [], "PO Box 1", "[CMIC-EO13959]", None, "Entity", None]
+    assert [got[1][c] for c in ("name", "aliases", "former", "address", "linked", "issuer", "listing", "uscc")] == ["ACME CO", got[1]["aliases"], ["OLD (CHINESE TRADITIONAL: 老) CO"], "No. 1, Road; Beijing", "BIG (B LTD", "Acme Co", "03 Jun 2021", None]
+    assert got[1]["aliases"][:2] == ["A", "OLD CO"] and got[1]["aliases"][-2:] == ["顶", "老"]
+    assert (got[2]["name"], got[2]["aliases"], got[2]["address"]) == ("", [], None)
 
 
 def twin(s):
@@ -108,7 +127,7 @@ def test_tiers(idx, q, wanted):
     assert {r["nn"]: r["score"] for r in got.collect()} == wanted
 
 
-def test_groups_browse_and_short_queries(spark, idx):
+def test_groups_browse_and_short_queries(spark, idx, tmp_path):
     assert search.search(idx, "é") is None
     got = {r["nn"]: r for r in search.search(idx, "", list_id="b").collect()}
     assert set(got) == {"beta alamo group", ""} and got["beta alamo group"]["score"] == 50
@@ -121,10 +140,15 @@ def test_groups_browse_and_short_queries(spark, idx):
     assert search.summary(None).startswith("Type") and search.summary(search.search(idx, "zzz")) == "No matches." and search.summary(search.search(idx, "alamo"), shown=1) == "2 matches, 1 more"
     assert {r[0] for r in lists.select(search.badge(F.col("agency_short"))).collect()} == {"state", "fcc"}
     meta = spark.createDataFrame([("2026", "u", [("a", "A"), ("b", "B")])], "generated string, dcl_url string, lists array<struct<id:string,short_name:string>>")
-    bundle = json.loads(sinks.bundle_text(idx, meta).removeprefix("window.DATA=").rstrip(";"))
+    sinks.write_bundle(idx.repartition(3), meta, str(tmp_path / "bundle"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "bundle").glob("part-*")))
+    bundle = json.loads(text.removeprefix("window.DATA=").strip().rstrip(";"))
     assert bundle["counts"] == {"a": 2, "b": 2} and bundle["lists"]["b"]["short_name"] == "B" and bundle["entities"][3] == {"n": "中国", "l": "b", "k": ""}
+    sinks.write_index(idx, str(tmp_path / "index"))
+    again = sinks.read_index(spark, str(tmp_path / "index"))
+    assert sorted(again.select(*sorted(idx.columns)).collect(), key=str) == sorted(idx.select(*sorted(idx.columns)).collect(), key=str)
     asked = spark.createDataFrame([(1, "alamo co"), (2, "x"), (3, "beta")], "qid long, q string")
-    assert {(r["qid"], r["ord"], r["score"]) for r in search.screen(idx, asked, block=1).collect()} == {(1, 1, 100), (1, 2, 100), (3, 3, 85)}
+    assert {(r["qid"], r["ord"], r["score"]) for r in search.screen(idx, asked).collect()} == {(1, 1, 100), (1, 2, 100), (3, 3, 85)}
 
 
 def test_merges(spark):
@@ -158,8 +182,8 @@ def test_stream_replaces_lists(spark, tmp_path):
 
     src, store, ck = (str(tmp_path / x) for x in ("in", "store", "ck"))
     (tmp_path / "in").mkdir()
-    for k, names_ in enumerate([["a", "b"], ["c"]]):
-        doc = {"list_id": "L", "source_file": "f", "extracted": f"2026-0{k + 1}", "count": 1, "entities": [{"name": n, "aliases": []} for n in names_]}
+    for k, (month, names_, wanted) in enumerate([(1, ["a", "b"], ["a", "b"]), (3, ["c"], ["c"]), (2, ["late"], ["c"]), (4, ["d"], ["d"])]):
+        doc = {"list_id": "L", "source_file": "f", "extracted": f"2026-0{month}", "count": 1, "entities": [{"name": n, "aliases": []} for n in names_]}
         (tmp_path / "in" / f"{k}.json").write_text(json.dumps(doc))
         refresh(spark, src, store, ck).awaitTermination(60)
-        assert sorted(r["name"] for r in spark.read.parquet(store).collect()) == names_
+        assert sorted(r["name"] for r in spark.read.parquet(store).collect()) == wanted

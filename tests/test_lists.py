@@ -89,6 +89,8 @@ def test_military_companies_and_removals(spark):
     text = "intro in accordance with\nsection 1260H: Acme Co. (Limited) (formerly Old) (and Acme subsidiaries: A; B) • Because it is. (Section 1260H(g)(1)). Beta Group (also known as B2)\n• Why (Sec- tion x). • More (y). The Deputy Secretary of Defense has determined that the following previously listed entities should be removed today:\nGone\nCo.\n(GC)\nOther Inc.\nThe list of entities designated as"
     df = spark.createDataFrame([("p", i, x) for i, x in enumerate(text.split("\n"))], "path string, ord int, line string")
     notice = lists.notice_text(df)
+    with pytest.raises(Exception, match="markers are missing"):
+        lists.military_companies(notice.withColumn("text", F.replace("text", F.lit("section 1260H"), F.lit("x")))).collect()
     got = rows(lists.military_companies(notice))
     assert [(g["name"], g["aliases"], g["notes"]) for g in got] == [
         ("Acme Co. (Limited)", ["Old"], "Listed together with subsidiaries: A; B. | Because it is. (Section 1260H(g)(1))."),
