@@ -6,32 +6,19 @@ pages hold texts, events are ordered rows. Every query reads whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import dates, names, text
 from rosterlake.operators import checks, merge, ordered, search
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from rosterlake.plans import lists
+from rosterlake.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 NORM = r"trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(coalesce({0}, ''), 'ł', ' '), 'Ł', ' '))), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 WS = r"trim(regexp_replace({0}, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x0b]+', ' ', 'g'))"
 TYPO = "replace(translate({0}, '‘’“”–', '''''\"\"-'), '''''', '\"')"
 
 
-def query(name: str, sql: str | None = None):
-    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 def _parts(t) -> DataFrame:
     """part as entity rows: the brand's number parts the lists, every third part has an alias."""
     p = t("part")
@@ -88,11 +75,12 @@ def _(t):
     return search.search(search.index(_parts(t)), "", list_id="Brand#7").select("nn", "name", "score", "n_recs")
 
 
-@query("agency_filter", "SELECT s_suppkey, CASE WHEN r_name LIKE 'A%' THEN 'A' ELSE r_name END AS family FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%'")
+@query("agency_filter", "SELECT s_suppkey, 'State' AS family FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%'")
 def _(t):
     lists = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    fam = F.when(F.col("r_name").startswith("A"), "A").otherwise(F.col("r_name"))
-    return t("supplier").join(lists, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", fam.alias("family")).filter("family = 'A'")
+    agency = F.when(F.col("r_name").startswith("A"), F.concat(F.lit("State/"), "r_name")).otherwise(F.col("r_name"))
+    of = t("supplier").join(lists, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", search.family(agency).alias("family"))
+    return of.filter("family = 'State'")
 
 
 @query("agency_search", f"WITH {PARTS_SQL}, m AS (SELECT * FROM (SELECT *, {_score_sql('gear')} AS score FROM idx WHERE l LIKE 'Brand#1%') WHERE score > 0) SELECT nn, CAST(max(score) AS INTEGER) AS score, count(*) AS n_recs FROM m GROUP BY nn")
@@ -139,15 +127,8 @@ def _(t):
 
 @query("benchmark_containment", f"WITH d AS (SELECT doc_id, {NORM.format('text')} AS t FROM documents), b AS (SELECT item_id, {NORM.format('text')} AS q FROM benchmark) SELECT item_id, doc_id FROM b JOIN d ON contains(t, q)")
 def _(t):
-    """The benchmark's items are the stated queries, in blocks, against all documents."""
-    docs = t("documents").select("doc_id", text.norm(F.col("text")).alias("t"))
-    asked = [(r[0], r[1]) for r in t("benchmark").select("item_id", text.norm(F.col("text"))).toLocalIterator()]
-    out = None
-    for at in range(0, len(asked), 100):
-        items = F.array(*[F.struct(F.lit(i).alias("item_id"), F.lit(q).alias("q")) for i, q in asked[at : at + 100]])
-        part = docs.select("doc_id", F.explode(F.filter(items, lambda x: F.contains(F.col("t"), x["q"]))).alias("m")).select("m.item_id", "doc_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The benchmark's items are the stated queries, against all documents."""
+    return search.containing(t("documents").select("doc_id", text.norm(F.col("text")).alias("t")), t("benchmark").select("item_id", text.norm(F.col("text")).alias("q")))
 
 
 # --- text, dates and names --------------------------------------------------------------------------------------
@@ -295,7 +276,8 @@ def _(t):
 
 @query("notes_assembly", "SELECT o_orderkey, nullif(concat_ws('; ', CASE WHEN o_orderstatus <> 'O' THEN 'Status: ' || o_orderstatus END, CASE WHEN o_orderkey % 2 = 0 THEN 'Priority: ' || o_orderpriority END), '') AS notes FROM orders")
 def _(t):
-    return t("orders").select("o_orderkey", F.nullif(F.concat_ws("; ", F.when(F.col("o_orderstatus") != "O", F.concat(F.lit("Status: "), "o_orderstatus")), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Priority: "), "o_orderpriority"))), F.lit("")).alias("notes"))
+    status, priority = F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority"))
+    return t("orders").select("o_orderkey", lists.notes_of(lists.labelled("Status: ", status), lists.labelled("Priority: ", priority)).alias("notes"))
 
 
 @query("fr_trim", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey || ' FR ' || o_custkey END AS fr FROM orders")
@@ -318,9 +300,9 @@ def _(t):
     return filled.groupBy("user_id").agg(merge.last_filled("v", "event_id").alias("props"))
 
 
-@query("argmax_len", "SELECT DISTINCT source, first_value(doc_id) OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS doc_id FROM documents")
+@query("argmax_len", "SELECT source, sha256(max_by(text, (length(text), -doc_id))) AS longest FROM documents GROUP BY source")
 def _(t):
-    return t("documents").groupBy("source").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("doc_id"))
+    return t("documents").groupBy("source").agg(F.sha2(merge.longest("text", "doc_id"), 256).alias("longest"))
 
 
 @query("merge_actions", "SELECT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS k, arg_min(p_name, p_partkey) AS name, arg_min(p_type, p_partkey) FILTER (p_size > 10) AS location, string_agg(p_brand, ' | ' ORDER BY p_partkey) AS notes, count(DISTINCT lower(p_type)) AS n_aliases FROM part GROUP BY 1")
@@ -356,9 +338,10 @@ def _(t):
     return ordered.gap_clusters(t("events").select("event_id", "user_id", y), "y", 600, by=["user_id"]).select("event_id", "cluster")
 
 
-@query("anchor_cluster")
+@query("anchor_cluster", f"""WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(-{_MINUTES} AS DOUBLE) AS y FROM events), n AS (SELECT DISTINCT user_id, y, max(y) OVER (PARTITION BY user_id ORDER BY y RANGE BETWEEN UNBOUNDED PRECEDING AND 2000 PRECEDING) AS nx FROM e),
+a AS (SELECT user_id, max(y) AS y FROM e GROUP BY user_id UNION ALL SELECT a.user_id, n.nx FROM a JOIN n ON n.user_id = a.user_id AND n.y = a.y WHERE n.nx IS NOT NULL)
+SELECT event_id, e.user_id, CAST(count(*) AS INTEGER) AS cluster FROM e JOIN a ON a.user_id = e.user_id AND a.y >= e.y GROUP BY event_id, e.user_id""")
 def _(t):
-    """A fold from each cluster's first row; a recursion in SQL. Tested against a plain loop."""
     y = (-F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60)).cast("double").alias("y")
     return ordered.anchor_clusters(t("events").select("event_id", "user_id", y), "y", 2000, by=["user_id"]).select("event_id", "user_id", "cluster")
 
@@ -399,7 +382,7 @@ def _(t):
 
 @query("doc_freq", "SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) GROUP BY w")
 def _(t):
-    return t("documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("w")).groupBy("w").agg(F.count_distinct("doc_id").alias("df"))
+    return checks.document_frequency(t("documents"), "doc_id", F.split(F.lower("text"), " ", -1))
 
 
 @query("quality_counts", r"SELECT count(*) AS n, count(DISTINCT p_type) AS countries, count(*) FILTER (p_partkey % 3 = 0) AS with_alias, count(*) FILTER (regexp_matches(p_name, '\s\d{1,2}$')) AS ends_in_digits FROM part")
@@ -414,8 +397,7 @@ def _(t):
 
 @query("semi_dupes", "SELECT p_partkey, p_name IN (SELECT p_name FROM (SELECT p_name, p_type, p_size FROM part GROUP BY ALL HAVING count(*) > 1)) AS again FROM part")
 def _(t):
-    again = t("part").groupBy("p_name", "p_type", "p_size").count().filter("count > 1").select("p_name").distinct().withColumn("again", F.lit(True))
-    return t("part").join(again, "p_name", "left").select("p_partkey", F.coalesce("again", F.lit(False)).alias("again"))
+    return checks.with_repeated(t("part"), "again", F.col("p_name"), F.col("p_type"), F.col("p_size")).select("p_partkey", "again")
 
 
 @query("status_class", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'revoked' END AS cls FROM orders")

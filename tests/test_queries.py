@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rosterlake.plans import queries
+from rosterlake.plans import list_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
