@@ -5,11 +5,12 @@
 2. Classes that share a band key meet. Tasks combine some thousand classes at a time and send one class, the leader, for
    each band key on, so a key that a third of all rows have is a few rows where it is shuffled. A leader is the class of least random
    rank, so a class that meets a group in many bands meets few leaders there.
-3. Only pairs that share a band are ever compared, in three turns: every class with the leader that its signature agrees
-   with best; then, where the classes of a band are still of several components, one class of each with one of them; then
-   all pairs of classes that share a band and are not of one component. Each turn drops pairs whose sizes or signatures rule
-   a link out, verifies the rest on full sets, and unites what is linked. Groups of near copies are one component after the
-   first turns, at a cost linear in their size; the last turn compares in chunks of bounded size.
+3. Links are verified in three turns: every class with the leader that its signature agrees with best; then, where
+   the classes of a band are still of several components, one class of each with one of them; then what is left: the pairs of
+   classes that share a band, are of different components and that sizes and signatures do not rule out span clusters, and a cluster's
+   classes are compared on full sets, in groups of two chunks. Groups of near copies are largely one component after the
+   first two turns, whose cost is linear; in the last one no group grows with the data, and groups give spanning forests, not
+   pairs. All links are found, as each is inside a component or inside a cluster.
 4. Components of the links give each class its component, and each document the least id in it.
 
 Recall: with 32 bands of 4 coordinates a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8, and
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hot_join, hot_keys, map_texts, slices, stored, table
-from .components import components
+from .components import Forest, components
 from .sketch import WordHashes, band_keys, fast_sketches, mixed, shingle_sets
 
 BANDS, ROWS, SLACK = 32, 4, 0.28
@@ -79,16 +80,16 @@ def meetings(classes: DataFrame, many: int = 8192) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             own = np.repeat(np.array(ids, dtype=np.int64), BANDS)
-            rank = mixed(own.astype(np.uint64)).view(np.int64)
+            rank = (mixed(own.astype(np.uint64)) >> np.uint64(33)).astype(np.int32)
             keys = np.frombuffer(b"".join(bands), dtype=np.int64)
             order = np.lexsort((rank, keys))
             own, rank, keys = own[order], rank[order], keys[order]
             begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[begins, len(keys)])
-            lead = np.repeat(own[begins], sizes)
-            route = np.where(own == lead, keys, mixed((keys ^ own).astype(np.uint64)).view(np.int64))
-            columns = (route, keys, rank, own, lead, np.repeat(sizes, sizes))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "k", "rank", "id", "lead", "m"])
+            lead, top = np.repeat(own[begins], sizes), np.zeros(len(own), dtype=bool)
+            top[begins] = True
+            columns = (keys, rank, own, pa.array(lead, mask=top), np.repeat(np.minimum(sizes, 2), sizes).astype(np.int8))
+            return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["k", "rank", "id", "lead", "m"])
 
         for batch in batches:
             ids += batch.column(0).to_pylist()
@@ -103,9 +104,9 @@ def meetings(classes: DataFrame, many: int = 8192) -> DataFrame:
         """Leaders of a key come one after another, by rank; the first leads them all. The last one is held, as more may follow."""
         held = None  # key, leader, id, and whether it is out already
         for batch in batches:
-            k, i, lead, m = (batch.column(c).to_numpy() for c in ("k", "id", "lead", "m"))
-            top = i == lead
-            rows = [(k[~top], i[~top], lead[~top])]
+            k, i, m = (batch.column(c).to_numpy() for c in ("k", "id", "m"))
+            top = batch.column("lead").is_null().to_numpy(zero_copy_only=False)
+            rows = [(k[~top], i[~top], batch.column("lead").drop_null().to_numpy())]
             k, i, m = k[top], i[top], m[top]
             done, own = np.zeros(len(k), dtype=bool), i
             if held:
@@ -120,8 +121,9 @@ def meetings(classes: DataFrame, many: int = 8192) -> DataFrame:
                 held = (k[-1], first[-1], i[-1], bool(meets[-1] or done[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["k", "id", "lead"])
 
-    sent = classes.select("id", "bands").mapInArrow(combine, "route long, k long, rank long, id long, lead long, m long")
-    return sent.repartition("route").sortWithinPartitions("k", "rank").mapInArrow(link, "k long, id long, lead long")
+    sent = classes.select("id", "bands").mapInArrow(combine, "k long, rank int, id long, lead long, m tinyint")
+    # a leader (lead is null) goes where its key does, its followers anywhere
+    return sent.repartition(F.when(F.col("lead").isNull(), F.col("k")).otherwise(F.xxhash64("k", "id"))).sortWithinPartitions("k", "rank").mapInArrow(link, "k long, id long, lead long")
 
 
 def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,7 +158,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(fits).select("a", "b", F.col("_a.sig").alias("sa"), F.col("_b.sig").alias("sb")).mapInArrow(run, "a long, b long, agree long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, *, rows: int = 64, parts: int = 4096) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, bits: int, *, rows: int = 64, parts: int = 4096) -> DataFrame:
     """(a, b): the pairs that are links, by exact intersections of their full sets (id, elements).
 
     A class of many pairs is sent once for each `rows` of them, so that no task gets all.
@@ -169,7 +171,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, *, rows: int = 64,
         hot = stored(hot.select("id", F.ceil(F.col("n") / rows).cast("int").alias("wide")), "wide")  # fewer than `parts`
         wide = F.coalesce("wide", F.lit(1))
         full = full.join(F.broadcast(hot.withColumnRenamed("id", c)), c, "left").withColumn("part", F.pmod(F.xxhash64(other), wide.cast("long")).cast("int")).drop("wide")
-        spread = sets.join(F.broadcast(hot), "id", "left").select(F.col("id").alias(c), F.col("elements").alias(f"elements_{c}"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("part"))
+        needed = among(sets, "id", pairs.select(F.col(c).alias("id")).distinct(), bits)
+        spread = needed.join(F.broadcast(hot), "id", "left").select(F.col("id").alias(c), F.col("elements").alias(f"elements_{c}"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("part"))
         full = full.join(spread, [c, "part"]).drop("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +202,15 @@ def one_for_each(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return hot_join(heads, tops, "k", hot).filter("a <> b").select("a", "b")
 
 
-def all_others(rows: DataFrame, classes: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """(a, b): all pairs of classes that share a band key and are of different components, but those that are ruled out.
+def plausible(rows: DataFrame, classes: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """(a, b): a spanning forest, in each group, of the pairs of classes that share a band key, are of different components and not ruled out.
 
-    A key's classes are cut into chunks of about `chunk`, and every two chunks are a group: none grows with the data.
+    A key's classes are cut into chunks of about `chunk`, and every two chunks are a group: none grows with the data, and none gives
+    more rows than it has classes.
     """
     least = least_agreement(percent)
 
-    def pairs_of(g: np.ndarray, side: np.ndarray, one: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+    def forest(g: np.ndarray, side: np.ndarray, one: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         a, b = [], []
         for d in range(1, len(g)):
             i = np.flatnonzero(g[d:] == g[:-d])
@@ -216,10 +220,19 @@ def all_others(rows: DataFrame, classes: DataFrame, percent: int, chunk: int) ->
             ok = (comp[i] != comp[j]) & (one[i] | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
             good = agreements(sig[i], sig[j]) >= least
-            a.append(ids[i[good]])
-            b.append(ids[j[good]])
+            a.append(i[good])
+            b.append(j[good])
         a, b = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        root = np.arange(len(g))
+        while len(a):  # the least row that each is joined to
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            root = root[root]
+            differ = root[a] != root[b]
+            a, b = a[differ], b[differ]
+        joined = np.flatnonzero(root != np.arange(len(g)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[joined]]), pa.array(ids[joined])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -239,7 +252,7 @@ def all_others(rows: DataFrame, classes: DataFrame, percent: int, chunk: int) ->
 
     def of(t: pa.Table, g: np.ndarray) -> pa.RecordBatch:
         column = lambda c: t[c].to_numpy()
-        return pairs_of(g, column("chunk"), column("x") == column("y"), column("id"), column("comp"), column("n"), _signatures(t["sig"].combine_chunks()))
+        return forest(g, column("chunk"), column("x") == column("y"), column("id"), column("comp"), column("n"), _signatures(t["sig"].combine_chunks()))
 
     cut = rows.withColumn("chunks", F.ceil(F.col("m") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     full = cut.join(classes.select("id", "n", "sig"), "id")
@@ -249,6 +262,83 @@ def all_others(rows: DataFrame, classes: DataFrame, percent: int, chunk: int) ->
     return each.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
+def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) of sets with 100 * intersection >= percent * union, by exact counts."""
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    if len(a) * len(b) <= 256:
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                if 100 * min(na[i], nb[j]) >= percent * max(na[i], nb[j]):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (na[i] + nb[j] - both):
+                        yield i, j
+        return
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    counts = np.zeros((len(a), len(b)), dtype=np.float32)
+    places = [[np.searchsorted(shared, x[np.isin(x, shared, assume_unique=True)]) for x in side] for side in (a, b)]
+    width = 4096
+    for start in range(0, len(shared), width):
+        dense = []
+        for side in places:
+            m = np.zeros((len(side), width), dtype=np.float32)
+            for i, p in enumerate(side):
+                lo, hi = np.searchsorted(p, [start, start + width])
+                m[i, p[lo:hi] - start] = 1
+            dense.append(m)
+        counts += dense[0] @ dense[1].T
+    both = np.rint(counts).astype(np.int64)
+    yield from zip(*np.nonzero(100 * both >= percent * (na[:, None] + nb[None, :] - both)), strict=True)
+
+
+def verified_edges(members: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest of the links in every group of two chunks. members: (cluster, x, y, chunk, id, elements).
+
+    Groups give no pairs, and at most a row for each class in them.
+    """
+
+    def forest_of(rows: list[tuple]) -> pa.RecordBatch:
+        x, y = rows[0][1], rows[0][2]
+        unique = {r[4]: r for r in rows}  # a class may come from several tasks
+        sides = [sorted((r for r in unique.values() if r[3] == c), key=lambda r: r[4]) for c in (x, y)]
+        sets = [[np.frombuffer(r[5], dtype=np.uint64) for r in side] for side in sides]
+        forest = Forest()
+        if sides[0] and sides[1]:
+            for i, j in linked(sets[0], sets[1], percent):
+                if sides[0][i][4] != sides[1][j][4]:
+                    forest.join(sides[0][i][4], sides[1][j][4])
+        return forest.edges()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][:3] != row[:3]:
+                    if len(group) > 1:
+                        yield forest_of(group)
+                    group = []
+                group.append(row)
+        if len(group) > 1:
+            yield forest_of(group)
+
+    keys = ["cluster", "x", "y"]
+    return members.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "chunk", "id", "elements").mapInArrow(run, "a long, b long")
+
+
+def rest_of_links(edges: DataFrame, sets: DataFrame, percent: int, chunk: int, bits: int) -> DataFrame:
+    """(a, b): a spanning forest of the links inside the components of plausible edges, on full sets.
+
+    A component is cut into chunks of `chunk` classes, or so many more that there are 32, up to 8 * chunk; every two are one group.
+    """
+    clusters = stored(components(edges), "clusters")
+    size = F.count(F.lit(1))
+    per = F.greatest(F.lit(chunk), F.least(F.lit(8 * chunk), F.ceil(size / 32).cast("int")))
+    sizes = stored(clusters.groupBy("label").agg(F.ceil(size / per).cast("int").alias("chunks")), "sizes")
+    named = stored(hot_join(clusters, sizes, "label", hot_keys(clusters, "label")).select(F.col("node").alias("id"), F.col("label").alias("cluster"), "chunks"), "clustered")
+    rows = among(sets, "id", named.select("id"), bits).join(named, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
+    pairs = rows.select("cluster", "id", "chunk", "elements", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
+    return verified_edges(pairs.select("cluster", F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y"), "chunk", "id", "elements"), percent)
+
+
 def full_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame, bits: int) -> DataFrame:
     """(key, elements) of documents whose id is, or may be, in the one column of `wanted`; each key once."""
     given = among(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")), "doc_id", wanted, bits).select("text")
@@ -273,29 +363,32 @@ def among(rows: DataFrame, column: str, ids: DataFrame, bits: int) -> DataFrame:
     return rows.filter(flagged(F.col(column), ids, size))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 256, bits: int = 1 << 26) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 64, bits: int = 1 << 26) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; see the module for what counts as a link."""
     return grouped(docs, doc_id, text, n, percent, chunk, bits).select("doc_id", "n_shingles", "component_id")
 
 
-def linked_classes(classes: DataFrame, sets: DataFrame, met: DataFrame, percent: int, chunk: int) -> DataFrame:
+def linked_classes(classes: DataFrame, sets: DataFrame, met: DataFrame, percent: int, chunk: int, bits: int) -> DataFrame:
     """(node, label): the components of the links between the classes that meet."""
     first = likely(met.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), classes, percent)
     first = stored(first.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")), "stars")
-    labels = stored(components(verified(first, sets, percent)), "labels")
+    labels = stored(components(verified(first, sets, percent, bits)), "labels")
     hot = hot_keys(met, "k")
     for turn in ("heads", "others"):
         rows = still_open(met, labels, hot)
         if rows.isEmpty():
             break
-        pairs = one_for_each(rows, hot) if turn == "heads" else all_others(rows, classes, percent, chunk)
-        more = stored(verified(stored(likely(pairs, classes, percent), "likely"), sets, percent), "links")
+        if turn == "heads":
+            more = verified(stored(likely(one_for_each(rows, hot), classes, percent), "likely"), sets, percent, bits)
+        else:
+            more = rest_of_links(stored(plausible(rows, classes, percent, 4 * chunk), "plausible"), sets, percent, chunk, bits)
+        more = stored(more, "links")
         if not more.isEmpty():
             labels = stored(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
     return labels
 
 
-def grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int = 256, bits: int = 1 << 26) -> DataFrame:
+def grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int = 64, bits: int = 1 << 26) -> DataFrame:
     """As near_duplicates, with the set's digest `key` and `first`: is this the component's first set, by least id, then digest?"""
     found = stored(sketched(docs, doc_id, text, n), "sketches")
     classes = found.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("bands").alias("bands"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n"))
@@ -303,7 +396,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk
     met = stored(meetings(classes), "meetings")
     wanted = stored(classes.select("id", "key", "least").join(met.select("id").distinct(), "id", "left_semi"), "wanted")
     sets = stored(full_sets(docs, doc_id, text, n, wanted.select("least"), bits).join(wanted.select("id", "key"), "key").select("id", "elements"), "sets")
-    labels = linked_classes(classes.select("id", "n", "sig"), sets, met, percent, chunk)
+    labels = linked_classes(classes.select("id", "n", "sig"), sets, met, percent, chunk, bits)
     named = classes.select("id", "key", "least").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = stored(named.select("key", "least", "label"), "named")
     whole = stored(named.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("head")), "least")

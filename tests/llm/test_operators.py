@@ -338,7 +338,7 @@ def test_near_duplicates_in_one_large_group(spark):
         rows.append((i, " ".join(words)))
     rows += [(1000 + i, rows[0][1]) for i in range(50)] + [(2000 + i, " ".join(f"y{i}_{k}" for k in range(30))) for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, n=4, chunk=16).collect()), key=str)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, n=4, chunk=8).collect()), key=str)
     assert got == brute(rows, 4)
 
 
@@ -354,12 +354,12 @@ def test_pairs_left_by_the_first_turns_are_found(spark):
                 words[at] = f"f{f}i{i}a{at}"
             rows.append((1000 * f + i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, n=3, chunk=16).collect()), key=str)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, n=3, chunk=4).collect()), key=str)
     assert got == brute(rows, 3)
 
 
 def test_every_turn_finds_what_the_one_before_leaves(spark):
-    """The last turn alone gives all pairs that share a band, are not ruled out and not united yet."""
+    """The last turn spans all pairs that share a band, are not ruled out and not united yet."""
     rng = np.random.default_rng(6)
     base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
     sets = [np.unique(np.concatenate([base[rng.random(len(base)) > 0.05], rng.integers(0, 2**63, 12, dtype=np.uint64)])) for _ in range(90)]
@@ -376,9 +376,12 @@ def test_every_turn_finds_what_the_one_before_leaves(spark):
     labels = spark.createDataFrame([(i, 0) for i in range(0, 90, 3)] + [(i, 1) for i in range(1, 90, 3)], "node long, label long")
     comp = lambda i: i % 3 if i % 3 < 2 else i
     rows = neardup.still_open(met, labels, neardup.hot_keys(met, "k"))
-    got = {(r["a"], r["b"]) for r in neardup.all_others(rows, classes, 80, 8).collect()}
+    forest = components.Forest()
+    for r in neardup.plausible(rows, classes, 80, 8).collect():
+        forest.join(r["a"], r["b"])
     fits = lambda i, j: 100 * min(len(sets[i]), len(sets[j])) >= 80 * max(len(sets[i]), len(sets[j])) and (sketches[i].astype(np.uint8) == sketches[j].astype(np.uint8)).sum() >= neardup.least_agreement(80)
-    assert got == {(i, j) for v in owners.values() for i in v for j in v if i < j and comp(i) != comp(j) and fits(i, j)}
+    pairs = {(i, j) for v in owners.values() for i in v for j in v if i < j and comp(i) != comp(j) and fits(i, j)}
+    assert pairs and all(forest.root(i) == forest.root(j) for i, j in pairs) and set(forest.parent) <= {x for p in pairs for x in p}
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
