@@ -66,10 +66,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def hot_keys(rows: DataFrame, key: str, *, parts: int = 4096) -> DataFrame:
-    """The keys that hold more than 1 / parts of the rows each: fewer than `parts`, so they may be broadcast."""
+    """The keys that hold more than 1 / parts of the rows (a written table) each: fewer than `parts`, so they may be broadcast."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     least = rows.agg((F.count(F.lit(1)) / parts).alias("n")).scalar()
-    return stored(counts.filter((F.col("n") > 1) & (F.col("n") > least)).select(key), "hot-keys")
+    return counts.filter((F.col("n") > 1) & (F.col("n") > least)).select(key)
 
 
 def hot_join(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame) -> DataFrame:

@@ -158,8 +158,8 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.filter(fits).select("a", "b", F.col("_a.sig").alias("sa"), F.col("_b.sig").alias("sb")).mapInArrow(run, "a long, b long, agree long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, bits: int, *, rows: int = 64, parts: int = 4096) -> DataFrame:
-    """(a, b): the pairs that are links, by exact intersections of their full sets (id, elements).
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, *, rows: int = 64, parts: int = 4096) -> DataFrame:
+    """(a, b): the pairs (a written table) that are links, by exact intersections of their full sets (id, elements).
 
     A class of many pairs is sent once for each `rows` of them, so that no task gets all.
     """
@@ -168,11 +168,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, bits: int, *, rows
     for c, other in (("b", "a"), ("a", "b")):
         counts = pairs.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n"))
         hot = counts.filter((F.col("n") > rows) & (F.col("n") > pairs.agg(F.count(F.lit(1)) / parts).scalar()))
-        hot = stored(hot.select("id", F.ceil(F.col("n") / rows).cast("int").alias("wide")), "wide")  # fewer than `parts`
+        hot = hot.select("id", F.ceil(F.col("n") / rows).cast("int").alias("wide"))  # fewer than `parts`
         wide = F.coalesce("wide", F.lit(1))
         full = full.join(F.broadcast(hot.withColumnRenamed("id", c)), c, "left").withColumn("part", F.pmod(F.xxhash64(other), wide.cast("long")).cast("int")).drop("wide")
-        needed = among(sets, "id", pairs.select(F.col(c).alias("id")).distinct(), bits)
-        spread = needed.join(F.broadcast(hot), "id", "left").select(F.col("id").alias(c), F.col("elements").alias(f"elements_{c}"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("part"))
+        spread = sets.join(F.broadcast(hot), "id", "left").select(F.col("id").alias(c), F.col("elements").alias(f"elements_{c}"), F.explode(F.sequence(F.lit(0), wide - 1)).alias("part"))
         full = full.join(spread, [c, "part"]).drop("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,13 +191,13 @@ def still_open(met: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
     state = met.select("k", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("k", "id", F.coalesce("label", "id").alias("comp"))
     state = stored(state, "met-components")
     several = state.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("k", "m")
-    return stored(hot_join(state, stored(several, "open-keys"), "k", hot).filter("m IS NOT NULL"), "open")
+    return stored(hot_join(state, several, "k", hot).filter("m IS NOT NULL"), "open")
 
 
 def one_for_each(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """(a, b): in each band key, a class of every component with the class of one of them."""
     heads = stored(rows.groupBy("k", "comp").agg(F.min_by("id", F.xxhash64("id", "k")).alias("b")), "heads")
-    tops = stored(heads.groupBy("k").agg(F.min_by("b", F.xxhash64("comp", "k")).alias("a")), "tops")
+    tops = heads.groupBy("k").agg(F.min_by("b", F.xxhash64("comp", "k")).alias("a"))
     return hot_join(heads, tops, "k", hot).filter("a <> b").select("a", "b")
 
 
@@ -332,7 +331,7 @@ def rest_of_links(edges: DataFrame, sets: DataFrame, percent: int, chunk: int, b
     clusters = stored(components(edges), "clusters")
     size = F.count(F.lit(1))
     per = F.greatest(F.lit(chunk), F.least(F.lit(8 * chunk), F.ceil(size / 32).cast("int")))
-    sizes = stored(clusters.groupBy("label").agg(F.ceil(size / per).cast("int").alias("chunks")), "sizes")
+    sizes = clusters.groupBy("label").agg(F.ceil(size / per).cast("int").alias("chunks"))
     named = stored(hot_join(clusters, sizes, "label", hot_keys(clusters, "label")).select(F.col("node").alias("id"), F.col("label").alias("cluster"), "chunks"), "clustered")
     rows = among(sets, "id", named.select("id"), bits).join(named, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
     pairs = rows.select("cluster", "id", "chunk", "elements", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
@@ -363,32 +362,35 @@ def among(rows: DataFrame, column: str, ids: DataFrame, bits: int) -> DataFrame:
     return rows.filter(flagged(F.col(column), ids, size))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 64, bits: int = 1 << 26) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, chunk: int = 64, bits: int = 1 << 26, few: int = 1 << 14) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; see the module for what counts as a link."""
-    return grouped(docs, doc_id, text, n, percent, chunk, bits).select("doc_id", "n_shingles", "component_id")
+    return grouped(docs, doc_id, text, n, percent, chunk, bits, few).select("doc_id", "n_shingles", "component_id")
 
 
-def linked_classes(classes: DataFrame, sets: DataFrame, met: DataFrame, percent: int, chunk: int, bits: int) -> DataFrame:
-    """(node, label): the components of the links between the classes that meet."""
+def linked_classes(classes: DataFrame, sets: DataFrame, met: DataFrame, percent: int, chunk: int, bits: int, few: int) -> DataFrame:
+    """(node, label): the components of the links between the classes that meet. The second turn only saves work in the third, so
+    it is left out where at most `few` rows are open."""
     first = likely(met.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), classes, percent)
     first = stored(first.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")), "stars")
-    labels = stored(components(verified(first, sets, percent, bits)), "labels")
-    hot = hot_keys(met, "k")
-    for turn in ("heads", "others"):
+    labels = stored(components(verified(first, sets, percent)), "labels")
+    hot = stored(hot_keys(met, "k"), "hot-bands")
+    rows = still_open(met, labels, hot)
+    if rows.count() > few:
+        pairs = stored(likely(one_for_each(rows, hot), classes, percent), "likely")
+        near = among(sets, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), bits)
+        labels = stored(components(_stars(labels).unionByName(verified(pairs, near, percent))), "labels")
         rows = still_open(met, labels, hot)
-        if rows.isEmpty():
-            break
-        if turn == "heads":
-            more = verified(stored(likely(one_for_each(rows, hot), classes, percent), "likely"), sets, percent, bits)
-        else:
-            more = rest_of_links(stored(plausible(rows, classes, percent, 4 * chunk), "plausible"), sets, percent, chunk, bits)
-        more = stored(more, "links")
-        if not more.isEmpty():
-            labels = stored(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
-    return labels
-
-
-def grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int = 64, bits: int = 1 << 26) -> DataFrame:
+    if rows.isEmpty():
+        return labels
+    more = rest_of_links(stored(plausible(rows, classes, percent, 4 * chunk), "plausible"), sets, percent, chunk, bits)
+    return stored(components(_stars(labels).unionByName(more)), "labels")
+
+
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
+def grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk: int = 64, bits: int = 1 << 26, few: int = 1 << 14) -> DataFrame:
     """As near_duplicates, with the set's digest `key` and `first`: is this the component's first set, by least id, then digest?"""
     found = stored(sketched(docs, doc_id, text, n), "sketches")
     classes = found.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("bands").alias("bands"), F.max("sig").alias("sig"), F.max("n_shingles").alias("n"))
@@ -396,7 +398,7 @@ def grouped(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, chunk
     met = stored(meetings(classes), "meetings")
     wanted = stored(classes.select("id", "key", "least").join(met.select("id").distinct(), "id", "left_semi"), "wanted")
     sets = stored(full_sets(docs, doc_id, text, n, wanted.select("least"), bits).join(wanted.select("id", "key"), "key").select("id", "elements"), "sets")
-    labels = linked_classes(classes.select("id", "n", "sig"), sets, met, percent, chunk, bits)
+    labels = linked_classes(classes.select("id", "n", "sig"), sets, met, percent, chunk, bits, few)
     named = classes.select("id", "key", "least").join(labels.withColumnRenamed("node", "id"), "id", "left")
     named = stored(named.select("key", "least", "label"), "named")
     whole = stored(named.filter("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("head")), "least")

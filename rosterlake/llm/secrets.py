@@ -100,7 +100,7 @@ def _scanned(docs: DataFrame, text: str, owner: str, keep: list[Column], max_own
     """What spotted gives, the added spans by repo, and the repos that many rows with candidates have."""
     found = stored(spotted(docs, text=text, owner=owner, keep=keep), "spotted")
     added = stored(owned_spans(found, max_owners, max_repos), "owned")
-    return found, added, hot_keys(found.filter(F.size("candidates") > 0), "repo")
+    return found, added, stored(hot_keys(found.filter(F.size("candidates") > 0), "repo"), "hot-repos")
 
 
 def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", keep: list[Column] | None = None, max_owners: int = 3, max_repos: int = 10) -> DataFrame:
