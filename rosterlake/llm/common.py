@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from rosterlake.session import ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _local_dirs: dict[str, str] = {}
+_written: list[str] = []  # tables of this driver in the shared folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +64,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     prepare(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables stored() has written so far and not removed."""
+    return len(_written)
+
+
+def sweep(keep: DataFrame, since: int) -> None:
+    """Removes the tables that stored() has written after the first `since`, but those that `keep` reads; no one may need them any more."""
+    needed = {f.rsplit("/", 1)[0] for f in keep.inputFiles()}
+    for path in [p for p in _written[since:] if not any(n.endswith(p.split(":", 1)[-1]) for n in needed)]:
+        store, base = fs.FileSystem.from_uri(as_uri(path))
+        store.delete_dir(base)
+        _written.remove(path)
+
+
 def hot_keys(rows: DataFrame, key: str, *, parts: int = 4096) -> DataFrame:
     """The keys that hold more than 1 / parts of the rows (a written table) each: fewer than `parts`, so they may be broadcast."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -1,8 +1,12 @@
 """The pipeline: stages on odd rows, on an empty table, and end to end against plain Python."""
 
+import os
+
 import corpus_pipeline as pipeline
 from pyspark.sql import functions as F
 
+from rosterlake.llm.common import shared_dir, written
+
 from .conftest import SF
 from .test_operators import brute, plain_hits
 
@@ -22,8 +26,14 @@ def test_stages_keep_columns_and_take_odd_rows(spark, odd):
     assert pipeline.mix_sources(spark, odd.filter("false"), SF).count() == 0
 
 
+def shared_tables(spark):
+    return set(os.listdir(shared_dir(spark)))
+
+
 def test_run_equals_its_stages_in_plain_python(spark, docs):
+    before, since = shared_tables(spark), written()
     got = pipeline.run(spark, SF).collect()
+    assert [t.split("-")[1] for t in shared_tables(spark) - before] == ["mix_sources"] and written() == since + 1
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     left = [(d, t) for d, t in sorted(rows.items()) if any(c.isalpha() for c in t)]
     kept = {d for d, _, least in brute(left, 5) if d == least}
