@@ -6,7 +6,13 @@ Stages work on documents (doc_id, text, lang, source, n_chars). All but the last
 2. near_dedup keeps one document of each group of near copies (five words, similarity 0.8).
 3. decontaminate drops documents that hold a window of a benchmark item.
 4. secret_scan replaces secrets in the texts; no document goes.
-5. mix_sources gives each document its share of the mix and its training position.
+5. mix_sources gives each document its share of the mix and its training positions.
+
+Defined cases, whatever columns hold: a null or blank text, or one without letters, has no language and goes in stage 1; rows
+without an id are kept and told apart by their text, equal ones count as copies; of equal rows one stays, as of all
+copies; ids on several texts lose none of them that is no copy; a null source is a source of its own; ties are broken by id
+and hash; other columns, whatever their names, pass through the first four stages unread; an empty table gives none.
+Very long texts are walked in linear time and in pieces.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.llm import decontam, langid, mixing, neardup, secrets
-from rosterlake.llm.common import remainder, stored, table
+from rosterlake.llm.common import remainder, stored, sweep, table, written
 
 MIN_SCORE = 0.35
 
@@ -54,7 +60,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in a row. A stage's own tables, and its input, are removed once its output is written."""
+    docs, since = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        sweep(docs, since)
     return docs
