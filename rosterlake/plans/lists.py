@@ -129,11 +129,14 @@ def entity_list(cells: DataFrame) -> DataFrame:
 
     def named(split: Column) -> Column:
         """struct(name, rest) with a semicolon's rest moved to the address and footnote digits gone."""
-        nr = F.when(group != "", F.struct(group.alias("name"), F.lit("").alias("rest"))).otherwise(split)
-        semi = nr["name"].contains("; ")
-        after = F.regexp_replace(nr["name"], r"(?s)^.*?; ", "")
-        rest = F.when(semi, F.trim(F.concat(after, F.when(nr["rest"] != "", F.concat(F.lit(", "), nr["rest"])).otherwise("")))).otherwise(nr["rest"])
-        return F.struct(text.strip_footnote(F.when(semi, F.trim(F.substring_index(nr["name"], "; ", 1))).otherwise(nr["name"])).alias("name"), rest.alias("rest"))
+        def of(nr: Column) -> Column:
+            semi = nr["name"].contains("; ")
+            after = F.regexp_replace(nr["name"], r"(?s)^.*?; ", "")
+            rest = F.when(semi, F.trim(F.concat(after, F.when(nr["rest"] != "", F.concat(F.lit(", "), nr["rest"])).otherwise("")))).otherwise(nr["rest"])
+            name = F.when(semi, F.trim(F.substring_index(nr["name"], "; ", 1))).otherwise(nr["name"])
+            return F.struct(text.let(name, text.strip_footnote).alias("name"), rest.alias("rest"))
+
+        return text.let(F.when(group != "", F.struct(group.alias("name"), F.lit("").alias("rest"))).otherwise(split), of)
 
     plain = names.suffix_split(first, names.SUFFIXES)
     prelim = rows.withColumn("prelim", named(plain)).withColumn("raw", plain)
