@@ -202,36 +202,60 @@ def one_for_each(rows: DataFrame, hot: DataFrame) -> DataFrame:
 
 
 def plausible(rows: DataFrame, classes: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """(a, b): a spanning forest, in each group, of the pairs of classes that share a band key, are of different components and not ruled out.
+    """(a, b): edges that span the pairs of classes that share a band key, are of different components and not ruled out.
 
-    A key's classes are cut into chunks of about `chunk`, and every two chunks are a group: none grows with the data, and none gives
-    more rows than it has classes.
+    A key's classes are cut into chunks of about `chunk`. First each chunk gives a spanning forest of its pairs; then, where a key's
+    chunks are not spanned as one by that, every two chunks give a forest between what is spanned. No group grows with the data, and all
+    of them together give about a row for each of their classes.
     """
+    cut = rows.withColumn("chunks", F.ceil(F.col("m") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    full = stored(cut.join(classes.select("id", "n", "sig"), "id"), "open-classes")
+    each = full.select("k", F.col("chunk").alias("x"), F.col("chunk").alias("y"), "chunk", "id", F.col("id").alias("node"), "comp", "n", "sig")
+    inner = stored(_forests(each, percent), "plausible")
+    wide = full.filter("chunks > 1")
+    if wide.isEmpty():
+        return inner
+    spanned = components(inner).select(F.col("node").alias("id"), "label")
+    wide = stored(wide.join(spanned, "id", "left").withColumn("node", F.coalesce("label", "id")), "wide-bands")
+    several = wide.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("k", F.lit(True).alias("apart"))
+    apart = hot_join(wide, several, "k", hot_keys(wide, "k")).filter("apart").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1))).filter("o <> chunk")
+    outer = _forests(apart.select("k", F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y"), "chunk", "id", "node", "comp", "n", "sig"), percent)
+    return stored(inner.unionByName(outer), "plausible")
+
+
+def _forests(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) for each group (k, x, y): a spanning forest, over the nodes, of the pairs of its rows that are of different components and
+    nodes, of the two chunks (if it has two), and not ruled out."""
     least = least_agreement(percent)
 
-    def forest(g: np.ndarray, side: np.ndarray, one: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+    def forest(t: pa.Table, g: np.ndarray) -> pa.RecordBatch:
+        side, comp, n, node, two = (t[c].to_numpy() for c in ("chunk", "comp", "n", "node", "x"))
+        two, sig = two != t["y"].to_numpy(), _signatures(t["sig"].combine_chunks())
         a, b = [], []
         for d in range(1, len(g)):
             i = np.flatnonzero(g[d:] == g[:-d])
             if not len(i):
                 break
             j = i + d
-            ok = (comp[i] != comp[j]) & (one[i] | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok = (comp[i] != comp[j]) & (node[i] != node[j]) & (~two[i] | (side[i] != side[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
             good = agreements(sig[i], sig[j]) >= least
             a.append(i[good])
             b.append(j[good])
         a, b = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (a, b))
-        root = np.arange(len(g))
-        while len(a):  # the least row that each is joined to
+        # one number for each node of a group
+        _, first, of = np.unique(np.stack([g, node]), axis=1, return_index=True, return_inverse=True)
+        of = of.ravel()
+        a, b, root = of[a], of[b], np.arange(len(first))
+        while len(a):  # the least node that each is joined to
             low = np.minimum(root[a], root[b])
             np.minimum.at(root, a, low)
             np.minimum.at(root, b, low)
             root = root[root]
             differ = root[a] != root[b]
             a, b = a[differ], b[differ]
-        joined = np.flatnonzero(root != np.arange(len(g)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[root[joined]]), pa.array(ids[joined])], names=["a", "b"])
+        joined = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(node[first[root[joined]]]), pa.array(node[first[joined]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -245,20 +269,12 @@ def plausible(rows: DataFrame, classes: DataFrame, percent: int, chunk: int) ->
             last = int(np.flatnonzero(new)[-1])
             rest = t.slice(last)
             if last:
-                yield of(t.slice(0, last), np.cumsum(new)[:last])
+                yield forest(t.slice(0, last), np.cumsum(new)[:last])
         if rest is not None:
-            yield of(rest, np.zeros(len(rest), dtype=np.int64))
-
-    def of(t: pa.Table, g: np.ndarray) -> pa.RecordBatch:
-        column = lambda c: t[c].to_numpy()
-        return forest(g, column("chunk"), column("x") == column("y"), column("id"), column("comp"), column("n"), _signatures(t["sig"].combine_chunks()))
+            yield forest(rest, np.zeros(len(rest), dtype=np.int64))
 
-    cut = rows.withColumn("chunks", F.ceil(F.col("m") / chunk)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    full = cut.join(classes.select("id", "n", "sig"), "id")
-    each = full.select("k", "id", "comp", "n", "sig", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("o"))
     keys = ["k", "x", "y"]
-    each = each.select("k", F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y"), "chunk", "id", "comp", "n", "sig")
-    return each.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -382,7 +398,7 @@ def linked_classes(classes: DataFrame, sets: DataFrame, met: DataFrame, percent:
         rows = still_open(met, labels, hot)
     if rows.isEmpty():
         return labels
-    more = rest_of_links(stored(plausible(rows, classes, percent, 4 * chunk), "plausible"), sets, percent, chunk, bits)
+    more = rest_of_links(plausible(rows, classes, percent, 4 * chunk), sets, percent, chunk, bits)
     return stored(components(_stars(labels).unionByName(more)), "labels")
 
 
