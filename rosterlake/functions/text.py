@@ -1,14 +1,12 @@
-"""Text cleaning as Columns: no Python runs on the executors but for html_unescape."""
+"""Text cleaning as Columns: no Python runs on the executors."""
 
 from __future__ import annotations
 
-import html
 from collections.abc import Callable
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Line ends that a text reader may split a quoted field at; they vanish inside fields. Fixed values.
 LINE_ENDS = r"[\r\n\x0b\x0c\x1c-\x1e\u0085  ]+"
@@ -132,9 +130,33 @@ def basic_unescape(s: Column) -> Column:
     return s
 
 
-@F.pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+def _code_point(n: Column) -> Column:
+    """The character of a numeric reference; what no text may hold is left out, what is no character at all is a mark."""
+    c1 = F.create_map(*[F.lit(x) for k in range(0x80, 0xA0) for x in (k, bytes([k]).decode("cp1252", "ignore") or chr(k))])
+    control = n.between(1, 8) | n.between(14, 31) | n.isin(11, 127) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    wrong = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    return F.when(wrong, "\ufffd").when(n.between(0x80, 0x9F), F.try_element_at(c1, n.cast("int"))).when(control, "").otherwise(plain)
+
+
+def _reference(r: Column) -> Column:
+    """What a reference (without its ampersand) stands for; of a name that is none, its longest beginning that is one."""
+    names = F.create_map(*[F.lit(x) for kv in html5.items() for x in kv])
+    digits = F.ltrim(F.regexp_extract(r, "^#[xX]?([0-9a-fA-F]*)", 1), F.lit("0"))
+    short = F.when(F.length(digits) <= 8, F.when(digits == "", "0").otherwise(digits))
+    number = F.when(r.rlike("^#[xX]"), F.conv(short, 16, 10)).otherwise(short).cast("long")
+    begins = F.when(F.length(r) > 1, F.transform(F.sequence(F.length(r), F.lit(2), F.lit(-1)), lambda i: F.left(r, i))).otherwise(F.array().cast("array<string>"))
+    known = F.get(F.filter(begins, lambda b: F.map_contains_key(names, b)), F.lit(0))
+    named = let(known, lambda k: F.when(k.isNull(), F.concat(F.lit("&"), r)).otherwise(F.concat(F.try_element_at(names, k), F.substr(r, F.length(k) + 1))))
+    return F.when(r.startswith("#"), _code_point(number)).otherwise(named)
+
+
+def html_unescape(s: Column) -> Column:
+    """Character references decoded as browsers do, in the JVM."""
+    pattern = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+    found = F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(1)), _reference)
+    parts = F.zip_with(F.split(s, pattern, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(s.contains("&"), F.array_join(parts, "")).otherwise(s)
 
 
 def strip_tags(s: Column) -> Column:

@@ -1,5 +1,6 @@
 """Cleaning, dates, names, search and ordered operators: examples, properties and plain-Python twins."""
 
+import html
 import json
 import re
 import unicodedata
@@ -91,6 +92,12 @@ def test_entries(spark):
     assert (got[2]["name"], got[2]["aliases"], got[2]["address"]) == ("", [], None)
 
 
+def test_character_references_are_those_of_browsers(spark):
+    rows = ["", "no reference", "a &amp; b &lt;c&gt; &quot;&#39;&nbsp;x", "&#8364;&#x20AC;&#X41;&#65 &#65;&#0;&#128;&#x81;&#xD800;&#x110000;&#11;&#65534;&#99999999999999999999;&#x0000041;", "&notit; &notin; &ampamp; &copy &copyx &zzz; &a; && &; &# &#x; & b&", "&NotEqualTilde; &acE; &#128512;&#x1F600;", "a&lt", "&amp;lt;", "&verylongnamethatisnoreferenceatallforsure;"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, s string").select("i", text.html_unescape(F.col("s")).alias("u"))
+    assert [r["u"] for r in df.orderBy("i").collect()] == [html.unescape(x) for x in rows]
+
+
 def twin(s):
     s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()
     return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", s)).strip()
