@@ -22,10 +22,10 @@ def countries(entities: DataFrame) -> DataFrame:
     return entities.agg(F.array_sort(F.collect_set("country")).alias("countries"))
 
 
-def probes(entities: DataFrame, names: list[str]) -> DataFrame:
-    """How often each expected name occurs, 0 included."""
-    asked = entities.sparkSession.createDataFrame([(n,) for n in names], "name string")
-    return asked.join(entities.select("name", F.lit(1).alias("hit")), "name", "left").groupBy("name").agg(F.count("hit").alias("hits"))
+def probes(entities: DataFrame, asked: DataFrame) -> DataFrame:
+    """How often each expected name (a table of names) occurs, 0 included."""
+    hits = entities.groupBy("name").agg(F.count(F.lit(1)).alias("hits"))
+    return asked.select("name").distinct().join(hits, "name", "left").select("name", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def repeated(entities: DataFrame, *keys: str) -> DataFrame:

@@ -162,6 +162,39 @@ def _(t):
     return t("documents").select("doc_id", text.dehyphenate(F.replace("text", F.lit("th"), F.lit("x- \n th"))).alias("s"))
 
 
+@query("clean_text", rf"WITH d AS (SELECT doc_id, {WS.format(TYPO.format("replace(text, 'th', 'x- ‘th')"))} AS s FROM documents) SELECT doc_id, regexp_replace(regexp_replace(s, '([\p{{L}}\p{{N}}\p{{M}}_])-\s+([a-z])', '\1\2', 'g'), '([\p{{L}}\p{{N}}\p{{M}}_])-\s+([A-Z0-9])', '\1-\2', 'g') AS s FROM d")
+def _(t):
+    return t("documents").select("doc_id", text.clean_text(F.replace("text", F.lit("th"), F.lit("x- ‘th"))).alias("s"))
+
+
+@query("clean_name", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN '' ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 2 THEN NULL ELSE '\"' || c_name || ' ,;' END AS cleaned FROM customer")
+def _(t):
+    raw = F.when(F.col("c_custkey") % 3 == 2, "  \t ").otherwise(F.concat(F.lit(' "'), "c_name", F.lit("  ,; ")))
+    return t("customer").select("c_custkey", text.clean_name(raw).alias("name"), text.clean(raw).alias("cleaned"))
+
+
+@query("superscripts", "SELECT c_custkey, 'Uni (' || c_name || ')' || CASE WHEN c_custkey % 2 = 0 THEN ' x' ELSE '' END AS s FROM customer")
+def _(t):
+    raw = F.concat(F.lit("Uni  ("), "c_name", F.lit(")"), F.when(F.col("c_custkey") % 2 == 0, " x").otherwise(""), (F.col("c_custkey") % 10).cast("string"), F.lit(" Error! Bookmark not defined."))
+    return t("customer").select("c_custkey", text.drop_superscript(raw).alias("s"))
+
+
+@query("sorted_countries", "SELECT string_agg(p_type, '|' ORDER BY p_type) AS countries FROM (SELECT DISTINCT p_type FROM part)")
+def _(t):
+    return checks.countries(_parts(t)).select(F.array_join("countries", "|").alias("countries"))
+
+
+@query("probes", "SELECT n_name AS name, count(s_suppkey) AS hits FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
+def _(t):
+    entities = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
+    return checks.probes(entities, t("nation").select(F.col("n_name").alias("name")))
+
+
+@query("strip_tags", "SELECT page_id, '<' || CAST(page_id AS VARCHAR) || '> & “é” €' AS s FROM pages")
+def _(t):
+    return t("pages").select("page_id", text.strip_tags(F.concat(F.lit("<p class='a'>&lt;"), F.col("page_id").cast("string"), F.lit("&gt;</p>&amp;<b> &ldquo;&eacute&rdquo;&nbsp;&#x20ac;</b>"))).alias("s"))
+
+
 _CUT = "CASE WHEN contains(left({0}, {1}), ' ') THEN {1} - instr(reverse(left({0}, {1})), ' ') ELSE -1 END"
 
 

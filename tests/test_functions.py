@@ -179,7 +179,7 @@ def test_anchor_clusters_equal_a_loop(spark):
 def test_checks(spark, idx):
     ents = spark.createDataFrame([("A 1", ["x"], "C", None), ("B", [], "C", "Subordinate institution of B")], "name string, aliases array<string>, country string, notes string")
     assert tuple(checks.quality(ents).first()) == (2, 1, 1, 1, 1, 0)
-    assert {tuple(r) for r in checks.probes(ents, ["B", "Z"]).collect()} == {("B", 1), ("Z", 0)}
+    assert {tuple(r) for r in checks.probes(ents, spark.createDataFrame([("B",), ("Z",)], "name string")).collect()} == {("B", 1), ("Z", 0)}
     with pytest.raises(checks.SourceError):
         checks.require_rows(ents.filter("false"), "nothing")
 
