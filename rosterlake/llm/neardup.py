@@ -339,18 +339,19 @@ def verified_edges(members: DataFrame, percent: int) -> DataFrame:
     return members.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "chunk", "id", "elements").mapInArrow(run, "a long, b long")
 
 
-def rest_of_links(edges: DataFrame, sets: DataFrame, percent: int, chunk: int, bits: int) -> DataFrame:
+def rest_of_links(edges: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, chunk: int, bits: int, *, size: int = 16 << 20) -> DataFrame:
     """(a, b): a spanning forest of the links inside the components of plausible edges, on full sets.
 
-    A component is cut into chunks of `chunk` classes, or so many more that there are 32, up to 8 * chunk; every two are one group.
+    A component is cut into chunks of `chunk` classes, or so many more that there are 32, up to 8 * chunk, and of about `size` bytes at
+    most; every two are one group.
     """
-    clusters = stored(components(edges), "clusters")
-    size = F.count(F.lit(1))
-    per = F.greatest(F.lit(chunk), F.least(F.lit(8 * chunk), F.ceil(size / 32).cast("int")))
-    sizes = clusters.groupBy("label").agg(F.ceil(size / per).cast("int").alias("chunks"))
-    named = stored(hot_join(clusters, sizes, "label", hot_keys(clusters, "label")).select(F.col("node").alias("id"), F.col("label").alias("cluster"), "chunks"), "clustered")
-    rows = among(sets, "id", named.select("id"), bits).join(named, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
-    pairs = rows.select("cluster", "id", "chunk", "elements", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
+    clusters = stored(components(edges).withColumnRenamed("node", "id").join(classes.select("id", "n"), "id"), "clusters")
+    rows = F.count(F.lit(1))
+    per = F.greatest(F.lit(chunk), F.least(F.lit(8 * chunk), F.ceil(rows / 32).cast("int")))
+    sizes = clusters.groupBy("label").agg(F.greatest(F.ceil(rows / per), F.ceil(F.sum("n") * 8 / size)).cast("int").alias("chunks"))
+    named = stored(hot_join(clusters, sizes, "label", hot_keys(clusters, "label")).select("id", F.col("label").alias("cluster"), "chunks"), "clustered")
+    given = among(sets, "id", named.select("id"), bits).join(named, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int"))
+    pairs = given.select("cluster", "id", "chunk", "elements", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o"))
     return verified_edges(pairs.select("cluster", F.least("chunk", "o").alias("x"), F.greatest("chunk", "o").alias("y"), "chunk", "id", "elements"), percent)
 
 
@@ -398,7 +399,7 @@ def linked_classes(classes: DataFrame, sets: DataFrame, met: DataFrame, percent:
         rows = still_open(met, labels, hot)
     if rows.isEmpty():
         return labels
-    more = rest_of_links(plausible(rows, classes, percent, 4 * chunk), sets, percent, chunk, bits)
+    more = rest_of_links(plausible(rows, classes, percent, 4 * chunk), classes, sets, percent, chunk, bits)
     return stored(components(_stars(labels).unionByName(more)), "labels")
 
 
