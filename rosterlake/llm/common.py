@@ -64,17 +64,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     prepare(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    noted(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def noted(path: str) -> None:
+    """Remembers what was written to the shared folder, so that sweep() may remove it."""
+    _written.append(path)
+
+
 def written() -> int:
-    """How many tables stored() has written so far and not removed."""
+    """How many tables were written so far and not removed."""
     return len(_written)
 
 
 def sweep(keep: DataFrame, since: int) -> None:
-    """Removes the tables that stored() has written after the first `since`, but those that `keep` reads; no one may need them any more."""
+    """Removes the tables that were written after the first `since`, but those that `keep` reads; no one may need them any more."""
     needed = {f.rsplit("/", 1)[0] for f in keep.inputFiles()}
     for path in [p for p in _written[since:] if not any(n.endswith(p.split(":", 1)[-1]) for n in needed)]:
         store, base = fs.FileSystem.from_uri(as_uri(path))

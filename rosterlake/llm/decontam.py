@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_uri, map_texts, prepare, shared_dir, table
+from .common import as_uri, map_texts, noted, prepare, shared_dir, table
 
 #: A-Z become a-z; what is neither a digit, a letter nor beyond ASCII becomes a blank.
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -186,6 +186,7 @@ def write_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int
     root = f"{as_uri(shared_dir(spark))}/test-items-{uuid.uuid4().hex}"
     dealt = items.select("name", F.col("text").cast("binary"), F.pmod(F.xxhash64("name", "text"), F.lit(blocks)).alias("block"))
     dealt.repartition("block").write.partitionBy("block").parquet(root)
+    noted(root)
     return [f"{root}/block={r[0]}" for r in dealt.select("block").distinct().orderBy("block").collect()]
 
 
