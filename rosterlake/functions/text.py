@@ -21,7 +21,7 @@ def norm(s: Column) -> Column:
     """Search key: no diacritics, lower case, other than a-z 0-9 blank; "" for null. Stays in the JVM."""
     wide = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), F.coalesce(s, F.lit("")), F.lit(True))
     plain = F.regexp_replace(wide, r"\p{Mn}", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(plain), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(plain), r"[^a-z0-9]+", " "))
 
 
 def typography(s: Column) -> Column:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.functions.text import norm
+from rosterlake.functions.text import let, norm
 
 _PLAIN = set(string.ascii_lowercase + string.digits)
 EXACT, PREFIX, IN_NAME, IN_ALIASES, IN_DETAILS, BROWSE = 100, 85, 70, 55, 25, 50
@@ -120,22 +121,79 @@ def screen(idx: DataFrame, queries: DataFrame) -> DataFrame:
     return tiers.filter("score > 0").select("qid", "n", "l", "ord", "score")
 
 
-def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, doc_id): which of the normalized texts docs (doc_id, t) contain which of items (item_id, q), anywhere.
+#: Words in the pieces of a text that are looked up.
+WINDOW = 4
 
-    The words of an item but its first and last are whole words of a text that contains it, so an item is joined by the rarest
-    of them; items without such words are joined by pieces of three characters of their words, or by these.
+
+def _hashes(words: Column, *sizes: int) -> Column:
+    """Distinct hashes of each n words in a row, for each n of sizes."""
+
+    def of(ws: Column, n: int) -> Column:
+        at = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(*[F.element_at(ws, i + j) for j in range(n)]))
+
+    return let(words, lambda ws: F.array_distinct(F.concat(*[of(ws, n) for n in sizes])))
+
+
+def small(df: DataFrame, most: int) -> bool:
+    """Whether df has `most` rows or fewer; no more than these are counted."""
+    return df.limit(most + 1).count() <= most
+
+
+def holding(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(tok, w): the words (w) that contain a token (tok) anywhere, met by the token's rarest piece of up to three characters."""
+    grams_of = lambda c: F.explode(F.when(F.length(c) < 3, F.array(c)).otherwise(grams(F.array(c), 3))).alias("g")
+    sizes = [n for n in (1, 2, 3) if not tokens.filter(F.length("tok") == n if n < 3 else F.length("tok") >= n).isEmpty()]
+    if not sizes:
+        return tokens.join(words, F.lit(False)).select("tok", "w")
+    held = words.select("w", F.explode(grams(F.array("w"), *sizes)).alias("g"))
+    asked = tokens.select("tok", grams_of(F.col("tok")))
+    frequency = held.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    best = asked.join(frequency, "g").groupBy("tok").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    return held.join(best, "g").filter(F.contains("w", F.col("tok"))).select("tok", "w")
+
+
+def containing(docs: DataFrame, items: DataFrame, *, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """(item_id, doc_id): which of the normalized texts docs (doc_id, t) contain which of items (item_id, q), anywhere; a row for each pair of rows.
+
+    The words of an item but its first and last are whole words of a text that contains it. So hashes of WINDOW of them in a row
+    (of all, where they are fewer) are looked up among the items' while the texts are read, and only (doc_id, hash) of what is
+    found goes on; the hash of an item that fewest texts hold brings it together with them. Items of one or two words are looked up
+    by the corpus's words that contain their longer one. What meets is verified once on the text. Texts are neither
+    copied nor shuffled, but for those that a pair needs. An item without words is in no text; ids may repeat or be null.
     """
+    items = items.filter("q <> ''").select("item_id", "q")
     words = F.split("q", " ")
-    inner = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
-    asked = items.filter("q <> ''").select("item_id", "q", inner.alias("gs"))
-    some = docs.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("g"))
-    by_word = rarest(asked.filter(F.size("gs") > 0), some.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "item_id", "q")
-    few = asked.filter(F.size("gs") == 0).select("item_id", "q", F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) < 3), grams(words, 3))).alias("gs"))
-    pieces = docs.select("doc_id", "t", F.explode(grams(F.array_distinct(F.split("t", " ")), 1, 2, 3)).alias("g")).join(few.select(F.explode("gs").alias("g")).distinct(), "g", "left_semi")
-    by_piece = rarest(few, pieces.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "item_id", "q")
-    met = some.join(by_word, "g").unionByName(pieces.join(by_piece, "g"))
-    return met.filter(F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    asked = items.select("q").distinct().select("q", inner.alias("inner"), F.least(F.size(inner), F.lit(WINDOW)).alias("n"))
+    sizes = sorted(r[0] for r in asked.select("n").distinct().collect())  # WINDOW + 1 at most
+    wanted = [asked.filter(F.col("n") == n).select("q", F.explode(_hashes(F.col("inner"), n)).alias("h")) for n in sizes if n]
+    if 0 in sizes:
+        short = asked.filter("n = 0").select("q", F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("tok"))
+        vocabulary = docs.select(F.explode(F.split("t", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("w <> ''").select("w")
+        wanted.append(short.join(holding(vocabulary, short.select("tok").distinct()), "tok").select("q", F.xxhash64("w").alias("h")))
+        sizes = sorted({*sizes, 1} - {0})
+    if not wanted:
+        return items.join(docs, F.lit(False)).select("item_id", "doc_id")
+    keys = reduce(DataFrame.unionByName, wanted)
+    known = keys.select("h").distinct()
+    known = F.broadcast(known) if small(known, broadcast_rows) else known
+    found = docs.select("doc_id", F.explode(_hashes(F.split("t", " "), *sizes)).alias("h")).join(known, "h", "left_semi")
+    return _verified(docs, items, keys, found.distinct())
+
+
+def _verified(docs: DataFrame, items: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs of docs and items for which the item is in the text, from keys (q, h) and found (doc_id, h); all hashes of a q of three words or more must be found."""
+    frequency = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counted = keys.join(frequency, "h", "left").withColumn("several", F.size(F.split("q", " ")) > 2)
+    # every word that holds a short item is an alternative; of a longer item's hashes each must be there, so the rarest will do
+    best = counted.filter("several").groupBy("q").agg(F.min_by("h", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h")).alias("h"))
+    chosen = best.unionByName(counted.filter("NOT several").select("q", "h"))
+    pairs = found.join(chosen, "h").select("doc_id", "q").distinct()
+    # the semi-join goes below what makes t, so that only texts that a pair needs are normalized again
+    some = docs.join(pairs.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    met = some.join(pairs.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).filter(F.contains("t", F.col("q"))).select("doc_id", "q")
+    return met.join(items, "q").select("item_id", "doc_id")
 
 
 def summary(groups: DataFrame | None, shown: int = 40) -> str:
