@@ -1,8 +1,8 @@
-"""The queries that the ten operators add to the registry, and their SQL where SQL can express them."""
+"""The queries that the operators add to the registry, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import decontam, html_content, langid, lm, media, mixing, neardup, quality, secrets, urlfilter
+from . import decontam, html_content, langid, lm, media, mixing, neardup, quality, repair, secrets, urlfilter
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontam.op10_decontaminate,
+    "op11_conversation_repair": repair.op11_conversation_repair,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op5_near_duplicates": neardup.OP5_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
     "op10_decontaminate": decontam.OP10_SQL,
+    "op11_conversation_repair": repair.OP11_SQL,
 }
