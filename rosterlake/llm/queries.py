@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_content, langid, lm, media, mixing, neardup, quality, repair, secrets, urlfilter
+from . import decontam, html_content, langid, lm, media, mixing, neardup, quality, repair, secrets, spelling, urlfilter
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontam.op10_decontaminate,
     "op11_conversation_repair": repair.op11_conversation_repair,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op8_secret_scan": secrets.OP8_SQL,
     "op10_decontaminate": decontam.OP10_SQL,
     "op11_conversation_repair": repair.OP11_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }
