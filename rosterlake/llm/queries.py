@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_content, langid, lm, media, mixing, neardup, quality, repair, secrets, spelling, urlfilter
+from . import ann, decontam, html_content, langid, lm, media, mixing, neardup, quality, repair, secrets, spelling, urlfilter
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontam.op10_decontaminate,
     "op11_conversation_repair": repair.op11_conversation_repair,
+    "op12_nearest_neighbours": ann.op12_nearest_neighbours,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
