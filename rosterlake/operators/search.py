@@ -10,10 +10,12 @@ import string
 import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions.text import let, norm
+from rosterlake.operators import postings
+from rosterlake.operators.postings import Inverted
 
 _PLAIN = set(string.ascii_lowercase + string.digits)
 EXACT, PREFIX, IN_NAME, IN_ALIASES, IN_DETAILS, BROWSE = 100, 85, 70, 55, 25, 50
@@ -47,14 +49,35 @@ def family(agency_short: Column) -> Column:
 
 
 def grouped(matches: DataFrame) -> DataFrame:
-    """One row for each normalized name, best first: first name seen, best score, records, lists, countries and aliases."""
-    seen = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col(c).alias("v")))), lambda r: r["v"])
-    groups = matches.groupBy("nn").agg(
-        F.min_by("n", "ord").alias("name"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n_recs"), F.count_distinct("l").alias("n_lists"),
-        F.filter(F.array_distinct(seen("c")), lambda v: v.isNotNull()).alias("countries"), F.array_distinct(F.flatten(F.filter(seen("a"), lambda v: v.isNotNull()))).alias("all_aliases"),
-        F.sort_array(F.collect_list(F.struct("ord", "l", "n", "a", "c", "ad", "s", "d", "fr", "no"))).alias("recs"),
-    )
-    return groups.withColumn("aliases", F.slice("all_aliases", 1, 8)).withColumn("more_aliases", F.size("all_aliases") > 8).drop("all_aliases")
+    """One row for each normalized name: first name seen, best score, records, lists and countries in order of appearance.
+
+    Rows are summed by name, list and country before they meet by name, so a name on any number of rows is a few rows there. Its aliases and
+    records are those of a page's groups, see cards() and records().
+    """
+    parts = matches.groupBy("nn", "l", "c").agg(F.min(F.struct("ord", "n")).alias("first"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    countries = F.transform(F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("first.ord", "c")))), lambda x: x["c"])
+    groups = parts.groupBy("nn").agg(F.min("first")["n"].alias("name"), F.max("score").alias("score"), F.sum("n").alias("n_recs"), F.size(F.collect_set("l")).cast("long").alias("n_lists"), countries.alias("countries"))
+    return groups.withColumn("countries", F.array_distinct("countries"))
+
+
+def cards(matches: DataFrame, groups: DataFrame, *, shown: int = 8) -> DataFrame:
+    """The groups (a page of them, or all) with their first `shown` distinct aliases in order of appearance, and whether there are more.
+
+    Aliases are made distinct, ranked and cut in every task before they meet.
+    """
+    each = matches.join(groups.select("nn"), "nn", "left_semi").filter(F.size("a") > 0).select("nn", "ord", F.posexplode("a").alias("pos", "alias"))
+    first = each.groupBy("nn", "alias").agg(F.min(F.struct("ord", "pos")).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("nn").orderBy("first", "alias"))
+    few = first.withColumn("nth", nth).filter(F.col("nth") <= shown + 1).groupBy("nn").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("nth") <= shown, F.struct("nth", "alias")))), lambda x: x["alias"]).alias("aliases"), (F.max("nth") > shown).alias("more_aliases")
+    )
+    out = groups.join(few, "nn", "left")
+    return out.withColumns({"aliases": F.coalesce("aliases", F.array().cast("array<string>")), "more_aliases": F.coalesce("more_aliases", F.lit(False))})
+
+
+def records(matches: DataFrame, groups: DataFrame) -> DataFrame:
+    """The records of groups as rows, in order: nn, ord and the index fields. No group is gathered."""
+    return matches.join(groups.select("nn"), "nn", "left_semi").select("nn", "ord", "l", "n", "a", "c", "ad", "s", "d", "fr", "no").orderBy("nn", "ord")
 
 
 def ranked(groups: DataFrame, *, page: int = 40, pages: int = 1) -> DataFrame:
@@ -62,15 +85,46 @@ def ranked(groups: DataFrame, *, page: int = 40, pages: int = 1) -> DataFrame:
     return groups.orderBy(F.desc("score"), F.desc("n_recs"), F.collate("name", "UNICODE"), "nn").limit(page * pages)
 
 
+def page_after(groups: DataFrame, last: Row | None = None, *, page: int = 40) -> tuple[DataFrame, Observation]:
+    """The page of groups behind `last`, the last row of the page before (None: the first), and what counts the rest in the same job.
+
+    Groups before `last` are left out by its place in the order, not ranked again: what a page costs does not grow with the pages before. Once
+    the page was read, remaining() tells from the observation how many groups follow it.
+    """
+    rest = groups
+    if last is not None:
+        name, seen = F.collate("name", "UNICODE"), F.collate(F.lit(last["name"]), "UNICODE")
+        after = (name > seen) | ((name == seen) & (F.col("nn") > last["nn"]))
+        after = (F.col("n_recs") < last["n_recs"]) | ((F.col("n_recs") == last["n_recs"]) & after)
+        rest = groups.filter((F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & after))
+    seen = Observation()
+    return ranked(rest.observe(seen, F.count(F.lit(1)).alias("n")), page=page), seen
+
+
+def remaining(seen: Observation, page: int = 40) -> int:
+    """How many groups follow the page whose observation this is."""
+    return max(0, seen.get["n"] - page)
+
+
 def normalized(query: str) -> str:
     """norm of one query, where no table is at hand."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", query) if unicodedata.category(c) != "Mn").lower()
     return " ".join("".join(c if c in _PLAIN else " " for c in plain).split())
 
 
-def search(idx: DataFrame, query: str, *, lists: DataFrame | None = None, list_id: str | None = None, agency: str = "all") -> DataFrame | None:
-    """Groups that match; None if the normalized query is shorter than 2 and no list is chosen, whose rows are browsed then."""
-    plain, rows = normalized(query), idx
+def search(idx: DataFrame | Inverted, query: str, *, lists: DataFrame | None = None, list_id: str | None = None, agency: str = "all") -> DataFrame | None:
+    """Groups that match; None where matching() is."""
+    rows = matching(idx, query, lists=lists, list_id=list_id, agency=agency)
+    return None if rows is None else grouped(rows)
+
+
+def matching(idx: DataFrame | Inverted, query: str, *, lists: DataFrame | None = None, list_id: str | None = None, agency: str = "all") -> DataFrame | None:
+    """Index rows that match, with their score; None if the normalized query is shorter than 2 and no list is chosen, whose rows are browsed then.
+
+    Of a written inverted index only the rows that hold the query's rarest word are read.
+    """
+    plain = normalized(query)
+    rows = idx if not isinstance(idx, Inverted) else idx.rows if len(plain) < 2 or not idx.buckets else postings.candidates(idx, list(dict.fromkeys(plain.split())))
     if list_id is not None and lists is None:
         rows = rows.filter(F.col("l") == list_id)
     elif list_id is not None and len(plain) < 2 and lists.filter(F.col("id") == list_id).isEmpty():
@@ -83,41 +137,20 @@ def search(idx: DataFrame, query: str, *, lists: DataFrame | None = None, list_i
         else:
             rows = rows.join(lists.filter(F.when(known, F.col("id") == list_id).otherwise(family(F.col("agency_short")) == agency)).select(F.col("id").alias("l")), "l", "left_semi")
     if len(plain) < 2:
-        return grouped(rows.withColumn("score", F.lit(BROWSE))) if list_id is not None else None
-    return grouped(rows.withColumn("score", score(F.lit(plain), F.col("nn"), F.col("k"), F.col("x"))).filter("score > 0"))
-
-
-def grams(tokens: Column, *sizes: int) -> Column:
-    """Distinct substrings of these sizes of each token."""
-
-    def of(n: int) -> Column:
-        places = lambda t: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - n + 1))
-        long = F.filter(tokens, lambda t: F.length(t) >= n)
-        return F.flatten(F.transform(long, lambda t: F.transform(places(t), lambda i: F.substr(t, i, F.lit(n)))))
-
-    return F.array_distinct(F.concat(*map(of, sizes)))
+        return rows.withColumn("score", F.lit(BROWSE)) if list_id is not None else None
+    return rows.withColumn("score", score(F.lit(plain), F.col("nn"), F.col("k"), F.col("x"))).filter("score > 0")
 
 
-def rarest(asked: DataFrame, frequency: DataFrame, *keep: str) -> DataFrame:
-    """(keep, g) for each row of asked (keep, gs array): the least frequent of its pieces; rows with one that occurs nowhere go."""
-    each = asked.select(*keep, F.size("gs").alias("_n"), F.explode("gs").alias("g")).join(frequency, "g")
-    best = each.groupBy(*keep, "_n").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count(F.lit(1)).alias("_found"))
-    return best.filter("_found = _n").select(*keep, "g")
-
-
-def screen(idx: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, n, l, ord, score) of many queries (qid, q) at once.
-
-    A query matches only rows that hold all pieces of up to three characters of its words. So each query is joined by
-    the rarest of these, and what meets is scored; nothing passes through the driver, and no query meets rows that lack its piece.
-    """
+def screen(idx: DataFrame | Inverted, queries: DataFrame) -> DataFrame:
+    """(qid, n, l, ord, score) of many queries (qid, q) at once: index rows, or an inverted index of them, meet the queries by words (see
+    postings), and what meets is scored once."""
+    of = idx if isinstance(idx, Inverted) else postings.invert(idx)
     asked = queries.select("qid", norm(F.col("q")).alias("q")).filter("length(q) >= 2")
-    words = F.split("q", " ")
-    short = F.filter(words, lambda t: F.length(t) < 3)
-    asked = asked.select("qid", "q", F.array_distinct(F.concat(short, grams(words, 3))).alias("gs"))
-    held = idx.select("n", "l", "ord", "nn", "k", "x", F.explode(grams(F.array_distinct(F.split(F.concat_ws(" ", "k", "x"), " ")), 1, 2, 3)).alias("g"))
-    keys = rarest(asked, held.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "qid", "q")
-    tiers = held.join(keys, "g").withColumn("score", score(F.col("q"), F.col("nn"), F.col("k"), F.col("x")))
+    met = postings.meetings(of, asked)
+    key = ["l", "ord"]
+    if of.buckets:
+        met, key = met.withColumn("b", postings.bucket(of.buckets, "l", "ord")), ["b", "l", "ord"]
+    tiers = of.rows.join(met, key).withColumn("score", score(F.col("q"), F.col("nn"), F.col("k"), F.col("x")))
     return tiers.filter("score > 0").select("qid", "n", "l", "ord", "score")
 
 
@@ -140,19 +173,6 @@ def small(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def holding(words: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(tok, w): the words (w) that contain a token (tok) anywhere, met by the token's rarest piece of up to three characters."""
-    grams_of = lambda c: F.explode(F.when(F.length(c) < 3, F.array(c)).otherwise(grams(F.array(c), 3))).alias("g")
-    sizes = [n for n in (1, 2, 3) if not tokens.filter(F.length("tok") == n if n < 3 else F.length("tok") >= n).isEmpty()]
-    if not sizes:
-        return tokens.join(words, F.lit(False)).select("tok", "w")
-    held = words.select("w", F.explode(grams(F.array("w"), *sizes)).alias("g"))
-    asked = tokens.select("tok", grams_of(F.col("tok")))
-    frequency = held.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    best = asked.join(frequency, "g").groupBy("tok").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-    return held.join(best, "g").filter(F.contains("w", F.col("tok"))).select("tok", "w")
-
-
 def containing(docs: DataFrame, items: DataFrame, *, broadcast_rows: int = 1 << 20) -> DataFrame:
     """(item_id, doc_id): which of the normalized texts docs (doc_id, t) contain which of items (item_id, q), anywhere; a row for each pair of rows.
 
@@ -170,8 +190,9 @@ def containing(docs: DataFrame, items: DataFrame, *, broadcast_rows: int = 1 <<
     wanted = [asked.filter(F.col("n") == n).select("q", F.explode(_hashes(F.col("inner"), n)).alias("h")) for n in sizes if n]
     if 0 in sizes:
         short = asked.filter("n = 0").select("q", F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("tok"))
-        vocabulary = docs.select(F.explode(F.split("t", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("w <> ''").select("w")
-        wanted.append(short.join(holding(vocabulary, short.select("tok").distinct()), "tok").select("q", F.xxhash64("w").alias("h")))
+        pieces = postings.pieces_of(postings.vocabulary(docs.select(F.explode(F.split("t", " ")).alias("w")).filter("w <> ''")))
+        met = postings.holding(Inverted(None, None, pieces, postings.frequencies(pieces)), short.select("tok").distinct())
+        wanted.append(short.join(met, "tok").select("q", F.xxhash64("w").alias("h")))
         sizes = sorted({*sizes, 1} - {0})
     if not wanted:
         return items.join(docs, F.lit(False)).select("item_id", "doc_id")

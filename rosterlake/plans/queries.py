@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import dates, names, text
-from rosterlake.operators import checks, merge, ordered, search
+from rosterlake.operators import checks, merge, ordered, postings, search
 from rosterlake.plans import lists
 from rosterlake.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from rosterlake.session import fresh_path
 
 NORM = r"trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(coalesce({0}, ''), 'ł', ' '), 'Ł', ' '))), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 WS = r"trim(regexp_replace({0}, '[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x0b]+', ' ', 'g'))"
@@ -89,12 +90,46 @@ def _(t):
     return search.search(search.index(_parts(t)), "gear", lists=lists, agency="State").select("nn", "score", "n_recs")
 
 
-@query("screen_names", f"WITH {PARTS_SQL}, q AS (SELECT DISTINCT {NORM.format('p_name')} AS q FROM part), j AS (SELECT q.q AS qid, idx.ord, CASE WHEN nn = q THEN 100 WHEN starts_with(nn, q) THEN 85 WHEN list_bool_and(list_transform(string_split(q, ' '), lambda u: contains(k, u))) THEN CASE WHEN list_bool_and(list_transform(string_split(q, ' '), lambda u: contains(nn, u))) THEN 70 ELSE 55 END WHEN list_bool_and(list_transform(string_split(q, ' '), lambda u: contains(k, u) OR contains(x, u))) THEN 25 ELSE 0 END AS score FROM q, idx) SELECT qid, CAST(score AS INTEGER) AS score, count(*) AS n FROM j WHERE score > 0 GROUP BY ALL")
+SCREEN_SQL = f"WITH {PARTS_SQL}, q AS (SELECT DISTINCT {NORM.format('p_name')} AS q FROM part), j AS (SELECT q.q AS qid, idx.ord, CASE WHEN nn = q THEN 100 WHEN starts_with(nn, q) THEN 85 WHEN list_bool_and(list_transform(string_split(q, ' '), lambda u: contains(k, u))) THEN CASE WHEN list_bool_and(list_transform(string_split(q, ' '), lambda u: contains(nn, u))) THEN 70 ELSE 55 END WHEN list_bool_and(list_transform(string_split(q, ' '), lambda u: contains(k, u) OR contains(x, u))) THEN 25 ELSE 0 END AS score FROM q, idx) SELECT qid, CAST(score AS INTEGER) AS score, count(*) AS n FROM j WHERE score > 0 GROUP BY ALL"
+
+
+@query("screen_names", SCREEN_SQL)
 def _(t):
     asked = t("part").select(F.col("p_name").alias("q")).distinct().select(text.norm(F.col("q")).alias("qid"), "q").distinct()
     return search.screen(search.index(_parts(t)), asked).groupBy("qid", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _inverted(t) -> postings.Inverted:
+    """The parts' index, written as an inverted one to the shared folder and read again."""
+    idx = search.index(_parts(t))
+    path = fresh_path(idx.sparkSession, "inverted")
+    postings.write(idx, path, buckets=8)
+    return postings.read(idx.sparkSession, path)
+
+
+@query("screen_inverted", SCREEN_SQL)
+def _(t):
+    asked = t("part").select(F.col("p_name").alias("q")).distinct().select(text.norm(F.col("q")).alias("qid"), "q").distinct()
+    return search.screen(_inverted(t), asked).groupBy("qid", "score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("search_inverted", f"WITH {PARTS_SQL}, m AS (SELECT * FROM (SELECT *, {_score_sql('ol all')} AS score FROM idx) WHERE score > 0) SELECT nn, arg_min(n, ord) AS name, CAST(max(score) AS INTEGER) AS score, count(*) AS n_recs, count(DISTINCT l) AS n_lists, count(DISTINCT c) AS n_countries FROM m GROUP BY nn")
+def _(t):
+    """Words inside words: "ol all" is in "bolt small"."""
+    return search.search(_inverted(t), "Öl  all").select("nn", "name", "score", "n_recs", "n_lists", F.size("countries").cast("long").alias("n_countries"))
+
+
+@query("search_page", f"WITH {PARTS_SQL}, m AS (SELECT * FROM (SELECT *, {_score_sql('a')} AS score FROM idx) WHERE score > 0), g AS (SELECT nn, arg_min(n, ord) AS name, CAST(max(score) AS INTEGER) AS score, count(*) AS n_recs FROM m GROUP BY nn) SELECT name, score, n_recs, (SELECT count(*) FROM g) - 15 AS remaining FROM g ORDER BY 2 DESC, 3 DESC, 1 LIMIT 10 OFFSET 5")
+def _(t):
+    """The second page, of ten groups, behind a first one of five."""
+    idx = search.index(_parts(t))
+    groups = search.grouped(idx.withColumn("score", search.score(F.lit("a"), F.col("nn"), F.col("k"), F.col("x"))).filter("score > 0"))
+    first, _seen = search.page_after(groups, page=5)
+    second, seen = search.page_after(groups, first.tail(1)[0], page=10)
+    rows = second.select("name", "score", "n_recs").collect()
+    return idx.sparkSession.createDataFrame(rows, "name string, score int, n_recs long").withColumn("remaining", F.lit(search.remaining(seen, 10)).cast("long"))
+
+
 @query("list_counts", "SELECT p_brand AS l, count(*) AS n_records FROM part GROUP BY p_brand")
 def _(t):
     return search.counts_by_list(search.index(_parts(t)))
@@ -117,7 +152,7 @@ def _(t):
 @query("distinct_aliases_top8", "WITH o AS (SELECT p_brand, p_name, min(p_partkey) AS f FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY f) AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM o) SELECT p_brand AS nn, string_agg(p_name, '; ' ORDER BY f) FILTER (i <= 8) AS aliases, any_value(n) > 8 AS more_aliases FROM r GROUP BY p_brand")
 def _(t):
     rows = t("part").select(F.col("p_brand").alias("nn"), F.col("p_brand").alias("n"), F.lit(1).alias("score"), F.col("p_brand").alias("l"), F.col("p_type").alias("c"), F.array("p_name").alias("a"), F.col("p_partkey").alias("ord"), *[F.lit("").alias(x) for x in ("ad", "s", "d", "fr", "no")])
-    return search.grouped(rows).select("nn", F.array_join("aliases", "; ").alias("aliases"), "more_aliases")
+    return search.cards(rows, search.grouped(rows)).select("nn", F.array_join("aliases", "; ").alias("aliases"), "more_aliases")
 
 
 @query("checklist_progress", "SELECT toxic AS \"group\", count(*) FILTER (quality = 1) AS done, count(*) AS total FROM labels GROUP BY toxic")

@@ -138,7 +138,10 @@ def test_groups_browse_and_short_queries(spark, idx, tmp_path):
     assert search.search(idx, "é") is None
     got = {r["nn"]: r for r in search.search(idx, "", list_id="b").collect()}
     assert set(got) == {"beta alamo group", ""} and got["beta alamo group"]["score"] == 50
-    assert len(got["beta alamo group"]["aliases"]) == 8 and got["beta alamo group"]["more_aliases"]
+    browsed = search.matching(idx, "", list_id="b")
+    cards = {r["nn"]: r for r in search.cards(browsed, search.grouped(browsed)).collect()}
+    assert len(cards["beta alamo group"]["aliases"]) == 8 and cards["beta alamo group"]["more_aliases"] and cards[""]["aliases"] == []
+    assert [r["l"] for r in search.records(browsed, search.grouped(browsed)).collect()] == ["b", "b"]
     top = search.ranked(search.search(idx, "alamo")).collect()
     assert [(r["name"], r["n_recs"], r["countries"]) for r in top] == [("Álamo Co", 2, ["China", "Iran"]), ("Beta Alamo Group", 1, [])]
     lists = spark.createDataFrame([("a", "State/DDTC"), ("b", "FCC")], "id string, agency_short string")
