@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlake.functions.folds import scanned
+
 
 def _upto(by: list[str], ord: list):
     return Window.partitionBy(*by).orderBy(*ord).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -18,6 +20,16 @@ def block_number(df: DataFrame, starts: Column, *, by: list[str], ord: list, nam
     return df.withColumn(name, F.sum(F.coalesce(starts, F.lit(False)).cast("int")).over(_upto(by, ord)))
 
 
+def block_number_in_chunks(df: DataFrame, starts: Column, *, by: list[str], ord: str, name: str = "blk", chunk: int = 1024) -> DataFrame:
+    """As block_number, for a group of any size: rows are counted in chunks of ord (a number), and the chunks before a chunk are added."""
+    whole = df.withColumn("_s", F.coalesce(starts, F.lit(False)).cast("long")).withColumn("_c", F.floor(F.col(ord) / chunk))
+    sums = whole.groupBy(*by, "_c").agg(F.sum("_s").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum("_s").over(_upto([*by, "_c"], [ord]))
+    return whole.join(sums, [*by, "_c"]).withColumn(name, F.col("_before") + inside).drop("_s", "_c", "_before")
+
+
 def carry_forward(df: DataFrame, value: Column, *, by: list[str], ord: list, name: str) -> DataFrame:
     """Adds the last non-null `value` up to each row."""
     return df.withColumn(name, F.last(value, ignorenulls=True).over(_upto(by, ord)))
@@ -37,18 +49,47 @@ def gap_clusters(df: DataFrame, position: str, gap: float, *, by: list[str], nam
 
 
 def anchor_clusters(df: DataFrame, position: str, tolerance: float, *, by: list[str], name: str = "cluster") -> DataFrame:
-    """Adds a number for rows within `tolerance` of their cluster's first row, its anchor.
+    """Adds a number for rows within `tolerance` of their cluster's first row, its anchor; positions fall.
 
-    Which rows are anchors is sequential, so a fold over each page's distinct positions keeps the anchors, and nothing else; a running
-    count of them is the number.
+    Which rows are anchors is sequential: a fold over each page's distinct positions, linear in them, keeps the anchor in force and its number.
     """
-    places = df.groupBy(*by).agg(F.sort_array(F.collect_set(position), asc=False).alias("_all"))
-    far = lambda acc, p: (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1)) - p >= tolerance)
-    anchors = F.aggregate(F.transform("_all", lambda x: x.cast("double")), F.array().cast("array<double>"), lambda acc, p: F.when(far(acc, p), F.array_append(acc, p)).otherwise(acc))
-    marked = df.join(places.select(*by, F.explode(anchors).alias(position)).withColumn("_anchor", F.lit(1)), [*by, position], "left")
-    order = Window.partitionBy(*by).orderBy(F.col(position).desc())
-    first = F.when(F.col("_anchor").isNotNull() & (F.row_number().over(Window.partitionBy(*by, position).orderBy("_anchor")) == 1), 1).otherwise(0)
-    return marked.withColumn("_first", first).withColumn(name, F.sum("_first").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("_anchor", "_first")
+    state = "struct<anchor:double,no:int>"
+    places = df.groupBy(*by).agg(F.sort_array(F.collect_set(F.col(position).cast("double")), asc=False).alias("_all"))
+
+    def step(s: Column, p: Column) -> Column:
+        return F.when((s["no"] == 0) | (s["anchor"] - p >= tolerance), F.struct(p.alias("anchor"), (s["no"] + 1).alias("no"))).otherwise(s)
+
+    start = F.struct(F.lit(0.0).alias("anchor"), F.lit(0).alias("no"))
+    numbers = F.transform(scanned(F.col("_all"), start, step, state), lambda s: s["no"])
+    numbered = places.select(*by, F.inline(F.arrays_zip(F.col("_all").alias("_at"), numbers.alias(name))))
+    keyed = df.withColumn("_at", F.col(position).cast("double"))
+    return keyed.join(numbered, [*by, "_at"], "left").drop("_at")
+
+
+def run_machine(df: DataFrame, kind: Column, table: list[list[int]], *, by: list[str], ord: str, name: str = "state", chunk: int = 1024) -> DataFrame:
+    """Adds the state before each row of a finite machine that begins in state 0 with each group's first row: table[kind][state] is the next.
+
+    What a stretch of rows does to every state is a short array, and such arrays compose, so a group need not be in one task: each chunk of
+    rows (by ord, a number) gives its array; the arrays of a group's chunks, a thousandth of its rows, give the state that each chunk begins in; chunks are
+    then walked from there.
+    """
+    states = len(table[0])
+    flat = F.array(*[F.lit(x) for row in table for x in row])
+    after = lambda k, s: F.get(flat, k * states + s)
+    whole = df.withColumn("_k", kind).withColumn("_c", F.floor(F.col(ord) / chunk))
+    kinds = F.sort_array(F.collect_list(F.struct(F.col(ord).alias("o"), F.col("_k").alias("k"))))
+    chunks = whole.groupBy(*by, "_c").agg(kinds.alias("_rows"))
+    each = F.array(*[F.lit(s) for s in range(states)])
+    effect = F.aggregate("_rows", each, lambda acc, r: F.transform(acc, lambda s: after(r["k"], s)))
+    effects = chunks.select(*by, "_c", effect.alias("_does"))
+    in_order = effects.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_c", "_does"))).alias("_all"))
+    behind = scanned(F.transform("_all", lambda x: x["_does"]), F.lit(0), lambda s, does: F.get(does, s), "int")
+    begins = in_order.select(*by, F.inline(F.arrays_zip(F.transform("_all", lambda x: x["_c"]).alias("_c"), F.concat(F.array(F.lit(0)), behind).alias("_begin")))).filter("_c IS NOT NULL")
+    walked = chunks.join(begins, [*by, "_c"])
+    states_behind = scanned(F.transform("_rows", lambda r: r["k"]), F.col("_begin"), lambda s, k: after(k, s), "int")
+    before = F.concat(F.array("_begin"), states_behind)
+    rows = walked.select(*by, F.inline(F.arrays_zip(F.transform("_rows", lambda r: r["o"]).alias(ord), before.alias(name)))).filter(F.col(ord).isNotNull())
+    return whole.drop("_k", "_c").join(rows, [*by, ord])
 
 
 def largest_gap(df: DataFrame, position: str, anchor: Column, *, by: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlake.functions.folds import scanned
 from rosterlake.functions.text import collapse_ws
 from rosterlake.operators import ordered
 from rosterlake.session import ship
@@ -58,13 +59,8 @@ def _mark_headers(page: pd.DataFrame) -> pd.DataFrame:
 def _cells(chars: Column, cols: Column) -> Column:
     """Texts of the columns: a character belongs to the last column that begins at most BOUND right of it; layout characters to the current one."""
     place = lambda x: F.greatest(F.lit(0), F.aggregate(F.transform(cols, lambda c: (x >= c - BOUND).cast("int")), F.lit(0), lambda a, b: a + b) - 1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,ch:string>>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        at = F.when(c["x0"].isNull(), acc["at"]).otherwise(place(c["x0"]))
-        return F.struct(at.alias("at"), F.array_append(acc["out"], F.struct(at.alias("at"), c["ch"].alias("ch"))).alias("out"))
-
-    dealt = F.aggregate(chars, start, step, lambda acc: acc["out"])
+    at = scanned(chars, F.lit(0), lambda s, c: F.when(c["x0"].isNull(), s).otherwise(place(c["x0"])), "int")
+    dealt = F.zip_with(chars, at, lambda c, k: F.struct(k.alias("at"), c["ch"].alias("ch")))
     return F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: collapse_ws(F.array_join(F.transform(F.filter(dealt, lambda c: c["at"] == k), lambda c: c["ch"]), "")))
 
 

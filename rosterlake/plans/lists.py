@@ -76,33 +76,32 @@ def administrative_debarments(rows: DataFrame) -> DataFrame:
 
 #: What a cell does, given the state it is met in.
 _NOTHING, _OPENS, _ADDS, _LICENSE, _CITATION = range(5)
+#: States of a country's block: no row is open, one waits for its license, for its citation, or is whole but may go on.
+_NONE, _NAMED, _LICENSED, _WHOLE = range(4)
+#: Kinds of cells, each with what it does in these states.
+_KINDS = {
+    "stop": (_NOTHING, _NOTHING, _NOTHING, _NOTHING),
+    "more": (_OPENS, _ADDS, _NOTHING, _ADDS),
+    "more, licensed": (_OPENS, _LICENSE, _NOTHING, _ADDS),
+    "fr": (_OPENS, _ADDS, _CITATION, _OPENS),
+    "fr, licensed": (_OPENS, _LICENSE, _CITATION, _OPENS),
+    "": (_OPENS, _ADDS, _NOTHING, _OPENS),
+    ", licensed": (_OPENS, _LICENSE, _NOTHING, _OPENS),
+}
 
 
-def _acts(kinds: Column) -> Column:
-    """One act for each cell of a block, by three states: no row is open (or the one before is whole: -1), it waits for its license, its citation."""
-    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<int>").alias("acts"))
-
-    def step(acc: Column, k: Column) -> Column:
-        state = acc["state"]
-        opens = (state == 0) | ((state == -1) & (k["kind"] != "more"))
-        act = (
-            F.when(k["kind"] == "stop", _NOTHING).when(opens, _OPENS).when(state == -1, _ADDS).when(state == 1, F.when(k["licensed"], _LICENSE).otherwise(_ADDS))
-            .when(k["kind"] == "fr", _CITATION).otherwise(_NOTHING)
-        )
-        after = F.when(k["kind"] == "stop", 0).when(act == _OPENS, 1).when(act == _LICENSE, 2).when(act == _CITATION, -1).otherwise(state)
-        return F.struct(after.alias("state"), F.array_append(acc["acts"], act).alias("acts"))
-
-    return F.aggregate(kinds, start, step, lambda acc: acc["acts"])
+def _next(kind: str, state: int, act: int) -> int:
+    return _NONE if kind == "stop" else {_OPENS: _NAMED, _LICENSE: _LICENSED, _CITATION: _WHOLE}.get(act, state)
 
 
 def entity_list_rows(cells: DataFrame) -> DataFrame:
     """Rows of the table from cells (path, cell, lines, text): in a country's block, cells go name, license, policy, citation.
 
-    What a cell does depends on the cells before it in its block, so one fold over each block's kinds of cells (not
-    their texts) says so; the rest is windows and aggregations.
+    What a cell does depends on the cells before it in its block, by four states and seven kinds of cells: a finite machine, which
+    is run over the kinds (not the texts) chunk by chunk, so a block may be in many tasks; the rest is windows and aggregations.
     """
     full = cells.filter("text <> ''")
-    blocks = ordered.block_number(full, names.is_country_header(F.col("text")), by=["path"], ord=["cell"])
+    blocks = ordered.block_number_in_chunks(full, names.is_country_header(F.col("text")), by=["path"], ord="cell")
     headers = blocks.filter(names.is_country_header(F.col("text"))).select("path", "blk", text.title_country(F.col("text"), ("of", "and", "the", "for", "de", "la")).alias("country"))
     body = blocks.filter(~names.is_country_header(F.col("text")) & (F.col("blk") > 0))
     first = F.substring_index("text", "\n", 1)
@@ -113,9 +112,13 @@ def entity_list_rows(cells: DataFrame) -> DataFrame:
         .otherwise("")
     )
     licensed = F.lower("text").contains("subject to the ear") | F.lower("text").rlike("^(for |all items|see §)")
-    block = body.groupBy("path", "blk").agg(F.sort_array(F.collect_list(F.struct("cell", kind.alias("kind"), licensed.alias("licensed")))).alias("kinds"))
-    acts = block.select("path", "blk", F.inline(F.arrays_zip(F.transform("kinds", lambda k: k["cell"]).alias("cell"), _acts(F.col("kinds")).alias("act")))).filter(F.col("act") != _NOTHING)
-    rows = ordered.block_number(body.join(acts, ["path", "blk", "cell"]), F.col("act") == _OPENS, by=["path", "blk"], ord=["cell"], name="row_no")
+    named = F.concat(kind, F.when((kind != "stop") & licensed, ", licensed").otherwise(""))
+    number = F.array_position(F.array(*[F.lit(k) for k in _KINDS]), named).cast("int") - 1
+    table = [[_next(k, s, act) for s, act in enumerate(acts)] for k, acts in _KINDS.items()]
+    kinds = ordered.run_machine(body.select("path", "blk", "cell", number.alias("kind")), F.col("kind"), table, by=["path", "blk"], ord="cell")
+    act = F.get(F.array(*[F.lit(a) for acts in _KINDS.values() for a in acts]), F.col("kind") * 4 + F.col("state"))
+    acts = kinds.select("path", "blk", "cell", act.alias("act")).filter(F.col("act") != _NOTHING)
+    rows = ordered.block_number_in_chunks(body.join(acts, ["path", "blk", "cell"]), F.col("act") == _OPENS, by=["path", "blk"], ord="cell", name="row_no")
     lines = F.flatten(merge.in_order(F.when(F.col("act").isin(_OPENS, _ADDS), F.col("lines")).otherwise(F.array().cast("array<string>")), "cell"))
     of = lambda act: F.max(F.when(F.col("act") == act, F.col("text")))
     return rows.groupBy("path", "blk", "row_no").agg(lines.alias("lines"), of(_LICENSE).alias("license"), of(_CITATION).alias("fr")).join(headers, ["path", "blk"])

@@ -197,3 +197,39 @@ def test_stream_replaces_lists(spark, tmp_path):
         (tmp_path / "in" / f"{k}.json").write_text(json.dumps(doc))
         refresh(spark, src, store, ck).awaitTermination(60)
         assert sorted(r["name"] for r in spark.read.parquet(store).collect()) == wanted
+
+
+def counted_groups(heading):
+    """Trailing top-level groups by a plain counter."""
+    groups, depth, start = [], 0, None
+    for i, ch in enumerate(heading):
+        if ch == "(":
+            start = i if depth == 0 else start
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+            if depth == 0 and start is not None:
+                groups.append((start, i))
+                start = None
+    end, trailing = len(heading), []
+    while groups and not heading[groups[-1][1] + 1 : end].strip():
+        end = groups[-1][0]
+        trailing.insert(0, groups.pop())
+    return " ".join(heading[:end].split()), [" ".join(heading[a + 1 : b].split()) for a, b in trailing]
+
+
+def test_parentheses_of_any_depth_equal_a_counter(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["(", ")", "(", ")", "a", " b", ";"]) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    texts += ["Acme (formerly " + "(" * 50 + "x" + ")" * 50 + ")", "N " + "(" * 700 + ")" * 700 + " (c)", "x (ab)"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = {r["i"]: (r["g"]["name"], r["g"]["groups"]) for r in df.select("i", parens.trailing_groups(F.col("s")).alias("g")).collect()}
+    for i, s in enumerate(texts):
+        assert got[i] == counted_groups(s.replace("", " ")), s
+    deep = "(" * 50 + "x" + ")" * 50
+    assert tuple(one(spark, parens.heading_parts(F.lit(f"Acme (formerly {deep})")))) == ("Acme", [deep], None)
+    assert tuple(one(spark, parens.live_name(F.lit(f"Acme (also known as B {deep}; and C) Co. (x (a/k/a D (E)) y")))) == ("Acme Co. (x y", [f"B {deep}", "C", "D (E)"], "")
+    row = company.with_entry(spark.createDataFrame([(f"ACME {deep} CO (a.k.a. B {deep}; f.k.a. C), 1 Road (x;y); City; Target Type Entity [CMIC-EO13959].",)], "s string"), "s").first()
+    assert (row["name"], row["aliases"], row["former"], row["address"]) == (f"ACME {deep} CO", [f"B {deep}", "C"], ["C"], "1 Road (x;y); City")
