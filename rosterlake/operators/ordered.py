@@ -67,7 +67,7 @@ def anchor_clusters(df: DataFrame, position: str, tolerance: float, *, by: list[
 
 
 def run_machine(df: DataFrame, kind: Column, table: list[list[int]], *, by: list[str], ord: str, name: str = "state", chunk: int = 1024) -> DataFrame:
-    """Adds the state before each row of a finite machine that begins in state 0 with each group's first row: table[kind][state] is the next.
+    """(by, ord, kind, state): the state before each row of a finite machine that begins in state 0 with each group's first row; table[kind][state] is the next.
 
     What a stretch of rows does to every state is a short array, and such arrays compose, so a group need not be in one task: each chunk of
     rows (by ord, a number) gives its array; the arrays of a group's chunks, a thousandth of its rows, give the state that each chunk begins in; chunks are
@@ -88,8 +88,8 @@ def run_machine(df: DataFrame, kind: Column, table: list[list[int]], *, by: list
     walked = chunks.join(begins, [*by, "_c"])
     states_behind = scanned(F.transform("_rows", lambda r: r["k"]), F.col("_begin"), lambda s, k: after(k, s), "int")
     before = F.concat(F.array("_begin"), states_behind)
-    rows = walked.select(*by, F.inline(F.arrays_zip(F.transform("_rows", lambda r: r["o"]).alias(ord), before.alias(name)))).filter(F.col(ord).isNotNull())
-    return whole.drop("_k", "_c").join(rows, [*by, ord])
+    columns = F.arrays_zip(F.transform("_rows", lambda r: r["o"]).alias(ord), F.transform("_rows", lambda r: r["k"]).alias("kind"), before.alias(name))
+    return walked.select(*by, F.inline(columns)).filter(F.col(ord).isNotNull())
 
 
 def largest_gap(df: DataFrame, position: str, anchor: Column, *, by: list[str]) -> DataFrame:

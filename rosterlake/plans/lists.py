@@ -118,7 +118,8 @@ def entity_list_rows(cells: DataFrame) -> DataFrame:
     kinds = ordered.run_machine(body.select("path", "blk", "cell", number.alias("kind")), F.col("kind"), table, by=["path", "blk"], ord="cell")
     act = F.get(F.array(*[F.lit(a) for acts in _KINDS.values() for a in acts]), F.col("kind") * 4 + F.col("state"))
     acts = kinds.select("path", "blk", "cell", act.alias("act")).filter(F.col("act") != _NOTHING)
-    rows = ordered.block_number_in_chunks(body.join(acts, ["path", "blk", "cell"]), F.col("act") == _OPENS, by=["path", "blk"], ord="cell", name="row_no")
+    numbered = ordered.block_number_in_chunks(acts, F.col("act") == _OPENS, by=["path", "blk"], ord="cell", name="row_no")
+    rows = body.join(numbered, ["path", "blk", "cell"])
     lines = F.flatten(merge.in_order(F.when(F.col("act").isin(_OPENS, _ADDS), F.col("lines")).otherwise(F.array().cast("array<string>")), "cell"))
     of = lambda act: F.max(F.when(F.col("act") == act, F.col("text")))
     return rows.groupBy("path", "blk", "row_no").agg(lines.alias("lines"), of(_LICENSE).alias("license"), of(_CITATION).alias("fr")).join(headers, ["path", "blk"])
@@ -294,7 +295,7 @@ def investment_list(texts: DataFrame) -> DataFrame:
     body = F.regexp_replace("text", r"(?s)^.*?country in which the equity ticker is\s*registered\.", "")
     entries = ordered.segments(texts.select("path", body.alias("body")), "body", _ENTRY_END)
     e = with_entry(entries.select("path", F.col("pos").alias("ord"), "segment"), "segment").drop("segment")
-    e = e.withColumn("variants", F.concat(F.array("name"), "aliases")).withColumn("key", F.array_join(merge.set_key(F.transform("variants", text.variant_key)), "\x1f"))
+    e = e.withColumn("variants", F.concat(F.array("name"), "aliases")).withColumn("key", F.coalesce(F.array_join(merge.set_key(F.transform("variants", text.variant_key)), "\x1f"), F.lit("")))
     groups = e.groupBy("key").agg(
         F.min("ord").alias("ord"), merge.distinct_ignoring_case(F.flatten(merge.in_order("variants"))).alias("variants"), F.array_distinct(F.flatten(merge.in_order("former"))).alias("former"),
         merge.first_filled("address").alias("address"), merge.first_filled("tag").alias("tag"), merge.first_filled("linked").alias("linked"), *[merge.last_filled(c).alias(c) for c in ("issuer", "target", "effective", "listing", "uscc")],
