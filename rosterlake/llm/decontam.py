@@ -2,8 +2,9 @@
 
 Every task turns its documents, some MB at a time, into a shard: one array of word ids with the array of its suffixes,
 sorted by as many words as a window has. Every suffix of the test items is binary-searched in each shard; the interval
-found holds all verbatim occurrences and where they lie. Each is extended at every place of its window in the items, from
-where the match begins (what goes on to the left is part of a longer one), and the longest is kept with its place.
+found holds all verbatim occurrences and where they lie. Each is extended from where the match begins (what goes on to the left is part of a
+longer one): the items' suffixes are sorted too, so the places of a window are neighbours there, and those that go on as the document does
+are found by halving, whatever number of items share the window. The longest match is kept with its place.
 
 The plan is one narrow stage over the documents: no shuffle of texts, so no key can be hot. The test items are written to
 the shared folder by Spark in blocks of about `block_words` words; a task searches a shard for one block after another and
@@ -21,6 +22,7 @@ benchmark leaves every document clean; other columns pass through unread.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -47,22 +49,26 @@ class TestBlock:
     def __init__(self, items: list[tuple[str, bytes | None]], window: int):
         self.window, self.ids, self.names = window, {}, []
         found: dict[tuple, set[int]] = {}
-        self.runs: list[np.ndarray] = []
-        #: By window, then by the word before it in the item (0: none): item and start.
-        self.places: dict[tuple, dict[int, list[tuple[int, int]]]] = {}
+        self.lefts: dict[tuple, set[int]] = {}  # by window, the words before it in the items (0: none)
+        rows, places = [], []
         for name, text in items:
             row = [self.ids.setdefault(w, len(self.ids) + 1) for w in item_words(text)]
             if not row:
                 continue
             k = len(self.names)
             self.names.append(name)
-            self.runs.append(np.array(row, dtype=np.int64))
+            rows.append(row)
             n = min(window, len(row))
             for i in range(len(row) - n + 1):
                 found.setdefault(key := tuple(row[i : i + n]), set()).add(k)
-                self.places.setdefault(key, {}).setdefault(row[i - 1] if i else 0, []).append((k, i))
+                self.lefts.setdefault(key, set()).add(row[i - 1] if i else 0)
+                places.append((key, k, i))
+        self._sort(rows, places)
         self.windows = {n: [x for x in found if len(x) == n] for n in sorted({len(x) for x in found})}
-        self.owners = {x: sorted(v) for x, v in found.items()}
+        #: By window, which of owner_sets has its items; windows of a passage that items share have one.
+        ids: dict[frozenset, int] = {}
+        self.owners = {x: ids.setdefault(frozenset(v), len(ids)) for x, v in found.items()}
+        self.owner_sets = [frozenset(self.names[k] for k in v) for v in ids]
 
     def packed(self, rows: np.ndarray) -> np.ndarray:
         """Rows of ids as byte strings that sort as the rows do."""
@@ -96,12 +102,71 @@ class TestBlock:
             out += [(windows[i], starts[a[i] : b[i]]) for i in np.flatnonzero(b > a)]
         return out
 
-    def longest(self, ids: np.ndarray, at: int, place: tuple[int, int]) -> int:
-        """Words that match verbatim from position `at` on and from the item's place on."""
-        row = self.runs[place[0]][place[1] :]
-        part = ids[at : at + len(row)]
-        differ = np.flatnonzero(part != row[: len(part)])
-        return int(differ[0]) if len(differ) else len(part)
+    def _sort(self, rows: list[list[int]], places: list[tuple]) -> None:
+        """The items' words in one array, each item followed by a number of its own, with its suffixes in order; where each window's stand."""
+        known, sizes = len(self.ids), np.array([len(r) + 1 for r in rows], dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes
+        self.words = np.zeros(int(sizes.sum()), dtype=np.int64)
+        self.item = np.repeat(np.arange(len(rows)), sizes)
+        for k, r in enumerate(rows):
+            self.words[begins[k] : begins[k] + len(r)] = r
+            self.words[begins[k] + len(r)] = known + 1 + k
+        self.order = sorted_suffixes(self.words)
+        rank = np.empty_like(self.order)
+        rank[self.order] = np.arange(len(self.order))
+        self.span: dict[tuple, tuple[int, int]] = {}
+        for key, k, i in places:
+            at = int(rank[begins[k] + i])
+            low, high = self.span.get(key, (at, at))
+            self.span[key] = min(low, at), max(high, at)
+        by_name = {n: j for j, n in enumerate(sorted(set(self.names)))}
+        self.name_rank = np.array([by_name[n] for n in self.names], dtype=np.int64)
+        self.by_rank = sorted(by_name)
+
+    def longest(self, ids: np.ndarray, at: int, key: tuple) -> tuple[int, str]:
+        """The longest match from position `at` on, which holds a window, over all its places in the items, and the last item by name that has it.
+
+        The places are neighbours in the order of suffixes; word by word those that go on alike are told apart by halving.
+        """
+        low, high = self.span[key]
+        high += 1
+        n = len(key)
+        while high - low > 1 and at + n < len(ids) and ids[at + n]:
+            word = int(ids[at + n])
+            behind = lambda j: int(self.words[self.order[j] + n])  # noqa: B023, E731  used before n changes
+            a = bisect_left(range(low, high), word, key=behind) + low
+            b = bisect_right(range(low, high), word, key=behind) + low
+            if a == b:
+                break
+            low, high, n = a, b, n + 1
+        if high - low == 1:
+            part, row = ids[at + n :], self.words[self.order[low] + n :]
+            size = min(len(part), len(row), 64)
+            while True:
+                differ = np.flatnonzero(part[:size] != row[:size])
+                if len(differ) or size == min(len(part), len(row)):
+                    break
+                size = min(len(part), len(row), size * 4)
+            n += int(differ[0]) if len(differ) else size
+        return n, self.by_rank[int(self.name_rank[self.item[self.order[low:high]]].max())]
+
+
+def sorted_suffixes(words: np.ndarray) -> np.ndarray:
+    """Where the suffixes of an array begin, in order, by prefix doubling."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int64)
+    rank, step = np.unique(words, return_inverse=True)[1].astype(np.int64), 1
+    while True:
+        second = np.full(len(words), -1, dtype=np.int64)
+        second[:-step] = rank[step:]
+        order = np.lexsort((second, rank))
+        a, b = rank[order], second[order]
+        new = np.r_[0, np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))]
+        if new[-1] == len(words) - 1 or step >= len(words):
+            return order
+        rank = np.empty_like(rank)
+        rank[order] = new
+        step *= 2
 
 
 class Shard:
@@ -115,21 +180,20 @@ class Shard:
             if r:
                 ids[a : a + len(r)] = np.fromiter((get(w, 0) for w in r), dtype=np.int64, count=len(r))
         self.edge = np.zeros(len(ids) + 1, dtype=np.int64)
-        self.items: dict[int, set[str]] = {}
         self.best: dict[int, tuple[int, str, int]] = {}
+        owners: dict[int, set[int]] = {}
         for key, at in block.search(ids):
             np.add.at(self.edge, at, 1)
             np.add.at(self.edge, at + len(key), -1)
-            owners = {block.names[k] for k in block.owners[key]}
-            docs, left = np.searchsorted(ends, at, side="right"), ids[at - 1]  # the last id is 0, as is the one before a document
+            docs, left, lefts = np.searchsorted(ends, at, side="right"), ids[at - 1], block.lefts[key]  # the last id is 0, as is the one before a document
             for d in np.unique(docs).tolist():
-                self.items.setdefault(d, set()).update(owners)
-            for word, places in block.places[key].items():
-                first = (left != word) | (word == 0)
-                for d, p in zip(docs[first].tolist(), at[first].tolist(), strict=True):
-                    for place in places:
-                        found = (block.longest(ids, p, place), block.names[place[0]], int(begins[d]) - p)
-                        self.best[d] = max(self.best.get(d, found), found)
+                owners.setdefault(d, set()).add(block.owners[key])
+            # where every place of the window has the document's word before it, a longer match has begun there
+            first = np.ones(len(at), dtype=bool) if len(lefts) > 1 or 0 in lefts else left != next(iter(lefts))
+            for d, p in zip(docs[first].tolist(), at[first].tolist(), strict=True):
+                found = (*block.longest(ids, p, key), int(begins[d]) - p)
+                self.best[d] = max(self.best.get(d, found), found)
+        self.items = {d: set().union(*(block.owner_sets[i] for i in own)) for d, own in owners.items()}
 
 
 _held: dict[str, TestBlock] = {}  # the block that a Python worker searches for, from slice to slice and task to task
