@@ -6,9 +6,10 @@ brought to unit length, and a linear hinge-loss model is fitted by dual coordina
 the margins of rows kept out of the descent turns margins into scores.
 
 The fit takes at most about `sample` labelled rows, drawn by the hash of their id (a documented bound): their ids are
-broadcast, so texts are not shuffled to find them, and their indicators (128 KB each at most) are gathered, one row for each
-id: of several texts under one id the one of least indicators counts. The descent runs until no step would move a margin by
-`tolerance`. Scoring is one narrow stage over all texts.
+broadcast, so texts are not shuffled to find them. Their indicators, one row for each
+id (of several texts under one id the one of least indicators counts), are written to the shared folder; those of least hash whose
+cells are about `numbers` in all are gathered, four bytes a cell, so the driver's memory follows neither the rows nor the length
+of texts. The descent runs until no step would move a margin by `tolerance`. Scoring is one narrow stage over all texts.
 
 Defined cases: null and empty texts have no indicators and get the score of the bias; labels that are null or neither
 0 nor 1 do not count; an id labelled twice counts with the mean, ties as 1; repeated documents are scored each; with
@@ -22,29 +23,36 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, prepare, remainder, table
+from .common import map_texts, prepare, remainder, stored, table
 
-CELLS = 1 << 16
+CELLS = 1 << 20
 
 
 def indicators(text: bytes | None, seen: np.ndarray) -> np.ndarray:
     """Sorted cells of the text's n-grams. `seen` is a scratch array of CELLS False values, left as it was."""
     b = np.frombuffer(text or b"", dtype=np.uint8).astype(np.uint32)
-    h = b
+    h, cells = b, []
     for n in range(2, 5):
         if len(b) < n:
             break
         h = h[:-1] * np.uint32(0x9E3779B1) + b[n - 1 :] + np.uint32(n)
-        seen[(h * np.uint32(0x85EBCA6B)) >> np.uint32(16)] = True
+        cells.append((h * np.uint32(0x85EBCA6B)) >> np.uint32(12))
     if len(b):
         words = text.split()
-        seen[sum(map(eq, words, words[1:])).bit_length()] = True
+        cells.append(np.array([sum(map(eq, words, words[1:])).bit_length()], dtype=np.uint32))
+    if not cells:
+        return np.zeros(0, dtype=np.uint32)
+    every = np.concatenate(cells)
+    if len(every) < CELLS // 16:
+        every.sort()
+        return every[np.r_[True, every[1:] != every[:-1]]]
+    seen[every] = True  # long texts: a look at all cells costs less than to sort theirs
     found = np.flatnonzero(seen)
     seen[found] = False
-    return found
+    return found.astype(np.uint32)
 
 
 def log_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0) -> np.ndarray:
@@ -62,7 +70,7 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, *, c
     w, bias = np.zeros(CELLS), 0.0
     signs = np.where(labels > 0, 1.0, -1.0)
     values = [ratios[c] for c in rows]
-    values = [v / max(np.linalg.norm(v), 1e-12) for v in values]
+    values = [(v / max(np.linalg.norm(v), 1e-12)).astype(np.float32) for v in values]
     alpha = np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     share = signs.mean() / 2 + 0.5
@@ -123,23 +131,30 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, flo
     return max(a, 1e-3), b
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 6000) -> QualityModel:
-    """Fits on about `sample` of the labelled rows (doc_id, label) at most."""
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 6000, numbers: int = 1 << 24) -> QualityModel:
+    """Fits on about `sample` of the labelled rows (doc_id, label) at most, of about `numbers` cells in all."""
     prepare(docs.sparkSession)
     good = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     total = good.count()
-    drawn = good if total <= sample else good.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    drawn = good if total <= sample else good.filter(place < int((1 << 30) * sample / total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CELLS, dtype=bool)
         for batch in batches:
-            cells = [indicators(x, seen).astype(np.uint16).tobytes() for x in batch.column(2).to_pylist()]
+            cells = [indicators(x, seen).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, type=pa.binary())], names=["id", "y", "cells"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(drawn), "id").select("id", "y", "text")
-    each = rows.mapInArrow(run, "id long, y int, cells binary").groupBy("id", "y").agg(F.min("cells").alias("cells"))
-    got = sorted((r["id"], r["y"], bytes(r["cells"])) for r in each.collect())
-    return QualityModel([np.frombuffer(c, dtype=np.uint16).astype(np.int64) for _, _, c in got], np.array([y for _, y, _ in got], dtype=float))
+    each = stored(rows.mapInArrow(run, "id long, y int, cells binary").groupBy("id", "y").agg(F.min("cells").alias("cells")), "indicators")
+    # the rows of least hash before which `numbers` cells have been met; a window over the sample, without its cells
+    size = F.length("cells") / 4
+    before = Window.orderBy("place", "id", "y").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = each.select("id", "y", place.alias("place"), size.alias("size")).withColumn("met", F.coalesce(F.sum("size").over(before), F.lit(0.0)))
+    kept = sizes.filter(F.col("met") < numbers).select(F.col("id").alias("_id"), F.col("y").alias("_y"))
+    got = each.join(F.broadcast(kept), F.col("id").eqNullSafe(F.col("_id")) & F.col("y").eqNullSafe(F.col("_y")), "left_semi")
+    got = sorted((r["id"], r["y"], bytes(r["cells"])) for r in got.collect())
+    return QualityModel([np.frombuffer(c, dtype=np.uint32) for _, _, c in got], np.array([y for _, y, _ in got], dtype=float))
 
 
 def score(docs: DataFrame, model: QualityModel, *, text: str = "text", keep=None) -> DataFrame:
