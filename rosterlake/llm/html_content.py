@@ -1,13 +1,14 @@
 """Main text of web pages by a tree-structured graphical model over DOM nodes.
 
 Every node (elements and texts) has a hidden label, content or not. Potentials: one for each parent-child edge, by
-the child's kind, and one for each node from its features (tag, names, parent's tag, length, link share, depth).
+the child's kind, and one for each node from its features (tag, names, parent's tag, length, link share, depth, standing inside what is named as something else).
 Sum-product messages go upward from the leaves and downward from the root, exact on a tree, and give each text node's
 content marginal; texts of at least 1/2 are kept.
 
 The potentials are counted from labelled pages: pages whose markup names the article (article or main); its nodes are
 content unless an element inside is named as something else. Each is counted a second time with the article's own
-element turned into a div, so that pages without one are read by what else they show. The fit takes a sample of about `sample` labelled pages
+element turned into a div, so that pages without one are read by what else they show. Where little or nothing was counted,
+the potentials are those of a prior (PRIOR: what elements, names, lengths, links and punctuation say of any page). The fit takes a sample of about `sample` labelled pages
 (a documented bound, drawn by hash); counts are added up by Spark and at most 2 * CELLS + 8 numbers reach the driver.
 Extraction is one narrow stage over all pages.
 
@@ -16,7 +17,7 @@ block becomes one blank; blocks without text vanish; the rest is joined by line
 
 Defined cases: null or empty html gives an empty text; broken markup is read as it comes (unclosed tags end with
 their parent, stray end tags are ignored, an unclosed comment or script runs to the end); without labelled pages
-every visible text counts as content; repeated rows are extracted each; other columns are not read.
+the prior's potentials decide alone; repeated rows are extracted each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,6 +54,21 @@ OTHER = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog"}
 OTHER_NAMES = {"ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "nav", "navbar", "menu", "sidebar", "footer", "comment", "comments", "cookie", "consent", "notice", "banner", "newsletter", "subscribe", "share", "social", "related", "breadcrumb", "breadcrumbs", "popup", "modal", "widget", "login", "search", "disclaimer", "copyright"}
 
 
+#: What a feature says for content before any page is counted (log-odds), and pseudo-counts of edges by the parent's and the child's label.
+PRIOR = {
+    **{f"t:{t}": 0.5 for t in ("p", "h1", "h2", "h3", "blockquote", "pre", "article", "main", "figcaption")},
+    **{f"t:{t}": -6.0 for t in OTHER | {"header", "input", "label", "option", "iframe"}},
+    **{f"t:{t}": -0.5 for t in ("ul", "ol", "li", "a")},
+    **{f"n:{w}": -9.0 for w in OTHER_NAMES | {"header", "masthead"}},
+    **{f"n:{w}": 2.0 for w in ("article", "content", "post", "entry", "story", "body", "main")},
+    **{f"l:{k}": 0.8 - 0.4 * k for k in range(11)},
+    **{f"s:False:{k}": 0.4 * (k - 5) for k in range(1, 12)},
+    "i:True": -4.0, "p:0": -1.0, **{f"p:{k}": 0.3 * k for k in range(1, 9)},
+}
+PRIOR_EDGES = (((60, 2), (1, 40)), ((200, 1), (1, 200)))
+#: Nodes with a feature that weigh as much as its prior.
+PRIOR_NODES = 5
+
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 
 
@@ -188,9 +204,10 @@ class Page:
 
     def features(self) -> list[list[int]]:
         n = len(self.tag)
-        length, linked, depth = [0] * n, [0] * n, [0] * n
+        length, linked, depth, inside = [0] * n, [0] * n, [0] * n, [False] * n
         for i in range(1, n):
             depth[i] = depth[self.parent[i]] + 1
+            inside[i] = inside[self.parent[i]] or self.tag[i] in OTHER or not OTHER_NAMES.isdisjoint(self.names[i])
         for i in range(n - 1, 0, -1):
             if self.tag[i] == "#text":
                 length[i] = len(self.text[i].strip())
@@ -206,7 +223,7 @@ class Page:
             size = length[i].bit_length()
             named = [f"n:{x}" for x in self.names[i]]
             stops = sum(map(self.text[i].count, ".!?,")) if tag == "#text" else -1
-            out.append([_cell(x) for x in (f"t:{tag}", f"u:{up}>{tag}", f"s:{tag in BLOCK}:{size}", f"l:{share}", f"d:{min(depth[i], 12)}", f"p:{min(stops, 8)}", *named)])
+            out.append([_cell(x) for x in (f"t:{tag}", f"u:{up}>{tag}", f"s:{tag in BLOCK}:{size}", f"l:{share}", f"d:{min(depth[i], 12)}", f"p:{min(stops, 8)}", f"i:{inside[i]}", *named)])
         return out
 
 
@@ -234,7 +251,13 @@ def count_page(page: Page, labels: list[int], nodes: np.ndarray, edges: np.ndarr
 class TreeModel:
     def __init__(self, nodes: np.ndarray, edges: np.ndarray):
         logs = np.log((nodes + 0.5) / (nodes.sum(1, keepdims=True) + 0.5 * CELLS))
-        self.gain = (logs[1] - logs[0]).tolist()  # log-potential of content against other
+        prior = np.zeros(CELLS)
+        for name, odds in PRIOR.items():
+            prior[_cell(name)] = odds
+        seen = nodes.sum(0)
+        # log-potential of content against other: what was counted, drawn towards the prior where little was
+        self.gain = ((seen * (logs[1] - logs[0]) + PRIOR_NODES * prior) / (seen + PRIOR_NODES)).tolist()
+        edges = edges + np.array(PRIOR_EDGES, dtype=float)
         share = (edges + 1) / (edges + 1).sum(2, keepdims=True)
         self.edge = share.tolist()
 
