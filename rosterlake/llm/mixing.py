@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import native_words, stored, table
 
+#: Equal rows that one array holds.
+COPIES = 10_000
+
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """From (source, size): source_no, source_size, weight and target of each source; one row for each."""
@@ -71,7 +74,10 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     starts = cells.groupBy("s", "b").agg(F.sum(words).alias("words")).select("s", "b", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("start"))
     within = Window.partitionBy("s", "b").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = cells.withColumn("into", F.coalesce(F.sum(words).over(within), F.lit(0))).join(starts.join(targets, "s"), ["s", "b"])
-    laid = laid.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("at", F.col("start") + F.col("into") + F.col("copy") * F.col("size"))
+    # equal rows are told apart in parts, so that no array is as long as there are of them
+    laid = laid.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    copies = F.sequence(F.col("part") * COPIES, F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1)
+    laid = laid.withColumn("copy", F.explode(copies)).withColumn("at", F.col("start") + F.col("into") + F.col("copy") * F.col("size"))
     laid = laid.withColumn("slope", F.element_at(F.array(*[F.lit(float(a)) for a in slopes]), (F.col("source_no") % len(slopes) + 1).cast("int")))
     time = lambda words: training_time(F.try_divide(words, F.col("target")), F.col("slope"))
     asked = lambda words: words_by(time(words), F.col("target"), F.col("slope"))
