@@ -158,7 +158,7 @@ e AS (SELECT r, kind, least_, i, len(gap[i]) AS g, m[i] AS m, v[i] AS v FROM (SE
 f AS (SELECT r, kind, least_, m, v, sum(g + len(m)) OVER (PARTITION BY r, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS end_ FROM e),
 s AS (SELECT r, kind, CAST(end_ - len(m) AS BIGINT) AS start_, CAST(end_ AS BIGINT) AS end_, v FROM f WHERE len(v) >= least_ AND (kind < 3 OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]'))),
 cand AS (SELECT DISTINCT r, end_ - len(v) AS start_, end_, v FROM s),
-live AS (SELECT v FROM cand JOIN d USING (r) GROUP BY v HAVING count(DISTINCT coalesce('x' || source, 'null')) <= 3),
+live AS (SELECT v FROM cand JOIN d USING (r) GROUP BY v HAVING count(DISTINCT coalesce('x' || source, 'null')) <= 3 AND count(DISTINCT t) <= 10),
 al AS (SELECT r, kind, start_, end_ FROM s WHERE kind < 3 UNION ALL SELECT r, 3, start_, end_ FROM cand WHERE v IN (SELECT v FROM live)),
 txt AS (SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
   string_agg(['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start_ || ':' || end_, ',' ORDER BY start_, kind, end_) AS every,

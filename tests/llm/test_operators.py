@@ -152,6 +152,16 @@ def test_broken_pages_of_a_megabyte_take_linear_time(html):
     assert time.perf_counter() - began < 30
 
 
+def test_pages_without_labels_are_read_by_the_prior(spark):
+    menu = '<div class=menu><a href=/>Home</a><a href=/a>About us</a></div>'
+    story = "<h1>A long title of the story</h1><p>This is the first paragraph, with commas, and a full stop. It goes on.</p><p>Second paragraph here, also of a good length, as texts are.</p>"
+    rest = "<div class=comments><p>Nice post!</p><p>I agree with this, very much, thanks.</p></div><form>Your name <button>Send</button></form><footer>Copyright 2020 <a href=x>Privacy</a></footer>"
+    pages = spark.createDataFrame([(1, f"<body>{menu}<div>{story}</div>{rest}</body>"), (2, f"<nav><ul><li><a>Home</a><li><a>News</a></ul></nav>{story}<aside>Read more</aside>"), (3, ""), (4, None)], "page_id long, html string")
+    got = {r["page_id"]: r["main_text"] for r in html_content.extract(pages, html_content.fit(pages)).collect()}
+    text = "A long title of the story\nThis is the first paragraph, with commas, and a full stop. It goes on.\nSecond paragraph here, also of a good length, as texts are."
+    assert got == {1: text, 2: text, 3: "", 4: ""}
+
+
 def test_offsets_hold_where_lower_case_is_longer():
     page = html_content.Page("<article><p>İİİİİİİİİİx12</p><SCRIPT>x</Script><p>Keep <math><mi>a</mi></math> this.</p><p>second</p></article>")
     assert [t for t, tag, up in zip(page.text, page.tag, page.parent, strict=True) if tag == "#text" and page.tag[up] not in html_content.RAW] == ["İİİİİİİİİİx12", "Keep ", "a", " this.", "second"]
@@ -640,7 +650,8 @@ def test_descent_equals_a_direct_solver():
     labels = np.array([float(sum(r) / len(r) + rng.normal(0, 5) > 30) for r in rows])
     ratios = quality.log_ratios(rows, labels)
     w, bias = quality.descend(rows, labels, ratios, cost=4.0, rounds=5000, tolerance=1e-9)
-    x = np.zeros((50, quality.CELLS))
+    assert not w[60:].any()
+    w, x = w[:60], np.zeros((50, 60))
     for i, r in enumerate(rows):
         x[i, r] = ratios[r] / np.linalg.norm(ratios[r])
     x, y = np.hstack([x, np.ones((50, 1))]), np.where(labels > 0, 1.0, -1.0)
@@ -655,6 +666,29 @@ def test_descent_equals_a_direct_solver():
     assert loss(np.append(w, bias)) == pytest.approx(alpha.sum() - alpha @ q @ alpha / 2, rel=1e-6)
 
 
+def test_long_texts_do_not_look_alike():
+    rng = np.random.default_rng(3)
+    seen = np.zeros(quality.CELLS, dtype=bool)
+    long = [quality.indicators(bytes(rng.integers(97, 123, 4_000_000, dtype=np.uint8)) if k else b"abc def " * 500_000, seen) for k in (1, 0)]
+    assert len(long[0]) < 0.6 * quality.CELLS and len(long[1]) < 40 and not seen.any()
+    short = b"some words of a text, some words"
+    assert quality.indicators(short, seen).tolist() == sorted(set(quality.indicators(short, seen).tolist()))
+
+
+def test_quality_gathers_a_bounded_number_of_cells(spark):
+    docs = spark.createDataFrame([(i, "".join(chr(97 + (i * j) % 26) for j in range(400))) for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    got = []
+    model = quality.QualityModel
+    quality.QualityModel = lambda rows, y: got.append(rows)
+    try:
+        quality.fit(docs, labels, numbers=1000)
+        quality.fit(docs.filter("false"), labels, numbers=1000)
+    finally:
+        quality.QualityModel = model
+    assert 1000 <= sum(map(len, got[0])) < 3000 and got[1] == []
+
+
 def test_quality_gathers_one_row_for_an_id(spark):
     docs = spark.createDataFrame([(1, f"text number {i}") for i in range(500)] + [(2, "bad bad bad bad")] * 300, "doc_id long, text string").repartition(6)
     model = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
