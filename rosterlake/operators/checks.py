@@ -54,10 +54,16 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def require_tables(n: int, expected: int) -> None:
-    if n != expected:
-        raise SourceError(f"expected {expected} tables, found {n}")
+def sample(entities: DataFrame, n: int = 6, seed: int = 4, *, key: Column | None = None) -> DataFrame:
+    """n rows drawn by the hash of `key` (default: the whole row) with the seed: the same ones for any partitioning and order of the rows.
 
+    Each task keeps n rows at most, and these meet in one.
+    """
+    own = F.to_json(F.struct(*entities.columns)) if key is None else key.cast("string")
+    return entities.withColumns({"_h": F.md5(F.concat(F.lit(f"{seed}|"), own).cast("binary")), "_k": own}).orderBy("_h", "_k").limit(n).drop("_h", "_k")
 
-def sample(entities: DataFrame, n: int = 6, seed: int = 4) -> DataFrame:
-    return entities.orderBy(F.rand(seed)).limit(n)
+
+def ends(entities: DataFrame, n: int = 3, *, ord: str = "ord") -> DataFrame:
+    """The first and the last n rows in order, with the end (first, last) that they are at: two top-n, no sort of all."""
+    of = lambda name, by: entities.orderBy(by).limit(n).withColumn("end", F.lit(name))
+    return of("first", F.asc(ord)).unionByName(of("last", F.desc(ord)))

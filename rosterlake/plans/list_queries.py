@@ -197,14 +197,16 @@ def _(t):
     return _shown(lists.forced_labor_saved(rows), "name", "aliases", "country", "notes")
 
 
-@query("list_forced_labor_live", f"""WITH c AS (SELECT *, {HALF_SQL} AS nm, [{', '.join(repr(x) for x in lists._SECTIONS)}][c_custkey % 3 + 1] AS category FROM customer)
-SELECT nm AS name, string_agg('A' || c_custkey || ' (Old)', '|B|' ORDER BY c_custkey % 3, c_custkey) AS aliases, 'June 1, 2022' AS effective_date, string_agg(category, '; ' ORDER BY c_custkey % 3, c_custkey) || '; and its affiliates' AS notes FROM c GROUP BY nm""")
+@query("list_forced_labor_live", f"""WITH c AS (SELECT *, {HALF_SQL} AS nm, [{', '.join(repr(x) for x in lists._SECTIONS)}][c_custkey % 3 + 1] AS category FROM customer),
+each AS (SELECT nm, unnest(['A' || c_custkey || ' (Old)', 'B']) AS alias, (c_custkey % 3) * 1000000000 + c_custkey * 2 + unnest([0, 1]) AS at_ FROM c),
+seen AS (SELECT nm, alias, min(at_) AS at_ FROM each GROUP BY ALL),
+a AS (SELECT nm, string_agg(alias, '|' ORDER BY at_) AS aliases FROM seen GROUP BY nm),
+n AS (SELECT nm, string_agg(category, '; ' ORDER BY at_) AS notes FROM (SELECT nm, category, min((c_custkey % 3) * 1000000000 + c_custkey) AS at_ FROM c GROUP BY ALL) GROUP BY nm)
+SELECT nm AS name, aliases, 'June 1, 2022' AS effective_date, notes || '; and its affiliates' AS notes FROM a JOIN n USING (nm)""")
 def _(t):
     cells = F.array(_text(_half(), " (also known as A", _key(), " (Old); and B) and its affiliates."), F.lit("June 1, 2022"))
     rows = t("customer").select((_key() % 3).cast("int").alias("table_no"), _key().alias("row_no"), cells.alias("cells"))
-    got = _shown(lists.forced_labor_live(rows), "name", "aliases", "effective_date", "notes")
-    # B is an alias of both customers and stands once, behind the first
-    return got.withColumn("aliases", F.regexp_replace(F.regexp_replace("aliases", r"\|B$", ""), r"^(A\d+ \(Old\))\|(A)", "$1|B|$2"))
+    return _shown(lists.forced_labor_live(rows), "name", "aliases", "effective_date", "notes")
 
 
 def _line(page: Column, y: Column, *cells: tuple[float, Column]) -> Column:
@@ -236,10 +238,39 @@ def _(t):
     return files.html_sections(t("pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"))).select("path", "ord", "section_ord", "heading", "item")
 
 
-@query("html_tables", "SELECT CAST(c_nationkey % 3 AS INTEGER) AS table_no, c_custkey AS k, c_name || ' & <Co> of ' || c_mktsegment AS a, 'x' AS b FROM customer")
+@query("html_sections_tables", f"""WITH c AS (SELECT *, {NM_SQL} AS nm FROM customer)
+SELECT CAST(c_custkey AS VARCHAR) AS path, CAST(i AS INTEGER) AS ord, CAST(no AS INTEGER) AS section_ord, heading, item FROM c, LATERAL (VALUES (0, 0, '', 'before ' || nm), (1, 1, 'Labor & ' || c_mktsegment, nm), (2, 1, 'Labor & ' || c_mktsegment, 'first of ' || c_custkey), (3, 2, 'Next', 'last')) v(i, no, heading, item)""")
 def _(t):
+    """Sections by headings of any rank; list items and first cells, not the second ones, and no empty ones."""
+    page = _text("<ul><li>before ", _name(), "</li><li> </li></ul><h2>Labor &amp; <b>", F.col("c_mktsegment"), "</b></h2><ul><li><a href=x>", _name(), "</a></li></ul><table><tr><td>first of\n", _key(), "</td><td>second</td></tr></table><h5> Next</h5><table><tr><th>no</th></tr><tr><td>last</td></tr></table>")
+    return files.html_sections(t("customer").select(_key().cast("string").alias("path"), page.cast("binary").alias("content"))).select("path", "ord", "section_ord", "heading", "item")
+
+
+@query("list_investment_shared", """WITH c AS (SELECT c_custkey // 4 AS g, c_custkey % 4 AS r, translate(lpad(CAST(c_custkey // 4 AS VARCHAR), 6, '0'), '0123456789', 'BCDFGHJKLM') AS b FROM customer),
+h AS (SELECT *, bool_or(r = 0) OVER w AS has0, bool_or(r = 2) OVER w AS has2, bool_or(r = 3) OVER w AS has3 FROM c WINDOW w AS (PARTITION BY g))
+SELECT CASE r WHEN 0 THEN b || ' Co Ltd' WHEN 1 THEN CASE WHEN has0 THEN b || ' Group' ELSE 'Shared ' || b END WHEN 2 THEN b || ' Gas' ELSE b || ' Oil' END AS name,
+  CASE r WHEN 0 THEN 'SHARED ' || b || '|LONG FORMER ' || b || ' HOLDINGS' WHEN 1 THEN CASE WHEN has0 THEN 'SHARED ' || b ELSE b || ' GROUP' END WHEN 2 THEN b || ' OIL' ELSE b || ' GAS' END AS aliases,
+  ['1 Road, Beijing, China', '2 Road, Shanghai, China', '3 Road, China', '4 Road, China'][r + 1] AS address,
+  'Target Type: Entity; ' || CASE WHEN r = 3 OR r = 2 AND has3 THEN 'Listing Date (CMIC): 03 Jun 2021; ' ELSE '' END || 'Program: CMIC-EO13959' AS notes FROM h WHERE r < 3 OR NOT has2""")
+def _(t):
+    """Names that two companies share, former names, and an issuer's spelling decide the canonical name; entries with the same names are one."""
+    base, k = F.translate(F.lpad(F.floor(_key() / 4).cast("string"), 6, "0"), "0123456789", "BCDFGHJKLM"), _key() % 4
+    entry = (
+        F.when(k == 0, _text(base, " CO LTD (a.k.a. SHARED ", base, "; f.k.a. LONG FORMER ", base, " HOLDINGS), 1 Road, Beijing, China; Target Type Entity [CMIC-EO13959]. "))
+        .when(k == 1, _text("SHARED ", base, " (a.k.a. ", base, " GROUP), 2 Road, Shanghai, China; Target Type Entity [CMIC-EO13959]. "))
+        .when(k == 2, _text(base, " GAS (a.k.a. ", base, " OIL), 3 Road, China; Issuer Name ", base, " Gas; Target Type Entity [CMIC-EO13959]. "))
+        .otherwise(_text(base, " OIL (a.k.a. ", base, " GAS), 4 Road, China; Target Type Entity; Listing Date (CMIC) 03 Jun 2021 [CMIC-EO13959]. "))
+    )
+    rows = t("customer").groupBy(F.floor(_key() / 64).cast("string").alias("path")).agg(F.sort_array(F.collect_list(F.struct(_key(), entry.alias("e")))).alias("es"))
+    got = lists.investment_list(rows.select("path", F.array_join(F.transform("es", lambda x: x["e"]), "").alias("text")))
+    return _shown(got, "name", "aliases", "address", "notes")
+
+
+@query("html_tables", "SELECT CAST(c_nationkey AS VARCHAR) AS path, CAST(c_custkey % 3 AS INTEGER) AS table_no, c_custkey AS k, c_name || ' & <Co> of ' || c_mktsegment AS a, 'x' AS b FROM customer")
+def _(t):
+    """A page for each nation, of three tables."""
     row = _text("<tr class='r'><td><b>", F.col("c_name"), "</b> &amp; &lt;Co&gt;&nbsp;<i>of</i> ", F.col("c_mktsegment"), "</td><td id=", _key(), ">", _key(), "</td><th> x </th></tr>")
-    each = t("customer").groupBy((F.col("c_nationkey") % 3).alias("n")).agg(_text("<table border=1>", F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(_key(), row.alias("r")))), lambda x: x["r"]), "\n"), "</table>").alias("t"))
-    page = each.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "<p>").alias("value"))
-    got = files.html_tables(page)
-    return got.select("table_no", F.col("cells")[1].cast("long").alias("k"), F.col("cells")[0].alias("a"), F.col("cells")[2].alias("b"))
+    of = lambda n: _text("<table border=1>", F.array_join(F.transform(F.filter("rs", lambda x: x["n"] == n), lambda x: x["r"]), "\n"), "</table>")
+    pages = t("customer").groupBy(F.col("c_nationkey").cast("string").alias("path")).agg(F.sort_array(F.collect_list(F.struct((_key() % 3).alias("n"), _key(), row.alias("r")))).alias("rs"))
+    got = files.html_tables(pages.select("path", F.concat_ws("<p>", of(0), of(1), of(2)).alias("value")))
+    return got.select("path", "table_no", F.col("cells")[1].cast("long").alias("k"), F.col("cells")[0].alias("a"), F.col("cells")[2].alias("b"))

@@ -294,7 +294,9 @@ def investment_list(texts: DataFrame) -> DataFrame:
     """From (path, text): entries end in a program tag; entries with the same set of names are one company."""
     body = F.regexp_replace("text", r"(?s)^.*?country in which the equity ticker is\s*registered\.", "")
     entries = ordered.segments(texts.select("path", body.alias("body")), "body", _ENTRY_END)
-    e = with_entry(entries.select("path", F.col("pos").alias("ord"), "segment"), "segment").drop("segment")
+    # entries of several files are in the order of their paths; the window sees a row for each file
+    order = texts.select("path").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
+    e = with_entry(entries.join(order, "path").select((F.col("file_no") * (1 << 32) + F.col("pos")).alias("ord"), "segment"), "segment").drop("segment")
     e = e.withColumn("variants", F.concat(F.array("name"), "aliases")).withColumn("key", F.coalesce(F.array_join(merge.set_key(F.transform("variants", text.variant_key)), "\x1f"), F.lit("")))
     groups = e.groupBy("key").agg(
         F.min("ord").alias("ord"), merge.distinct_ignoring_case(F.flatten(merge.in_order("variants"))).alias("variants"), F.array_distinct(F.flatten(merge.in_order("former"))).alias("former"),

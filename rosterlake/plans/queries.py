@@ -472,3 +472,13 @@ def _(t):
 def _(t):
     status = F.when(F.col("o_orderstatus") == "O", F.when(F.col("o_orderkey") % 2 == 0, "Active").otherwise("Inactive-Pending Litigation")).otherwise("Revoked")
     return t("orders").select("o_orderkey", text.status_class(status).alias("cls"))
+
+
+@query("sample_rows", "SELECT p_partkey, p_name FROM part ORDER BY md5('4|' || p_partkey), p_partkey LIMIT 6")
+def _(t):
+    return checks.sample(t("part"), key=F.col("p_partkey")).select("p_partkey", "p_name")
+
+
+@query("first_and_last", "(SELECT p_partkey, p_name, 'first' AS \"end\" FROM part ORDER BY p_partkey LIMIT 3) UNION ALL (SELECT p_partkey, p_name, 'last' FROM part ORDER BY p_partkey DESC LIMIT 3)")
+def _(t):
+    return checks.ends(t("part"), ord="p_partkey").select("p_partkey", "p_name", "end")

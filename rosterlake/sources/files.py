@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.functions.text import LINE_ENDS, strip_tags
-from rosterlake.operators.checks import SourceError, require_tables
+from rosterlake.operators.checks import SourceError
 from rosterlake.schema import DOCUMENT, META
 from rosterlake.session import ship
 
@@ -105,7 +105,7 @@ def _pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-class _Table(HTMLParser):
+class Table(HTMLParser):
     """Cells of the first table: text, and the spans in strong."""
 
     def __init__(self):
@@ -148,7 +148,7 @@ class _Table(HTMLParser):
                 self.strong.append(data)
 
 
-class _Sections(HTMLParser):
+class Sections(HTMLParser):
     """Items (li, first td of a row) under the headings h2 to h5."""
 
     def __init__(self):
@@ -191,7 +191,7 @@ def html_table(pages: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, raw in zip(frame["path"], frame["content"], strict=True):
-                parser = _Table()
+                parser = Table()
                 parser.feed(raw.decode("utf-8", "replace"))
                 rows = [r for r in parser.rows if r]
                 yield pd.DataFrame({"path": [p] * len(rows), "row_ord": range(len(rows)), "cells": [[{"text": t, "strongs": s} for t, s in r] for r in rows]})
@@ -210,7 +210,7 @@ def html_sections(pages: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for p, raw in zip(frame["path"], frame["content"], strict=True):
-                parser = _Sections()
+                parser = Sections()
                 parser.feed(raw.decode("utf-8", "replace"))
                 yield pd.DataFrame([(p, i, *x) for i, x in enumerate(parser.items)], columns=["path", "ord", "section_ord", "heading", "item"])
 
@@ -218,17 +218,22 @@ def html_sections(pages: DataFrame) -> DataFrame:
 
 
 def read_html_tables(spark: SparkSession, path: str, *, expected: int | None = None) -> DataFrame:
-    return html_tables(spark.read.text(path, wholetext=True), expected=expected)
+    return html_tables(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value"), expected=expected)
 
 
 def html_tables(pages: DataFrame, *, expected: int | None = None) -> DataFrame:
-    """(table_no, row_no, cells array<string>) of all tables of a page (value), by patterns alone; the tables' number is checked if given."""
-    tables = pages.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)(<table.*?</table>)"), F.lit(1))).alias("table_no", "t"))
+    """(path, table_no, row_no, cells array<string>) of all tables of each page (path, value), by patterns alone; their number is checked if given.
+
+    One narrow stage: a page's rows and cells are cut out of it where it is. The number is checked while they are read.
+    """
+    tables = F.regexp_extract_all("value", F.lit(r"(?s)(<table.*?</table>)"), F.lit(1))
     if expected is not None:
-        require_tables(tables.count(), expected)
-    rows = tables.select("table_no", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?s)(<tr.*?</tr>)"), F.lit(1))).alias("row_no", "r"))
-    cells = rows.select("table_no", "row_no", F.posexplode(F.regexp_extract_all("r", F.lit(r"(?s)(<t[dh][^>]*>.*?</t[dh]>)"), F.lit(1))).alias("i", "c")).withColumn("c", strip_tags(F.col("c")))
-    return cells.groupBy("table_no", "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("cells"))
+        wrong = F.raise_error(F.concat(F.lit(f"expected {expected} tables, found "), F.size(tables).cast("string"), F.lit(" in "), "path"))
+        tables = F.when(F.size(tables) == expected, tables).otherwise(wrong)
+    each = pages.select("path", F.posexplode(tables).alias("table_no", "t"))
+    rows = each.select("path", "table_no", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?s)(<tr.*?</tr>)"), F.lit(1))).alias("row_no", "r"))
+    cells = F.transform(F.regexp_extract_all("r", F.lit(r"(?s)(<t[dh][^>]*>.*?</t[dh]>)"), F.lit(1)), strip_tags)
+    return rows.select("path", "table_no", "row_no", cells.alias("cells")).filter(F.size("cells") > 0)
 
 
 def read_docx_table(spark: SparkSession, path: str, *, columns: int = 3) -> DataFrame:

@@ -51,9 +51,13 @@ def test_screening_finds_the_same_records(spark, idx):
     assert got == {(q, s): n for q, (scores, _) in RESULTS.items() for s, n in scores.items()}
 
 
-def test_documents_are_written_as_they_came(entities):
+def test_documents_are_written_as_they_came(entities, tmp_path):
+    """Files of published lists; one of them was published without a last line end."""
     for x in COUNTS:
         wanted = (HERE / f"{x}.json").read_text()
         source = wanted.split('"source_file": "')[1].split('"')[0]
         extracted = wanted.split('"extracted": "')[1].split('"')[0]
-        assert sinks.document_text(entities, x, source, extracted, newline=False) == wanted
+        rows = entities.filter(F.col("list_id") == x).withColumn("source_file", F.lit(source)).repartition(3)
+        sinks.write_documents(rows, str(tmp_path), extracted=extracted, newline=wanted.endswith("\n"))
+        assert (tmp_path / f"{x.replace('-', '_')}.json").read_text() == wanted
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(f"{x.replace('-', '_')}.json" for x in COUNTS)

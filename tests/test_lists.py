@@ -144,8 +144,8 @@ def test_html_lists(spark, tmp_path):
     got = rows(lists.forced_labor_live(files.read_html_tables(spark, str(tmp_path / "live.html"), expected=3)))
     assert [(g["name"], g["aliases"], g["effective_date"]) for g in got] == [("Alpha", ["A (Old)", "B"], "June 1, 2022")]
     assert got[0]["notes"].count("UFLPA Sec.") == 2 and got[0]["notes"].endswith("; and its affiliates")
-    with pytest.raises(checks.SourceError):
-        files.read_html_tables(spark, str(tmp_path / "live.html"), expected=4)
+    with pytest.raises(Exception, match="expected 4 tables, found 3 in .*live.html"):
+        files.read_html_tables(spark, str(tmp_path / "live.html"), expected=4).collect()
 
 
 def test_documents_round_trip_and_guards(spark, tmp_path):
@@ -153,10 +153,75 @@ def test_documents_round_trip_and_guards(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(doc, ensure_ascii=False, indent=1) + "\n")
     got, missing = files.read_documents(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json"))
     assert missing == [str(tmp_path / "b.json")] and got.count() == 1
-    assert sinks.document_text(got, "a", "f", "2026") == (tmp_path / "a.json").read_text()
+    sinks.write_documents(got.withColumn("source_file", F.lit("f")), str(tmp_path / "out"), extracted="2026")
+    assert (tmp_path / "out" / "a.json").read_text() == (tmp_path / "a.json").read_text()
     (tmp_path / "empty").write_text("")
     for p in ("empty", "none"):
         with pytest.raises(checks.SourceError):
             files.require_files(spark, str(tmp_path / p))
-    sinks.write_documents(got.withColumn("source_file", F.lit("f")), str(tmp_path / "out"), extracted="2026")
-    assert json.loads(spark.read.text(str(tmp_path / "out")).first()["value"]) == doc
+
+
+def test_old_files_stay_where_a_write_fails(spark, tmp_path):
+    df = spark.createDataFrame([("a-b", 1, "X"), ("c", 2, "Y")], "list_id string, ord long, name string")
+    rows = df.select("*", *[c.alias(n) for c, n in ((F.array(F.lit("q")), "aliases"), *((F.lit(None).cast("string"), f) for f in ("country", "address", "status", "effective_date", "federal_register", "notes")))], F.lit("f").alias("source_file"))
+    docs, table = str(tmp_path / "docs"), str(tmp_path / "table")
+    sinks.write_documents(rows, docs, extracted="2026")
+    sinks.write_entities(rows, table)
+    before = {p.name: p.read_text() for p in (tmp_path / "docs").iterdir()}
+    assert set(before) == {"a_b.json", "c.json"} and json.loads(before["a_b.json"])["count"] == 1
+    bad = rows.withColumn("name", F.when(F.col("list_id") == "c", F.raise_error(F.lit("broken"))).otherwise(F.lit("new")))
+    for write in (lambda: sinks.write_documents(bad, docs, extracted="2027"), lambda: sinks.write_entities(bad, table)):
+        with pytest.raises(Exception, match="broken"):
+            write()
+    for wrong, message in ((rows.filter("false"), "nothing was extracted"), (rows.withColumn("name", F.lit("")), "have no name")):
+        with pytest.raises(checks.SourceError, match=message):
+            sinks.write_entities(wrong, table)
+    assert {p.name: p.read_text() for p in (tmp_path / "docs").iterdir()} == before
+    assert sorted(r["name"] for r in spark.read.parquet(table).collect()) == ["X", "Y"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["docs", "table"]
+    sinks.write_entities(rows.filter("ord = 1"), table)
+    assert [r["name"] for r in spark.read.parquet(table).collect()] == ["X"]
+
+
+def test_samples_do_not_hang_on_partitions(spark):
+    df = spark.range(5000).withColumn("x", F.col("id") % 7)
+    wanted = [tuple(r) for r in checks.sample(df).collect()]
+    assert len(wanted) == 6 and all([tuple(r) for r in checks.sample(df.orderBy(F.desc("x")).repartition(n)).collect()] == wanted for n in (1, 5))
+    assert [tuple(r) for r in checks.sample(df, seed=5).collect()] != wanted
+    assert [(r["id"], r["end"]) for r in checks.ends(df, 2, ord="id").collect()] == [(0, "first"), (1, "first"), (4999, "last"), (4998, "last")]
+
+
+def test_formats_plan_files_and_push_filters(spark, tmp_path, capsys):
+    from rosterlake.sources import formats
+
+    formats.register(spark)
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    for k in range(5):
+        (pages / f"p{k}.html").write_text(f"<h2>Sec {k}</h2><ul><li>Item {k}</li></ul><table><tr><td>A <strong>S{k}</strong></td><td>b</td></tr></table>")
+    at = str(pages)
+    items = spark.read.format("list_sections").load(at)
+    plain = files.read_html_sections(spark, at)
+    assert sorted(map(tuple, items.select("ord", "section_ord", "heading", "item").collect())) == sorted(map(tuple, plain.select("ord", "section_ord", "heading", "item").collect()))
+    assert [tuple(r["cells"][0]) for r in spark.read.format("list_table").load(at).orderBy("path").collect()] == [(f"A S{k}", [f"S{k}"]) for k in range(5)]
+    (pages / "p9.html").write_text("x")
+    one = items.filter((F.col("path") == f"{at}/p3.html") & (F.col("item") != "b"))
+    assert [r["item"] for r in one.collect()] == ["Item 3", "A S3"]
+    one.explain("formatted")
+    assert f"PushedFilters: [EqualTo(path,{at}/p3.html)" in capsys.readouterr().out
+    reader = formats._Reader(at, {}, formats._sections)
+    assert list(reader.pushFilters([formats.EqualTo(("path",), f"{at}/p3.html"), formats.EqualTo(("item",), "x")])) == [formats.EqualTo(("item",), "x")]
+    assert [p.paths for p in reader.partitions()] == [[f"{at}/p3.html"]]
+    (tmp_path / "t.txt").write_bytes("\ufeffa\r\n\tb\nEND of\nc".encode())
+    lines = spark.read.format("list_lines").option("until", "END").load(str(tmp_path / "t.txt"))
+    assert [(r["ord"], r["line"]) for r in lines.orderBy("ord").collect()] == [(0, "a"), (1, "\tb")]
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.json").write_text(json.dumps({"list_id": "a", "entities": [{"name": "Ä", "aliases": ["x"]}, {"name": "B"}]}))
+    got = spark.read.format("list_records").load(str(docs)).orderBy("ord")
+    assert [(r["list_id"], r["ord"], r["name"], r["aliases"], r["notes"]) for r in got.collect()] == [("a", 0, "Ä", ["x"], None), ("a", 1, "B", None, None)]
+    (docs / "bad.json").write_text("{")
+    with pytest.raises(Exception, match="cannot read .*bad.json"):
+        spark.read.format("list_records").load(str(docs)).collect()
+    with pytest.raises(Exception, match="missing"):
+        spark.read.format("list_records").load(str(tmp_path / "none")).collect()
