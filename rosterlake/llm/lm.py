@@ -69,7 +69,7 @@ def count_tokens(docs: DataFrame, text: str, most: int = 300_000) -> DataFrame:
 class Vocabulary:
     """The head of the counts with its classes, and what is needed of the rest."""
 
-    def __init__(self, counts: DataFrame, *, head: int, frequent: int, buckets: int):
+    def __init__(self, counts: DataFrame, *, head: int, frequent: int, buckets: int, head_bytes: int = 32 << 20):
         self.frequent, self.buckets, self.classes = frequent, buckets, 1 + frequent + buckets
         self.key = uuid.uuid4().hex
         by_bucket = F.crc32(F.substring("token", -3, 3)) % buckets
@@ -81,13 +81,13 @@ class Vocabulary:
         self.end_count = ends[0]
         self.tokens = sum(r["n"] for r in sums) + ends[0]
         self.types = sum(r["v"] for r in sums) + ends[1]
-        # commonest words: bins of equal ratio, from the top down to the last that still fits
+        # commonest words: bins of equal ratio, from the top down to the last that still fits, by number and by bytes
         fine = F.floor(F.log2("c") * 64).cast("int")
-        bins = counts.filter(F.col("token") != END).groupBy(fine.alias("bin")).count().collect()
-        room, least = head, None
+        bins = counts.filter(F.col("token") != END).groupBy(fine.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("token")).alias("bytes")).collect()
+        room, bytes_left, least = head, head_bytes, None
         for r in sorted(bins, key=lambda r: -r["bin"]):
-            room -= r["count"]
-            if room < 0:
+            room, bytes_left = room - r["n"], bytes_left - r["bytes"]
+            if room < 0 or bytes_left < 0:
                 break
             least = r["bin"]
         top = counts.filter((F.col("token") != END) & (fine >= (least if least is not None else 1 << 30))).toArrow()
