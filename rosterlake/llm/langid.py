@@ -274,24 +274,23 @@ def spread(words: list[bytes], pieces: int = 40, size: int = 16) -> list[bytes]:
     return [w for at in places for w in words[at : at + size]]
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = 400, pieces: int = 40, words: int = 16) -> LanguageModel:
-    """Fits on rows (text, lang), about `sample` of each language, with up to `pieces` runs of `words` words of each text."""
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample: int = 400, pieces: int = 40, words: int = 16, word_bytes: int = 64) -> LanguageModel:
+    """Fits on rows (text, lang), about `sample` of each language, with up to `pieces` runs of `words` words of each text, of a word its first
+    `word_bytes`: what is gathered is bounded for each language. Predictions see whole words."""
     prepare(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    totals = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
-    draw = F.lit(False)
-    for name, total in totals.items():
-        share = F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total))
-        draw = draw | ((F.col(lang) == name) & share)
+    totals = known.groupBy(F.col(lang).alias("_lang")).agg((F.lit(float(sample)) * (1 << 30) / F.count(F.lit(1))).alias("_most"))
+    totals = F.broadcast(totals) if totals.limit((1 << 16) + 1).count() <= 1 << 16 else totals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[str, bytes]] = set()  # copies count once, here and over all tasks
         for batch in batches:
-            got = {(a, b" ".join(spread(letter_words(x), pieces, words))) for a, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)} - sent
+            got = {(a, b" ".join(w[:word_bytes] for w in spread(letter_words(x), pieces, words))) for a, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)} - sent
             sent |= got
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], type=t) for i, t in ((0, pa.string()), (1, pa.binary()))], names=["lang", "words"])
 
-    rows = known.filter(draw).select(F.col(lang).alias("lang"), F.col(text).cast("binary")).mapInArrow(run, "lang string, words binary").distinct().collect()
+    drawn = known.join(totals, F.col(lang) == F.col("_lang")).filter(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < F.col("_most"))
+    rows = drawn.select(F.col(lang).alias("lang"), F.col(text).cast("binary")).mapInArrow(run, "lang string, words binary").distinct().collect()
     return LanguageModel([(a, w.split()) for a, w in sorted((r[0], bytes(r[1])) for r in rows)])
 
 
