@@ -795,3 +795,29 @@ def test_queries_equal_their_sql(spark, name):
     got = queries.QUERIES[name](spark, SF).select(*wanted.columns)
     near = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     assert near(got.collect()) == near(wanted.fetchall())
+
+
+# --- bounds of what the driver gathers ---------------------------------------------------------------------------------
+
+
+def test_long_words_leave_the_head_and_keep_their_scores(spark):
+    """200 words of 50 KB each: the head holds the short ones; long ones are joined, and all are counted."""
+    rows = [(i, "common words here " * 5 + chr(97 + i % 26) * 50_000 + str(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm.count_tokens(df, "text")
+    small = lm.Vocabulary(counts, head=1000, frequent=10, buckets=8, head_bytes=1 << 20)
+    whole = lm.Vocabulary(counts, head=1000, frequent=10, buckets=8)
+    assert sum(map(len, small.words)) < 1 << 20 < sum(map(len, whole.words)) and {b"common", b"words", b"here"} <= set(small.words)
+    assert (small.tokens, small.types) == (whole.tokens, whole.types)
+
+
+def test_long_words_and_many_languages_fit_in_bounds(spark):
+    rng = np.random.default_rng(5)
+    text = lambda words: " ".join(rng.choice(words.split(), 40))
+    rows = [(a, text(w)) for a, w in (("en", "the and of with this that have been"), ("de", "der und das nicht haben gewesen auch mit")) for _ in range(60)]
+    long = [("xx", "z" * 3_000_000 + str(i)) for i in range(3)]
+    model = langid.fit(spark.createDataFrame(rows + long, "lang string, text string"), sample=60)
+    asked = spark.createDataFrame([("the have been",), ("nicht gewesen und",)], "text string")
+    assert [r["lang_pred"] for r in langid.identify(asked, model).orderBy("text").collect()] == ["de", "en"]
+    many = spark.createDataFrame([(f"l{i}", f"word{i} more") for i in range(40)], "lang string, text string")
+    assert len(langid.fit(many, sample=10).langs) == 40
