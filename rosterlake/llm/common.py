@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,11 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rosterlake.session import ship
+from rosterlake.session import ship, shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_local_dirs: dict[str, str] = {}
-_written: list[str] = []  # tables of this driver in the shared folder
+_own = threading.local()  # tables that this thread of the driver has written to the shared folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,17 +30,6 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a fresh local one, for a session in one process only."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-        where = _local_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-shared-")
-        _local_dirs[spark.sparkContext.applicationId] = where
-    return where.rstrip("/")
-
-
 def as_uri(folder: str) -> str:
     """With its scheme and, for local files, the two slashes that Arrow's file systems want."""
     return "file://" + folder.removeprefix("file:").removeprefix("//") if folder.startswith(("/", "file:")) else folder
@@ -68,23 +55,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _written() -> list[str]:
+    if not hasattr(_own, "written"):
+        _own.written = []
+    return _own.written
+
+
 def noted(path: str) -> None:
     """Remembers what was written to the shared folder, so that sweep() may remove it."""
-    _written.append(path)
+    _written().append(path)
 
 
 def written() -> int:
-    """How many tables were written so far and not removed."""
-    return len(_written)
+    """How many tables this thread wrote so far and did not remove."""
+    return len(_written())
 
 
 def sweep(keep: DataFrame, since: int) -> None:
-    """Removes the tables that were written after the first `since`, but those that `keep` reads; no one may need them any more."""
+    """Removes the tables that this thread wrote after its first `since`, but those that `keep` reads; no one may need them any more. What
+    runs in other threads is left alone."""
     needed = {f.rsplit("/", 1)[0] for f in keep.inputFiles()}
-    for path in [p for p in _written[since:] if not any(n.endswith(p.split(":", 1)[-1]) for n in needed)]:
+    for path in [p for p in _written()[since:] if not any(n.endswith(p.split(":", 1)[-1]) for n in needed)]:
         store, base = fs.FileSystem.from_uri(as_uri(path))
         store.delete_dir(base)
-        _written.remove(path)
+        _written().remove(path)
 
 
 def hot_keys(rows: DataFrame, key: str, *, parts: int = 4096) -> DataFrame:
