@@ -33,12 +33,17 @@ def repeated(entities: DataFrame, *keys: str) -> DataFrame:
 
 
 def document_frequency(docs: DataFrame, id: str, words: Column) -> DataFrame:
-    """(w, df): in how many ids each word stands. Ids of one row are counted map-side; only what stands under repeated ids is made distinct first."""
+    """(w, df): in how many ids each word stands. Whether ids repeat is asked of their column alone; if none does, words are counted map-side as
+    they are read. Only rows of ids that do repeat are made distinct by (id, word) first."""
     each = docs.select(F.col(id).alias("id"), F.array_distinct(words).alias("ws"))
-    again = each.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
-    single = each.join(again, "id", "left_anti").select(F.explode("ws").alias("w"))
-    many = each.join(again, "id", "left_semi").select("id", F.explode("ws").alias("w")).distinct().select("w")
-    return single.unionByName(many).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    again = docs.groupBy(F.col(id).alias("id")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
+    count = lambda rows: rows.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    if again.isEmpty():
+        return count(each.select(F.explode("ws").alias("w")))
+    same = each["id"].eqNullSafe(again["id"])
+    single = each.join(again, same, "left_anti").select(F.explode("ws").alias("w"))
+    many = each.join(again, same, "left_semi").select("id", F.explode("ws").alias("w")).distinct().select("w")
+    return count(single.unionByName(many))
 
 
 def with_repeated(rows: DataFrame, name: str, key: Column, *within: Column, match: Column | None = None) -> DataFrame:

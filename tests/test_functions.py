@@ -233,3 +233,14 @@ def test_parentheses_of_any_depth_equal_a_counter(spark):
     assert tuple(one(spark, parens.live_name(F.lit(f"Acme (also known as B {deep}; and C) Co. (x (a/k/a D (E)) y")))) == ("Acme Co. (x y", [f"B {deep}", "C", "D (E)"], "")
     row = company.with_entry(spark.createDataFrame([(f"ACME {deep} CO (a.k.a. B {deep}; f.k.a. C), 1 Road (x;y); City; Target Type Entity [CMIC-EO13959].",)], "s string"), "s").first()
     assert (row["name"], row["aliases"], row["former"], row["address"]) == (f"ACME {deep} CO", [f"B {deep}", "C"], ["C"], "1 Road (x;y); City")
+
+
+def test_document_frequency_counts_ids(spark):
+    rows = [(1, "a b a"), (2, "b c"), (3, "")]
+    for more in ([], [(1, "a d"), (1, "a b a"), (None, "a"), (None, "a e")]):
+        df = spark.createDataFrame(rows + more, "id long, t string").repartition(3)
+        ids = {}
+        for i, t in rows + more:
+            for w in t.split(" "):
+                ids.setdefault(w, set()).add(i)
+        assert {r["w"]: r["df"] for r in checks.document_frequency(df, "id", F.split("t", " ", -1)).collect()} == {w: len(s) for w, s in ids.items()}
