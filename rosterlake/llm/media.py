@@ -12,7 +12,7 @@ them and streams their payloads as Arrow batches of bounded size; features are c
 member is retried on its own, by its offset, with the file opened anew; one that stays unreadable fails the task rather
 than vanish.
 
-Defined cases: null and empty texts are 64 zero bytes with n_bytes 0; the payload is padded with 1 to 64 zero bytes;
+Defined cases: null and empty texts are 64 zero bytes with n_bytes 0; the payload is padded with 0 to 63 zero bytes;
 equal texts give equal values; a null id has a flag of its own, so any number may be an id; repeated rows give a row
 each; an empty table gives no archive and no rows.
 """
@@ -46,7 +46,8 @@ _COLUMNS = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, pa
 
 
 def padded(data: bytes) -> bytes:
-    return data + b"\0" * (WIDTH - len(data) % WIDTH)
+    """Filled with bytes 0 to whole rows, one at least; what fills its rows stays as it is."""
+    return data.ljust(max(1, -(-len(data) // WIDTH)) * WIDTH, b"\0")
 
 
 def to_png(payload: bytes) -> bytes:

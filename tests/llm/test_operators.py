@@ -451,6 +451,17 @@ def test_media_round_trip(spark, odd, none):
     assert media.media_features(none).count() == 0
 
 
+def test_payloads_are_the_next_multiple_of_64(spark, tmp_path):
+    """Bytes 0 only up to whole rows: none where the bytes (not the code points) fill them, 64 for no text."""
+    rows = [("", 64), (None, 64), ("a", 64), ("a" * 63, 64), ("a" * 64, 64), ("a" * 65, 128), ("é" * 32, 64), ("é" * 64, 128), ("é" * 65, 192), ("a" * 128, 128), ("\0" * 64, 64), ("a" * (1 << 20), 1 << 20)]
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_media_columns"](spark, str(tmp_path)).collect()}
+    for i, (text, size) in enumerate(rows):
+        raw, r = (text or "").encode(), got[i]
+        pay = raw + bytes(size - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), size, hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
+
+
 def test_any_id_comes_back(spark):
     ids_ = [None, -(1 << 63), (1 << 63) - 1, 0, 0]
     df = spark.createDataFrame([(i, f"text {i}") for i in ids_], "doc_id long, text string")
