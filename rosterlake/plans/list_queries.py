@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.operators import ordered, statute_table
 from rosterlake.plans import lists
-from rosterlake.plans.registry import query
+from rosterlake.plans.registry import dealt, query
 from rosterlake.sources import files
 
 
@@ -243,7 +243,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS path, CAST(i AS INTEGER) AS ord, CAST(no AS
 def _(t):
     """Sections by headings of any rank; list items and first cells, not the second ones, and no empty ones."""
     page = _text("<ul><li>before ", _name(), "</li><li> </li></ul><h2>Labor &amp; <b>", F.col("c_mktsegment"), "</b></h2><ul><li><a href=x>", _name(), "</a></li></ul><table><tr><td>first of\n", _key(), "</td><td>second</td></tr></table><h5> Next</h5><table><tr><th>no</th></tr><tr><td>last</td></tr></table>")
-    return files.html_sections(t("customer").select(_key().cast("string").alias("path"), page.cast("binary").alias("content"))).select("path", "ord", "section_ord", "heading", "item")
+    return files.html_sections(dealt(t("customer")).select(_key().cast("string").alias("path"), page.cast("binary").alias("content"))).select("path", "ord", "section_ord", "heading", "item")
 
 
 @query("list_investment_shared", """WITH c AS (SELECT c_custkey // 4 AS g, c_custkey % 4 AS r, translate(lpad(CAST(c_custkey // 4 AS VARCHAR), 6, '0'), '0123456789', 'BCDFGHJKLM') AS b FROM customer),

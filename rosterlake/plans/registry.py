@@ -20,6 +20,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores, however the files are cut: for short rows, each of which becomes a page to be read."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 def query(name: str, sql: str | None = None):
     """Registers f(t) -> DataFrame, where t(name) is a table, under a name and with the SQL that must give the same rows."""
 

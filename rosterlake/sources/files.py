@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -23,6 +23,8 @@ _C1 = {
     "\x80": "€", "\x82": "‚", "\x83": "ƒ", "\x84": "„", "\x85": "…", "\x86": "†", "\x87": "‡", "\x88": "ˆ", "\x89": "‰", "\x8a": "Š", "\x8b": "‹", "\x8c": "Œ", "\x8e": "Ž", "\x91": "‘", "\x92": "’", "\x93": "“", "\x94": "”", "\x95": "•", "\x96": "–", "\x97": "—", "\x98": "˜", "\x99": "™", "\x9a": "š", "\x9b": "›", "\x9c": "œ", "\x9e": "ž", "\x9f": "Ÿ",
 }
 _UNDEFINED = "[\x81\x8d\x8f\x90\x9d]"
+#: Characters of a frame that a task hands on.
+FRAME = 1 << 22
 
 
 def require_files(spark: SparkSession, *paths: str) -> None:
@@ -203,16 +205,32 @@ def read_html_sections(spark: SparkSession, path: str) -> DataFrame:
     return html_sections(_pages(spark, path))
 
 
+def _framed(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows in frames of FRAME characters, or a row more: small pages share one, as a frame costs more than a page."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) if isinstance(x, str) else 8 for x in row)
+        if size >= FRAME:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def html_sections(pages: DataFrame) -> DataFrame:
     """(path, ord, section_ord, heading, item) from (path, content)."""
     ship(pages.sparkSession)
 
+    def items(frame: pd.DataFrame) -> Iterator[tuple]:
+        for p, raw in zip(frame["path"], frame["content"], strict=True):
+            parser = Sections()
+            parser.feed(raw.decode("utf-8", "replace"))
+            yield from ((p, i, *x) for i, x in enumerate(parser.items))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for p, raw in zip(frame["path"], frame["content"], strict=True):
-                parser = Sections()
-                parser.feed(raw.decode("utf-8", "replace"))
-                yield pd.DataFrame([(p, i, *x) for i, x in enumerate(parser.items)], columns=["path", "ord", "section_ord", "heading", "item"])
+            yield from _framed(items(frame), ["path", "ord", "section_ord", "heading", "item"])
 
     return pages.mapInPandas(run, "path string, ord int, section_ord int, heading string, item string")
 

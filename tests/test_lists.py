@@ -3,11 +3,13 @@
 import json
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.operators import checks, ordered
-from rosterlake.plans import lists
+from rosterlake.plans import list_queries, lists  # noqa: F401
+from rosterlake.plans.registry import QUERIES
 from rosterlake.sources import files, sinks
 
 
@@ -225,3 +227,24 @@ def test_formats_plan_files_and_push_filters(spark, tmp_path, capsys):
         spark.read.format("list_records").load(str(docs)).collect()
     with pytest.raises(Exception, match="missing"):
         spark.read.format("list_records").load(str(tmp_path / "none")).collect()
+
+
+def test_small_pages_share_a_frame_and_large_ones_do_not(spark):
+    class Pages:
+        sparkSession = spark
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    run = files.html_sections(Pages())
+    small = pd.DataFrame({"path": [str(k) for k in range(1000)], "content": [b"<h2>H</h2><ul><li>a</li><li>b</li></ul>"] * 1000})
+    frames = list(run(iter([small])))
+    assert len(frames) == 1
+    assert list(frames[0].itertuples(index=False, name=None)) == [(str(k), i, 1, "H", x) for k in range(1000) for i, x in enumerate("ab")]
+    large = pd.DataFrame({"path": ["l"] * 3, "content": [b"<li>" + b"x" * files.FRAME + b"</li>"] * 2 + [b"no items"]})
+    assert [len(f) for f in run(iter([large]))] == [1, 1]
+
+
+def test_pages_made_of_customers_are_read_by_all_cores(spark):
+    got = QUERIES["html_sections_tables"](spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
