@@ -1,7 +1,8 @@
 """A small table of positioned characters, with two headers, a page break inside a row and a tall cell."""
 
 from rosterlake.operators.statute_table import table_rows
-from rosterlake.plans import lists
+from rosterlake.plans import list_queries, lists  # noqa: F401
+from rosterlake.plans.registry import QUERIES
 
 
 def line(page, y, *cells):
@@ -43,3 +44,19 @@ def test_rows_and_records(spark):
         ("Other act", "Eps", "Iran", "9/9/2022", "87 FR 5"),
     ]
     assert lists.sanctions(rows).count() == 5
+
+
+def test_lines_are_never_joined_or_broadcast(spark):
+    plan = QUERIES["list_statute_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_a_line_that_is_there_twice_is_read_twice(spark):
+    """Not four times; lines without a place are left out, and headers may stand in several lines of a band."""
+    twice = line(0, 690, (100, "Corp"))
+    parts = [line(2, 700, (10, "Sanction Name"), (100, "Entity")), line(2, 691, (200, "Location of Entity"), (310, "Date Imposed")), line(2, 682, (400, "Status"), (500, "Federal Register"))]
+    row = line(2, 660, (10, "Act A"), (100, "Zeta"), (197, "Cuba"), (310, "1/1/2023"), (400, "Active"), (500, "88 FR 6"))
+    lost = ("p", 2, None, 10.0, "Sanction", row[5])
+    df = spark.createDataFrame([*LINES, twice, *parts, row, lost], "path string, page int, y0 double, x0 double, text string, chars array<struct<x0:double,ch:string>>")
+    got = [(r["entity"], r["location"]) for r in table_rows(df).orderBy("ord").collect()]
+    assert got == [("Acme Corp Corp", "China"), ("Beta [aka B1]", "Iran"), ("Gamma Holding", "Syria"), ("Delta", "Russia"), ("Eps", "Iran"), ("Zeta", "Cuba")]
